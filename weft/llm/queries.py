@@ -1,13 +1,15 @@
 """The corpus queries and, where SQL can say them, their DuckDB twins."""
 
-from weft.llm import decontaminate, exact_dedup, secrets, simhash
+from weft.llm import decontaminate, exact_dedup, line_dedup, secrets, simhash
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
