@@ -1,12 +1,13 @@
 """The corpus queries and, where SQL can say them, their DuckDB twins."""
 
-from weft.llm import bpe, decontaminate, exact_dedup, language, line_dedup, quality, secrets, simhash
+from weft.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, quality, secrets, simhash
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_simhash": simhash.op5_simhash,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_language_id": language.op8_language_id,
     "op9_secret_scan": secrets.op9_secret_scan,
