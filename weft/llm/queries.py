@@ -1,8 +1,9 @@
 """The corpus queries and, where SQL can say them, their DuckDB twins."""
 
-from weft.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, quality, secrets, simhash
+from weft.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, quality, secrets, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
