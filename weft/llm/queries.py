@@ -1,5 +1,6 @@
 """The corpus queries and, where SQL can say them, their DuckDB twins."""
 
+import corpus_pipeline
 from weft.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, quality, secrets, simhash, suffix_dedup
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.OP4_SQL,
