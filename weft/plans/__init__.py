@@ -1,4 +1,6 @@
 """Registered queries: QUERIES maps a name to (spark, data directory) -> DataFrame, ORACLES a name to DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weft.plans import relational  # noqa: F401
+from weft.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
