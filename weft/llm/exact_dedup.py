@@ -32,15 +32,21 @@ def normalised(text: Column) -> Column:
 
 
 def _named(values: DataFrame, *by: str) -> DataFrame:
-    """Distinct values with an integer name that follows their sort order."""
-    return checkpoint(values.select(*by).distinct().orderBy(*by).withColumn("name", F.monotonically_increasing_id()))
+    """Distinct values with an integer name that follows their sort order.
+
+    The order is by the first bytes (or numbers) and a hash, so that the sample that finds
+    the ranges holds no whole blocks, and by value where those are equal.
+    """
+    lead = [F.substring(c, 1, 16) if t == "binary" else F.col(c) for c, t in values.select(*by).dtypes] + [F.xxhash64(*by)]
+    ranged = values.select(*by).distinct().repartitionByRange(*lead).sortWithinPartitions(*lead, *by)
+    return checkpoint(ranged.withColumn("name", F.monotonically_increasing_id()))
 
 
 def block_names(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n, h, name): for rows (doc_id, n, h, content binary), a name that is equal for equal contents of n bytes."""
     key = ["doc_id", "n", "h"]
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / block_bytes).cast("int") - 1)), lambda i: F.substring(F.col("content"), i * block_bytes + 1, F.lit(block_bytes)))
-    blocks = rows.select(*key, F.posexplode(cut).alias("at", "block"))
+    blocks = checkpoint(rows.select(*key, F.posexplode(cut).alias("at", "block")))
     level = checkpoint(blocks.join(_named(blocks, "block"), "block").select(*key, "at", "name"))
     while (level.agg(F.max("at")).first()[0] or 0) > 0:
         side = lambda k: F.coalesce(F.max(F.when(F.col("at") % 2 == k, F.col("name"))), F.lit(-1).cast("long"))
@@ -70,9 +76,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns kept."""
+    """The documents that stay, all columns kept; of rows that repeat both doc_id and text one stays."""
     stay = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 OP7_SQL = r"""
