@@ -50,3 +50,63 @@ def path_distance(pairs: DataFrame, closure: DataFrame) -> DataFrame:
 
 def with_self(closure: DataFrame, nodes: DataFrame) -> DataFrame:
     return closure.unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+
+
+def shared_jaccard(members: DataFrame, ident: str, item: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, a, b, jaccard) for a < b whose sets share an item; pairs that share none are not made."""
+    m = members.select(*group, ident, item).distinct()
+    size = m.groupBy(*group, ident).agg(F.count(F.lit(1)).alias("n"))
+    a, b = m.withColumnRenamed(ident, "a"), m.withColumnRenamed(ident, "b")
+    both = a.join(b, [*group, item]).where("a < b").groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("k"))
+    met = both.join(size.withColumnRenamed(ident, "a").withColumnRenamed("n", "na"), [*group, "a"]).join(size.withColumnRenamed(ident, "b").withColumnRenamed("n", "nb"), [*group, "b"])
+    return met.select(*group, "a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
+
+
+def spanning_edges(edges: DataFrame, weight: str, extra: float) -> DataFrame:
+    """(a, b, weight): a maximum spanning forest, and the edges of at least `extra`.
+
+    Boruvka's rounds: each component takes its best edge (ties by a, b), components that
+    chose each other merge by their smallest node; rounds grow with the logarithm of the
+    nodes. Only counts reach the driver.
+    """
+    e = checkpoint(edges.select("a", "b", F.col(weight).alias("w")))
+    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    part = checkpoint(nodes.withColumn("part", F.col("node")))
+    chosen = e.where("false")
+    while True:
+        pa_, pb = part.select(F.col("node").alias("a"), F.col("part").alias("pa")), part.select(F.col("node").alias("b"), F.col("part").alias("pb"))
+        across = e.join(pa_, "a").join(pb, "b").where("pa <> pb")
+        both = across.select("pa", "a", "b", "w").union(across.select(F.col("pb").alias("pa"), "a", "b", "w"))
+        best = checkpoint(both.groupBy("pa").agg(F.max(F.struct("w", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("m")).select("pa", (-F.col("m.na")).alias("a"), (-F.col("m.nb")).alias("b"), "m.w"))
+        if not best.limit(1).count():
+            break
+        chosen = checkpoint(chosen.union(best.select("a", "b", "w")).distinct())
+        links = best.select("a", "b").distinct().join(pa_, "a").join(pb, "b").select("pa", "pb")
+        label = part.select("part").distinct().withColumn("to", F.col("part"))
+        while True:  # smallest label over the chosen links
+            sides = links.union(links.select("pb", "pa"))
+            low = sides.join(label.select(F.col("part").alias("pb"), "to"), "pb").groupBy(F.col("pa").alias("part")).agg(F.min("to").alias("low"))
+            after = checkpoint(label.join(low, "part", "left").select("part", F.least("to", F.coalesce("low", "to")).alias("to")))
+            moved = after.join(label.withColumnRenamed("to", "was"), "part").where("to <> was").limit(1).count()
+            label = after
+            if not moved:
+                break
+        part = checkpoint(part.join(label, "part").select("node", F.col("to").alias("part")))
+    return chosen.union(e.where(F.col("w") >= extra)).distinct().withColumnRenamed("w", weight)
+
+
+def robinson_foulds(bipartitions: DataFrame, tree: str, split: str, leaves: int) -> DataFrame:
+    """(a, b, distance): normalised distance of all trees a < b from their bipartitions, `leaves` common leaves."""
+    m = bipartitions.select(tree, split).distinct()
+    size = m.groupBy(tree).agg(F.count(F.lit(1)).alias("n"))
+    a, b = size.select(F.col(tree).alias("a"), F.col("n").alias("na")), size.select(F.col(tree).alias("b"), F.col("n").alias("nb"))
+    common = m.withColumnRenamed(tree, "a").join(m.withColumnRenamed(tree, "b"), split).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    pairs = a.join(b, F.col("a") < F.col("b")).join(common, ["a", "b"], "left")
+    return pairs.select("a", "b", ((F.col("na") + F.col("nb") - 2 * F.coalesce("k", F.lit(0))) / (2 * (leaves - 3))).alias("distance"))
+
+
+def patristic(lengths: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, distance) along a tree; `lengths` is (node, ancestor, depth, length) with each node its own ancestor at 0, length from node up to ancestor."""
+    left = lengths.select(F.col("node").alias("a"), "ancestor", F.col("length").alias("la"))
+    right = lengths.select(F.col("node").alias("b"), "ancestor", F.col("length").alias("lb"))
+    return pairs.join(left, "a").join(right, ["b", "ancestor"]).groupBy("a", "b").agg(F.min(F.col("la") + F.col("lb")).alias("distance"))
