@@ -29,13 +29,13 @@ def overlapping_count(s: Column, motif: str) -> Column:
 
 
 def _starts(s: Column, parts: Column, gap: int, motif: str | None) -> Column:
-    """Places (from 1) where a part begins, the first part aside; with a motif, the first part counts if it begins with it."""
+    """Places (from 1) where a part begins, the first part aside; with a motif, the first part counts if s begins with it."""
     walk = F.aggregate(
         parts,
         F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"), F.lit(True).alias("first")),
         lambda a, p: F.struct(
             (a["at"] + F.length(p) + gap).cast("int").alias("at"),
-            F.when(a["first"] & (F.lit(motif is None) | ~F.startswith(p, F.lit(motif or ""))), a["found"]).otherwise(F.concat(a["found"], F.array(a["at"] - gap))).alias("found"),
+            F.when(a["first"] & (F.lit(motif is None) | ~F.startswith(s, F.lit(motif or ""))), a["found"]).otherwise(F.concat(a["found"], F.array(a["at"] - gap))).alias("found"),
             F.lit(False).alias("first"),
         ),
     )

@@ -19,7 +19,7 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", head
     if comment:
         reader = reader.option("comment", comment)
     if keep_na:
-        return reader.option("nullValue", "\x00").option("emptyValue", "").csv(path)
+        return reader.option("nullValue", "\x00").option("emptyValue", "").csv(path).na.fill("")
     return reader.option("nullValue", "NA").csv(path)
 
 
@@ -52,7 +52,7 @@ def clean_residues(sequence: Column, allowed: str = "ABCDEFGHIKLMNPQRSTVWXYZ") -
 
 def attributes(text: Column) -> Column:
     """The last column of a feature file as a map: key=value or key "value", parts separated by ';'."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p != "")
     key = lambda p: F.regexp_extract(p, r"^([^=\s]+)", 1)
     value = lambda p: F.regexp_replace(F.regexp_replace(p, r"^[^=\s]+\s*=?\s*", ""), '^"|"$', "")
     return F.map_from_entries(F.array_distinct(F.transform(parts, lambda p: F.struct(key(p).alias("key"), value(p).alias("value")))))
@@ -103,7 +103,7 @@ def orthogroups(spark: SparkSession, path: str) -> DataFrame:
 
 def taxonomy(spark: SparkSession, names: str, nodes: str) -> tuple[DataFrame, DataFrame]:
     """Names (name, taxid) that mean one taxon, and edges (node, parent)."""
-    cut = lambda path: spark.read.text(path).select(F.transform(F.split("value", r"\|"), F.trim).alias("f"))
+    cut = lambda path: spark.read.text(path).select(F.split(F.trim("value"), r"\s*\|\s*").alias("f"))
     n = cut(names).where("f[3] = 'scientific name'").select(F.col("f")[1].alias("name"), F.col("f")[0].cast("long").alias("taxid"))
     unique = n.groupBy("name").agg(F.min("taxid").alias("taxid"), F.count_distinct("taxid").alias("k")).where("k = 1").drop("k")
     return unique, cut(nodes).select(F.col("f")[0].cast("long").alias("node"), F.col("f")[1].cast("long").alias("parent"))
