@@ -116,3 +116,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no window of an item occurs, all columns kept."""
     return docs.join(occurrences(docs, items).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+OP10_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT item_id, l, unnest(range(1, greatest(1, len(l) - 9) + 1)) AS i FROM b WHERE len(l) > 0),
+k AS (SELECT DISTINCT item_id, l[i:i + 9] AS g FROM p),
+n AS (SELECT DISTINCT len(g) AS n FROM k),
+q AS (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM w, n),
+h AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, i, n, l[i:i + n - 1] AS g FROM q) JOIN k USING (g)),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

@@ -17,6 +17,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op9_secret_scan": secrets.OP9_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }

@@ -109,3 +109,28 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = secret_spans(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x.kind == k)).cast("long")
     return s.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), "n_copied", "n_live")
+
+
+def _marked_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""m{kind} AS (SELECT doc_id, owner, string_split(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(2) || '\\{group}' || chr(2), 'g'), chr(1)) AS x FROM t),
+l{kind} AS (SELECT doc_id, owner, list_transform(x, lambda p: string_split(p, chr(2))) AS x FROM m{kind} WHERE len(x) > 1),
+s{kind} AS (SELECT doc_id, owner, {kind} AS kind, list_sum(list_transform(x[1:i - 1], lambda p: length(p[1]) + coalesce(length(p[3]), 0))) AS a, x[i][1] AS whole, x[i][2] AS value FROM (SELECT doc_id, owner, x, unnest(range(2, len(x) + 1)) AS i FROM l{kind}) WHERE length(x[i][2]) >= {least})"""
+
+
+OP9_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents WHERE doc_id IS NOT NULL),
+{_marked_sql(0, *PATTERNS[0][1:])},
+{_marked_sql(1, *PATTERNS[1][1:])},
+{_marked_sql(2, *PATTERNS[2][1:])},
+{_marked_sql(3, BARE, 0, 16)},
+base AS (SELECT doc_id, owner, kind, CAST(a AS BIGINT) AS a, CAST(a + length(whole) AS BIGINT) AS z, value, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND length(value) >= 16 AS live FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)),
+held AS (SELECT value, count(DISTINCT owner) AS owners, min(owner) AS owner, bool_or(live) AS live FROM base GROUP BY value),
+bare AS (SELECT doc_id, owner, 3 AS kind, CAST(a AS BIGINT) AS a, CAST(a + length(whole) AS BIGINT) AS z, value FROM s3 WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
+added AS (SELECT b.doc_id, b.kind, b.a, b.z FROM bare b JOIN held h ON h.value = b.value AND h.owners = 1 AND h.live AND h.owner = b.owner WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = b.doc_id AND x.a < b.z AND b.a < x.z)),
+named AS (SELECT doc_id, kind, a, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || z AS s FROM (SELECT doc_id, kind, a, z FROM base UNION ALL SELECT * FROM added)),
+j AS (SELECT doc_id, string_agg(s, ',' ORDER BY a, kind) AS spans, string_agg(s, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex FROM named GROUP BY doc_id),
+o AS (SELECT b.doc_id, count(*) FILTER (WHERE owners > 1) AS n_copied, count(*) FILTER (WHERE owners = 1 AND h.live) AS n_live FROM base b JOIN held h USING (value) GROUP BY b.doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
+FROM t LEFT JOIN j USING (doc_id) LEFT JOIN o USING (doc_id)
+"""

@@ -411,3 +411,18 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, group_cap: int = GROUP_
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = strip_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, unnest(range(1, octet_length(b) - 98)) AS s, b FROM b),
+k AS MATERIALIZED (SELECT doc_id, s, md5_number(b[s:s + 99]) AS k FROM p),
+f AS (SELECT k, min((doc_id, s)) AS first FROM k GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, s, (doc_id, s) <> first AS again FROM k JOIN f USING (k)),
+i AS (SELECT doc_id, s, s + 100 AS e, max(s + 100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r WHERE again),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM i),
+u AS (SELECT doc_id, run, min(s) AS s, max(e) AS e FROM g GROUP BY doc_id, run),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM u GROUP BY doc_id),
+x AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed, coalesce(list_prepend(1, es), [1]) AS froms, coalesce(list_append(ss, octet_length(b) + 1), [octet_length(b) + 1]) AS tos FROM b LEFT JOIN t USING (doc_id))
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(froms) + 1), lambda k: substr(h, 2 * froms[k] - 1, 2 * (tos[k] - froms[k]))), ''))) AS kept_sha256 FROM x
+"""
