@@ -66,7 +66,7 @@ def _(spark, d):
     "e8_agreement",
     _S + """, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY p DESC, doc_id) AS a, row_number() OVER (PARTITION BY lang ORDER BY q DESC, doc_id) AS b FROM s),
 g AS (SELECT lang, count(*) AS n, corr(p, q) AS c, avg(abs(p - q)) AS m, count(*) FILTER (WHERE a <= 20 AND b <= 20) AS o FROM r GROUP BY lang)
-SELECT lang, round(c, 8) + 0.0 AS pearson, round(m, 8) + 0.0 AS mae, o AS overlap, round(o / (40 - o), 8) + 0.0 AS jaccard, round((o - 400 / n) / (20 - 400 / n), 8) + 0.0 AS kuncheva FROM g""",
+SELECT lang, round(c, 8) + 0.0 AS pearson, round(m, 8) + 0.0 AS mae, o AS overlap, round(o / (2 * least(20, n) - o), 8) + 0.0 AS jaccard, round((o - least(20, n) ** 2 / n) / nullif(least(20, n) - least(20, n) ** 2 / n, 0), 8) + 0.0 AS kuncheva FROM g""",
 )
 def _(spark, d):
     return metrics.agreement(scored(spark, d), ["lang"], "p", "q", "doc_id", 20).select("lang", _r("pearson"), _r("mae"), "overlap", _r("jaccard"), _r("kuncheva"))
