@@ -112,3 +112,41 @@ def kmer_counts(df: DataFrame, ident: str, sequence: str, k: int) -> DataFrame:
 
     kind = dict(df.dtypes)[ident]
     return df.select(ident, sequence).mapInArrow(each, f"`{ident}` {kind}, kmer string, n long")
+
+
+def control_windows(df: DataFrame, ident: str, sequence: str, motif: str, flank: int) -> DataFrame:
+    """(id, start1) of windows as long as the motif with its number of G and C, free of other letters, other than the motif and its reverse complement, and at least `flank` away from any of their sites."""
+    k, gc = len(motif), sum(c in "GC" for c in motif)
+    forms = sorted({motif, reverse_complement_text(motif)})
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, starts = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer((text or "").encode("utf-8"), np.uint8)
+                n = len(x) - k + 1
+                if n < 1:
+                    continue
+                sums = lambda flags: np.concatenate(([0], np.cumsum(flags)))
+                strong, plain = sums(np.isin(x, [71, 67])), sums(np.isin(x, [65, 67, 71, 84]))
+                site = np.zeros(n, bool)
+                for f in forms:
+                    site |= np.all([x[j : j + n] == ord(c) for j, c in enumerate(f)], axis=0)
+                near = np.zeros(n + 1, np.int64)
+                at = np.flatnonzero(site)
+                np.add.at(near, np.maximum(0, at - (k - 1) - flank), 1)
+                np.add.at(near, np.minimum(n, at + k + flank), -1)
+                fine = (strong[k:] - strong[:-k] == gc) & (plain[k:] - plain[:-k] == k) & (np.cumsum(near[:-1]) == 0)
+                got = np.flatnonzero(fine) + 1
+                starts += got.tolist()
+                ids += [key] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(starts, pa.int64())], names=[ident, "start1"])
+
+    return df.select(ident, sequence).mapInArrow(each, f"`{ident}` {dict(df.dtypes)[ident]}, start1 long")
+
+
+def spaced_choice(starts: Column, width: int, seed: Column, most: int) -> Column:
+    """Up to `most` of the starts, in the order of a hash, each at least `width` from those chosen before."""
+    ordered = F.transform(F.array_sort(F.transform(starts, lambda s: F.struct(F.sha2(F.concat_ws("|", seed, s.cast("string")), 256).alias("h"), s.alias("s")))), lambda x: x.s)
+    fits = lambda chosen, s: (F.size(chosen) < most) & ~F.exists(chosen, lambda c: F.abs(c - s) < width)
+    return F.array_sort(F.aggregate(ordered, F.array().cast("array<bigint>"), lambda acc, s: F.when(fits(acc, s), F.concat(acc, F.array(s))).otherwise(acc)))

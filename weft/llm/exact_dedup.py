@@ -60,11 +60,12 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     source = texts(docs)
     plain = source.select("doc_id", normalised(F.col("text")).alias("t"))
     keys = checkpoint(plain.select("doc_id", F.octet_length("t").alias("n"), F.xxhash64("t").alias("h"), F.sha2("t", 256).alias("text_sha256")))
-    twice = keys.groupBy("n", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    # kept apart, so that the join below has two plain sides and a crowded key can be split
+    twice = checkpoint(keys.groupBy("n", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     chosen = keys.join(twice, ["n", "h"], "left_semi").select("doc_id").distinct()
     content = source.join(chosen, "doc_id", "left_semi").select("doc_id", normalised(F.col("text")).alias("t")).select("doc_id", F.octet_length("t").alias("n"), F.xxhash64("t").alias("h"), F.encode("t", "UTF-8").alias("content"))
     names = block_names(content, block_bytes)
-    groups = names.groupBy("n", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = checkpoint(names.groupBy("n", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     found = names.join(groups, ["n", "name"]).select("doc_id", "n", "h", "keep_id", "group_size")
     out = keys.join(found, ["doc_id", "n", "h"], "left")
     keep = F.coalesce("keep_id", "doc_id")

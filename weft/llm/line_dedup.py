@@ -110,7 +110,7 @@ def keep_bitmaps(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs:
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc()]
     streamed = checkpoint(line_keys(docs, least_length).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _stream(batches, least_docs), "h1 long, h2 long, doc_id long, n_lines int, places array<int>, docs long, open boolean"))
     still = streamed.where("open")
-    totals = still.groupBy("h1", "h2").agg(F.sum("docs").alias("total"), F.max("doc_id").alias("top")).where(F.col("total") >= least_docs)
+    totals = checkpoint(still.groupBy("h1", "h2").agg(F.sum("docs").alias("total"), F.max("doc_id").alias("top")).where(F.col("total") >= least_docs))
     settled = still.join(totals, ["h1", "h2"]).where("doc_id <> top")
     drops = streamed.where("NOT open").select("doc_id", "n_lines", "places").union(settled.select("doc_id", "n_lines", "places"))
     by_doc = drops.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("dropped"))

@@ -56,10 +56,10 @@ PIECE = 60_000
 TOGETHER = 30_000
 PAD = 255  # never a byte of UTF-8
 
-_ANCHOR = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lead", pa.int16()), ("span", pa.int16()), ("settled", pa.bool_())])
-_ANCHOR_SQL = "anchor long, content long, doc_id long, at int, lead short, span short, settled boolean"
-_MET = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lead", pa.int16()), ("span", pa.int16()), ("kind", pa.int8())])
-_MET_SQL = "anchor long, doc_id long, at int, lead short, span short, kind byte"
+_ANCHOR = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+_ANCHOR_SQL = "anchor long, content long, doc_id long, place long"
+_MET = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+_MET_SQL = "anchor long, doc_id long, place long"
 REPEAT, ALIGN, SINGLE = 0, 1, 2
 _FETCHED = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lead", pa.int16()), ("span", pa.int16()), ("kind", pa.int8()), ("content", pa.binary())])
 _FETCHED_SQL = "g1 long, g2 long, doc_id long, at int, lead short, span short, kind byte, content binary"
@@ -69,6 +69,16 @@ def _arrays(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
 
+def _place(at: np.ndarray, lead: np.ndarray, span: np.ndarray, flag) -> np.ndarray:
+    """One number that sorts by `at`, for narrow rows."""
+    return at << 18 | lead << 10 | span << 2 | flag
+
+
+def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """at, lead, span, flag"""
+    return place >> 18, place >> 10 & 255, place >> 2 & 255, place & 3
+
+
 # 1. anchors
 
 
@@ -130,7 +140,7 @@ def _contexts(raw: list[bytes], length: int, powers: tuple[np.ndarray, np.ndarra
 
 
 def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Contexts of all texts; `settled` ones equal an earlier one of their batch."""
+    """Contexts of all texts; those flagged 1 in their place equal an earlier one of their batch and are settled."""
     small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +158,7 @@ def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             # settled rows need not meet others: any key that spreads them does
             anchor = np.where(same, (doc * 0x9E3779B1 + at) * 0x27D4EB2F165667C5, anchor)
             keep = ~itself
-            yield _arrays(_ANCHOR, *(x[keep] for x in (anchor, content, doc, at.astype(np.int32), lead.astype(np.int16), span.astype(np.int16), same)))
+            yield _arrays(_ANCHOR, *(x[keep] for x in (anchor, content, doc, _place(at, lead, span, same))))
 
     return texts(docs).mapInArrow(each, _ANCHOR_SQL)
 
@@ -158,18 +168,18 @@ def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _meet(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, content, document and place: repeats, and representatives that share their anchor."""
-    names = ("anchor", "content", "doc_id", "at", "lead", "span", "settled")
-    held = {n: np.zeros(0, np.int64) for n in ("anchor", "doc_id", "at", "lead", "span")}
+    names = ("anchor", "content", "doc_id", "place")
+    held = {n: np.zeros(0, np.int64) for n in ("anchor", "doc_id", "place")}
     last, crowded = None, None  # anchor and content of the row before, with the document and place of its class's first row; the crowded anchor being read
 
     def out(kind: np.ndarray, rows: dict) -> pa.RecordBatch:
-        return _arrays(_MET, *(rows[n] for n in ("anchor", "doc_id", "at", "lead", "span")), kind)
+        return _arrays(_MET, rows["anchor"], rows["doc_id"], rows["place"] & ~3 | kind)
 
     for b in batches:
         if not b.num_rows:
             continue
-        r = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
-        done = r["settled"]
+        r = {n: b.column(n).to_numpy() for n in names}
+        done = r["place"] & 3 == 1
         if done.any():
             yield out(np.full(int(done.sum()), REPEAT), {n: r[n][done] for n in held})
             r = {n: x[~done] for n, x in r.items()}
@@ -182,8 +192,8 @@ def _meet(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatc
             new[0] = (r["anchor"][0], r["content"][0]) != last[:2]
         first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
         source_doc = np.where(first < 0, last[2] if last else 0, r["doc_id"][np.maximum(first, 0)])
-        source_at = np.where(first < 0, last[3] if last else 0, r["at"][np.maximum(first, 0)])
-        copies = ~new & ((r["doc_id"] != source_doc) | (r["at"] != source_at))
+        source_at = np.where(first < 0, last[3] if last else 0, r["place"][np.maximum(first, 0)])
+        copies = ~new & ((r["doc_id"] != source_doc) | (r["place"] != source_at))
         last = (r["anchor"][-1], r["content"][-1], source_doc[-1], source_at[-1])
         if copies.any():
             yield out(np.full(int(copies.sum()), REPEAT), {k: r[k][copies] for k in held})
@@ -243,7 +253,8 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         repeated: dict[int, list[tuple[int, int]]] = {}
         for doc_id, text, asked in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked"), strict=True):
             raw = text.encode("utf-8")
-            anchor, at, lead, span, kind = (asked.values.field(n).to_numpy() for n in ("anchor", "at", "lead", "span", "kind"))
+            anchor = asked.values.field("anchor").to_numpy()
+            at, lead, span, kind = _unplace(asked.values.field("place").to_numpy())
             gone = repeated.setdefault(doc_id, [])
             whole = kind == REPEAT
             gone += zip(at[whole].tolist(), (at[whole] + span[whole] + length).tolist(), strict=True)
@@ -386,9 +397,9 @@ def _strip(text: str, spans: list[bytes] | None) -> tuple[int, int, int, bytes]:
 def repeats(docs: DataFrame, length: int = LENGTH, group_cap: int = GROUP_CAP) -> DataFrame:
     """(doc_id, spans array<binary>) for the documents that repeat something; _strip reads the spans."""
     source = texts(docs).repartition("doc_id")
-    order = ["anchor", "content", "doc_id", "at"]
+    order = ["anchor", "content", "doc_id", "place"]
     met = anchors(docs, length).repartition("anchor").sortWithinPartitions(*order).mapInArrow(lambda batches: _meet(batches, group_cap), _MET_SQL)
-    asked = met.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "lead", "span", "kind")).alias("asked"))
+    asked = met.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
     fetched = source.join(asked, "doc_id").mapInArrow(lambda batches: _fetch(batches, length), _FETCHED_SQL)
     found = fetched.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "doc_id", "at").mapInArrow(lambda batches: _align(batches, length), "doc_id long, spans binary")
     return found.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))

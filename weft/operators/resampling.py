@@ -93,3 +93,73 @@ def stability(df: DataFrame, group: Sequence[str], odds: str, least: float) -> D
     """(group, share, robust): how often the odds point up, and whether that is at least `least`."""
     share = F.avg((F.col(odds) > 1).cast("int"))
     return df.groupBy(*group).agg(share.alias("share"), (share >= least).alias("robust"))
+
+
+def weighted_spearman_matrix(df: DataFrame, group: Sequence[str], columns: Sequence[str], weight: str) -> DataFrame:
+    """(group, r_<i>_<j>) Spearman correlations of rows repeated `weight` times, ranks taken anew in each group."""
+    from weft.operators.ordered import running_sums
+
+    ranked = df
+    for c in columns:
+        sizes = df.groupBy(*group, c).agg(F.sum(weight).alias("_n"))
+        ends = running_sums(sizes, list(group), [c], {"_end": "_n"}).select(*group, c, (F.col("_end") - (F.col("_n") - 1) / 2.0).alias(f"_r_{c}"))
+        ranked = ranked.join(ends, [*group, c])
+    w, r = F.col(weight), {c: F.col(f"_r_{c}") for c in columns}
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    sums = ranked.groupBy(*group).agg(
+        F.sum(w).alias("_w"),
+        *[F.sum(w * r[c]).alias(f"_s{i}") for i, c in enumerate(columns)],
+        *[F.sum(w * r[c] * r[c]).alias(f"_q{i}") for i, c in enumerate(columns)],
+        *[F.sum(w * r[columns[i]] * r[columns[j]]).alias(f"_c{i}{j}") for i, j in pairs],
+    )
+    n, s, q = F.col("_w"), lambda i: F.col(f"_s{i}"), lambda i: F.col(f"_q{i}")
+    spread = lambda i: q(i) - s(i) * s(i) / n
+    return sums.select(*group, *[F.try_divide(F.col(f"_c{i}{j}") - s(i) * s(j) / n, F.sqrt(spread(i) * spread(j))).alias(f"r_{columns[i]}_{columns[j]}") for i, j in pairs])
+
+
+def partial_of_three(ab: Column, ac: Column, bc: Column) -> Column:
+    """Correlation of a and b given c."""
+    return F.try_divide(ab - ac * bc, F.sqrt((1 - ac * ac) * (1 - bc * bc)))
+
+
+def chosen_labels(df: DataFrame, strata: Sequence[str], ident: str, label: str, replicates: int, seed: str) -> DataFrame:
+    """(strata, replicate, ident): in each replicate as many rows of a stratum as carry the label, those with the smallest hash."""
+    k = df.groupBy(*strata).agg(F.sum(label).alias("_k"))
+    each = df.select(*strata, ident, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    keyed = each.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col(ident).cast("string")), 256))
+    placed = row_numbers(keyed, [*strata, "replicate"], ["_h", ident], "_place").join(k, list(strata))
+    return placed.where("_place <= _k").select(*strata, "replicate", ident)
+
+
+def assigned_controls(pools: DataFrame, replicates: int, seed: str) -> DataFrame:
+    """(replicate, target_id, control_id) from pools (target_id, control_id): targets in order take the control of least hash that the replicate has not used, or of least hash if all are used.
+
+    Replicates are independent groups; one holds the pools of the design once.
+    """
+    import hashlib
+
+    import pandas as pd
+
+    kinds = dict(pools.dtypes)
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for target, own in g.sort_values("target_id").groupby("target_id", sort=True):
+            order = sorted(own["control_id"], key=lambda c: (hashlib.sha256(f"{seed}|{key[0]}|{target}|{c}".encode()).hexdigest(), c))
+            pick = next((c for c in order if c not in used), order[0])
+            used.add(pick)
+            out.append((key[0], target, pick))
+        return pd.DataFrame(out, columns=["replicate", "target_id", "control_id"])
+
+    each = pools.select("target_id", "control_id", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    return each.groupBy("replicate").applyInPandas(one, f"replicate int, target_id {kinds['target_id']}, control_id {kinds['control_id']}")
+
+
+def leave_one_out_enrichment(df: DataFrame, block: str, term: str, marked: str) -> DataFrame:
+    """(left_out, term, k, drawn, marked, total) with each block left out in turn, from counts by block."""
+    cells = df.groupBy(block, term).agg(F.count(F.lit(1)).alias("n"), F.sum(marked).alias("m"))
+    by_block = cells.groupBy(block).agg(F.sum("n").alias("bn"), F.sum("m").alias("bm"))
+    by_term = cells.groupBy(term).agg(F.sum("n").alias("tn"), F.sum("m").alias("tm"))
+    whole = by_block.agg(F.sum("bn").alias("an"), F.sum("bm").alias("am"))
+    every = by_block.join(by_term, how="cross").join(F.broadcast(whole)).join(cells, [block, term], "left").na.fill({"n": 0, "m": 0})
+    return every.select(F.col(block).alias("left_out"), term, (F.col("tm") - F.col("m")).alias("k"), (F.col("tn") - F.col("n")).alias("drawn"), (F.col("am") - F.col("bm")).alias("marked"), (F.col("an") - F.col("bn")).alias("total"))
