@@ -2,9 +2,11 @@
 
 import math
 
+import pandas as pd
+
 
 def cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
     if hasattr(v, "tolist"):
         v = v.tolist()
