@@ -134,6 +134,14 @@ def test_decontaminate(spark, docs, block):
     assert rows(out, "doc_id") == brute.op10(DOCS, ITEMS)
 
 
+def test_words_before_a_last_line_terminator(spark):
+    data = [(1, "One two \u2028"), (2, "two \x85"), (3, "two\n"), (4, " two \r\n"), (5, "\u2028")]
+    items = [(1, "two \u2028"), (2, "two")]
+    c = decontaminate.contamination(frame(spark, data), spark.createDataFrame(items, "item_id long, text string"))
+    out = c.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), "contaminated")
+    assert rows(out, "doc_id") == brute.op10(data, items)
+
+
 def test_quality_learns_and_holds_out(spark):
     import random
     import zlib

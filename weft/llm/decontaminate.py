@@ -39,8 +39,8 @@ BLOCK_SHINGLES = 500_000
 
 
 def words(text: Column) -> Column:
-    """Words of a text; lower-casing is left to the places that compare."""
-    return F.split(F.regexp_replace(text, f"^{BETWEEN}|{BETWEEN}$", ""), BETWEEN)
+    r"""Words of a text; lower-casing is left to the places that compare. \z, as $ also matches before a last U+0085 or U+2028, which are words here."""
+    return F.split(F.regexp_replace(text, rf"^{BETWEEN}|{BETWEEN}\z", ""), BETWEEN)
 
 
 def _ascii_lower(word: Column) -> Column:
