@@ -1,17 +1,19 @@
 """Byte-level BPE encoding and decoding with a global shuffle of distinct words.
 
 Texts are split into pre-tokens. Documents are taken in blocks of about `block_bytes`
-of text; a block numbers its distinct words, most frequent first, and keeps each
-document as the sequence of its words' numbers, which is where positions live. Only
-distinct words travel: each block sends them, packed, to `buckets` buckets by hash.
-There each distinct word is merged into token ids once for all blocks of the bucket,
-and the ids go back to the blocks, which put every document together by position.
-Decoding looks each id up in the token-byte table, whose size is the vocabulary's.
-
-A block has a bounded size, a bucket is streamed block by block with a bounded memory
-of words, and a frequent word counts once in each block, so neither a hot word nor a
-hot source gathers anywhere. The exchange that holds blocks and words is used twice
-(the words by bucket, the documents by block) and computed once.
+of text; a block numbers its distinct words, most frequent first, and keeps its
+documents as sequences of word numbers, which is where positions live. Only distinct
+words travel: each block sends them, packed, to buckets by hash. There words arrive
+bucket by bucket, each distinct word of the corpus is merged into token ids once, and
+the ids go back to the blocks, which put every document together by position. Decoding
+is a positional join of the ids with the token-byte table, batch by batch; that table
+is the vocabulary and has its size whatever the corpus.
+
+The number of buckets follows the number of input partitions, so a bucket's words stay
+bounded, and they are let go of when the next bucket begins. A block has a bounded
+size and a frequent word counts once in each block, so neither a hot word nor a hot
+source gathers anywhere. The exchange that holds blocks and words is used twice (the
+words by bucket, the documents by block) and computed once.
 
 Edge cases: null and empty texts have no tokens; rows without doc_id are left out;
 repeated rows are encoded each; an empty table gives an empty result; other columns
@@ -30,20 +32,26 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm.common import small_batches, table, texts
 from weft.llm.packing import pack, pack_parts, unpack, unpack_parts
 
-BLOCK_BYTES, BUCKETS, WORDS_HELD = 12_000_000, 512, 1_000_000
+BLOCK_BYTES = 12_000_000
+#: Buckets of words for each input partition, and the least number of them.
+BUCKETS_EACH, LEAST_BUCKETS = 16, 64
+#: Word numbers in one row of documents, and bytes of results held before rows are sent back to the blocks.
+ROW_WORDS, HELD_BYTES = 1_000_000, 32_000_000
 LATIN_END = 0x250
 #: Fixed value: White_Space as Unicode has it; the regex module's \s also takes the four separators 1C to 1F.
 _SPACE = r"\p{White_Space}"
-_SENT = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
-_SENT_SQL = "key long, block long, kind int, doc_id long, payload binary"
-DOCUMENT, WORDS = 0, 1
+_SENT = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
+_SENT_SQL = "key long, block long, kind int, payload binary"
+DOCUMENTS, WORDS = 0, 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,18 +91,21 @@ def _block_rows(block: int, ids: list[int], sequences: list[np.ndarray], words:
     order = np.argsort(-uses, kind="stable")
     number = np.empty(len(words), np.int64)
     number[order] = np.arange(len(words))
-    for doc_id, seq in zip(ids, sequences, strict=True):
-        yield block, block, DOCUMENT, doc_id, pack(number[seq])
+    sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    row = np.cumsum(sizes) // ROW_WORDS
+    for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(row)) + 1):
+        own = np.concatenate([sequences[i] for i in part])
+        yield block, block, DOCUMENTS, pack_parts(np.array([ids[i] for i in part], np.int64).tobytes(), pack(sizes[part]), pack(number[own]))
     raw = [words[i].encode("utf-8") for i in order]
     bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in raw), np.int64, len(raw))
     by_bucket = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
     for part in np.split(by_bucket, cuts[1:]) if len(cuts) else []:
         own = [raw[i] for i in part]
-        yield -1 - int(bucket[part[0]]), block, WORDS, 0, pack_parts(pack(np.diff(part, prepend=0)), pack(np.fromiter(map(len, own), np.int64, len(own))), b"".join(own))
+        yield -1 - int(bucket[part[0]]), block, WORDS, pack_parts(pack(np.diff(part, prepend=0)), pack(np.fromiter(map(len, own), np.int64, len(own))), b"".join(own))
 
 
-def pretokens(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+def pretokens(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
     """Blocks of documents as word numbers (key: the block) and their distinct words (key: below zero, the bucket)."""
     small_batches(docs.sparkSession)
 
@@ -125,70 +136,84 @@ def pretokens(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES, buc
 
 
 def encode_words(sent: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """For every block and bucket, the token ids of the block's words there (key: the block)."""
+    """For every block, the token ids of its words (key: the block). Rows arrive sorted by bucket, so a word is merged once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         known: dict[bytes, list[int]] = {}
+        bucket, held, size = None, defaultdict(list), 0
+
+        def flush() -> pa.RecordBatch:
+            blocks = pa.array(list(held), pa.int64())
+            return pa.RecordBatch.from_arrays([blocks, blocks, pa.array([WORDS] * len(held), pa.int32()), pa.array([b"".join(x) for x in held.values()], pa.binary())], schema=_SENT)
+
         for b in batches:
-            keep = np.flatnonzero(b.column("kind").to_numpy() == WORDS)
-            b = b.take(pa.array(keep))
-            blocks, payloads = b.column("block"), []
-            for payload in b.column("payload").to_pylist():
+            b = b.filter(pa.array(b.column("kind").to_numpy() == WORDS))
+            for key, block, payload in zip(*(b.column(c).to_pylist() for c in ("key", "block", "payload")), strict=True):
+                if key != bucket:
+                    bucket, known = key, {}
                 gaps, lengths, letters = unpack_parts(payload)
-                ends = np.cumsum(unpack(lengths)).tolist()
                 ids, at = [], 0
-                for end in ends:
+                for end in np.cumsum(unpack(lengths)).tolist():
                     word = letters[at:end]
                     at = end
                     got = known.get(word)
                     if got is None:
-                        if len(known) >= WORDS_HELD:
-                            known.clear()
                         got = known[word] = merge(word)
                     ids.append(got)
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
-                payloads.append(pack_parts(gaps, pack(sizes), pack(flat)))
-            yield pa.RecordBatch.from_arrays([blocks, blocks, pa.array(np.full(len(keep), WORDS, np.int32)), pa.array(np.zeros(len(keep), np.int64)), pa.array(payloads, pa.binary())], schema=_SENT)
+                out = pack_parts(gaps, pack(sizes), pack(flat))
+                held[block].append(out)
+                size += len(out)
+            if size >= HELD_BYTES:
+                yield flush()
+                held, size = defaultdict(list), 0
+        if held:
+            yield flush()
 
-    return sent.mapInArrow(each, _SENT_SQL)
+    return sent.sortWithinPartitions("key").mapInArrow(each, _SENT_SQL)
 
 
 def _assemble(key: tuple, words: pa.Table, block: pa.Table) -> pa.Table:
-    """Token ids of a block's documents; nothing for the key of a bucket."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    if key[0].as_py() < 0:
-        return schema.empty_table()
+    """Token ids of a block's documents."""
     numbers, sizes, ids = [], [], []
     for payload in words.column("payload").to_pylist():
-        gaps, n, flat = unpack_parts(payload)
-        numbers.append(np.cumsum(unpack(gaps)))
-        sizes.append(unpack(n))
-        ids.append(unpack(flat))
+        parts = iter(unpack_parts(payload))
+        for gaps, n, flat in zip(parts, parts, parts, strict=True):
+            numbers.append(np.cumsum(unpack(gaps)))
+            sizes.append(unpack(n))
+            ids.append(unpack(flat))
     empty = np.zeros(0, np.int64)
     number, size, flat = (np.concatenate([empty, *x]) for x in (numbers, sizes, ids))
     first, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     first[number], length[number] = np.cumsum(size) - size, size
-    values, offsets = [], [0]
+    docs, tokens, values = [empty], [empty], [np.zeros(0, np.int32)]
     for payload in block.column("payload").to_pylist():
-        seq = unpack(payload)
+        own, counts, seq = unpack_parts(payload)
+        counts, seq = unpack(counts), unpack(seq)
         n = length[seq]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(n) else 0
-        values.append(flat[np.repeat(first[seq] - (ends - n), n) + np.arange(total)].astype(np.int32))
-        offsets.append(offsets[-1] + total)
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))
-    return pa.table([block.column("doc_id"), lists], schema=schema)
+        values.append(flat[np.repeat(first[seq] - (ends - n), n) + np.arange(n.sum())].astype(np.int32))
+        upto = np.concatenate((empty[:1], [0], ends))
+        last = np.cumsum(counts)
+        tokens.append(upto[last] - upto[last - counts])
+        docs.append(np.frombuffer(own, np.int64))
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(tokens))))
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values)))
+    return pa.table([pa.array(np.concatenate(docs)), lists], schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """(doc_id, ids array<int>) for every row."""
+    buckets = buckets or max(LEAST_BUCKETS, BUCKETS_EACH * docs.rdd.getNumPartitions())
     sent = pretokens(docs, pattern, block_bytes, buckets).repartition("key")
     words = encode_words(sent, read_ranks(ranks_path), pattern)
-    return words.groupBy("key").cogroup(sent.groupBy("key")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    # the condition is not deterministic to the optimizer, so it stays above the exchange and the exchange is reused
+    documents = sent.where(F.when(F.monotonically_increasing_id() >= 0, F.col("kind")) == DOCUMENTS)
+    return words.groupBy("key").cogroup(documents.groupBy("key")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -208,17 +233,23 @@ def _by_ids(encoded: DataFrame, ranks_path: str, as_digests: bool) -> DataFrame:
         content[rank] = token
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i).encode() for i in range(len(content))]
+        token_bytes, decimal = pa.array(content, pa.large_binary()), pa.array(map(str, range(len(content))), pa.large_string())
         sha = lambda x: hashlib.sha256(x).hexdigest()
+
+        def joined(ids: pa.Array, side: pa.Array, between) -> pa.Array:
+            """Each list's ids joined with a table by position, and put together."""
+            begin, end = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
+            offsets = pc.subtract(ids.offsets.cast(pa.int64()), begin)
+            return pc.binary_join(pa.LargeListArray.from_arrays(offsets, side.take(ids.values.slice(begin, end - begin))), pa.scalar(between, side.type))
+
         for b in batches:
             ids = b.column("ids")
-            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-            lists = [flat[i:j].tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            whole = [b"".join(map(content.__getitem__, x)) for x in lists]
+            whole = joined(ids, token_bytes, b"")
             if as_digests:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, lists), pa.int64()), pa.array([sha(b",".join(map(decimal.__getitem__, x))) for x in lists]), pa.array(map(sha, whole))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                written = joined(ids, decimal, ",")
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), pa.array([sha(x.as_buffer()) for x in written]), pa.array([sha(x.as_buffer()) for x in whole])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(whole, pa.binary())], names=["doc_id", "content"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), whole.cast(pa.binary())], names=["doc_id", "content"])
 
     small_batches(encoded.sparkSession)
     return encoded.mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if as_digests else "doc_id long, content binary")
