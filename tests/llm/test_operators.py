@@ -78,12 +78,15 @@ def test_line_dedup(docs):
     assert rows(out, "doc_id") == brute.op4(DOCS)
 
 
-def test_line_dedup_keys_that_cross_partitions(spark):
+@pytest.mark.parametrize("batch", ["1000", "7"])
+def test_line_dedup_keys_that_cross_partitions(spark, batch):
     many = [(i, f"a line that everybody has\nown line of document number {i % 7}\n{i}") for i in range(300)]
     d = frame(spark, many).repartition(5)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     out = rows(line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)), "doc_id")
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert out == brute.op4(many)
 
 
@@ -266,3 +269,10 @@ def test_pipeline(spark, sf):
             assert kept == [r[0] for r in brute.op10(before, ITEMS) if not r[5]]
     out = corpus_pipeline.run(spark, sf)
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == kept
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    line = "a line that is long enough to count"
+    d = spark.createDataFrame([(1, line), (1, "keep me please\nsecond"), (1, f"x\n{line}\ny"), (2, line), (3, line), (3, "z")], "doc_id long, text string")
+    out = line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).select("doc_id", "kept_text", "n_dropped")
+    assert rows(out, "doc_id", "kept_text") == [(1, "", 1), (1, "keep me please\nsecond", 0), (1, "x\ny", 1), (2, "", 1), (3, line, 0), (3, "z", 0)]
