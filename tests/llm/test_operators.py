@@ -276,3 +276,11 @@ def test_line_dedup_of_rows_that_share_an_id(spark):
     d = spark.createDataFrame([(1, line), (1, "keep me please\nsecond"), (1, f"x\n{line}\ny"), (2, line), (3, line), (3, "z")], "doc_id long, text string")
     out = line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).select("doc_id", "kept_text", "n_dropped")
     assert rows(out, "doc_id", "kept_text") == [(1, "", 1), (1, "keep me please\nsecond", 0), (1, "x\ny", 1), (2, "", 1), (3, line, 0), (3, "z", 0)]
+
+
+def test_decontaminate_judges_rows_that_share_an_id_each(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x One two three four five six seven eight nine ten y"), (1, "clean words"), (2, None)], "doc_id long, text string")
+    out = decontaminate.contamination(d, items).select("doc_id", "n_words", "n_hit")
+    assert rows(out, "doc_id", "n_words") == [(1, 2, 0), (1, 12, 10), (2, 0, 0)]
+    assert rows(decontaminate.drop_contaminated(spark, d, items), "doc_id") == [(1, "clean words"), (2, None)]
