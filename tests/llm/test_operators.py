@@ -111,7 +111,7 @@ def test_simhash_links_a_chain_through_dense_buckets(spark):
 
 
 def test_exact_dedup(docs):
-    assert rows(exact_dedup.exact_groups(docs, block_bytes=64), "doc_id") == brute.op7(DOCS)
+    assert rows(exact_dedup.exact_groups(docs, block_bytes=64).drop("n", "h"), "doc_id") == brute.op7(DOCS)
 
 
 def test_secret_scan(docs):
@@ -284,3 +284,42 @@ def test_decontaminate_judges_rows_that_share_an_id_each(spark):
     out = decontaminate.contamination(d, items).select("doc_id", "n_words", "n_hit")
     assert rows(out, "doc_id", "n_words") == [(1, 2, 0), (1, 12, 10), (2, 0, 0)]
     assert rows(decontaminate.drop_contaminated(spark, d, items), "doc_id") == [(1, "clean words"), (2, None)]
+
+
+def test_exact_dedup_of_rows_that_share_an_id(spark):
+    d = spark.createDataFrame([(3, "same  text"), (5, "own"), (5, "same text"), (7, "same\ttext"), (7, "same\ttext"), (None, "own")], "doc_id long, text string")
+    out = exact_dedup.exact_groups(d).select("doc_id", "keep_id", "group_size", "kept")
+    assert rows(out, "doc_id", "keep_id") == [(3, 3, 4, True), (5, 3, 4, False), (5, 5, 1, True), (7, 3, 4, False), (7, 3, 4, False)]
+    assert rows(exact_dedup.keep_first_copies(spark, d), "doc_id") == [(3, "same  text"), (5, "own")]
+
+
+def test_quality_is_calibrated_and_breaks_ties_upwards(spark):
+    """Labels that follow the text three times in four: scores say so."""
+    import random
+
+    rng = random.Random(12)
+    say = lambda w: " ".join(rng.choice(w) for _ in range(50))
+    good, bad = ["river", "stone", "paper", "light", "under"], ["w1n$", "bu%y", "n0w!!", "f*ree", "cl#ick"]
+    data = []
+    for i in range(1200):
+        q = int(rng.random() < 0.5)
+        data.append((i, say(good if q else bad), q if rng.random() < 0.75 else 1 - q))
+    d = frame(spark, [(i, t) for i, t, _ in data])
+    labels = spark.createDataFrame([(i, q) for i, _, q in data], "doc_id long, quality int")
+    got = dict(rows(quality.score(d, quality.fit(d, labels)), "doc_id"))
+    for high in (True, False):
+        part = [(got[i], q) for i, _, q in data if (got[i] >= 0.5) == high]
+        assert abs(sum(s for s, _ in part) / len(part) - sum(q for _, q in part) / len(part)) < 0.08
+    # without labels every score is 0.5, which counts as good
+    assert quality.keep_good(spark, d, labels.limit(0)).count() == len(data)
+    # repeated rows are scored alike
+    twice = d.limit(20).union(d.limit(20))
+    model = quality.fit(d, labels)
+    assert all(a == b for a, b in zip(*[iter(rows(quality.score(twice, model), "doc_id"))] * 2, strict=True))
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    d = spark.createDataFrame([(i, "same words here", ["b", "a"][i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    model = language.fit(d)
+    model.scale[:], model.shift[:] = 0, 0
+    assert {r.lang_pred for r in language.identify(d, model).collect()} == {"a"}

@@ -12,8 +12,8 @@ Every grouping combines before its shuffle, so a group of copies of any size is
 row for each task; names return to rows by joins that Spark can split when skewed.
 
 Edge cases: null and empty texts are equal; rows without doc_id are left out; a doc_id
-that occurs twice gives a row for each occurrence and counts once in group_size for
-each distinct text; an empty table gives an empty result; other columns are ignored.
+that occurs twice gives a row for each occurrence, judged by its own text, and
+group_size counts rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def block_names(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of docs."""
+    """(doc_id, keep_id, group_size, kept, text_sha256, n, h), one row for each row of docs; n and h are length and hash of its text."""
     source = texts(docs)
     plain = source.select("doc_id", normalised(F.col("text")).alias("t"))
     keys = checkpoint(plain.select("doc_id", F.octet_length("t").alias("n"), F.xxhash64("t").alias("h"), F.sha2("t", 256).alias("text_sha256")))
@@ -65,21 +65,24 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     chosen = keys.join(twice, ["n", "h"], "left_semi").select("doc_id").distinct()
     content = source.join(chosen, "doc_id", "left_semi").select("doc_id", normalised(F.col("text")).alias("t")).select("doc_id", F.octet_length("t").alias("n"), F.xxhash64("t").alias("h"), F.encode("t", "UTF-8").alias("content"))
     names = block_names(content, block_bytes)
-    groups = checkpoint(names.groupBy("n", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    uses = keys.groupBy("doc_id", "n", "h").agg(F.count(F.lit(1)).alias("uses"))
+    groups = checkpoint(names.join(uses, ["doc_id", "n", "h"]).groupBy("n", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("uses").alias("group_size")))
     found = names.join(groups, ["n", "name"]).select("doc_id", "n", "h", "keep_id", "group_size")
     out = keys.join(found, ["doc_id", "n", "h"], "left")
     keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (keep == F.col("doc_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (keep == F.col("doc_id")).alias("kept"), "text_sha256", "n", "h")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("n", "h")
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns kept; of rows that repeat both doc_id and text one stays."""
-    stay = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """The documents that stay, all columns kept; of rows that share a doc_id and a text one stays. Rows without doc_id go."""
+    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_d"), F.col("n").alias("_n"), F.col("h").alias("_h")).distinct()
+    t = normalised(F.col("text"))
+    rows = docs.where("doc_id IS NOT NULL").withColumns({"_d": F.col("doc_id"), "_n": F.octet_length(t), "_h": F.xxhash64(t)})
+    return rows.join(stay, ["_d", "_n", "_h"], "left_semi").dropDuplicates(["_d", "_n", "_h"]).select(*docs.columns)
 
 
 OP7_SQL = r"""
