@@ -10,12 +10,12 @@ dictionary, which shows repetition. A logistic fit on labelled texts that are no
 the dictionaries turns them into a probability.
 
 Learning takes at most `sample` labelled rows of each class, those with the smallest
-hash of doc_id, among texts of at most `longest` bytes; scoring reads every whole text,
+hash of doc_id (one text each), among texts of at most `longest` bytes; scoring reads every whole text,
 in one pass without a shuffle. The model is about 130 kB.
 
 Edge cases: null and empty texts are scored like any text (all features zero but the
-fitted constant); rows without doc_id are left out by score(), kept or rejected like
-others by keep_good(); labels of unknown documents or without a value are ignored; if
+fitted constant); a score of exactly 0.5 counts as good; rows without doc_id are left
+out by score() and keep_good(); labels of unknown documents or without a value are ignored; if
 a class has no labelled text, every score is the share of label 1 (0.5 if there are no
 labels); repeated rows are scored alike; an empty table gives an empty result; other
 columns are ignored.
@@ -111,7 +111,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, long
     """At most `sample` rows (doc_id, text, quality) of each class outside the held-out third."""
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1) AND crc32(CAST(doc_id AS STRING)) % 3 <> 1").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = functools.reduce(DataFrame.union, [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)])
-    found = texts(docs).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text").between(1, longest)).select("doc_id", "text", "quality").limit(4 * sample)
+    found = texts(docs).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text").between(1, longest)).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     return sorted((r.doc_id, r.text, r.quality) for r in found.collect())
 
 
@@ -163,4 +163,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     def score_of(text: pd.Series) -> pd.Series:
         return pd.Series(model.scores(text.fillna("").tolist()), dtype="float64")
 
-    return docs.where(score_of(F.col("text")) >= 0.5)
+    return docs.where("doc_id IS NOT NULL").where(score_of(F.col("text")) >= 0.5)
