@@ -14,8 +14,8 @@ one pass without a shuffle. The model holds 2^15 weights for each bit.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; rows without
 doc_id are left out; rows without lang are predicted but not learnt from; with one
-language everything else is that language, with none everything is `und`; repeated
-rows are predicted alike; an empty table gives an empty result; other columns are
+language everything else is that language, with none everything is `und`; of equally
+near codewords the first language by name wins; repeated rows are predicted alike; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import small_batches, table
@@ -122,16 +122,14 @@ def learning_rows(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST,
     Two scans: one counts the languages, one fetches the rows whose hash is below their
     language's rate. The rate aims at 1.5 times the rows wanted; the smallest hashes stay.
     """
-    usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 4 <> 2").where(F.octet_length("text").between(20, longest))
+    usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 4 <> 2").where(F.octet_length("text").between(1, longest))
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total).collect()
     each = max(1, min(sample, total // max(1, len(counts))))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     rates = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, 1_500_000 * each // r["count"] + 1)) for r in counts], "lang string, rate long")
-    drawn = usable.select("lang", "doc_id", "text").join(F.broadcast(rates), "lang").where(place < F.col("rate")).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id").limit(3 * total).collect()
-    rows: dict[str, list[tuple[str, str]]] = {}
-    for r in sorted(drawn, key=lambda r: (r.lang, r.h, r.doc_id)):
-        rows.setdefault(r.lang, []).append((r.lang, r.text))
-    return [x for own in rows.values() for x in own[:each]]
+    drawn = usable.select("lang", "doc_id", "text").join(F.broadcast(rates), "lang").where(place < F.col("rate")).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    return sorted((r.lang, r.text) for r in drawn.withColumn("place", first).where(F.col("place") <= each).select("lang", "text").collect())
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:

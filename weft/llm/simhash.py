@@ -136,9 +136,3 @@ def near_groups(docs: DataFrame, width: int = 3, bucket_cap: int = 200) -> DataF
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = near_groups(table(spark, sf_dir, "documents"))
     return g.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one_of_each_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest doc_id of their near-duplicate group, all columns kept."""
-    stay = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("doc_id")).distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
