@@ -1,42 +1,53 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A word-level network looks at one word on each side of a masked word and predicts it:
-two embeddings are added, go through a tanh layer, and a softmax gives the class of the
-masked word. Classes are the corpus's most frequent words, one each, and groups of the
-others by their ending; a word in a group has the group's probability divided by the
-number of distinct words the corpus has in it, so the model is a distribution over the
-corpus's vocabulary. A document's score is the sum, over its words, of the log
-probability of each word given both neighbours (the masked pseudo-likelihood).
-
-Everything the model learns from is counted over all documents: word counts (their
-shuffle grows with the vocabulary) and counts of (left, middle, right) class triples
-(bounded by the cube of the number of classes, combined in each task). The network is
-trained in numpy on the table of triple counts, and only its weights travel; a task
-turns them into a table of log probabilities and scores documents by look-ups.
+A network looks at a window of two words on each side of a masked word and predicts it:
+one embedding for each of the four places, summed, a tanh layer, and a softmax in two
+steps (a class, then a word of the class). The `CLASSES` * `MEMBERS` most frequent words
+are predicted each by itself; a further class stands for all others, and such a word's
+probability in it comes from how often the other documents of the corpus hold the word,
+mixed with a model of its spelling (which gets the share of words seen once). So the
+model is a distribution over all words, and a document is no evidence for itself: a word
+that nothing else in the corpus has is unseen. In the window a word beyond the
+vocabulary shows its last byte. A document's score is the sum, over its words, of the
+log probability of each word given both sides (the masked pseudo-likelihood).
+
+Everything is learnt from all documents. Words are counted in one pass. The network is
+trained in numpy by tasks, each on all windows of its share: they start from one state,
+fitted on at most `WARM` documents, and their weights are averaged by numbers of windows
+in a grouped sum, so only one set of weights reaches the driver. The vocabulary and the
+`LISTED` words that follow it travel with the tasks (a bounded table); rarer words meet
+their counts in a join.
 
 Edge cases: null and empty texts have no words and score 0; rows without doc_id are
-left out; repeated rows are scored each; with no words at all every score is 0; an
-empty table gives an empty result; other columns are ignored.
+left out; repeated rows are scored each, and are each other's evidence; with no words at
+all every score is 0; words of equal counts are ordered by name; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import checkpoint, small_batches, table, texts
 
-#: Class 0 stands for the edge of a text.
-WORDS, GROUPS = 95, 32
-CLASSES = 1 + WORDS + GROUPS
-EMBED, HIDDEN, STEPS, RATE = 24, 32, 40, 0.05
+CLASSES, MEMBERS = 64, 32
+VOCABULARY = CLASSES * MEMBERS
+#: Words after the vocabulary whose counts travel with the tasks.
+LISTED = 131_072
+#: Places of the window, relative to the masked word.
+PLACES = (-2, -1, 1, 2)
+#: Input symbols: 0 the edge of a text, then the vocabulary, then the last bytes of other words.
+SYMBOLS = 1 + VOCABULARY + 256
+HIDDEN, RATE, WINDOWS, WARM, WARM_BYTES = 16, 0.06, 16_384, 1500, 20_000
 _HELD = 200_000
 
 
@@ -65,130 +76,262 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Vocabulary:
-    words: list[str]
-    types: np.ndarray  # distinct words in each class
+# words
 
-    def classes(self):
-        """A function from a word to its class, remembering words as it meets them."""
-        known = {w: 1 + i for i, w in enumerate(self.words)}
-        base = 1 + WORDS
 
-        def of(word: str) -> int:
-            got = known.get(word)
-            if got is None:
-                got = base + zlib.crc32(word[-2:].encode("utf-8", "replace")) % GROUPS
-                if len(known) < 500_000:
-                    known[word] = got
-            return got
+@dataclass
+class Lexicon:
+    """The most frequent words, how often all others occur, and how words are spelt."""
+
+    words: list[str]  # by falling count: the vocabulary, then the listed words
+    counts: np.ndarray
+    rest: int  # occurrences of words beyond the vocabulary
+    novel: float  # their share that goes to the spelling
+    spelling: np.ndarray  # log p(byte | byte before), 256 at both ends
+
+    def symbols(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Of all words of some texts: input symbols, places in `words` (-1: not there), and the words that are not there."""
+        if not hasattr(self, "_known"):
+            self._known = {w: i for i, w in enumerate(self.words)}
+            self._symbol = np.array([1 + i if i < VOCABULARY else 1 + VOCABULARY + w.encode()[-1] for i, w in enumerate(self.words)] + [0], np.int16)
+        flat = [w for t in tokens for w in t]
+        at = np.fromiter(map(self._known.get, flat, repeat(-1)), np.int32, len(flat))
+        symbol = self._symbol[at]
+        missing = np.flatnonzero(at < 0)
+        absent = [flat[i] for i in missing]
+        symbol[missing] = np.fromiter((1 + VOCABULARY + w.encode()[-1] for w in absent), np.int16, len(absent))
+        return symbol, at, absent
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+    def spelt(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word's spelling."""
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        if not len(raw):
+            return np.zeros(0)
+        ends = np.cumsum(sizes)
+        now = np.full(ends[-1], 256, np.int64)
+        inside = np.ones(len(now), bool)
+        inside[ends - 1] = False
+        now[inside] = np.frombuffer(b"".join(raw), np.uint8)
+        before = np.concatenate(([256], now[:-1]))
+        return np.add.reduceat(self.spelling[before, now], ends - sizes)
+
+
+def lexicon(counts: DataFrame) -> Lexicon:
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY + LISTED).toArrow()
+    words, n = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
+    total, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
+    rest = int(total) - int(n[:VOCABULARY].sum())
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(257 * 257, np.int64)
+        for b in batches:
+            for w in b.column("word").to_pylist():
+                c = np.frombuffer(w.encode(), np.uint8).astype(np.int64)
+                np.add.at(cells, np.append(256, c) * 257 + np.append(c, 256), 1)
+        code = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(cells[code])], names=["code", "n"])
 
-        return of
+    spelt = counts.select("word").mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.full(257 * 257, 0.01)
+    cells[spelt.column("code").to_numpy()] += spelt.column("n").to_numpy()
+    cells = cells.reshape(257, 257)
+    return Lexicon(words, n, rest, min(0.5, (once + 1) / (rest + 2)), np.log(cells / cells.sum(1, keepdims=True)))
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    rest = counts.where(~F.col("word").isin(top)) if top else counts
-    ending = F.expr("crc32(encode(right(word, 2), 'UTF-8'))") % GROUPS
-    types = np.ones(CLASSES)
-    for r in rest.groupBy(ending.cast("int").alias("g")).count().collect():
-        types[1 + WORDS + r["g"]] = r["count"]
-    return Vocabulary(top, types)
+# the network
 
 
-def triple_counts(docs: DataFrame, words: Vocabulary) -> np.ndarray:
-    """Counts [left, middle, right] of classes over all documents; at most CLASSES^3 cells reach the driver."""
+class Network:
+    """log p(word | window) = log softmax(h W + a)[class] + log softmax(h U[class] + u[class])[word], h = tanh(sum of place embeddings + b)."""
+
+    SHAPES = {"e": (len(PLACES), SYMBOLS, HIDDEN), "b": (HIDDEN,), "w": (HIDDEN, CLASSES + 1), "a": (CLASSES + 1,), "u": (CLASSES, HIDDEN, MEMBERS), "v": (CLASSES, MEMBERS)}
+
+    def __init__(self, weights: dict[str, np.ndarray], squares: dict[str, np.ndarray] | None = None):
+        self.weights, self.squares = weights, squares or {k: np.full(s, 1e-6, np.float32) for k, s in self.SHAPES.items()}
+
+    @classmethod
+    def fresh(cls, lex: Lexicon) -> Network:
+        rng = np.random.default_rng(11)
+        n = np.full(VOCABULARY, 1e-3)
+        n[: len(lex.words[:VOCABULARY])] += lex.counts[:VOCABULARY]
+        n = n.reshape(CLASSES, MEMBERS)
+        share = np.append(n.sum(1), lex.rest + 1e-3)
+        w = {k: np.zeros(s, np.float32) for k, s in cls.SHAPES.items()}
+        w["e"] = (rng.standard_normal(cls.SHAPES["e"]) * 0.1).astype(np.float32)
+        w["w"] = (rng.standard_normal(cls.SHAPES["w"]) * 0.05).astype(np.float32)
+        w["a"] = np.log(share / share.sum()).astype(np.float32)
+        w["v"] = np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
+        return cls(w)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.weights[k].ravel() for k in self.SHAPES])
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> Network:
+        out, at = {}, 0
+        for k, s in cls.SHAPES.items():
+            size = int(np.prod(s))
+            out[k], at = flat[at : at + size].reshape(s).astype(np.float32), at + size
+        return cls(out)
+
+    def run(self, around: np.ndarray, target: np.ndarray, learn: bool = False) -> np.ndarray:
+        """Log probability of each target symbol in its window (rows of `around`: places); if asked, a step of Adagrad as well."""
+        w = self.weights
+        h = np.tanh(sum(w["e"][p][around[p]] for p in range(len(PLACES))) + w["b"])
+        z = h @ w["w"] + w["a"]
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
+        norm = p.sum(1, keepdims=True)
+        known = target <= VOCABULARY
+        cls = np.where(known, (target - 1) // MEMBERS, CLASSES)
+        rows = np.arange(len(target))
+        out = z[rows, cls] - np.log(norm[:, 0])
+        if learn:
+            p /= norm
+            p[rows, cls] -= 1
+            grad = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items() if k in "uv"}
+            dh = p @ w["w"].T
+        order = np.argsort(cls.astype(np.int8), kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        for c in range(CLASSES):
+            own = order[cuts[c] : cuts[c + 1]]
+            if not len(own):
+                continue
+            hc = h[own]
+            zc = hc @ w["u"][c] + w["v"][c]
+            zc -= zc.max(1, keepdims=True)
+            pc = np.exp(zc)
+            nc = pc.sum(1, keepdims=True)
+            member, k = (target[own] - 1) % MEMBERS, np.arange(len(own))
+            out[own] += zc[k, member] - np.log(nc[:, 0])
+            if learn:
+                pc /= nc
+                pc[k, member] -= 1
+                grad["u"][c], grad["v"][c] = hc.T @ pc, pc.sum(0)
+                dh[own] += pc @ w["u"][c].T
+        if learn:
+            dh *= 1 - h * h
+            by = np.ascontiguousarray(dh.T, np.float64)
+            grad |= {"w": h.T @ p, "a": p.sum(0), "b": dh.sum(0), "e": np.stack([np.stack([np.bincount(around[q], x, SYMBOLS) for x in by], 1) for q in range(len(PLACES))]).astype(np.float32)}
+            for k, g in grad.items():
+                g /= len(target)
+                self.squares[k] += g * g
+                w[k] -= RATE * g / np.sqrt(self.squares[k])
+        return out
+
+    def batches(self, symbols: np.ndarray, sizes: np.ndarray, learn: bool = False) -> np.ndarray:
+        """run() over all words of some texts, WINDOWS at a time."""
+        edge = len(PLACES) // 2
+        padded = np.zeros(len(symbols) + edge * (len(sizes) + 1), np.int64)
+        at = np.arange(len(symbols)) + edge * (1 + np.repeat(np.arange(len(sizes)), sizes))
+        padded[at] = symbols
+        out = np.zeros(len(symbols), np.float32)
+        for i in range(0, len(at), WINDOWS):
+            now = at[i : i + WINDOWS]
+            out[i : i + WINDOWS] = self.run(np.stack([padded[now + p] for p in PLACES]), padded[now], learn)
+        return out
+
+
+def _tokens(b: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray]:
+    tokens = [_words(t) for t in b.column("text").to_pylist()]
+    return tokens, np.fromiter(map(len, tokens), np.int64, len(tokens))
+
+
+def train(docs: DataFrame, lex: Lexicon) -> Network:
+    """Fitted first on few documents in the driver, then by every task on all of its windows; the tasks' weights are averaged."""
+    few = texts(docs).where(F.octet_length("text").between(1, WARM_BYTES)).select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(WARM)
+    tokens = [_words(r.text) for r in few.collect()]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    start = Network.fresh(lex)
+    symbols = lex.symbols(tokens)[0]
+    for _ in range(3):
+        start.batches(symbols, sizes, learn=True)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, cells = words.classes(), np.zeros(CLASSES**3, np.int32)
+        net, windows = start, 0
         for b in batches:
-            for t in b.column("text").to_pylist():
-                c = np.array([0, *map(of, _words(t)), 0], np.int64)
-                if len(c) > 2:
-                    np.add.at(cells, (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], 1)
-        code = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(cells[code].astype(np.int64))], names=["code", "n"])
+            tokens, sizes = _tokens(b)
+            net.batches(lex.symbols(tokens)[0], sizes, learn=True)
+            windows += int(sizes.sum())
+        if windows:
+            w = net.flat().astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w * windows), pa.array(np.full(len(w), windows, np.int64))], names=["place", "weight", "windows"])
 
-    total = texts(docs).mapInArrow(each, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    got = total.select("code", "n").toArrow()
-    out = np.zeros(CLASSES**3)
-    out[got.column("code").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(CLASSES, CLASSES, CLASSES)
+    total = texts(docs).mapInArrow(each, "place int, weight double, windows long").groupBy("place").agg((F.sum("weight") / F.sum("windows")).alias("weight")).toArrow()
+    flat = start.flat().astype(np.float64)
+    flat[total.column("place").to_numpy()] = total.column("weight").to_numpy()
+    return Network.of(flat)
 
 
-@dataclass
-class Network:
-    """log p(middle | left, right) = log softmax(tanh(L[left] + R[right] + b) @ W + a), L and R through EMBED numbers."""
-
-    left: np.ndarray
-    right: np.ndarray
-    mix: np.ndarray
-    bias: np.ndarray
-    out: np.ndarray
-    base: np.ndarray
-
-    def hidden(self) -> tuple[np.ndarray, np.ndarray]:
-        both = self.left[:, None, :] + self.right[None, :, :]
-        return both, np.tanh(both @ self.mix + self.bias)
-
-    def log_table(self) -> np.ndarray:
-        """[left, right, middle]"""
-        z = self.hidden()[1] @ self.out + self.base
-        z -= z.max(-1, keepdims=True)
-        return z - np.log(np.exp(z).sum(-1, keepdims=True))
-
-
-def train(triples: np.ndarray, steps: int = STEPS) -> Network:
-    """Adam on the cross-entropy of the counts."""
-    rng = np.random.default_rng(11)
-    target = np.ascontiguousarray(triples.transpose(0, 2, 1)).astype(np.float32)  # left, right, middle
-    total = max(1.0, float(target.sum()))
-    target /= total
-    weight = target.sum(-1, keepdims=True)
-    share = triples.sum((0, 2)) + 0.5
-    shape = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
-    net = Network(shape(CLASSES, EMBED), shape(CLASSES, EMBED), shape(EMBED, HIDDEN), np.zeros(HIDDEN, np.float32), shape(HIDDEN, CLASSES) * 0, np.log(share / share.sum()).astype(np.float32))
-    names = ("left", "right", "mix", "bias", "out", "base")
-    m, v = {k: 0.0 for k in names}, {k: 0.0 for k in names}
-    for step in range(1, steps + 1):
-        both, h = net.hidden()
-        z = h @ net.out + net.base
-        z -= z.max(-1, keepdims=True)
-        np.exp(z, out=z)
-        z *= weight / z.sum(-1, keepdims=True)
-        z -= target  # the gradient at the softmax
-        dh = (z @ net.out.T) * (1 - h * h)
-        db = dh @ net.mix.T
-        grad = {"left": db.sum(1), "right": db.sum(0), "mix": both.reshape(-1, EMBED).T @ dh.reshape(-1, HIDDEN), "bias": dh.sum((0, 1)), "out": h.reshape(-1, HIDDEN).T @ z.reshape(-1, CLASSES), "base": z.sum((0, 1))}
-        for k in names:
-            m[k] = 0.9 * m[k] + 0.1 * grad[k]
-            v[k] = 0.99 * v[k] + 0.01 * grad[k] ** 2
-            setattr(net, k, (getattr(net, k) - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32))
-    return net
-
-
-def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean_log_likelihood) for every row."""
+# scores
+
+
+def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, net: Network) -> DataFrame:
+    """(doc_id, n_words, n_unseen, log_likelihood, mean_log_likelihood) for every row; unseen words are in no other row."""
     small_batches(docs.sparkSession)
+    novel = lex.novel
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = words.classes()
-        table = (net.log_table() - np.log(words.types)[None, None, :]).astype(np.float32).ravel()
+        spelt = lex.spelt(lex.words[VOCABULARY:])
         for b in batches:
-            sizes, sums = [], []
-            for t in b.column("text").to_pylist():
-                c = np.array([0, *map(of, _words(t)), 0], np.int64)
-                sizes.append(len(c) - 2)
-                sums.append(float(table[(c[:-2] * CLASSES + c[2:]) * CLASSES + c[1:-1]].sum(dtype=np.float64)))
-            n = np.array(sizes, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(sums, pa.float64()), pa.array(np.array(sums) / np.maximum(1, n))], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return texts(docs).mapInArrow(each, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
-
-
-def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
-    words = vocabulary(checkpoint(word_counts(docs)))
-    return words, train(triple_counts(docs, words))
+            tokens, sizes = _tokens(b)
+            symbols, at, absent = lex.symbols(tokens)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            base = np.bincount(doc, net.batches(symbols, sizes), len(sizes))
+            others = np.maximum(1, lex.rest - np.bincount(doc[symbols > VOCABULARY], minlength=len(sizes)))
+            # listed words: their counts are here
+            listed = at >= VOCABULARY
+            pair, uses = np.unique(doc[listed] * LISTED + at[listed] - VOCABULARY, return_counts=True)
+            of, word = pair // LISTED, pair % LISTED
+            left = lex.counts[VOCABULARY:][word] - uses
+            with np.errstate(divide="ignore"):
+                base += np.bincount(of, uses * np.logaddexp(np.log((1 - novel) * left / others[of]), np.log(novel) + spelt[word]), len(sizes))
+            unseen = np.bincount(of[left == 0], uses[left == 0], len(sizes)).astype(np.int64)
+            # rarer ones go to meet theirs
+            rare = Counter(zip(doc[at < 0].tolist(), absent, strict=True))
+            names = [w for _, w in rare]
+            of = np.fromiter((d for d, _ in rare), np.int64, len(rare))
+            none = [None] * len(rare)
+            key = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in names), np.uint64, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([b.column("row").take(pa.array(of)), b.column("row")]),
+                    pa.array(np.concatenate((key, b.column("row").to_numpy()))),
+                    pa.array([*rare.values(), *[None] * len(sizes)], pa.int32()),
+                    pa.array(np.concatenate((lex.spelt(names), np.zeros(len(sizes)))), pa.float32()),
+                    pa.array(np.concatenate((others[of], others))),
+                    pa.concat_arrays([pa.array(none, pa.int64()), b.column("doc_id").cast(pa.int64())]),
+                    pa.array([*none, *sizes.tolist()], pa.int64()),
+                    pa.array([*none, *unseen.tolist()], pa.int64()),
+                    pa.array([*none, *base.tolist()], pa.float64()),
+                ],
+                names=["row", "key", "uses", "spelt", "others", "doc_id", "n_words", "unseen", "base"],
+            )
+
+    rows = texts(docs).withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(each, "row long, key long, uses int, spelt float, others long, doc_id long, n_words long, unseen long, base double")
+    # `counts` holds every word that is not listed, and by chance a document's own key
+    held = counts.select(F.xxhash64("word").alias("key"), "n")
+    left = F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - F.col("uses"))
+    p = F.when(left == 0, F.log(F.lit(novel)) + F.col("spelt")).otherwise(F.log((1 - novel) * left / F.col("others") + novel * F.exp("spelt")))
+    g = rows.join(held, "key", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.count("doc_id").alias("copies"),
+        F.max("n_words").alias("n_words"),
+        (F.sum("unseen") + F.coalesce(F.sum(F.when(left == 0, F.col("uses"))), F.lit(0))).alias("unseen"),
+        (F.sum("base") + F.coalesce(F.sum(F.col("uses") * p), F.lit(0.0))).alias("sum"),
+    )
+    each_row = g.select("doc_id", "n_words", (F.col("unseen") / F.col("copies")).cast("long").alias("n_unseen"), (F.col("sum") / F.col("copies")).alias("log_likelihood"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return each_row.select("doc_id", "n_words", "n_unseen", "log_likelihood", F.coalesce(F.try_divide("log_likelihood", "n_words"), F.lit(0.0)).alias("mean_log_likelihood"))
+
+
+def fit(docs: DataFrame) -> tuple[DataFrame, Lexicon, Network]:
+    counts = checkpoint(word_counts(docs))
+    lex = lexicon(counts)
+    return counts, lex, train(docs, lex)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
