@@ -96,7 +96,7 @@ def test_interval_overlaps_equal_the_plain_condition(spark):
 def test_staged_match_stages(spark):
     t = spark.createDataFrame([(-1, "k", 0.0), (-2, "k", 100.0), (-3, "k", 5000.0)], "target_id long, b string, x double")
     p = spark.createDataFrame([(i, "k", float(i)) for i in range(10)] + [(50 + i, "k", 100.0 + 9 * i) for i in range(5)], "control_id long, b string, y double")
-    m = relational.staged_match(t, p, ["b"], F.abs(F.col("x") - F.col("y")), [5, 40, 6000], 4, 3, F.col("control_id"))
+    m = relational.staged_match(t, p, ["b"], "x", "y", [5, 40, 6000], 4, 3, F.col("control_id"))
     assert got(m.select("target_id", "stage", "pool_size").distinct(), F.desc("target_id")) == [(-1, 1, 6), (-2, 2, 5), (-3, 3, 15)]
     assert got(m.where("target_id = -1").select("control_id", "place"), "place") == [(0, 1), (1, 2), (2, 3)]
 
@@ -126,7 +126,7 @@ def test_motifs(spark):
 
 def test_canonical_kmers(spark):
     df = spark.createDataFrame([(1, "ACGTNACG"), (2, None), (3, "AC")], "id long, s string")
-    assert got(seq.kmer_counts(df, "id", "s", 3), "id", "kmer") == [(1, "ACG", 3)]
+    assert got(seq.kmer_counts(df, "id", "s", 3).select("id", seq.kmer_text(F.col("code"), 3), "n"), "id") == [(1, "ACG", 3)]
 
 
 def test_ancestors_of_a_diamond_and_a_cycle(spark):
@@ -220,7 +220,9 @@ def test_factors(spark):
     rng = np.random.default_rng(6)
     base = rng.integers(5, 200, 60)
     df = spark.createDataFrame([(f"s{k}", f"g{i}", int(b * m)) for k, m in enumerate((1, 2, 3)) for i, b in enumerate(base)], "s string, g string, y long")
-    assert [f for _, f in got(statistics.tmm_factors(df, "s", "g", "y"), "s")] == pytest.approx([1, 1, 1])
+    assert [f for _, f in got(statistics.tmm_factors(df, "s", "g", "y", least=20), "s")] == pytest.approx([1, 1, 1])
+    with pytest.raises(ValueError, match="fewer than 100 genes"):
+        statistics.tmm_factors(df, "s", "g", "y")
     assert [f for _, f in got(statistics.size_factors(df, "s", "g", "y"), "s")] == pytest.approx([1 / 6 ** (1 / 3), 2 / 6 ** (1 / 3), 3 / 6 ** (1 / 3)])
     lf = dict(got(statistics.log_factorials(df, 30)))
     assert all(lf[i] == pytest.approx(math.lgamma(i + 1)) for i in range(31))
@@ -267,7 +269,11 @@ def test_text_formats(spark, tmp_path):
     assert got(readers.orthogroups(spark, put("og.txt", "OG1: s1|a s2|b\nOG2: s1|c\n")), "gene_id") == [("OG1", "s1", "a"), ("OG1", "s2", "b"), ("OG2", "s1", "c")]
     names = put("names.dmp", "1\t|\troot\t|\t\t|\tscientific name\t|\n2\t|\ttwin\t|\t\t|\tscientific name\t|\n3\t|\ttwin\t|\t\t|\tscientific name\t|\n")
     unique, tree = readers.taxonomy(spark, names, put("nodes.dmp", "2\t|\t1\t|\n1\t|\t1\t|\n"))
-    assert got(unique) == [("root", 1)] and got(tree, "node") == [(1, 1), (2, 1)]
+    assert got(unique) == [("root", 1)] and got(tree, "node") == [(2, 1)]
+    names = put("more.dmp", "5\t|\tfive\t|\t\t|\tscientific name\t|\n5\t|\tfife\t|\t\t|\tsynonym\t|\n6\t|\tsix\t|\t\t|\tscientific name\t|\n7\t|\tsix\t|\t\t|\tequivalent name\t|\n8\t|\tv\t|\t\t|\tcommon name\t|\n")
+    unique, tree = readers.taxonomy(spark, names, put("deep.dmp", "1\t|\t1\t|\n5\t|\t3\t|\n3\t|\t1\t|\n"))
+    assert got(unique, "name") == [("fife", 5), ("five", 5)]
+    assert got(graph.ancestors(tree), "node", "depth") == [(3, 1, 1), (5, 3, 1), (5, 1, 2)]
     assert got(readers.soft(spark, put("a.soft", "^SAMPLE = S1\n!title = one = x\n^SAMPLE = S2\n!title = two\n")), "name") == [("SAMPLE", "S1", "title", "one = x"), ("SAMPLE", "S2", "title", "two")]
     line = "dom acc 10 prot - 100 1e-5 50.1 0 1 1 1e-3 2e-4 40 0 1 9 {} {} 1 9 0.9 a free text\n"
     assert readers.domain_table(spark, put("a.dom", "# c\n" + line.format(5, 20))).first().description == "a free text"
@@ -312,3 +318,144 @@ def test_streams_agree_with_tables(spark, tmp_path):
     done = got(spark.read.parquet(str(tmp_path / "out")), "start")
     assert done and set(done) <= set(got(events.tumbling(table, "1 hour")))
     assert got(events.sessions(table, "5 minutes").agg(F.sum("n"), F.count(F.lit(1)))) == [(60, 60)]
+
+
+def test_a_mark_inside_a_header_begins_no_record(spark, tmp_path):
+    p = tmp_path / "a.fa"
+    p.write_text(">g1 c.12A>G variant\nACG\nT\n>g2\nNN\n")
+    assert got(readers.fasta(spark, str(p)), "record_id") == [("g1", "c.12A>G variant", "ACGT"), ("g2", "", "NN")]
+
+
+def test_of_a_repeated_attribute_the_last_counts(spark):
+    df = spark.createDataFrame([("ID=1;Note=a;Note=b;tag=x;tag=x",), ('gene_id "g"; tag "a"; tag "b";',)], "a string")
+    assert [r[0] for r in df.select(readers.attributes(F.col("a"))).collect()] == [{"ID": "1", "Note": "b", "tag": "x"}, {"gene_id": "g", "tag": "b"}]
+
+
+def test_null_groups_and_values_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, 2.0, 1), (None, 2, 1.0, 0), ("a", 3, 5.0, 1), ("a", 4, None, 0)], "g string, id long, x double, y int")
+    assert got(ordered.average_ranks(df, ["g"], "x"), "id") == [(None, 1, 2.0, 1, 2.0), (None, 2, 1.0, 0, 1.0), ("a", 3, 5.0, 1, 1.0), ("a", 4, None, 0, None)]
+    assert [r[-1] for r in got(ordered.equal_count_bins(df, ["id"], 2, group=["g"]), "id")] == [0, 1, 0, 1]
+    assert [r[-1] for r in got(ordered.adjusted_p(df.withColumn("x", F.col("x") / 10), ["g"], "x", "id"), "id")] == [0.2, 0.2, 0.5, None]
+    some = df.where("x IS NOT NULL")
+    assert sorted(got(metrics.best_mcc_threshold(some, ["g"], "x", "y")), key=str)[1] == (None, 2.0, 1.0)
+    assert {r[0] for r in got(metrics.top_k_enrichment(some, ["g"], "x", "y", "id"))} == {None, "a"}
+    assert {r[0] for r in got(statistics.standardised(some, ["g"], "x"))} == {None, "a"}
+    assert {r[0] for r in got(resampling.draws(df, "id", 3, "s", ["g"]))} == {None, "a"}
+
+
+def test_an_unsettled_model_is_an_error(spark):
+    df = spark.createDataFrame([(float(i), int(i > 9)) for i in range(20)], "x double, y int")
+    with pytest.raises(ArithmeticError):
+        statistics.logistic_null(df, "y", ["x"], steps=2)
+
+
+def plain_tmm(counts):
+    n = counts.sum(0).astype(float)
+    u = np.quantile(counts / n, 0.75, axis=0)
+    ref = int(np.argmin(np.abs(u - u.mean())))
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    f = np.zeros(counts.shape[1])
+    for k in range(counts.shape[1]):
+        both = (counts[:, k] > 0) & (counts[:, ref] > 0)
+        y, r = counts[both, k].astype(float), counts[both, ref].astype(float)
+        if k != ref:
+            p, q = y / n[k], r / n[ref]
+            m, a, v = np.log2(p / q), np.log2(p * q) / 2, (n[k] - y) / n[k] / y + (n[ref] - r) / n[ref] / r
+            c, fine = len(y), np.ones(len(y), bool)
+            for x, trim in ((rank(m), 0.3), (rank(a), 0.05)):
+                low = math.floor(c * trim) + 1
+                fine &= (x >= low) & (x <= c + 1 - low)
+            f[k] = (m[fine] / v[fine]).sum() / (1 / v[fine]).sum()
+    return 2 ** (f - f.mean())
+
+
+def test_factors_of_sparse_counts(spark):
+    rng = np.random.default_rng(16)
+    counts = rng.poisson(rng.gamma(0.5, 8, (600, 1)) * rng.uniform(0.5, 2, (1, 5)) * rng.lognormal(0, 0.4, (600, 5)))
+    df = spark.createDataFrame([(k, i, int(counts[i, k])) for i in range(600) for k in range(5) if counts[i, k] or k == 0], "s long, g long, y long")
+    assert [f for _, f in got(statistics.tmm_factors(df, "s", "g", "y"), "s")] == pytest.approx(plain_tmm(counts).tolist())
+    with pytest.raises(ValueError, match="empty library"):
+        statistics.tmm_factors(df.union(spark.createDataFrame([(9, 1, 0)], df.schema)), "s", "g", "y")
+
+
+def test_controls_by_rounds_are_those_taken_one_after_another(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    pairs = {(t, c) for t in range(25) for c in rng.sample(range(18), rng.randint(1, 6))}
+    out = resampling.assigned_controls(spark.createDataFrame(sorted(pairs), "target_id long, control_id long"), 50, "s")
+    want = []
+    for r in range(1, 51):
+        used = set()
+        for t in range(25):
+            own = sorted((c for a, c in pairs if a == t), key=lambda c: (hashlib.sha256(f"s|{r}|{t}|{c}".encode()).hexdigest(), c))
+            pick = next((c for c in own if c not in used), own[0])
+            used.add(pick)
+            want.append((r, t, pick))
+    assert got(out, "replicate", "target_id") == want
+    assert got(resampling.assigned_controls(spark.createDataFrame([], "target_id long, control_id long"), 5, "s")) == []
+
+
+def test_spaced_choice(spark):
+    import hashlib
+
+    starts = list(range(0, 300, 2))
+    chosen = []
+    for s in sorted(starts, key=lambda s: hashlib.sha256(f"k|{s}".encode()).hexdigest()):
+        if len(chosen) < 10 and all(abs(s - c) >= 12 for c in chosen):
+            chosen.append(s)
+    df = spark.createDataFrame([(starts,)], "x array<long>")
+    assert df.select(seq.spaced_choice(F.col("x"), 12, F.lit("k"), 10)).first()[0] == sorted(chosen)
+
+
+def test_windows_are_drawn_from_every_start(spark):
+    df = spark.createDataFrame([("a", 1, "A" * 30), ("a", 2, "A" * 12), ("b", 3, "N" * 30), ("b", 4, "ACGTN" * 3), ("c", 5, "AC")], "g string, id long, s string")
+    out = got(sampling.sample_windows(df, "id", "s", 10, 0.2, 1000, "k", ["g"]), "g", "id", "start0")
+    assert [(i, s) for _, i, s, *_ in out] == [(1, s) for s in range(21)] + [(2, s) for s in range(3)] + [(4, s) for s in range(6)]
+    assert {r[4] for r in out if r[0] == "a"} == {24}
+    few = got(sampling.sample_windows(df, "id", "s", 10, 0.2, 5, "k", ["g"]), "g", "place")
+    assert [r[1:3] for r in few if r[0] == "a"] == [r[1:3] for r in sorted((r for r in out if r[0] == "a"), key=lambda r: r[3])[:5]]
+    with pytest.raises(ValueError, match="fewer than"):
+        sampling.sample_windows(df, "id", "s", 10, 0.2, 10, "k", ["g"], complete=True)
+
+
+def test_cohorts_of_equal_budgets(spark):
+    df = spark.createDataFrame([(a, 100 * k + i) for k, a in enumerate("xyz") for i in range(40)], "arm string, id long")
+    out = sampling.equal_budget_cohorts(df, "arm", "id", ["x", "y", "z"], 20, "s")
+    assert sorted((r.cohort, r["count"]) for r in out.groupBy("cohort").count().collect()) == [("union", 20), ("x", 20), ("y", 20), ("z", 20)]
+    assert sorted((r.arm, r["count"]) for r in out.where("cohort = 'union'").groupBy("arm").count().collect()) == [("x", 7), ("y", 7), ("z", 6)]
+
+
+def test_neighbours_across_stretches(spark):
+    df = spark.range(10_000).select(F.lit("c").alias("g"), F.col("id").alias("p"))
+    out = {r.p: (r.window, r.edge) for r in graph.neighbour_window(df, ["g"], "p", 10).collect()}
+    assert len(out) == 10_000
+    for p in (0, 9, 10, 4095, 4096, 4097, 8191, 8192, 9989, 9990, 9999):
+        near = list(range(max(0, p - 10), min(10_000, p + 11)))
+        assert out[p] == (near, len(near) < 21)
+
+
+def test_cka_by_group_is_that_of_numpy(spark):
+    rng = np.random.default_rng(19)
+    x, y, g = rng.standard_normal((90, 70)), rng.standard_normal((90, 70)), rng.integers(0, 3, 90)
+    y = y + x
+    df = spark.createDataFrame([(int(k), [float(v) for v in a], [float(v) for v in b]) for k, a, b in zip(g, x, y)], "g long, x array<float>, y array<float>").repartition(4)
+
+    def plain(a, b):
+        a, b = a - a.mean(0), b - b.mean(0)
+        return (np.linalg.norm(a.T @ b) ** 2) / np.linalg.norm(a.T @ a) / np.linalg.norm(b.T @ b)
+
+    assert [c for _, c in got(vectors.linear_cka(df, "x", "y", ["g"]), "g")] == pytest.approx([plain(x[g == k], y[g == k]) for k in range(3)], rel=1e-5)
+
+
+def test_rows_and_columns_are_looked_up(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "x")], "k string, v string")
+    assert readers.find_row(df, k="a").v == "x"
+    for bad in ({"v": "x"}, {"k": "c"}):
+        with pytest.raises(ValueError):
+            readers.find_row(df, **bad)
+    assert spark.createDataFrame([("mk*l#B*",)], "s string").select(readers.clean_residues(F.upper("s"))).first()[0] == "MKXLXB"
+    assert relational.require_columns(df, "k") is df
+    with pytest.raises(ValueError, match="missing"):
+        relational.require_columns(df, "k", "z")

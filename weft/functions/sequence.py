@@ -85,13 +85,13 @@ def chunks(s: Column, size: int, n: int) -> Column:
 
 
 def kmer_counts(df: DataFrame, ident: str, sequence: str, k: int) -> DataFrame:
-    """(id, kmer, n) of canonical k-mers (the lesser of a k-mer and its reverse complement); other letters than ACGT break runs. k is 31 at most."""
+    """(id, code, n): canonical k-mers of each sequence as numbers (see kmer_text); windows with other letters than A, C, G, T are left out."""
     letters = np.full(256, -1, np.int64)
     letters[[ord(c) for c in "ACGT"]] = range(4)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, names, counts = [], [], []
+            ids, codes, counts = [], [], []
             for ident_value, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 code = letters[np.frombuffer((text or "").encode("utf-8"), np.uint8)]
                 n = len(code) - k + 1
@@ -106,12 +106,18 @@ def kmer_counts(df: DataFrame, ident: str, sequence: str, k: int) -> DataFrame:
                     back += (3 - code[j : j + n]) << (2 * j)
                 got, times = np.unique(np.minimum(forward, back)[valid], return_counts=True)
                 ids += [ident_value] * len(got)
-                names += ["".join("ACGT"[(int(c) >> (2 * (k - 1 - j))) & 3] for j in range(k)) for c in got]
-                counts += times.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=[ident, "kmer", "n"])
+                codes.append(got)
+                counts.append(times)
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(np.concatenate([none, *codes])), pa.array(np.concatenate([none, *counts]))], names=[ident, "code", "n"])
 
     kind = dict(df.dtypes)[ident]
-    return df.select(ident, sequence).mapInArrow(each, f"`{ident}` {kind}, kmer string, n long")
+    return df.select(ident, sequence).mapInArrow(each, f"`{ident}` {kind}, code long, n long")
+
+
+def kmer_text(code: Column, k: int) -> Column:
+    """The letters of a k-mer from its number, two bits a letter, the first letter highest."""
+    return F.concat(*[F.substring(F.lit("ACGT"), F.shiftright(code, 2 * (k - 1 - j)).bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1)) for j in range(k)])
 
 
 def control_windows(df: DataFrame, ident: str, sequence: str, motif: str, flank: int) -> DataFrame:

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.checkpoints import checkpoint
+from weft.operators.ordered import row_numbers
 
 
 def neighbour_window(df: DataFrame, group: Sequence[str], order: str, reach: int, name: str = "window") -> DataFrame:
-    """The keys of up to `reach` rows on either side, and whether the window is cut off at an end."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(-reach, reach)
-    return df.select("*", F.collect_list(order).over(w).alias(name), (F.count(F.lit(1)).over(w) < 2 * reach + 1).alias("edge"))
+    """The keys of up to `reach` rows on either side, and whether the window is cut off at an end.
+
+    Rows are numbered by ranges and cut into stretches that overlap by `reach`, so that no
+    task holds a whole group. `order` is unique within the group.
+    """
+    k, long = F.col("_k"), max(4096, 4 * reach)
+    numbered = row_numbers(df, list(group), [order], "_k").withColumn("_s", F.explode(F.array_distinct(F.array(F.floor((k - reach) / long), F.floor(k / long), F.floor((k + reach) / long)))))
+    w = Window.partitionBy(*group, "_s").orderBy("_k").rowsBetween(-reach, reach)
+    seen = numbered.select("*", F.collect_list(order).over(w).alias(name), (F.count(F.lit(1)).over(w) < 2 * reach + 1).alias("edge"))
+    return seen.where(F.floor(k / long) == F.col("_s")).drop("_k", "_s")
 
 
 def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
@@ -53,7 +61,10 @@ def with_self(closure: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def shared_jaccard(members: DataFrame, ident: str, item: str, group: Sequence[str] = ()) -> DataFrame:
-    """(group, a, b, jaccard) for a < b whose sets share an item; pairs that share none are not made."""
+    """(group, a, b, jaccard) for a < b whose sets share an item; pairs that share none are not made.
+
+    The result has a row for each such pair, so an item that everyone has makes it quadratic: leave such items out before.
+    """
     m = members.select(*group, ident, item).distinct()
     size = m.groupBy(*group, ident).agg(F.count(F.lit(1)).alias("n"))
     a, b = m.withColumnRenamed(ident, "a"), m.withColumnRenamed(ident, "b")

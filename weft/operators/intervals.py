@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.ordered import running_max_before, running_sums
+
 
 def islands(df: DataFrame, key: Sequence[str], start: str, end: str) -> DataFrame:
-    """(key, start, end) of the union's parts; intervals that touch (start = end + 1) are one."""
-    before = Window.partitionBy(*key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
-    top = df.select(*key, start, end).distinct().withColumn("_m", F.max(end).over(before))
-    numbered = top.withColumn("_i", F.sum(F.when(F.col("_m").isNull() | (F.col(start) > F.col("_m") + 1), 1).otherwise(0)).over(upto))
+    """(key, start, end) of the union's parts; intervals that touch (start = end + 1) are one.
+
+    Orders run over ranges, so a key of any size is shared by many tasks.
+    """
+    top = running_max_before(df.select(*key, start, end).distinct(), list(key), [start, end], end, "_m")
+    numbered = running_sums(top, list(key), [start, end], {"_i": F.when(F.col("_m").isNull() | (F.col(start) > F.col("_m") + 1), 1).otherwise(0)})
     return numbered.groupBy(*key, "_i").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_i")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.ordered import average_ranks, row_numbers, running_sums
+from weft.operators.ordered import average_ranks, met_on, row_numbers, running_sums
 
 
 def _by_score(df: DataFrame, group: Sequence[str], score: str, label: str, weight: Column | None) -> DataFrame:
@@ -52,7 +52,7 @@ def best_mcc_threshold(df: DataFrame, group: Sequence[str], score: str, label: s
     g = _by_score(df, group, score, label, None)
     c = running_sums(g, list(group), [F.desc("score")], {"ctp": "tp", "cn": "n"})
     total = g.groupBy(*group).agg(F.sum("tp").alias("_p"), F.sum("n").alias("_t"))
-    c = c.join(total, list(group)) if group else c.join(F.broadcast(total))
+    c = met_on(c, total, list(group))
     fp = F.col("cn") - F.col("ctp")
     m = _mcc(F.col("ctp"), fp, F.col("_p") - F.col("ctp"), F.col("_t") - F.col("_p") - fp)
     return c.withColumn("mcc", F.round(m, 12)).groupBy(*group).agg(F.max(F.struct("mcc", "score")).alias("b")).select(*group, F.col("b.score").alias("threshold"), "b.mcc")
@@ -69,7 +69,7 @@ def top_k_enrichment(df: DataFrame, group: Sequence[str], score: str, label: str
     """(group, k, enrichment): the share of positives among the k best, k the number of positives, over their share in all; null with one class."""
     size = df.groupBy(*group).agg(F.sum(label).cast("long").alias("k"), F.count(F.lit(1)).alias("n"))
     placed = row_numbers(df, list(group), [F.desc(score), ident], "_place")
-    met = placed.join(size, list(group)) if group else placed.join(F.broadcast(size))
+    met = met_on(placed, size, list(group))
     hit = met.groupBy(*group, "k", "n").agg(F.sum(F.when(F.col("_place") <= F.col("k"), F.col(label)).otherwise(0)).alias("h"))
     return hit.select(*group, "k", F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), (F.col("h") / F.col("k")) / (F.col("k") / F.col("n"))).alias("enrichment"))
 

@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from weft.checkpoints import checkpoint
 
 
+def met_on(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys in which nulls equal each other; the left keys stay."""
+    if not on:  # the right side is one row of totals
+        return left.crossJoin(F.broadcast(right))
+    other = right.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in right.columns if c not in on])
+    same = [left[c].eqNullSafe(other[f"_on_{c}"]) for c in on]
+    return left.join(other, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 def running_sums(df: DataFrame, group: list[str], order: list[Column | str], sums: dict[str, Column | str]) -> DataFrame:
     """df with a column for each of `sums`: its sum over the group's rows up to this one.
 
@@ -41,16 +50,15 @@ def equal_count_bins(df: DataFrame, order: list[Column | str], bins: int, name:
     group = group or []
     n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     numbered = row_numbers(df, group, order, "_rank")
-    met = numbered.join(n, group) if group else numbered.join(F.broadcast(n))
-    return met.select(*df.columns, F.floor((F.col("_rank") - 1) * bins / F.col("_n")).cast("long").alias(name))
+    return met_on(numbered, n, group).select(*df.columns, F.floor((F.col("_rank") - 1) * bins / F.col("_n")).cast("long").alias(name))
 
 
 def average_ranks(df: DataFrame, group: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Rank with ties given their mean rank."""
+    """Rank with ties given their mean rank; a null value has a null rank, rows of a null group rank among each other."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     ends = running_sums(counts, group, [value], {"_end": "_n"})
     ranks = ends.select(*group, value, (F.col("_end") - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(ranks, [*group, value])
+    return met_on(df, ranks, [*group, value], "left")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column | str], n: int, name: str = "place") -> DataFrame:
@@ -76,7 +84,7 @@ def adjusted_p(df: DataFrame, group: list[str], p: str, ident: str, name: str =
     has = df.where(F.col(p).isNotNull())
     n = has.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     ranked = row_numbers(has, group, [p, ident], "_k")
-    raw = (ranked.join(n, group) if group else ranked.join(F.broadcast(n))).withColumn("_raw", F.col(p) * F.col("_n") / F.col("_k"))
+    raw = met_on(ranked, n, group).withColumn("_raw", F.col(p) * F.col("_n") / F.col("_k"))
     ranged = checkpoint(raw.repartitionByRange(*group, "_k").withColumn("_range", F.spark_partition_id()))
     later = Window.partitionBy(*group).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     floor = ranged.groupBy("_range", *group).agg(F.min("_raw").alias("_m")).select("_range", *[F.col(g).alias(f"_g_{g}") for g in group], F.min("_m").over(later).alias("_later"))
@@ -84,3 +92,13 @@ def adjusted_p(df: DataFrame, group: list[str], p: str, ident: str, name: str =
     met = local.join(floor, [local["_range"] == floor["_range"], *[local[g].eqNullSafe(floor[f"_g_{g}"]) for g in group]])
     out = met.select(*[local[c] for c in df.columns], F.least(F.lit(1.0), "_own", F.coalesce("_later", F.lit(1.0))).alias(name))
     return out.unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+
+
+def running_max_before(df: DataFrame, group: list[str], order: list[Column | str], value: str, name: str) -> DataFrame:
+    """df with the largest `value` of the group's earlier rows (null for the first); `order` is unique within the group."""
+    ordering = [F.col(o) if isinstance(o, str) else o for o in order]
+    ranged = checkpoint(df.repartitionByRange(*group, *ordering).withColumn("_range", F.spark_partition_id()))
+    tops = ranged.groupBy("_range", *group).agg(F.max(value).alias("_top"))
+    earlier = tops.withColumn("_earlier", F.max("_top").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    local = ranged.withColumn("_own", F.max(value).over(Window.partitionBy("_range", *group).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)))
+    return met_on(local, earlier, ["_range", *group]).select(*df.columns, F.greatest("_own", "_earlier").alias(name))

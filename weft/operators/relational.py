@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.checkpoints import checkpoint
 from weft.operators.ordered import row_numbers
 
 
@@ -104,23 +106,37 @@ def interval_overlaps(left: DataFrame, right: DataFrame, on: Sequence[str], widt
     return met.where((begins <= F.least("left_end", "right_end")) & (F.floor(begins / width) == F.col("_bin"))).select(*on, "left_id", "right_id")
 
 
-def staged_match(targets: DataFrame, pool: DataFrame, block: Sequence[str], distance: Column, stages: Sequence[float], least: int, most: int, tie: Column) -> DataFrame:
-    """Controls for each target within the first caliper that has `least` of them, the nearest `most` kept.
+def near_values(left: DataFrame, right: DataFrame, block: Sequence[str], x: str, y: str, limit: float) -> DataFrame:
+    """Pairs of the same block with |x - y| <= limit. Values are cut into bins of that width and a left row looks into its own and both next to it, so rows meet by an equality however large the block is."""
+    a = left.withColumn("_bin", F.explode(F.array(*[F.floor(F.col(x) / limit) + k for k in (-1, 0, 1)])))
+    b = right.withColumn("_bin", F.floor(F.col(y) / limit))
+    return a.join(b, [*block, "_bin"]).withColumn("_d", F.abs(F.col(x) - F.col(y))).where(F.col("_d") <= limit).drop("_bin")
 
-    Rows meet on the columns `block` only. `targets` has target_id and `pool`
-    control_id beside what `distance` and `tie` read. Returns target_id, control_id,
-    stage (1 the tightest), pool_size, place.
+
+def staged_match(targets: DataFrame, pool: DataFrame, block: Sequence[str], x: str, y: str, stages: Sequence[float], least: int, most: int, tie: Column) -> DataFrame:
+    """Controls for each target within the first caliper |x - y| that has `least` of them, the nearest `most` kept.
+
+    `targets` has target_id and x, `pool` control_id and y, both the columns `block`; `tie`
+    may read all. A target that one caliper serves does not enter the next, so wide calipers
+    are looked into for the others only. Returns target_id, control_id, stage (1 the
+    tightest), pool_size, place.
     """
-    met = targets.join(pool, list(block)).where(F.col("target_id") != F.col("control_id")).withColumn("_d", distance).where(F.col("_d") <= stages[-1])
-    stage = F
+    found = []
     for k, limit in enumerate(stages, 1):
-        stage = stage.when(F.col("_d") <= limit, F.lit(k))
-    met = met.withColumn("_s", stage.otherwise(None)).withColumn("_tie", tie)
-    sizes = met.groupBy("target_id").agg(*[F.count_if(F.col("_s") <= k).alias(f"_n{k}") for k in range(1, len(stages) + 1)])
-    used, size = F, F
-    for k in range(1, len(stages) + 1):
-        used, size = used.when(F.col(f"_n{k}") >= least, F.lit(k)), size.when(F.col(f"_n{k}") >= least, F.col(f"_n{k}"))
-    chosen = sizes.select("target_id", used.otherwise(None).alias("stage"), size.otherwise(None).alias("pool_size")).where("stage IS NOT NULL")
-    near = met.join(chosen, "target_id").where("_s <= stage").select("target_id", "control_id", "stage", "pool_size", "_d", "_tie")
-    placed = row_numbers(near, ["target_id"], ["_d", "_tie", "control_id"], "place")
-    return placed.where(F.col("place") <= most).drop("_d", "_tie")
+        met = near_values(targets, pool, block, x, y, limit).where(F.col("target_id") != F.col("control_id"))
+        served = checkpoint(met.groupBy("target_id").agg(F.count(F.lit(1)).alias("pool_size")).where(F.col("pool_size") >= least))
+        near = met.join(served, "target_id").select("target_id", "control_id", F.lit(k).alias("stage"), "pool_size", "_d", tie.alias("_tie"))
+        found.append(row_numbers(near, ["target_id"], ["_d", "_tie", "control_id"], "place").where(F.col("place") <= most))
+        targets = targets.join(served, "target_id", "left_anti")
+    return functools.reduce(DataFrame.unionByName, found).drop("_d", "_tie")
+
+
+def nearest(rows: DataFrame, others: DataFrame, block: Sequence[str], ident: str, x: str, other: str, y: str, stages: Sequence[float], allowed: Column) -> DataFrame:
+    """(ident, other, distance): the other row of the block with the least |x - y|, ties by `other`, of those that `allowed` admits; rows without one in the last stage are left out."""
+    found = []
+    for limit in stages:
+        met = near_values(rows, others, block, x, y, limit).where(allowed)
+        best = checkpoint(met.groupBy(ident).agg(F.min(F.struct("_d", other)).alias("_m")).select(ident, f"_m.{other}", F.col("_m._d").alias("distance")))
+        found.append(best)
+        rows = rows.join(best.select(ident), ident, "left_anti")
+    return functools.reduce(DataFrame.unionByName, found)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import prefix32
-from weft.operators.ordered import row_numbers
+from weft.checkpoints import checkpoint
+from weft.operators.ordered import met_on, row_numbers
 
 
 def draws(blocks: DataFrame, block: str, replicates: int, seed: str, strata: Sequence[str] = ()) -> DataFrame:
@@ -23,16 +24,16 @@ def draws(blocks: DataFrame, block: str, replicates: int, seed: str, strata: Seq
     """
     numbered = row_numbers(blocks.select(*strata, block).distinct(), list(strata), [block], "_i").withColumn("_i", F.col("_i") - 1)
     n = numbered.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    sized = numbered.join(n, list(strata)) if strata else numbered.join(F.broadcast(n))
+    sized = met_on(numbered, n, list(strata))
     slots = sized.select(*strata, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     parts = [F.lit(seed), *[F.col(s).cast("string") for s in strata], F.col("replicate").cast("string"), F.col("_i").cast("string")]
     picked = slots.select(*strata, "replicate", (prefix32(*parts) % F.col("_n")).alias("_i")).groupBy(*strata, "replicate", "_i").agg(F.count(F.lit(1)).alias("weight"))
-    return picked.join(numbered, [*strata, "_i"]).select(*strata, "replicate", block, "weight")
+    return met_on(picked, numbered, [*strata, "_i"]).select(*strata, "replicate", block, "weight")
 
 
 def weighted(df: DataFrame, drawn: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows with the replicate and weight of their block."""
-    return df.join(drawn, list(on))
+    return met_on(df, drawn, list(on))
 
 
 def mean_difference_bootstrap(df: DataFrame, block: str, label: str, value: str, replicates: int, seed: str) -> DataFrame:
@@ -65,7 +66,7 @@ def permuted_labels(df: DataFrame, strata: Sequence[str], ident: str, label: str
     each = df.select(*strata, ident, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     keyed = each.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col(ident).cast("string")), 256))
     by_hash = row_numbers(keyed, [*strata, "replicate"], ["_h", ident], "_place")
-    return by_hash.join(by_id, [*strata, "_place"]).select(*strata, "replicate", ident, "permuted")
+    return met_on(by_hash, by_id, [*strata, "_place"]).select(*strata, "replicate", ident, "permuted")
 
 
 def leave_one_out(df: DataFrame, block: str, value: str) -> DataFrame:
@@ -132,27 +133,40 @@ def chosen_labels(df: DataFrame, strata: Sequence[str], ident: str, label: str,
 
 
 def assigned_controls(pools: DataFrame, replicates: int, seed: str) -> DataFrame:
-    """(replicate, target_id, control_id) from pools (target_id, control_id): targets in order take the control of least hash that the replicate has not used, or of least hash if all are used.
+    """(replicate, target_id, control_id) from pools (target_id, control_id): targets in order take the control of least hash that the replicate has not used, or of least hash if all of theirs are used.
 
-    Replicates are independent groups; one holds the pools of the design once.
+    The order of targets is resolved by rounds instead of one after another: each target
+    asks for the first control on its list, a control keeps the first target in order that
+    asks for it, and the others go on to their next. That ends in the same assignment, as
+    an earlier target never loses a control to a later one. A row is a target of a replicate
+    with its list; no group holds more.
     """
-    import hashlib
-
-    import pandas as pd
-
-    kinds = dict(pools.dtypes)
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for target, own in g.sort_values("target_id").groupby("target_id", sort=True):
-            order = sorted(own["control_id"], key=lambda c: (hashlib.sha256(f"{seed}|{key[0]}|{target}|{c}".encode()).hexdigest(), c))
-            pick = next((c for c in order if c not in used), order[0])
-            used.add(pick)
-            out.append((key[0], target, pick))
-        return pd.DataFrame(out, columns=["replicate", "target_id", "control_id"])
-
-    each = pools.select("target_id", "control_id", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    return each.groupBy("replicate").applyInPandas(one, f"replicate int, target_id {kinds['target_id']}, control_id {kinds['control_id']}")
+    listed = pools.distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    keyed = listed.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col("target_id").cast("string"), F.col("control_id").cast("string")), 256))
+    state = checkpoint(keyed.groupBy("replicate", "target_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_h", "control_id"))), lambda x: x.control_id).alias("_list")).withColumn("_at", F.lit(1)))
+    while True:
+        asked = state.withColumn("control_id", F.get("_list", F.col("_at") - 1))
+        held = asked.where("control_id IS NOT NULL").groupBy("replicate", "control_id").agg(F.min("target_id").alias("_by"))
+        met = asked.join(held, ["replicate", "control_id"], "left")
+        state = checkpoint(met.select("replicate", "target_id", "_list", (F.col("_at") + F.when(F.col("_by") != F.col("target_id"), 1).otherwise(0)).alias("_at"), (F.col("_by") != F.col("target_id")).alias("_lost")))
+        if not state.where("_lost").limit(1).count():
+            return state.select("replicate", "target_id", F.coalesce(F.get("_list", F.col("_at") - 1), F.get("_list", F.lit(0))).alias("control_id"))
+        state = state.drop("_lost")
+
+
+def permutation_jackknife(df: DataFrame, block: str, strata: Sequence[str], ident: str, label: str, value: str, replicates: int, seed: str) -> DataFrame:
+    """(left_out, observed, p): with each block left out in turn, labels are permuted within strata and the difference of the two classes' means is compared.
+
+    The place of a row by hash is the same in every subset up to what is left out, so one
+    order of all rows serves, and a subset takes its own places from it.
+    """
+    blocks = df.select(F.col(block).alias("left_out")).distinct()
+    rest = df.select(block, *strata, ident, label, value).join(F.broadcast(blocks), F.col(block) != F.col("left_out"))
+    gap = lambda y: F.avg(F.when(F.col(y) == 1, F.col(value))) - F.avg(F.when(F.col(y) == 0, F.col(value)))
+    observed = rest.groupBy("left_out").agg(gap(label).alias("observed"))
+    drawn = permuted_labels(rest, ["left_out", *strata], ident, label, replicates, seed)
+    null = met_on(drawn, rest.select("left_out", *strata, ident, value), ["left_out", *strata, ident]).groupBy("left_out", "replicate").agg(gap("permuted").alias("_t"))
+    return null.join(observed, "left_out").groupBy("left_out").agg(F.max("observed").alias("observed"), empirical_p(F.col("_t"), F.col("observed")).alias("p"))
 
 
 def leave_one_out_enrichment(df: DataFrame, block: str, term: str, marked: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.ordered import average_ranks, running_sums
+from weft.operators.ordered import average_ranks, met_on, row_numbers, running_sums
 
 
 def _log_choose(n, k):
@@ -176,8 +176,8 @@ def logistic_null(df: DataFrame, label: str, predictors: Sequence[str], ridge: f
         done = np.abs(new - beta).max() < 1e-10
         beta = new
         if done:
-            break
-    return beta.tolist()
+            return beta.tolist()
+    raise ArithmeticError(f"the logistic model did not settle in {steps} steps")
 
 
 def score_tests(rows: DataFrame, features: DataFrame, ident: str, label: str, predictors: Sequence[str], beta: Sequence[float]) -> DataFrame:
@@ -215,41 +215,76 @@ def partial_spearman(df: DataFrame, a: str, b: str, covariates: Sequence[str]) -
 def log_cpm(df: DataFrame, sample: str, count: str) -> DataFrame:
     """Long counts with log2 of counts per million plus one half."""
     size = df.groupBy(sample).agg(F.sum(count).alias("_size"))
-    return df.join(size, sample).withColumn("log_cpm", F.log2(F.col(count) / F.col("_size") * 1e6 + 0.5)).drop("_size")
+    return met_on(df, size, [sample]).withColumn("log_cpm", F.log2(F.col(count) / F.col("_size") * 1e6 + 0.5)).drop("_size")
 
 
 def standardised(df: DataFrame, group: Sequence[str], value: str, name: str = "z") -> DataFrame:
     """(x - mean) / population standard deviation in the group, zero where it is constant."""
     s = df.groupBy(*group).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    met = df.join(s, list(group)) if group else df.join(F.broadcast(s))
-    return met.withColumn(name, F.coalesce(F.try_divide(F.col(value) - F.col("_m"), F.col("_s")), F.lit(0.0))).drop("_m", "_s")
+    return met_on(df, s, list(group)).withColumn(name, F.coalesce(F.try_divide(F.col(value) - F.col("_m"), F.col("_s")), F.lit(0.0))).drop("_m", "_s")
 
 
-def tmm_factors(df: DataFrame, sample: str, gene: str, count: str, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
+def tmm_factors(df: DataFrame, sample: str, gene: str, count: str, trim_m: float = 0.3, trim_a: float = 0.05, least: int = 100) -> DataFrame:
     """(sample, factor): trimmed mean of M-values over long counts, factors with geometric mean 1.
 
-    The reference is the sample whose upper quartile of counts per library size is
-    closest to the mean of all samples'.
+    The reference is the sample whose upper quartile of counts per library size, over all
+    genes of the table (those without a row count zero), is closest to the mean of all
+    samples'. Genes enter where both counts are positive and the variance is. Fails if a
+    library is empty or a sample has fewer than `least` such genes, before or after trimming.
     """
-    df = df.where(F.col(count) > 0).select(F.col(sample).alias("s"), F.col(gene).alias("g"), F.col(count).cast("double").alias("y"))
+    df = df.groupBy(F.col(sample).alias("s"), F.col(gene).alias("g")).agg(F.sum(F.col(count).cast("double")).alias("y"))
     size = df.groupBy("s").agg(F.sum("y").alias("n"))
-    shares = df.join(size, "s").withColumn("p", F.col("y") / F.col("n"))
-    upper = shares.groupBy("s").agg(F.percentile("p", 0.75).alias("u"))
+    genes = df.agg(F.count_distinct("g").alias("genes"))
+    _fail_if(size.where("n <= 0"), "an empty library: sample")
+    shares = met_on(df.where("y > 0"), size, ["s"]).withColumn("p", F.col("y") / F.col("n"))
+    # the quartile's two neighbours by rank: zeros come first, then the positive shares in order
+    placed = row_numbers(shares.select("s", "g", "p"), ["s"], ["p", "g"], "k")
+    found = met_on(placed, placed.groupBy("s").agg(F.count(F.lit(1)).alias("c")), ["s"]).crossJoin(F.broadcast(genes)).withColumn("at", F.col("genes") - F.col("c") + F.col("k") - 1)
+    h = (F.col("genes") - 1) * 0.75
+    side = lambda low: F.coalesce(F.max(F.when(F.col("at") == low, F.col("p"))), F.lit(0.0))
+    upper = found.groupBy("s").agg((side(F.floor(h)) + (F.max(h) - F.floor(F.max(h))) * (side(F.floor(h) + 1) - side(F.floor(h)))).alias("u"))
     ref = upper.join(F.broadcast(upper.agg(F.avg("u").alias("mean")))).orderBy(F.abs(F.col("u") - F.col("mean")), "s").limit(1).select("s")
     base = shares.join(F.broadcast(ref), "s").select("g", F.col("y").alias("yr"), F.col("n").alias("nr"), F.col("p").alias("pr"))
-    ma = shares.join(base, "g").select("s", "g", F.log2(F.col("p") / F.col("pr")).alias("m"), ((F.log2("p") + F.log2("pr")) / 2).alias("a"), ((F.col("n") - F.col("y")) / F.col("n") / F.col("y") + (F.col("nr") - F.col("yr")) / F.col("nr") / F.col("yr")).alias("v"))
+    ma = shares.join(F.broadcast(ref), "s", "left_anti").join(base, "g").select("s", "g", F.log2(F.col("p") / F.col("pr")).alias("m"), ((F.log2("p") + F.log2("pr")) / 2).alias("a"), ((F.col("n") - F.col("y")) / F.col("n") / F.col("y") + (F.col("nr") - F.col("yr")) / F.col("nr") / F.col("yr")).alias("v")).where("v > 0")
     k = ma.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
-    ranked = average_ranks(average_ranks(ma, ["s"], "m", "rm"), ["s"], "a", "ra").join(k, "s")
+    ranked = met_on(average_ranks(average_ranks(ma, ["s"], "m", "rm"), ["s"], "a", "ra"), k, ["s"])
 
     def within(r: str, trim: float) -> Column:
         low = F.floor(F.col("k") * trim) + 1
         return F.col(r).between(low, F.col("k") + 1 - low)
 
-    kept = ranked.where(within("rm", trim_m) & within("ra", trim_a))
-    raw = ma.select("s").distinct().join(kept.groupBy("s").agg(F.try_divide(F.sum(F.col("m") / F.col("v")), F.sum(1 / F.col("v"))).alias("f")), "s", "left").select("s", F.coalesce("f", F.lit(0.0)).alias("f"))
+    kept = ranked.where(within("rm", trim_m) & within("ra", trim_a)).groupBy("s").agg((F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v"))).alias("f"), F.count(F.lit(1)).alias("kept"))
+    others = size.select("s").join(F.broadcast(ref), "s", "left_anti").join(k, "s", "left").join(kept, "s", "left")
+    _fail_if(others.where(F.least(F.coalesce("k", F.lit(0)), F.coalesce("kept", F.lit(0))) < least), f"fewer than {least} genes: sample")
+    raw = others.select("s", "f").union(ref.select("s", F.lit(0.0)))
     return raw.join(F.broadcast(raw.agg(F.avg("f").alias("mean")))).select(F.col("s").alias(sample), F.pow(F.lit(2.0), F.col("f") - F.col("mean")).alias("factor"))
 
 
+def _fail_if(rows: DataFrame, what: str) -> None:
+    bad = rows.limit(1).collect()
+    if bad:
+        raise ValueError(f"{what} {bad[0][0]}")
+
+
+def oriented_response(df: DataFrame, category: str, value: str) -> DataFrame:
+    """df with `oriented`: the value of positive_up, minus that of positive_down, and for all others the value times the mixture (up - down) / (up + down). Fails without a positive row."""
+    up, down = F.count_if(F.col(category) == "positive_up"), F.count_if(F.col(category) == "positive_down")
+    n = df.agg(up.alias("_up"), down.alias("_down"))
+    _fail_if(n.where("_up + _down = 0"), "no positive row among")
+    mixture = (F.col("_up") - F.col("_down")) / (F.col("_up") + F.col("_down"))
+    side = F.when(F.col(category) == "positive_up", 1.0).when(F.col(category) == "positive_down", -1.0).otherwise(mixture)
+    return df.crossJoin(F.broadcast(n)).withColumn("oriented", side * F.col(value)).drop("_up", "_down")
+
+
+def oriented_difference(df: DataFrame, group: Sequence[str], category: str, value: str) -> DataFrame:
+    """(group, statistic): mean of positives along their direction less the mixture of directions times the mean of negatives; null without either."""
+    c, x = F.col(category), F.col(value)
+    up, down, negative = (c == k for k in ("positive_up", "positive_down", "negative"))
+    g = df.groupBy(*group).agg(F.count_if(up).alias("_u"), F.count_if(down).alias("_d"), F.coalesce(F.sum(F.when(up, x)), F.lit(0.0)).alias("_su"), F.coalesce(F.sum(F.when(down, x)), F.lit(0.0)).alias("_sd"), F.avg(F.when(negative, x)).alias("_m"))
+    n = F.col("_u") + F.col("_d")
+    return g.select(*group, (F.try_divide(F.col("_su") - F.col("_sd"), n) - F.try_divide(F.col("_u") - F.col("_d"), n) * F.col("_m")).alias("statistic"))
+
+
 def size_factors(df: DataFrame, sample: str, gene: str, count: str) -> DataFrame:
     """(sample, factor): median ratio to the geometric mean over genes that every sample has."""
     n = df.select(sample).distinct().agg(F.count(F.lit(1)).alias("_k"))
@@ -259,7 +294,7 @@ def size_factors(df: DataFrame, sample: str, gene: str, count: str) -> DataFrame
 
 def balanced_weights(df: DataFrame, cells: Sequence[str], per_cell: float) -> DataFrame:
     n = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
-    return df.join(n, list(cells)).withColumn("weight", per_cell / F.col("_n")).drop("_n")
+    return met_on(df, n, list(cells)).withColumn("weight", per_cell / F.col("_n")).drop("_n")
 
 
 def log_factorials(df: DataFrame, n: int) -> DataFrame:

@@ -14,6 +14,8 @@ def _r(c, n=8):
     return F.round(c, n).alias(c)
 
 
+#: Draws of a bootstrap, permutations of a test, shuffles of a signature's labels.
+DRAWS, PERMUTATIONS, SHUFFLES = 2000, 10_000, 100
 _H = "('0x' || substr(sha256({}), 1, 8))::BIGINT"
 
 
@@ -34,63 +36,63 @@ _B = _S.replace("SELECT doc_id, lang,", "SELECT doc_id, doc_id // 10 AS block, s
 
 @query(
     "r1_block_bootstrap",
-    _B + ", " + _draws("block", "s", "r1", 20) + """, g AS (SELECT rep, p, sum(weight * y)::DOUBLE AS tp, sum(weight)::DOUBLE AS n FROM s JOIN w USING (block) GROUP BY ALL),
+    _B + ", " + _draws("block", "s", "r1", DRAWS) + """, g AS (SELECT rep, p, sum(weight * y)::DOUBLE AS tp, sum(weight)::DOUBLE AS n FROM s JOIN w USING (block) GROUP BY ALL),
 c AS (SELECT *, sum(tp) OVER o AS ctp, sum(n) OVER o AS cn, sum(tp) OVER (PARTITION BY rep) AS t FROM g WINDOW o AS (PARTITION BY rep ORDER BY p DESC)) SELECT rep AS replicate, round(sum(tp / t * ctp / cn), 8) + 0.0 AS auprc FROM c GROUP BY rep""",
 )
 def _(spark, d):
     s = scored(spark, d).withColumn("block", F.floor(F.col("doc_id") / 10))
-    w = resampling.weighted(s, resampling.draws(s, "block", 20, "r1"), ["block"])
+    w = resampling.weighted(s, resampling.draws(s, "block", DRAWS, "r1"), ["block"])
     return metrics.average_precision(w, ["replicate"], "p", "y", F.col("weight")).select(F.col("replicate").cast("long").alias("replicate"), _r("auprc"))
 
 
 @query(
     "r2_label_stratified_bootstrap",
-    _B + ", " + _draws("doc_id", "s", "r2", 20, ["y"]) + " SELECT rep AS replicate, sum(weight)::BIGINT AS n, round(sum(weight * y * p) / sum(weight * y) - sum(weight * (1 - y) * p) / sum(weight * (1 - y)), 8) + 0.0 AS gap FROM s JOIN w USING (y, doc_id) GROUP BY rep",
+    _B + ", " + _draws("doc_id", "s", "r2", DRAWS, ["y"]) + " SELECT rep AS replicate, sum(weight)::BIGINT AS n, round(sum(weight * y * p) / sum(weight * y) - sum(weight * (1 - y) * p) / sum(weight * (1 - y)), 8) + 0.0 AS gap FROM s JOIN w USING (y, doc_id) GROUP BY rep",
 )
 def _(spark, d):
     s = scored(spark, d)
-    w = resampling.weighted(s, resampling.draws(s, "doc_id", 20, "r2", ["y"]), ["y", "doc_id"])
+    w = resampling.weighted(s, resampling.draws(s, "doc_id", DRAWS, "r2", ["y"]), ["y", "doc_id"])
     k, y, p = F.col("weight"), F.col("y"), F.col("p")
     return w.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.sum(k).alias("n"), F.round(F.sum(k * y * p) / F.sum(k * y) - F.sum(k * (1 - y) * p) / F.sum(k * (1 - y)), 8).alias("gap"))
 
 
 @query(
     "r3_block_mean_difference",
-    _B + ", " + _draws("source", "s", "r3", 50) + " SELECT rep AS replicate, round(sum(weight * y * p) / sum(weight * y) - sum(weight * (1 - y) * p) / sum(weight * (1 - y)), 8) + 0.0 AS difference FROM s JOIN w USING (source) GROUP BY rep HAVING sum(weight * y) > 0 AND sum(weight * (1 - y)) > 0",
+    _B + ", " + _draws("source", "s", "r3", DRAWS) + " SELECT rep AS replicate, round(sum(weight * y * p) / sum(weight * y) - sum(weight * (1 - y) * p) / sum(weight * (1 - y)), 8) + 0.0 AS difference FROM s JOIN w USING (source) GROUP BY rep HAVING sum(weight * y) > 0 AND sum(weight * (1 - y)) > 0",
 )
 def _(spark, d):
     s = scored(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return resampling.mean_difference_bootstrap(s, "source", "y", "p", 50, "r3").select(F.col("replicate").cast("long").alias("replicate"), _r("difference"))
+    return resampling.mean_difference_bootstrap(s, "source", "y", "p", DRAWS, "r3").select(F.col("replicate").cast("long").alias("replicate"), _r("difference"))
 
 
-@query("r5_cell_bootstrap", "WITH s AS (SELECT n_name AS cell, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), " + _draws("cell", "s", "r5", 100) + ", m AS (SELECT rep, sum(weight * v) / sum(weight) AS m FROM s JOIN w USING (cell) GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.5), 6) + 0.0 AS median, round(quantile_cont(m, 0.975), 6) + 0.0 AS high, round(avg((m > 4500)::INT), 6) + 0.0 AS above FROM m")
+@query("r5_cell_bootstrap", "WITH s AS (SELECT n_name AS cell, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), " + _draws("cell", "s", "r5", DRAWS) + ", m AS (SELECT rep, sum(weight * v) / sum(weight) AS m FROM s JOIN w USING (cell) GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.5), 6) + 0.0 AS median, round(quantile_cont(m, 0.975), 6) + 0.0 AS high, round(avg((m > 4500)::INT), 6) + 0.0 AS above FROM m")
 def _(spark, d):
     s = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("cell")).agg(F.avg("c_acctbal").alias("v"))
-    m = resampling.mean_bootstrap(s, "cell", "v", 100, "r5")
+    m = resampling.mean_bootstrap(s, "cell", "v", DRAWS, "r5")
     return m.agg(*[F.round(F.percentile("mean", q), 6).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))], F.round(F.avg((F.col("mean") > 4500).cast("int")), 6).alias("above"))
 
 
 @query(
     "r6_hierarchical_median",
     "WITH s AS (SELECT c_nationkey AS g, c_custkey AS id, c_acctbal AS v FROM customer), "
-    + _draws("g", "s", "r6:groups", 10).replace("u AS", "ug AS").replace("FROM u,", "FROM ug,").replace("u ON", "ug u ON").replace("x AS", "xg AS").replace("FROM x ", "FROM xg x ").replace("w AS", "wg AS", 1)
-    + ", " + _draws("id", "s", "r6:rows", 10, ["g"]) + ", z AS (SELECT w.rep, s.v, unnest(range(0, w.weight * wg.weight)) AS k FROM s JOIN w USING (g, id) JOIN wg ON wg.g = s.g AND wg.rep = w.rep) SELECT rep AS replicate, round(quantile_cont(v, 0.5), 6) + 0.0 AS median FROM z GROUP BY rep",
+    + _draws("g", "s", "r6:groups", DRAWS).replace("u AS", "ug AS").replace("FROM u,", "FROM ug,").replace("u ON", "ug u ON").replace("x AS", "xg AS").replace("FROM x ", "FROM xg x ").replace("w AS", "wg AS", 1)
+    + ", " + _draws("id", "s", "r6:rows", DRAWS, ["g"]) + ", z AS (SELECT w.rep, s.v, unnest(range(0, w.weight * wg.weight)) AS k FROM s JOIN w USING (g, id) JOIN wg ON wg.g = s.g AND wg.rep = w.rep) SELECT rep AS replicate, round(quantile_cont(v, 0.5), 6) + 0.0 AS median FROM z GROUP BY rep",
 )
 def _(spark, d):
     s = table(spark, d, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
-    return resampling.hierarchical_median(s, "g", "id", "v", 10, "r6").select(F.col("replicate").cast("long").alias("replicate"), _r("median", 6))
+    return resampling.hierarchical_median(s, "g", "id", "v", DRAWS, "r6").select(F.col("replicate").cast("long").alias("replicate"), _r("median", 6))
 
 
 @query(
     "r8_stratified_permutation",
-    _B + """, a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM s), b AS (SELECT source, doc_id, p, rep, row_number() OVER (PARTITION BY source, rep ORDER BY sha256('r8|' || rep || '|' || doc_id), doc_id) AS i FROM s, range(1, 21) t(rep)),
+    _B + f""", a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM s), b AS (SELECT source, doc_id, p, rep, row_number() OVER (PARTITION BY source, rep ORDER BY sha256('r8|' || rep || '|' || doc_id), doc_id) AS i FROM s, range(1, {PERMUTATIONS + 1}) t(rep)),
 m AS (SELECT rep, avg(b.p) FILTER (WHERE a.y = 1) - avg(b.p) FILTER (WHERE a.y = 0) AS t FROM b JOIN a USING (source, i) GROUP BY rep), o AS (SELECT avg(p) FILTER (WHERE y = 1) - avg(p) FILTER (WHERE y = 0) AS t FROM s)
 SELECT count(*) AS replicates, round(avg(m.t), 8) + 0.0 AS null_mean, round(max(o.t), 8) + 0.0 AS observed, round((1 + count(*) FILTER (WHERE m.t >= o.t)) / (1 + count(*)), 8) + 0.0 AS p FROM m, o""",
 )
 def _(spark, d):
     s = scored(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     gap = lambda y: F.avg(F.when(F.col(y) == 1, F.col("p"))) - F.avg(F.when(F.col(y) == 0, F.col("p")))
-    null = resampling.permuted_labels(s, ["source"], "doc_id", "y", 20, "r8").join(s.select("doc_id", "p"), "doc_id").groupBy("replicate").agg(gap("permuted").alias("t"))
+    null = resampling.permuted_labels(s, ["source"], "doc_id", "y", PERMUTATIONS, "r8").join(s.select("doc_id", "p"), "doc_id").groupBy("replicate").agg(gap("permuted").alias("t"))
     both = null.join(F.broadcast(s.agg(gap("y").alias("o"))))
     return both.agg(F.count(F.lit(1)).alias("replicates"), F.round(F.avg("t"), 8).alias("null_mean"), F.round(F.max("o"), 8).alias("observed"), F.round(resampling.empirical_p(F.col("t"), F.col("o")), 8).alias("p"))
 
@@ -241,7 +243,7 @@ def _(spark, d):
 
 @query("t17_tmm_factors")
 def _(spark, d):
-    c = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 200).alias("g")).agg(F.sum("l_quantity").alias("y"))
+    c = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("s"), F.col("l_orderkey").alias("g"), F.col("l_quantity").alias("y"))
     return statistics.tmm_factors(c, "s", "g", "y").select("s", _r("factor", 8))
 
 

@@ -84,7 +84,7 @@ def _(spark, d):
     s = table(spark, d, "supplier")
     t = s.where("s_acctbal > 8000").select(F.col("s_suppkey").alias("target_id"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("x"))
     p = s.where("s_acctbal <= 8000").select(F.col("s_suppkey").alias("control_id"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("y"))
-    return relational.staged_match(t, p, ["k"], F.abs(F.col("x") - F.col("y")), [1000, 3000, 12000], 2, 3, F.col("control_id")).select("target_id", "control_id", "stage")
+    return relational.staged_match(t, p, ["k"], "x", "y", [1000, 3000, 12000], 2, 3, F.col("control_id")).select("target_id", "control_id", "stage")
 
 
 @query("j20_bridge_rates", "WITH x AS (SELECT o_orderkey, c_custkey, s_suppkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN supplier ON s_suppkey = c_custkey) SELECT count(*) AS n, round(avg((c_custkey IS NOT NULL)::INT), 8) + 0.0 AS first, round(avg((s_suppkey IS NOT NULL)::INT), 8) + 0.0 AS second FROM x")

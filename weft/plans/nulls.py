@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import sequence as seq
-from weft.operators import graph, ordered, resampling, statistics
-from weft.plans.inference import _B, _draws
+from weft.operators import graph, ordered, resampling, statistics, vectors
+from weft.plans.inference import _B, DRAWS, PERMUTATIONS, SHUFFLES, _draws
 from weft.plans.metrics import scored
 from weft.plans.registry import query, table
 from weft.plans.sequence import _D, dna
@@ -14,50 +14,51 @@ from weft.plans.sequence import _D, dna
 
 @query(
     "r4_bootstrap_partial_spearman",
-    "WITH s AS (SELECT c_custkey AS id, c_nationkey AS block, c_acctbal AS a, length(c_name) + c_custkey % 13 AS b, c_custkey % 7 AS c FROM customer), " + _draws("block", "s", "r4", 10) + """, z AS (SELECT rep, a, b, c, unnest(range(0, weight)) AS k FROM s JOIN w USING (block)),
+    "WITH s AS (SELECT c_custkey AS id, c_nationkey AS block, c_acctbal AS a, length(c_name) + c_custkey % 13 AS b, c_custkey % 7 AS c FROM customer), " + _draws("block", "s", "r4", DRAWS) + """, z AS (SELECT rep, a, b, c, unnest(range(0, weight)) AS k FROM s JOIN w USING (block)),
 r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY a) + (count(*) OVER (PARTITION BY rep, a) - 1) / 2 AS a, rank() OVER (PARTITION BY rep ORDER BY b) + (count(*) OVER (PARTITION BY rep, b) - 1) / 2 AS b, rank() OVER (PARTITION BY rep ORDER BY c) + (count(*) OVER (PARTITION BY rep, c) - 1) / 2 AS c FROM z),
 m AS (SELECT rep, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM r GROUP BY rep) SELECT rep AS replicate, round((ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)), 7) + 0.0 AS partial FROM m""",
 )
 def _(spark, d):
     k = F.col("c_custkey")
     s = table(spark, d, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_acctbal").alias("a"), (F.length("c_name") + k % 13).alias("b"), (k % 7).alias("c"))
-    w = resampling.weighted(s, resampling.draws(s, "block", 10, "r4"), ["block"])
+    w = resampling.weighted(s, resampling.draws(s, "block", DRAWS, "r4"), ["block"])
     m = resampling.weighted_spearman_matrix(w, ["replicate"], ["a", "b", "c"], "weight")
     return m.select(F.col("replicate").cast("long").alias("replicate"), F.round(resampling.partial_of_three(F.col("r_a_b"), F.col("r_a_c"), F.col("r_b_c")), 7).alias("partial"))
 
 
-@query("r7_category_bootstrap", _B + ", " + _draws("doc_id", "s", "r7", 15, ["lang"]) + " SELECT rep AS replicate, round(sum(weight * y) / sum(weight), 8) + 0.0 AS proportion FROM s JOIN w USING (lang, doc_id) GROUP BY rep")
+@query("r7_category_bootstrap", _B + ", " + _draws("doc_id", "s", "r7", DRAWS, ["lang"]) + " SELECT rep AS replicate, round(sum(weight * y) / sum(weight), 8) + 0.0 AS proportion FROM s JOIN w USING (lang, doc_id) GROUP BY rep")
 def _(spark, d):
     s = scored(spark, d)
-    w = resampling.weighted(s, resampling.draws(s, "doc_id", 15, "r7", ["lang"]), ["lang", "doc_id"])
+    w = resampling.weighted(s, resampling.draws(s, "doc_id", DRAWS, "r7", ["lang"]), ["lang", "doc_id"])
     return w.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.round(F.sum(F.col("weight") * F.col("y")) / F.sum("weight"), 8).alias("proportion"))
 
 
 @query(
     "r9_term_permutation",
-    """WITH s AS (SELECT p_partkey AS id, p_brand AS g, p_type AS term, (p_size <= 15)::INT AS y FROM part), a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) AS i FROM s),
-b AS (SELECT g, term, rep, row_number() OVER (PARTITION BY g, rep ORDER BY sha256('r9|' || rep || '|' || id), id) AS i FROM s, range(1, 11) t(rep)),
+    f"""WITH s AS (SELECT s_suppkey AS id, s_nationkey // 5 AS g, s_nationkey AS term, (s_acctbal > 5000)::INT AS y FROM supplier), a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) AS i FROM s),
+b AS (SELECT g, term, rep, row_number() OVER (PARTITION BY g, rep ORDER BY sha256('r9|' || rep || '|' || id), id) AS i FROM s, range(1, {PERMUTATIONS + 1}) t(rep)),
 n AS (SELECT rep, b.term, sum(a.y) AS k, count(*) AS drawn FROM b JOIN a USING (g, i) GROUP BY ALL) SELECT rep AS replicate, round(max(k / drawn), 8) + 0.0 AS top, max(k)::BIGINT AS most FROM n GROUP BY rep""",
 )
 def _(spark, d):
-    s = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("g"), F.col("p_type").alias("term"), (F.col("p_size") <= 15).cast("int").alias("y"))
-    null = resampling.permuted_labels(s, ["g"], "id", "y", 10, "r9").join(s.select("id", "term"), "id").groupBy("replicate", "term").agg(F.sum("permuted").alias("k"), F.count(F.lit(1)).alias("drawn"))
+    k = F.col("s_nationkey")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(k / 5).alias("g"), k.alias("term"), (F.col("s_acctbal") > 5000).cast("int").alias("y"))
+    null = resampling.permuted_labels(s, ["g"], "id", "y", PERMUTATIONS, "r9").join(s.select("id", "term"), "id").groupBy("replicate", "term").agg(F.sum("permuted").alias("k"), F.count(F.lit(1)).alias("drawn"))
     return null.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.round(F.max(F.col("k") / F.col("drawn")), 8).alias("top"), F.max("k").alias("most"))
 
 
-@query("r10_label_shuffle", _B + ", a AS (SELECT y, row_number() OVER (ORDER BY doc_id) AS i FROM s), b AS (SELECT p, rep, row_number() OVER (PARTITION BY rep ORDER BY sha256('r10|' || rep || '|' || doc_id), doc_id) AS i FROM s, range(1, 11) t(rep)) SELECT rep AS replicate, round(corr(a.y, b.p), 8) + 0.0 AS r FROM b JOIN a USING (i) GROUP BY rep")
+@query("r10_label_shuffle", _B + f", a AS (SELECT y, row_number() OVER (ORDER BY doc_id) AS i FROM s), b AS (SELECT p, rep, row_number() OVER (PARTITION BY rep ORDER BY sha256('r10|' || rep || '|' || doc_id), doc_id) AS i FROM s, range(1, {SHUFFLES + 1}) t(rep)) SELECT rep AS replicate, round(corr(a.y, b.p), 8) + 0.0 AS r FROM b JOIN a USING (i) GROUP BY rep")
 def _(spark, d):
     s = scored(spark, d)
-    return resampling.permuted_labels(s, [], "doc_id", "y", 10, "r10").join(s.select("doc_id", "p"), "doc_id").groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.round(F.corr("permuted", "p"), 8).alias("r"))
+    return resampling.permuted_labels(s, [], "doc_id", "y", SHUFFLES, "r10").join(s.select("doc_id", "p"), "doc_id").groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.round(F.corr("permuted", "p"), 8).alias("r"))
 
 
 @query(
     "r12_fixed_count_labels",
-    "WITH s AS (SELECT s_suppkey AS id, s_nationkey AS g, (s_acctbal > 5000)::INT AS y FROM supplier), k AS (SELECT g, sum(y) AS k FROM s GROUP BY g), c AS (SELECT g, id, rep, row_number() OVER (PARTITION BY g, rep ORDER BY sha256('r12|' || rep || '|' || id), id) AS i FROM s, range(1, 21) t(rep)) SELECT rep AS replicate, count(*) AS chosen, sum(id)::BIGINT AS ids FROM c JOIN k USING (g) WHERE i <= k GROUP BY rep",
+    f"WITH s AS (SELECT s_suppkey AS id, s_nationkey AS g, (s_acctbal > 5000)::INT AS y FROM supplier), k AS (SELECT g, sum(y) AS k FROM s GROUP BY g), c AS (SELECT g, id, rep, row_number() OVER (PARTITION BY g, rep ORDER BY sha256('r12|' || rep || '|' || id), id) AS i FROM s, range(1, {PERMUTATIONS + 1}) t(rep)) SELECT rep AS replicate, count(*) AS chosen, sum(id)::BIGINT AS ids FROM c JOIN k USING (g) WHERE i <= k GROUP BY rep",
 )
 def _(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("g"), (F.col("s_acctbal") > 5000).cast("int").alias("y"))
-    return resampling.chosen_labels(s, ["g"], "id", "y", 20, "r12").groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.count(F.lit(1)).alias("chosen"), F.sum("id").alias("ids"))
+    return resampling.chosen_labels(s, ["g"], "id", "y", PERMUTATIONS, "r12").groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.count(F.lit(1)).alias("chosen"), F.sum("id").alias("ids"))
 
 
 @query(
@@ -75,18 +76,17 @@ def _(spark, d):
 
 @query("r11_assigned_controls")
 def _(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal > 8000").select(F.col("c_custkey").alias("control_id"), F.col("c_nationkey").alias("k"))
-    t = table(spark, d, "supplier").where("s_acctbal > 8000").select(F.col("s_suppkey").alias("target_id"), F.col("s_nationkey").alias("k"))
-    return resampling.assigned_controls(t.join(c, "k"), 20, "r11")
-
-
-_F = "substr(s, i, 6)"
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("control_id"), F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 8).alias("m"))
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target_id"), F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 8).alias("m"))
+    return resampling.assigned_controls(t.join(c, ["k", "m"]).select("target_id", "control_id"), SHUFFLES, "r11")
 
 
 @query(
     "c10_control_windows",
-    _D + f""", p AS (SELECT doc_id, s, list_filter(range(1, greatest(length(s) - 5, 0) + 1), lambda i: {_F} = 'CACGTG') AS sites, unnest(range(1, greatest(length(s) - 5, 0) + 1)) AS i FROM d)
-SELECT doc_id, i AS start1 FROM p WHERE regexp_matches({_F}, '^[ACGT]{{6}}$') AND length({_F}) - length(translate({_F}, 'GC', '')) = 4 AND len(list_filter(sites, lambda x: i < x + 6 + 10 AND x < i + 6 + 10)) = 0""",
+    _D + """, c AS (SELECT doc_id, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) AS i FROM d WHERE length(s) >= 6),
+w AS (SELECT doc_id, i, string_agg(c, '') OVER six AS word, count(*) FILTER (WHERE c IN ('G', 'C')) OVER six AS gc, count(*) FILTER (WHERE c <> 'N') OVER six AS letters FROM c WINDOW six AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+n AS (SELECT *, count(*) FILTER (WHERE word = 'CACGTG') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS near FROM w)
+SELECT doc_id, i AS start1 FROM n WHERE letters = 6 AND gc = 4 AND near = 0""",
 )
 def _(spark, d):
     return seq.control_windows(dna(spark, d), "doc_id", "s", "CACGTG", 10)
@@ -120,3 +120,41 @@ def _(spark, d):
     lengths = leaf.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"), F.lit(0.0).alias("length")).union(two.select("node", "up", F.lit(1), "w")).union(two.select("node", "top", F.lit(2), F.col("w") + F.col("v")))
     pairs = s.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
     return graph.patristic(lengths, pairs).select("a", "b", "distance")
+
+
+@query(
+    "r15_permutation_jackknife",
+    f"""WITH s AS (SELECT s_suppkey AS id, s_nationkey % 5 AS block, s_acctbal AS x, (s_suppkey % 3 = 0)::INT AS y FROM supplier), l AS (SELECT DISTINCT block AS left_out FROM s), t AS (SELECT left_out, id, x, y FROM l JOIN s ON block <> left_out),
+a AS (SELECT left_out, y, row_number() OVER (PARTITION BY left_out ORDER BY id) AS i FROM t), b AS (SELECT left_out, x, rep, row_number() OVER (PARTITION BY left_out, rep ORDER BY sha256('r15|' || rep || '|' || id), id) AS i FROM t, range(1, 1001) u(rep)),
+n AS (SELECT left_out, rep, avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0) AS t FROM b JOIN a USING (left_out, i) GROUP BY ALL), o AS (SELECT left_out, avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0) AS observed FROM t GROUP BY 1)
+SELECT left_out, round(max(observed), 6) + 0.0 AS observed, round((1 + count(*) FILTER (WHERE t >= observed)) / (1 + count(t)), 8) + 0.0 AS p FROM n JOIN o USING (left_out) GROUP BY 1""",
+)
+def _(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("block"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") % 3 == 0).cast("int").alias("y"))
+    return resampling.permutation_jackknife(s, "block", [], "id", "y", "x", 1000, "r15").select("left_out", F.round("observed", 6).alias("observed"), F.round("p", 8).alias("p"))
+
+
+_CAT = "WITH s AS (SELECT p_partkey AS id, p_brand AS g, CASE p_size % 4 WHEN 0 THEN 'positive_up' WHEN 1 THEN 'positive_down' ELSE 'negative' END AS c, p_retailprice AS x FROM part WHERE p_size % 7 <> 0)"
+
+
+def _categories(spark, d):
+    k = F.col("p_size") % 4
+    return table(spark, d, "part").where("p_size % 7 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("g"), F.when(k == 0, "positive_up").when(k == 1, "positive_down").otherwise("negative").alias("c"), F.col("p_retailprice").alias("x"))
+
+
+@query("t14_oriented_response", _CAT + ", m AS (SELECT (count(*) FILTER (WHERE c = 'positive_up') - count(*) FILTER (WHERE c = 'positive_down')) / count(*) FILTER (WHERE c <> 'negative') AS m FROM s) SELECT id, round(x * CASE c WHEN 'positive_up' THEN 1 WHEN 'positive_down' THEN -1 ELSE m END, 6) + 0.0 AS oriented FROM s, m")
+def _(spark, d):
+    return statistics.oriented_response(_categories(spark, d), "c", "x").select("id", F.round("oriented", 6).alias("oriented"))
+
+
+@query("t14_oriented_difference", _CAT + ", m AS (SELECT g, count(*) FILTER (WHERE c = 'positive_up') AS u, count(*) FILTER (WHERE c = 'positive_down') AS v, coalesce(sum(x) FILTER (WHERE c = 'positive_up'), 0) AS su, coalesce(sum(x) FILTER (WHERE c = 'positive_down'), 0) AS sv, avg(x) FILTER (WHERE c = 'negative') AS n FROM s GROUP BY g) SELECT g, round((su - sv) / nullif(u + v, 0) - (u - v) / nullif(u + v, 0) * n, 6) + 0.0 AS statistic FROM m")
+def _(spark, d):
+    return statistics.oriented_difference(_categories(spark, d), ["g"], "c", "x").select("g", F.round("statistic", 6).alias("statistic"))
+
+
+@query("v5_nearest_arm", "WITH c AS (SELECT label % 4 AS arm, avg(vec_id) AS cka, FROM embeddings GROUP BY 1), x AS (SELECT a.label % 4 AS arm, 1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), m AS (SELECT arm, quantile_cont(d, 0.5) AS m FROM x GROUP BY 1) SELECT (SELECT arg_min(arm, (-cka, arm)) FROM c)::BIGINT AS by_cka, (SELECT arg_min(arm, (m, arm)) FROM m)::BIGINT AS by_cosine, (SELECT arg_min(arm, (-cka, arm)) FROM c) = (SELECT arg_min(arm, (m, arm)) FROM m) AS concordant")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 4).cast("long").alias("arm"), "embedding")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y"))
+    distances = e.join(b, "vec_id").select("arm", vectors.cosine_distance(F.col("embedding"), F.col("y")).alias("distance"))
+    return vectors.nearest_arm(e.groupBy("arm").agg(F.avg("vec_id").alias("cka")), distances, "arm")

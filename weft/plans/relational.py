@@ -153,7 +153,7 @@ def _(spark, d):
     t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target_id"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("x"))
     p = table(spark, d, "customer").select(F.col("c_custkey").alias("control_id"), F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("y"))
     tie = F.sha2(F.concat_ws("|", F.col("target_id").cast("string"), F.col("control_id").cast("string")), 256)
-    return relational.staged_match(t, p, ["k"], F.abs(F.col("x") - F.col("y")), [200, 1000, 20000], 5, 8, tie)
+    return relational.staged_match(t, p, ["k"], "x", "y", [200, 1000, 20000], 5, 8, tie)
 
 
 @query(
@@ -164,8 +164,8 @@ SELECT s_suppkey, arg_min(other, (d, other)) AS nearest, round(min(d), 6) + 0.0
 def _(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_acctbal", "n_nationkey", "n_regionkey")
     o = s.select(F.col("s_suppkey").alias("other"), F.col("s_acctbal").alias("y"), F.col("n_nationkey").alias("k"), "n_regionkey")
-    met = s.join(o, "n_regionkey").where("n_nationkey <> k").withColumn("dist", F.abs(F.col("s_acctbal") - F.col("y")))
-    return ordered.least_row(met, ["s_suppkey"], F.struct("dist", "other"), "other", "dist").select("s_suppkey", F.col("other").alias("nearest"), F.round("dist", 6).alias("distance"))
+    near = relational.nearest(s, o, ["n_regionkey"], "s_suppkey", "s_acctbal", "other", "y", [20, 200, 2000, 20000], F.col("n_nationkey") != F.col("k"))
+    return near.select("s_suppkey", F.col("other").alias("nearest"), F.round("distance", 6).alias("distance"))
 
 
 @query(

@@ -70,13 +70,13 @@ v AS (SELECT doc_id, source, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS
 def _(spark, d):
     from pyspark.sql import Window
 
-    c = seq.kmer_counts(dna(spark, d).select("source", "s"), "source", "s", 4).groupBy("source", "kmer").agg(F.sum("n").alias("n"))
-    return c.select("source", "kmer", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 9).alias("frequency"))
+    c = seq.kmer_counts(dna(spark, d).select("source", "s"), "source", "s", 4).groupBy("source", "code").agg(F.sum("n").alias("n"))
+    return c.select("source", seq.kmer_text(F.col("code"), 4).alias("kmer"), "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 9).alias("frequency"))
 
 
 @query("a20_repeat_fraction", _D + ", " + _kmers(9) + ", c AS (SELECT kmer, count(*) AS n FROM v GROUP BY kmer) SELECT count(*) AS distinct_kmers, sum(n)::BIGINT AS windows, round(sum(n) FILTER (WHERE n >= 10) / sum(n), 9) + 0.0 AS repetitive FROM c")
 def _(spark, d):
-    c = seq.kmer_counts(dna(spark, d), "doc_id", "s", 9).groupBy("kmer").agg(F.sum("n").alias("n"))
+    c = seq.kmer_counts(dna(spark, d), "doc_id", "s", 9).groupBy("code").agg(F.sum("n").alias("n"))
     # a histogram of counts is all that meets in one task
     h = c.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
     total = F.sum(F.col("n") * F.col("k"))
@@ -152,12 +152,22 @@ def _(spark, d):
 
 @query(
     "d1_sampled_windows",
-    _D + """, w AS (SELECT lang, doc_id, unnest(range(0, length(s) - 512 + 1, 64)) AS start0, s FROM d WHERE length(s) >= 512),
-f AS (SELECT lang, doc_id, start0, row_number() OVER (PARTITION BY lang ORDER BY sha256('w1|' || doc_id || '|' || start0), doc_id, start0) AS place FROM w WHERE length(regexp_replace(substr(s, start0 + 1, 512), '[^N]', '', 'g')) <= 0.2 * 512)
-SELECT lang, doc_id, start0::BIGINT AS start0, place FROM f WHERE place <= 200""",
+    _D + """, c AS (SELECT lang, doc_id, length(s) AS size, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) - 1 AS start0 FROM d WHERE length(s) >= 512),
+w AS (SELECT lang, doc_id, size, start0, count(*) FILTER (WHERE c = 'N') OVER (PARTITION BY doc_id ORDER BY start0 ROWS BETWEEN CURRENT ROW AND 511 FOLLOWING) AS n FROM c),
+f AS (SELECT lang, doc_id, start0, count(*) OVER (PARTITION BY lang) AS eligible, row_number() OVER (PARTITION BY lang ORDER BY sha256('w1|' || doc_id || '|' || start0), doc_id, start0) AS place FROM w WHERE start0 + 512 <= size AND n <= 0.2 * 512)
+SELECT lang, doc_id, start0::BIGINT AS start0, eligible, place FROM f WHERE place <= 200""",
 )
 def _(spark, d):
-    return sampling.sample_windows(dna(spark, d), "doc_id", "s", 512, 64, 0.2, 200, "w1", ["lang"]).select("lang", "doc_id", F.col("start0").cast("long").alias("start0"), "place")
+    return sampling.sample_windows(dna(spark, d), "doc_id", "s", 512, 0.2, 200, "w1", ["lang"]).select("lang", "doc_id", "start0", "eligible", "place")
+
+
+@query(
+    "d2_equal_budget_cohorts",
+    """WITH k AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('d2|' || lang || '|' || doc_id), doc_id) AS k FROM documents WHERE lang IN ('en', 'de', 'fr', 'es'))
+SELECT lang AS cohort, lang, doc_id FROM k WHERE k <= 30 UNION ALL SELECT 'union', lang, doc_id FROM k WHERE k <= CASE WHEN lang IN ('en', 'de') THEN 8 ELSE 7 END""",
+)
+def _(spark, d):
+    return sampling.equal_budget_cohorts(table(spark, d, "documents"), "lang", "doc_id", ["en", "de", "fr", "es"], 30, "d2")
 
 
 @query("d3_shard_audit", _D + " SELECT count(*) AS n, count(*) FILTER (WHERE length(s) >= 512) AS long_enough, count(*) FILTER (WHERE regexp_matches(s, '^[ACGTN]*$')) AS clean, count(*) - count(DISTINCT s) AS repeats FROM d")

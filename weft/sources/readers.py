@@ -35,7 +35,8 @@ def find_row(df: DataFrame, **equal: str):
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, description, sequence), sequences in upper case without line breaks."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    # records begin where a line begins with '>'; the first one of a file keeps its mark
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^\\s*>", "").alias("value")).where(F.trim("value") != "")
     parts = F.split("value", "\r?\n", 2)
     head = F.trim(parts[0])
     return records.select(
@@ -51,11 +52,13 @@ def clean_residues(sequence: Column, allowed: str = "ABCDEFGHIKLMNPQRSTVWXYZ") -
 
 
 def attributes(text: Column) -> Column:
-    """The last column of a feature file as a map: key=value or key "value", parts separated by ';'."""
+    """The last column of a feature file as a map: key=value or key "value", parts separated by ';'; of a key that comes twice the last value counts."""
     parts = F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p != "")
     key = lambda p: F.regexp_extract(p, r"^([^=\s]+)", 1)
     value = lambda p: F.regexp_replace(F.regexp_replace(p, r"^[^=\s]+\s*=?\s*", ""), '^"|"$', "")
-    return F.map_from_entries(F.array_distinct(F.transform(parts, lambda p: F.struct(key(p).alias("key"), value(p).alias("value")))))
+    keys, values = F.reverse(F.transform(parts, key)), F.reverse(F.transform(parts, value))
+    own = F.reverse(F.array_distinct(keys))
+    return F.map_from_arrays(own, F.transform(own, lambda k: F.element_at(values, F.array_position(keys, k).cast("int"))))
 
 
 def gff(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -102,11 +105,11 @@ def orthogroups(spark: SparkSession, path: str) -> DataFrame:
 
 
 def taxonomy(spark: SparkSession, names: str, nodes: str) -> tuple[DataFrame, DataFrame]:
-    """Names (name, taxid) that mean one taxon, and edges (node, parent)."""
+    """Names (name, taxid) that mean one taxon among scientific names, synonyms and equivalent names, and edges (node, parent) without the root's own."""
     cut = lambda path: spark.read.text(path).select(F.split(F.trim("value"), r"\s*\|\s*").alias("f"))
-    n = cut(names).where("f[3] = 'scientific name'").select(F.col("f")[1].alias("name"), F.col("f")[0].cast("long").alias("taxid"))
+    n = cut(names).where("f[3] IN ('scientific name', 'synonym', 'equivalent name')").select(F.col("f")[1].alias("name"), F.col("f")[0].cast("long").alias("taxid"))
     unique = n.groupBy("name").agg(F.min("taxid").alias("taxid"), F.count_distinct("taxid").alias("k")).where("k = 1").drop("k")
-    return unique, cut(nodes).select(F.col("f")[0].cast("long").alias("node"), F.col("f")[1].cast("long").alias("parent"))
+    return unique, cut(nodes).select(F.col("f")[0].cast("long").alias("node"), F.col("f")[1].cast("long").alias("parent")).where("node <> parent")
 
 
 def soft(spark: SparkSession, path: str) -> DataFrame:
