@@ -370,3 +370,30 @@ def test_language_ties_go_to_the_first_name(spark):
     model = language.fit(d)
     model.scale[:], model.shift[:] = 0, 0
     assert {r.lang_pred for r in language.identify(d, model).collect()} == {"a"}
+
+
+def test_secret_scan_finds_values_with_dots_and_parts_of_runs(spark):
+    jwt, key = "eyJhbGciOi1.eyJzdWIi2.abcDEF123", "q7Wq7Wq7Wq7Wq7Wq7W"
+    d = spark.createDataFrame(
+        [(1, f"token: {jwt}. secret={key}", "a"), (2, f"see {jwt} and x={key} or /path/{key}/end, not {key}x", "a"), (3, f"url=http/{jwt}", "a"), (4, f"{jwt} {key}", "b"), (5, "token=" + "a1" * 10 + " " + " ".join(["secret=abcdef1"] * 700) + " " + "a1" * 10, "c")],
+        "doc_id long, text string, source string",
+    )
+    got = dict(rows(secrets.secret_spans(d).select("doc_id", secrets._joined("spans")), "doc_id"))
+    text = {r.doc_id: r.text for r in d.collect()}
+    owned = lambda i: [text[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "owned"]
+    assert owned(2) == [jwt, key, key] and owned(3) == [jwt] and owned(4) == owned(1) == []
+    assert owned(5) == ["a1" * 10] and got[5].count("assign") == 701
+    assert [x for x in got[5].split(",") if "owned" not in x] == brute.op9_base(text[5])
+
+
+def test_suffix_dedup_of_repeated_rows(spark):
+    """A repeated row is no repeat of itself, also where its passage has other surroundings elsewhere."""
+    import random
+
+    rng = random.Random(2)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(90)) for _ in range(n))
+    passage = say(40)
+    data = [(1, f"{say(20)} {passage} {say(20)}"), (2, f"{say(20)} {passage} {say(20)}"), (3, say(60))]
+    d = spark.createDataFrame([*data, *data], "doc_id long, text string")
+    out = suffix_dedup.strip_repeats(d).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert rows(out.distinct(), "doc_id") == brute.op1(data) and out.count() == 6

@@ -5,13 +5,15 @@ is too short is dropped after it has consumed its text. The method then counts,
 every candidate value's hash, the distinct repositories and owners that hold it, over
 the whole corpus. A value found under several owners is a widely copied example; one
 held by a single owner and made of mixed characters looks live. Where a live-looking
-value of one owner also stands bare elsewhere in that owner's documents (a word that
-no base pattern matched), those places are added as spans of kind `owned`. Base spans
-are never taken away.
+value of one owner also stands bare elsewhere in that owner's documents (a run of the
+values' characters that no base pattern matched, or a part of it between '=', between
+'=' and '/', or between those and '.'), those places are added as spans of kind `owned`.
+Dots at the end of a value are punctuation and count for nothing when values are
+compared. Base spans are never taken away.
 
 Positions come from marking matches with two control characters and adding up the
-lengths between the marks; the same characters in the text are first replaced by
-another that no pattern matches.
+lengths between the marks, in stretches, so that the work is linear in a text's matches;
+the same characters in the text are first replaced by another that no pattern matches.
 
 Counting is two grouped sums (value and owner and repository, then value), each
 combined before its shuffle, so one value in a third of all documents is one row for
@@ -29,7 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpoint, table
+from weft.checkpoints import checkpoint
+from weft.llm.common import table
 
 #: The base patterns, each with the group that is measured and its least length.
 PATTERNS = (
@@ -39,7 +42,10 @@ PATTERNS = (
 )
 OPEN, CLOSE, PLAIN = "\x01", "\x02", "\x03"
 #: A bare word that could be a credential; values of other shapes are not looked for outside the base patterns.
-BARE = r"[A-Za-z0-9+/_=-]{16,}"
+BARE = r"[A-Za-z0-9+/_.=-]{16,}"
+#: What a bare run is cut at, one way after the other, beside being taken whole.
+CUTS = ("=", "[=/]", "[=/.]")
+LEAST, STRETCH = 16, 256
 SPAN = "struct<start:int,end:int,kind:int,value:string>"
 
 
@@ -57,7 +63,37 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
         span = F.struct(acc.at.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value")).cast(SPAN)
         return F.struct((end + F.length(rest)).alias("at"), F.when(has & (F.length(value) >= least), F.concat(acc.found, F.array(span))).otherwise(acc.found).alias("found"))
 
-    return F.when(F.contains(marked, F.lit(OPEN)), F.aggregate(F.split(marked, OPEN, -1), start, step, lambda acc: acc.found)).otherwise(none)
+    pieces = F.split(marked, OPEN, -1)
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / STRETCH).cast("int")), lambda k: F.aggregate(F.slice(pieces, k * STRETCH + 1, F.lit(STRETCH)), start, step))
+    places = F.aggregate(stretches, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, x: F.struct((acc.at + x.at).alias("at"), F.concat(acc.all, F.array(acc.at)).alias("all")), lambda acc: acc.all)
+    moved = F.zip_with(stretches, places, lambda x, at: F.transform(x.found, lambda s: F.struct((s.start + at).alias("start"), (s.end + at).alias("end"), s.kind.alias("kind"), s.value.alias("value"))))
+    return F.when(F.contains(marked, F.lit(OPEN)), F.flatten(moved)).otherwise(none)
+
+
+def _stem(value: Column) -> Column:
+    """A value without dots at its end."""
+    return F.regexp_replace(value, r"\.+$", "")
+
+
+def _credential_like(value: Column) -> Column:
+    return (F.length(value) >= LEAST) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+
+
+def _candidates(runs: Column) -> Column:
+    """Of bare runs, the runs and their parts that look like credentials, without dots at their ends."""
+    kind = F.lit(len(PATTERNS))
+
+    def part(start: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), kind.alias("kind"), value.alias("value")).cast(SPAN)
+
+    def cut(run: Column, at: str) -> Column:
+        words = F.split(run.value, at, -1)  # every cut is one character wide
+        first = F.struct(run.start.alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+        step = lambda acc, w: F.struct((acc.at + F.length(w) + 1).alias("at"), F.when(F.length(w) >= LEAST, F.concat(acc.found, F.array(part(acc.at, _stem(w))))).otherwise(acc.found).alias("found"))
+        return F.when(run.value.rlike(at), F.aggregate(words, first, step, lambda acc: acc.found)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    every = F.flatten(F.transform(runs, lambda r: F.concat(F.array(part(r.start, _stem(r.value))), *[cut(r, c) for c in CUTS])))
+    return F.array_distinct(F.filter(every, lambda s: _credential_like(s.value)))
 
 
 def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
@@ -65,12 +101,12 @@ def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), OPEN + CLOSE, PLAIN + PLAIN)
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), text.alias("t"))
     base = F.concat(*[_spans(F.col("t"), k, p, g, n) for k, (_, p, g, n) in enumerate(PATTERNS)])
-    bare = F.filter(_spans(F.col("t"), len(PATTERNS), BARE, 0, 16), lambda s: s.value.rlike("[0-9]") & s.value.rlike("[A-Za-z]"))
-    return rows.select("doc_id", "owner", base.alias("spans"), bare.alias("bare"))
+    found = rows.select("doc_id", "owner", base.alias("spans"), _spans(F.col("t"), len(PATTERNS), BARE, 0, LEAST).alias("runs"))
+    return found.select("doc_id", "owner", "spans", _candidates(F.col("runs")).alias("bare"))
 
 
 def value_hash(value: Column) -> Column:
-    return F.substring(F.sha2(value, 256), 1, 32)
+    return F.substring(F.sha2(_stem(value), 256), 1, 32)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -78,7 +114,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
     A repository is a document here; `owner` is the only owner where owners = 1.
     """
-    each = found.select("doc_id", "owner", F.explode("spans").alias("s")).select("doc_id", "owner", value_hash(F.col("s.value")).alias("value_hash"), (F.col("s.value").rlike("[0-9]") & F.col("s.value").rlike("[A-Za-z]") & (F.length("s.value") >= 16)).alias("live"))
+    each = found.select("doc_id", "owner", F.explode("spans").alias("s")).select("doc_id", "owner", value_hash(F.col("s.value")).alias("value_hash"), _credential_like(_stem(F.col("s.value"))).alias("live"))
     held = each.groupBy("value_hash", "owner", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.first("live").alias("live"))
     by_owner = held.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("uses").alias("uses"), F.first("live").alias("live"))
     return by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("uses").alias("uses"), F.min("owner").alias("owner"), F.first("live").alias("live"))
@@ -123,10 +159,12 @@ WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, translate(coalesce(text
 {_marked_sql(0, *PATTERNS[0][1:])},
 {_marked_sql(1, *PATTERNS[1][1:])},
 {_marked_sql(2, *PATTERNS[2][1:])},
-{_marked_sql(3, BARE, 0, 16)},
-base AS (SELECT doc_id, owner, kind, CAST(a AS BIGINT) AS a, CAST(a + length(whole) AS BIGINT) AS z, value, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND length(value) >= 16 AS live FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)),
+{_marked_sql(3, BARE, 0, LEAST)},
+base AS (SELECT doc_id, owner, kind, CAST(a AS BIGINT) AS a, CAST(a + length(whole) AS BIGINT) AS z, rtrim(value, '.') AS value, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND length(rtrim(value, '.')) >= {LEAST} AS live FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)),
 held AS (SELECT value, count(DISTINCT owner) AS owners, min(owner) AS owner, bool_or(live) AS live FROM base GROUP BY value),
-bare AS (SELECT doc_id, owner, 3 AS kind, CAST(a AS BIGINT) AS a, CAST(a + length(whole) AS BIGINT) AS z, value FROM s3 WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
+cut AS (SELECT doc_id, owner, a, string_split_regex(value, c) AS w FROM s3, unnest(['!', {", ".join(f"'{c}'" for c in CUTS)}]) x(c)),
+part AS (SELECT doc_id, owner, a + list_sum(list_transform(w[1:i - 1], lambda p: length(p) + 1)) AS a, rtrim(w[i], '.') AS value FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM cut)),
+bare AS (SELECT DISTINCT doc_id, owner, 3 AS kind, CAST(a AS BIGINT) AS a, CAST(a + length(value) AS BIGINT) AS z, value FROM (SELECT doc_id, owner, coalesce(a, 0) AS a, value FROM part) WHERE length(value) >= {LEAST} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
 added AS (SELECT b.doc_id, b.kind, b.a, b.z FROM bare b JOIN held h ON h.value = b.value AND h.owners = 1 AND h.live AND h.owner = b.owner WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = b.doc_id AND x.a < b.z AND b.a < x.z)),
 named AS (SELECT doc_id, kind, a, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || z AS s FROM (SELECT doc_id, kind, a, z FROM base UNION ALL SELECT * FROM added)),
 j AS (SELECT doc_id, string_agg(s, ',' ORDER BY a, kind) AS spans, string_agg(s, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex FROM named GROUP BY doc_id),
