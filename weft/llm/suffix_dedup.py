@@ -336,6 +336,12 @@ def _align(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     before = length - GRAM
 
     def built(rows: pa.Table) -> pa.RecordBatch:
+        # a repeated row (same document, same text) sends its contexts twice; that is no repeat
+        same = np.logical_and.reduce([(x := rows.column(c).to_numpy())[1:] == x[:-1] for c in ("g1", "doc_id", "at", "lead", "span")])
+        content = rows.column("content")
+        for k in np.flatnonzero(same):
+            same[k] = content[int(k)].equals(content[int(k) + 1])
+        rows = rows.filter(pa.array(np.concatenate(([True], ~same))))
         g = rows.column("g1").to_numpy()
         group = np.concatenate(([0], np.cumsum(g[1:] != g[:-1])))
         doc, at, lead = rows.column("doc_id").to_numpy(), rows.column("at").to_numpy().astype(np.int64), rows.column("lead").to_numpy().astype(np.int64)
