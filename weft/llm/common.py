@@ -1,11 +1,7 @@
-"""Small helpers shared by the corpus operators: inputs, checkpoints, batches."""
+"""Small helpers shared by the corpus operators: inputs and batches."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,32 +28,3 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > TEXT_ROWS_PER_BATCH:
         spark.conf.set(name, str(TEXT_ROWS_PER_BATCH))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
-    return [batch.column(n).to_pylist() for n in names]
-
-
-def rows(schema: pa.Schema, *cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
-
-
-def regrouped(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Join small batches until they hold at least `least` rows."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= least:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

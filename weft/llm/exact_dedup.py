@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpoint, table, texts
+from weft.checkpoints import checkpoint
+from weft.llm.common import table, texts
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 4096
