@@ -108,3 +108,18 @@ def op10(docs, items):
                     found |= windows[tuple(w[k : k + n])]
         out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit)))
     return out
+
+
+def near_groups(docs):
+    """(doc_id, smallest doc_id of its group) by all pairs with a Jaccard similarity of 0.8 or more on five-word shingles."""
+    sets = {}
+    for i, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    of = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and of[a] != of[b] and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                low, high = sorted((of[a], of[b]))
+                of = {i: low if c == high else c for i, c in of.items()}
+    return sorted(of.items())

@@ -298,25 +298,47 @@ def test_registered_queries_on_the_fixture(spark, sf):
 
 
 def test_pipeline(spark, sf):
-    """Each stage against what its operator says about the stage's own input."""
+    """Each stage against what plain versions say about the stage's own input."""
     import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
 
     df = spark.read.parquet(f"{sf}/documents.parquet")
     columns = df.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        if name == "quality":
+            model = quality.fit(df, spark.read.parquet(f"{sf}/labels.parquet"))
+            want = [i for i, t in before if model.scores([t or ""])[0] >= 0.5]
         df = stage(spark, df, sf)
         assert df.columns == columns
         kept = sorted(r.doc_id for r in df.select("doc_id").collect())
+        if name == "quality":
+            assert kept == sorted(want) and len(kept) > 20
         if name == "exact_dedup":
             assert kept == [r[0] for r in brute.op7(before) if r[3]]
         if name == "near_dedup":
-            assert kept == [r[0] for r in brute.op5(before) if r[0] == r[2]]
+            assert kept == [i for i, least in brute.near_groups(before) if i == least]
         if name == "decontaminate":
             assert kept == [r[0] for r in brute.op10(before, ITEMS) if not r[5]]
-    out = corpus_pipeline.run(spark, sf)
-    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == kept
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    text = dict(DOCS)
+    want = [(i, len(k := own.encode_ordinary(text[i] or "")), brute.sha(",".join(map(str, k))), brute.sha(text[i] or "")) for i in kept]
+    assert rows(corpus_pipeline.run(spark, sf), "doc_id") == want
+
+
+def test_pipeline_of_no_rows_missing_ids_and_repeated_rows(spark, sf, tmp_path):
+    import corpus_pipeline
 
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, df in (("none", source.where("doc_id < 0")), ("odd", source.where("doc_id IN (0, 1, 300)").union(source.where("doc_id IN (0, 1, 300)")).union(source.where("doc_id IN (2, 3)").withColumn("doc_id", F.lit(None).cast("long"))).union(source.where("doc_id = 4").withColumn("doc_id", F.lit(1).cast("long"))))):
+        d = tmp_path / name
+        df.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(999, "some words that stand in no document of the corpus at all")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+        got = [r[0] for r in rows(corpus_pipeline.run(spark, str(d)).select("doc_id"), "doc_id")]
+        # without labels every text counts as good; both texts with id 1 stay
+        assert got == ([] if name == "none" else [0, 1, 1, 300])
 
 def test_line_dedup_of_rows_that_share_an_id(spark):
     line = "a line that is long enough to count"
