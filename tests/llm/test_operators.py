@@ -244,14 +244,16 @@ def test_lm_scores_word_by_word(spark, monkeypatch):
 
     import numpy as np
 
-    monkeypatch.setattr(lm_score, "LISTED", 300)  # some words travel with the tasks, the others meet their counts
     rng = random.Random(9)
     word = lambda: f"{rng.choice('abcdé')}{int(rng.expovariate(1 / 900))}"
-    data = [(i, " ".join(word() for _ in range(rng.randint(1, 200)))) for i in range(60)]
-    data += [(70, data[3][1]), (71, data[4][1]), (71, data[4][1]), (72, None), (73, " "), (74, "neverseen neverseen é")]
+    data = [(i, " ".join(word() for _ in range(rng.randint(1, 200)))) for i in range(140)]
+    data += [(170, data[3][1]), (171, data[4][1]), (171, data[4][1]), (172, None), (173, " "), (174, "neverseen neverseen é")]
+    often = sum(k > 1 for k in Counter(x for _, t in data for x in (t or "").lower().split()).values())
+    assert often > lm_score.VOCABULARY
+    monkeypatch.setattr(lm_score, "LISTED", often - lm_score.VOCABULARY + 5)  # words of one use meet their counts, the others travel
     d = spark.createDataFrame([*data, (None, "no id")], "doc_id long, text string").withColumn("row", F.lit("clash"))
     counts, lex, net = lm_score.fit(d)
-    assert len(lex.words) == lm_score.VOCABULARY + 300 and counts.count() > len(lex.words)
+    assert len(lex.words) == often and counts.count() > often
     n = [-x for x in lex.counts]
     assert list(zip(n, lex.words, strict=True)) == sorted(zip(n, lex.words, strict=True))
     got, want = rows(lm_score.score(d, counts, lex, net), "doc_id"), plain_scores([*data, (None, "no id")][:-1], lex, net)
@@ -260,7 +262,11 @@ def test_lm_scores_word_by_word(spark, monkeypatch):
     assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-3, atol=1e-2)
     # what occurs twice has no unseen word
     seen = {g[0]: g[2] for g in got}
-    assert seen[3] == seen[70] == seen[71] == 0 and seen[0] > 0
+    assert seen[3] == seen[170] == seen[171] == 0 and seen[0] > 0
+    # with a class of counts too large to travel, its first words fill the vocabulary
+    monkeypatch.setattr(lm_score, "LISTED", 0)
+    few = lm_score.lexicon(counts.where("n < 3"))
+    assert len(few.words) == lm_score.VOCABULARY and few.words == [r.word for r in counts.where("n < 3").orderBy(F.desc("n"), "word").limit(lm_score.VOCABULARY).collect()]
 
 
 def test_empty_tables(spark, nothing, docs):

@@ -14,8 +14,8 @@ log probability of each word given both sides (the masked pseudo-likelihood).
 Everything is learnt from all documents. Words are counted in one pass. The network is
 trained in numpy by tasks, each on all windows of its share: they start from one state,
 fitted on at most `WARM` documents, and their weights are averaged by numbers of windows
-in a grouped sum, so only one set of weights reaches the driver. The vocabulary and the
-`LISTED` words that follow it travel with the tasks (a bounded table); rarer words meet
+in a grouped sum, so only one set of weights reaches the driver. The vocabulary and at
+most `LISTED` words that follow it travel with the tasks (a bounded table); rarer words meet
 their counts in a join.
 
 Edge cases: null and empty texts have no words and score 0; rows without doc_id are
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from weft.checkpoints import checkpoint
 from weft.llm.common import small_batches, table, texts
 
-CLASSES, MEMBERS = 64, 32
+CLASSES, MEMBERS = 32, 64
 VOCABULARY = CLASSES * MEMBERS
 #: Words after the vocabulary whose counts travel with the tasks.
 LISTED = 131_072
@@ -80,6 +80,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 # words
 
 
+def _spelling(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words one after the other: each byte's predecessor and the byte, 256 at both ends of a word, and where words start."""
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    ends = np.cumsum(sizes)
+    now = np.full(ends[-1], 256, np.int64)
+    inside = np.ones(len(now), bool)
+    inside[ends - 1] = False
+    now[inside] = np.frombuffer(b"".join(raw), np.uint8)
+    return np.concatenate(([256], now[:-1])), now, ends - sizes
+
+
 @dataclass
 class Lexicon:
     """The most frequent words, how often all others occur, and how words are spelt."""
@@ -108,31 +119,34 @@ class Lexicon:
 
     def spelt(self, words: list[str]) -> np.ndarray:
         """Log probability of each word's spelling."""
-        raw = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-        if not len(raw):
+        if not words:
             return np.zeros(0)
-        ends = np.cumsum(sizes)
-        now = np.full(ends[-1], 256, np.int64)
-        inside = np.ones(len(now), bool)
-        inside[ends - 1] = False
-        now[inside] = np.frombuffer(b"".join(raw), np.uint8)
-        before = np.concatenate(([256], now[:-1]))
-        return np.add.reduceat(self.spelling[before, now], ends - sizes)
+        before, now, starts = _spelling([w.encode() for w in words])
+        return np.add.reduceat(self.spelling[before, now], starts)
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY + LISTED).toArrow()
-    words, n = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
+    # words of large counts: whole classes of counts, as many as fit
+    size = F.floor(F.log("n") * 32).cast("int")
+    classes = sorted(((r["c"], r["k"]) for r in counts.groupBy(size.alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    held = np.cumsum([k for _, k in classes])
+    fit = int((held <= VOCABULARY + LISTED).sum())
+    least = classes[fit - 1][0] if fit else 1 << 20
+    top = counts.where(size >= least)
+    known = int(held[fit - 1]) if fit else 0
+    if fit < len(classes) and known < VOCABULARY:  # the next class is too large to travel: its first words fill the vocabulary
+        top = top.union(counts.where(size == classes[fit][0]).orderBy(F.desc("n"), "word").limit(VOCABULARY - known))
+    rows = sorted(((-n, w) for w, n in top.select("word", "n").toPandas().itertuples(index=False)))
+    words, n = [w for _, w in rows], np.array([-k for k, _ in rows], np.int64)
     total, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
     rest = int(total) - int(n[:VOCABULARY].sum())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(257 * 257, np.int64)
         for b in batches:
-            for w in b.column("word").to_pylist():
-                c = np.frombuffer(w.encode(), np.uint8).astype(np.int64)
-                np.add.at(cells, np.append(256, c) * 257 + np.append(c, 256), 1)
+            if b.num_rows:
+                before, now, _ = _spelling([w.encode() for w in b.column("word").to_pylist()])
+                cells += np.bincount(before * 257 + now, minlength=257 * 257)
         code = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(cells[code])], names=["code", "n"])
 
@@ -146,6 +160,20 @@ def lexicon(counts: DataFrame) -> Lexicon:
 # the network
 
 
+def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of those."""
+    z = h @ weights
+    z += bias
+    with np.errstate(over="ignore"):
+        p = np.exp(z)
+    norm = p.sum(1, keepdims=True)
+    if not np.isfinite(norm.max(initial=0)):  # as good as never: h is at most 1
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
+        norm = p.sum(1, keepdims=True)
+    return z, p, norm
+
+
 class Network:
     """log p(word | window) = log softmax(h W + a)[class] + log softmax(h U[class] + u[class])[word], h = tanh(sum of place embeddings + b)."""
 
@@ -183,10 +211,7 @@ class Network:
         """Log probability of each target symbol in its window (rows of `around`: places); if asked, a step of Adagrad as well."""
         w = self.weights
         h = np.tanh(sum(w["e"][p][around[p]] for p in range(len(PLACES))) + w["b"])
-        z = h @ w["w"] + w["a"]
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        norm = p.sum(1, keepdims=True)
+        z, p, norm = _softmax(h, w["w"], w["a"])
         known = target <= VOCABULARY
         cls = np.where(known, (target - 1) // MEMBERS, CLASSES)
         rows = np.arange(len(target))
@@ -203,10 +228,7 @@ class Network:
             if not len(own):
                 continue
             hc = h[own]
-            zc = hc @ w["u"][c] + w["v"][c]
-            zc -= zc.max(1, keepdims=True)
-            pc = np.exp(zc)
-            nc = pc.sum(1, keepdims=True)
+            zc, pc, nc = _softmax(hc, w["u"][c], w["v"][c])
             member, k = (target[own] - 1) % MEMBERS, np.arange(len(own))
             out[own] += zc[k, member] - np.log(nc[:, 0])
             if learn:
