@@ -13,7 +13,7 @@ log probability of each word given both sides (the masked pseudo-likelihood).
 
 Everything is learnt from all documents. Words are counted in one pass. The network is
 trained in numpy by tasks, each on all windows of its share: they start from one state,
-fitted on at most `WARM` documents, and their weights are averaged by numbers of windows
+fitted on at most `WARM` documents of at most `WARM_BYTES` bytes, by smallest hash, and their weights are averaged by numbers of windows
 in a grouped sum, so only one set of weights reaches the driver. The vocabulary and at
 most `LISTED` words that follow it travel with the tasks (a bounded table); rarer words meet
 their counts in a join.
@@ -266,8 +266,10 @@ def _tokens(b: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray]:
 
 def train(docs: DataFrame, lex: Lexicon) -> Network:
     """Fitted first on few documents in the driver, then by every task on all of its windows; the tasks' weights are averaged."""
-    few = texts(docs).where(F.octet_length("text").between(1, WARM_BYTES)).select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(WARM)
-    tokens = [_words(r.text) for r in few.collect()]
+    short = texts(docs).where(F.octet_length("text").between(1, WARM_BYTES)).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h"))
+    rate = min(1.0, 1.2 * WARM / max(1, short.count()))
+    few = short.where(F.col("h") <= int(rate * (1 << 40))).groupBy("h").agg(F.min("text").alias("text")).collect()
+    tokens = [_words(r.text) for r in sorted(few, key=lambda r: r.h)[:WARM]]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     start = Network.fresh(lex)
     symbols = lex.symbols(tokens)[0]
