@@ -2,15 +2,20 @@
 
 import itertools
 import math
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.functions import sequence as seq
-from weft.operators import assignment, graph, integrity, intervals, metrics, ordered, relational, resampling, sampling, statistics, vectors
-from weft.sources import readers, writers
-from weft.streaming import events
+sys.path.insert(0, str(Path(__file__).parent))
+from plain import plain_tmm  # noqa: E402
+
+from weft.functions import sequence as seq  # noqa: E402
+from weft.operators import assignment, graph, integrity, intervals, metrics, ordered, relational, resampling, sampling, statistics, vectors  # noqa: E402
+from weft.sources import readers, writers  # noqa: E402
+from weft.streaming import events  # noqa: E402
 
 
 def got(df, *order):
@@ -19,11 +24,11 @@ def got(df, *order):
 
 def test_decision_from_planted_gains(spark):
     gains = {"tis": 0.03, "tts": 0.02, "splice_donor": 0.01, "splice_acceptor": -0.005}
-    controls = {"base": 0.50, "herb": 0.51, "random_plant": 0.52, "phylogc_match": 0.53}
+    controls = {"base": 0.50, "herb": 0.51, "random_arm": 0.52, "matched_arm": 0.53}
     rows = [(s, t, r, a, v) for s in "abc" for t, g in gains.items() for r in ("linear", "xgboost") for a, v in {**controls, "tree": 0.53 + g}.items()]
     wide = relational.complete_pivot(spark.createDataFrame(rows, "slug string, task string, readout string, arm string, auprc double"), ["slug", "task", "readout"], "arm", [*controls, "tree"], "auprc")
     assert wide.count() == 24
-    tasks = wide.withColumn("gain", F.col("tree") - F.greatest("herb", "random_plant", "phylogc_match")).groupBy("task").agg(F.avg("gain").alias("m"))
+    tasks = wide.withColumn("gain", F.col("tree") - F.greatest("herb", "random_arm", "matched_arm")).groupBy("task").agg(F.avg("gain").alias("m"))
     r = integrity.decision(tasks, F.col("m") > 0, 3, F.col("m") < -0.01).first()
     assert (r.positive_tasks, r.reversals, r.decision) == (3, 0, "continue_full_multiseed")
 
@@ -349,26 +354,6 @@ def test_an_unsettled_model_is_an_error(spark):
         statistics.logistic_null(df, "y", ["x"], steps=2)
 
 
-def plain_tmm(counts):
-    n = counts.sum(0).astype(float)
-    u = np.quantile(counts / n, 0.75, axis=0)
-    ref = int(np.argmin(np.abs(u - u.mean())))
-    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
-    f = np.zeros(counts.shape[1])
-    for k in range(counts.shape[1]):
-        both = (counts[:, k] > 0) & (counts[:, ref] > 0)
-        y, r = counts[both, k].astype(float), counts[both, ref].astype(float)
-        if k != ref:
-            p, q = y / n[k], r / n[ref]
-            m, a, v = np.log2(p / q), np.log2(p * q) / 2, (n[k] - y) / n[k] / y + (n[ref] - r) / n[ref] / r
-            c, fine = len(y), np.ones(len(y), bool)
-            for x, trim in ((rank(m), 0.3), (rank(a), 0.05)):
-                low = math.floor(c * trim) + 1
-                fine &= (x >= low) & (x <= c + 1 - low)
-            f[k] = (m[fine] / v[fine]).sum() / (1 / v[fine]).sum()
-    return 2 ** (f - f.mean())
-
-
 def test_factors_of_sparse_counts(spark):
     rng = np.random.default_rng(16)
     counts = rng.poisson(rng.gamma(0.5, 8, (600, 1)) * rng.uniform(0.5, 2, (1, 5)) * rng.lognormal(0, 0.4, (600, 5)))

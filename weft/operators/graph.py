@@ -121,3 +121,41 @@ def patristic(lengths: DataFrame, pairs: DataFrame) -> DataFrame:
     left = lengths.select(F.col("node").alias("a"), "ancestor", F.col("length").alias("la"))
     right = lengths.select(F.col("node").alias("b"), "ancestor", F.col("length").alias("lb"))
     return pairs.join(left, "a").join(right, ["b", "ancestor"]).groupBy("a", "b").agg(F.min(F.col("la") + F.col("lb")).alias("distance"))
+
+
+def rooted(edges: DataFrame, tree: str, outgroup: str) -> DataFrame:
+    """(tree, node, parent, label, branch_length) of trees rooted on the branch above the leaf called `outgroup`.
+
+    `edges` is as readers.newick_edges returns it, the old root without a parent. The new
+    root is node -1; the branch above the outgroup is halved, the branches from there to the
+    old root turn round, and labels of inner nodes (supports) stay with their branch. An old
+    root that is left with one branch below it stays as a node. Trees without the outgroup are left out.
+    """
+    keyed = edges.select(F.to_json(F.struct(tree, "node")).alias("node"), F.when(F.col("parent").isNotNull(), F.to_json(F.struct(tree, F.col("parent").alias("node")))).alias("parent"))
+    up = ancestors(keyed).withColumnRenamed("node", "_leaf")
+    leaf = edges.where(F.col("label") == outgroup).select(tree, "node", F.to_json(F.struct(tree, "node")).alias("_leaf"))
+    path = leaf.join(up, "_leaf").select(tree, F.get_json_object("ancestor", "$.node").cast("long").alias("node"), "depth").union(leaf.select(tree, "node", F.lit(0)))
+    on = edges.join(leaf.select(tree), tree, "left_semi").join(path, [tree, "node"], "left")
+    below = path.select(tree, (F.col("depth") + 1).alias("depth"), F.col("node").alias("_below")).join(edges.select(tree, F.col("node").alias("_below"), F.col("label").alias("_label"), F.col("branch_length").alias("_length")), [tree, "_below"])
+    met = on.join(below, [tree, "depth"], "left")
+    d, half = F.col("depth"), F.col("branch_length") / 2
+    turned = met.select(
+        tree,
+        "node",
+        F.when(d.isNull(), F.col("parent")).when(d <= 1, F.lit(-1)).otherwise(F.col("_below")).cast("long").alias("parent"),
+        F.when(d.isNull() | (d == 0), F.col("label")).when(d == 1, F.lit("")).otherwise(F.col("_label")).alias("label"),
+        F.when(d.isNull(), F.col("branch_length")).when(d == 0, half).when(d == 1, F.col("_length") / 2).otherwise(F.col("_length")).alias("branch_length"),
+    )
+    return turned.union(leaf.select(tree, F.lit(-1).cast("long"), F.lit(None).cast("long"), F.lit(""), F.lit(None).cast("double")))
+
+
+def tip_order(edges: DataFrame, tree: str) -> DataFrame:
+    """(tree, label, place) of leaves from first to last with branches of few leaves first (ladder order), ties by node."""
+    key = lambda c: F.to_json(F.struct(tree, F.col(c).alias("node")))
+    up = ancestors(edges.select(key("node").alias("node"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent")))
+    leaf = edges.join(edges.select(tree, F.col("parent").alias("node")).distinct(), [tree, "node"], "left_anti").select(tree, "label", key("node").alias("_leaf"))
+    whole = leaf.join(up.withColumnRenamed("node", "_leaf"), "_leaf").select(tree, "label", "_leaf", "ancestor", "depth").union(leaf.select(tree, "label", "_leaf", F.col("_leaf"), F.lit(0)))
+    size = whole.groupBy("ancestor").agg(F.count(F.lit(1)).alias("n"))
+    step = F.struct((-F.col("depth")).alias("d"), F.struct("n", F.get_json_object("ancestor", "$.node").cast("long").alias("node")).alias("s"))
+    keyed = whole.join(size, "ancestor").groupBy(tree, "label", "_leaf").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x.s).alias("_way"))
+    return row_numbers(keyed, [tree], ["_way", "_leaf"], "place").select(tree, "label", "place")

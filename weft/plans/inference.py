@@ -243,7 +243,7 @@ def _(spark, d):
 
 @query("t17_tmm_factors")
 def _(spark, d):
-    c = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("s"), F.col("l_orderkey").alias("g"), F.col("l_quantity").alias("y"))
+    c = table(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("s"), (F.col("l_partkey") * 4 + F.col("l_linenumber") % 4).alias("g"), F.col("l_quantity").alias("y"))
     return statistics.tmm_factors(c, "s", "g", "y").select("s", _r("factor", 8))
 
 

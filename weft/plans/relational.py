@@ -9,8 +9,8 @@ from weft.functions import hashing, scalars
 from weft.operators import ordered, relational
 from weft.plans.registry import query, table
 
-ARMS = {"tree": "1-URGENT", "herb": "2-HIGH", "random_plant": "3-MEDIUM", "phylogc_match": "4-NOT SPECIFIED", "base": "5-LOW"}
-CONTROLS = ["herb", "random_plant", "phylogc_match"]
+ARMS = {"tree": "1-URGENT", "herb": "2-HIGH", "random_arm": "3-MEDIUM", "matched_arm": "4-NOT SPECIFIED", "base": "5-LOW"}
+CONTROLS = ["herb", "random_arm", "matched_arm"]
 _ARM_SQL = "CASE o_orderpriority " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in ARMS.items()) + " END"
 
 
@@ -234,7 +234,7 @@ def _(spark, d):
 _DECISION = f"""WITH s AS (SELECT c_mktsegment AS task, o_orderstatus AS slug, {_ARM_SQL} AS arm, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey),
 m AS (SELECT task, slug, arm, avg(o_totalprice) AS v FROM s GROUP BY ALL),
 w AS (SELECT task, slug, {', '.join(f"max(v) FILTER (WHERE arm = '{a}') AS {a}" for a in ARMS)} FROM m GROUP BY task, slug),
-g AS (SELECT *, greatest(herb, random_plant, phylogc_match) AS best, tree - base AS over_base, tree - greatest(herb, random_plant, phylogc_match) AS over_best FROM w)"""
+g AS (SELECT *, greatest(herb, random_arm, matched_arm) AS best, tree - base AS over_base, tree - greatest(herb, random_arm, matched_arm) AS over_best FROM w)"""
 
 
 def _contrasts(spark, d):
@@ -246,7 +246,7 @@ def _contrasts(spark, d):
     return w.select("*", best.alias("best"), scalars.first_largest(**{k: F.col(k) for k in CONTROLS}).alias("best_name"), (F.col("tree") - F.col("base")).alias("over_base"), (F.col("tree") - best).alias("over_best"))
 
 
-@query("a10_arm_contrasts", _DECISION + " SELECT task, slug, round(best, 4) + 0.0 AS best, CASE WHEN best = herb THEN 'herb' WHEN best = random_plant THEN 'random_plant' ELSE 'phylogc_match' END AS best_name, round(over_base, 4) + 0.0 AS over_base, round(over_best, 4) + 0.0 AS over_best FROM g")
+@query("a10_arm_contrasts", _DECISION + " SELECT task, slug, round(best, 4) + 0.0 AS best, CASE WHEN best = herb THEN 'herb' WHEN best = random_arm THEN 'random_arm' ELSE 'matched_arm' END AS best_name, round(over_base, 4) + 0.0 AS over_base, round(over_best, 4) + 0.0 AS over_best FROM g")
 def _(spark, d):
     return _contrasts(spark, d).select("task", "slug", F.round("best", 4).alias("best"), "best_name", F.round("over_base", 4).alias("over_base"), F.round("over_best", 4).alias("over_best"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators.integrity import row_fingerprint
@@ -16,6 +16,11 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", na: str = "NA", g
     out.write.mode("errorifexists").option("sep", sep).option("header", True).option("nullValue", na).option("compression", "gzip" if gzip else "none").csv(path)
 
 
+def copy_lines(spark: SparkSession, source: str, path: str) -> None:
+    """Text lines of any compression that Spark reads, written plainly; readers see the copy when it is whole."""
+    spark.read.text(source).write.mode("errorifexists").text(path)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     w = df.write.mode("errorifexists").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
