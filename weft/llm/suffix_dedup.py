@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import small_batches, table, texts
 from weft.llm.packing import pack, unpack
 
-LENGTH, GRAM, GROUP_CAP = 100, 24, 2000
+LENGTH, GRAM, GROUP_CAP = 100, 24, 50_000
 #: Bytes handled at once when anchors are found: their places have to fit 16 bits.
 PIECE = 60_000
 #: Contexts constructed together.
