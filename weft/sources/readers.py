@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -113,13 +113,14 @@ def taxonomy(spark: SparkSession, names: str, nodes: str) -> tuple[DataFrame, Da
 
 
 def soft(spark: SparkSession, path: str) -> DataFrame:
-    """(entity, name, key, value) of a key-value block file: '^ENTITY = name' begins a block, '!key = value' belongs to it."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)  # a file's blocks are one file's
-    head = F.when(F.startswith("value", F.lit("^")), F.col("value"))
-    blocks = lines.withColumn("head", F.last(head, ignorenulls=True).over(w)).where(F.startswith("value", F.lit("!")) & F.col("head").isNotNull())
+    """(entity, name, key, value) of a key-value block file: '^ENTITY = name' begins a block, '!key = value' belongs to it.
+
+    Files are cut at blocks, so a large one is shared by many tasks; lines before the first block are left out.
+    """
+    blocks = spark.read.option("lineSep", "\n^").text(path).select(F.split(F.regexp_replace("value", r"^\^", ""), "\r?\n").alias("l"))
+    lines = blocks.where(~F.col("l")[0].rlike("^\\s*([!#]|$)")).select(F.col("l")[0].alias("head"), F.explode(F.slice("l", 2, F.greatest(F.lit(0), F.size("l") - 1))).alias("line")).where(F.startswith("line", F.lit("!")))
     side = lambda c, i: F.trim(F.get(F.split(c, "=", 2), F.lit(i)))
-    return blocks.select(F.regexp_replace(side("head", 0), r"^\^", "").alias("entity"), side("head", 1).alias("name"), F.regexp_replace(side("value", 0), "^!", "").alias("key"), side("value", 1).alias("value"))
+    return lines.select(side("head", 0).alias("entity"), side("head", 1).alias("name"), F.regexp_replace(side("line", 0), "^!", "").alias("key"), side("line", 1).alias("value"))
 
 
 def domain_table(spark: SparkSession, path: str) -> DataFrame:
