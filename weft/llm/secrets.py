@@ -28,6 +28,8 @@ the owner column are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ PATTERNS = (
 OPEN, CLOSE, PLAIN = "\x01", "\x02", "\x03"
 #: A bare word that could be a credential; values of other shapes are not looked for outside the base patterns.
 BARE = r"[A-Za-z0-9+/_.=-]{16,}"
+#: Runs are looked for where they begin only, which changes no match and spares the places inside them; a bare run needs a digit and a letter.
+STARTS = {"hex": "(?<![0-9a-f])", "bare": "(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])"}
 #: What a bare run is cut at, one way after the other, beside being taken whole.
 CUTS = ("=", "[=/]", "[=/.]")
 LEAST, STRETCH = 16, 256
@@ -70,6 +74,14 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
     return F.when(F.contains(marked, F.lit(OPEN)), F.flatten(moved)).otherwise(none)
 
 
+def _may_hold(text: Column, name: str) -> Column:
+    """Whether a text can hold a match at all, by plain searches; others are not marked."""
+    if name == "assign":
+        low = F.lower(text)
+        return functools.reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in ("passw", "secret", "token", "api")])
+    return F.contains(text, F.lit("AKIA")) if name == "access" else F.lit(True)
+
+
 def _stem(value: Column) -> Column:
     """A value without dots at its end."""
     return F.regexp_replace(value, r"\.+$", "")
@@ -100,8 +112,9 @@ def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
     """(doc_id, owner, spans, bare): base spans of every row, and its bare credential-like words with their places."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), OPEN + CLOSE, PLAIN + PLAIN)
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), text.alias("t"))
-    base = F.concat(*[_spans(F.col("t"), k, p, g, n) for k, (_, p, g, n) in enumerate(PATTERNS)])
-    found = rows.select("doc_id", "owner", base.alias("spans"), _spans(F.col("t"), len(PATTERNS), BARE, 0, LEAST).alias("runs"))
+    none = F.array().cast(f"array<{SPAN}>")
+    base = F.concat(*[F.when(_may_hold(F.col("t"), name), _spans(F.col("t"), k, STARTS.get(name, "") + p, g, n)).otherwise(none) for k, (name, p, g, n) in enumerate(PATTERNS)])
+    found = rows.select("doc_id", "owner", base.alias("spans"), _spans(F.col("t"), len(PATTERNS), STARTS["bare"] + BARE, 0, LEAST).alias("runs"))
     return found.select("doc_id", "owner", "spans", _candidates(F.col("runs")).alias("bare"))
 
 
