@@ -189,3 +189,40 @@ def _(spark, d):
     t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("tree"), _say("((s:", "$s_nationkey", ".5,b:0.5)0.9:0.25,(c:1,e:4)0.7:2);").alias("newick"))
     r = graph.rooted(readers.newick_edges(t, "tree", "newick"), "tree", "c")
     return graph.tip_order(r, "tree").join(r.select("tree", "label", F.round("branch_length", 6).alias("above")), ["tree", "label"])
+
+
+@query("s24_training_history", "SELECT (10 * r_regionkey + 1)::BIGINT AS step, r_regionkey + 0.5 AS loss, NULL::DOUBLE AS eval_loss FROM region UNION ALL SELECT 10 * r_regionkey + 2, NULL, r_regionkey + 0.25 FROM region")
+def _(spark, d):
+    path = _path(spark, "states")
+    state = _say('{"best": null,\n "log_history": [{"step": ', (F.col("r_regionkey") * 10 + 1).cast("string"), ', "loss": ', "$r_regionkey", '.5}, {"step": ', (F.col("r_regionkey") * 10 + 2).cast("string"), ', "eval_loss": ', "$r_regionkey", ".25}]}")
+    table(spark, d, "region").select("r_regionkey", state.alias("value")).write.partitionBy("r_regionkey").text(path)  # one file each
+    return readers.training_history(spark, path).select("step", "loss", "eval_loss")
+
+
+@query("s27_shortest_names", "SELECT r_name AS region, 'run/' || r_name || '/model.json' AS path FROM region")
+def _(spark, d):
+    tails = F.explode(F.array(*map(F.lit, ("/model.json", "/model-000.json", "/old/m.json", "/x.tmp")))).alias("tail")
+    found = table(spark, d, "region").select(F.col("r_name").alias("region"), tails).select("region", F.concat(F.lit("run/"), "region", "tail").alias("path"))
+    return readers.shortest_name(found, "region", "path", "OLD", ".tmp")
+
+
+@query("k6_matrix", "SELECT vec_id, embedding[1]::DOUBLE AS first, len(embedding)::BIGINT AS width FROM embeddings WHERE vec_id % 3 = 0")
+def _(spark, d):
+    path = _path(spark, "matrix")
+    writers.write_with_manifest(table(spark, d, "embeddings").select("vec_id", "embedding"), path, ["vec_id"], dtype="float32")
+    rows = spark.read.parquet(f"{path}/data").where("vec_id % 3 = 0")
+    return rows.select("vec_id", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").cast("long").alias("width"))
+
+
+@query("k7_gate_file", "SELECT 'priced' AS name, bool_and(p_retailprice > 0) AS passed FROM part UNION ALL SELECT 'small', bool_and(p_size < 10) FROM part")
+def _(spark, d):
+    path = _path(spark, "gate")
+    integrity.checks(table(spark, d, "part"), priced=F.bool_and(F.col("p_retailprice") > 0), small=F.bool_and(F.col("p_size") < 10)).coalesce(1).write.json(path)
+    return spark.read.schema("name string, passed boolean").json(path)
+
+
+@query("k8_report_table", "SELECT count(*)::BIGINT + 2 AS lines, true AS framed FROM nation")
+def _(spark, d):
+    text = writers.markdown_table(table(spark, d, "nation").select("n_nationkey", "n_name"))
+    lines = spark.createDataFrame([(x,) for x in text.splitlines()], "line string")
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.bool_and(F.startswith("line", F.lit("| "))).alias("framed"))

@@ -275,3 +275,24 @@ def _(spark, d):
     e = table(spark, d, "embeddings").withColumn("y", (F.col("label") % 2).cast("double")).withColumn("genus", F.when(F.col("label") < 5, "first").otherwise("second"))
     scored = probes.leave_one_group_out(e, "genus", ["first", "second"], lambda train: probes.tree_probe(train, "embedding", "y", 5, 3))
     return scored.groupBy("genus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 4).alias("mean_probability"))
+
+
+@query("c16_prefix_classes", "SELECT p_partkey, regexp_replace(p_type, '^(PROMO|ECONOMY) ', '') AS bare, CASE WHEN starts_with(p_type, 'PROMO') THEN 'promo' WHEN starts_with(p_type, 'ECONOMY') THEN 'economy' ELSE 'other' END AS class FROM part")
+def _(spark, d):
+    t = F.col("p_type")
+    return table(spark, d, "part").select("p_partkey", F.regexp_replace(t, "^(PROMO|ECONOMY) ", "").alias("bare"), scalars.first_match("other", promo=t.startswith("PROMO"), economy=t.startswith("ECONOMY")).alias("class"))
+
+
+@query("d4_consolidation", "SELECT lang, count(*) AS n, count(DISTINCT coalesce(text, '')) AS different, sum(length(coalesce(text, '')))::BIGINT AS letters, count(*) FILTER (WHERE ('0x' || substr(sha256('split|' || doc_id), 1, 8))::BIGINT % 100 = 0) AS validation FROM documents GROUP BY lang")
+def _(spark, d):
+    # different texts by digest, so no text is shuffled
+    t = F.coalesce("text", F.lit(""))
+    x = table(spark, d, "documents").select("lang", F.sha2(t, 256).alias("h"), F.length(t).alias("k"), (hashing.bucket(100, F.lit("split"), F.col("doc_id").cast("string")) == 0).alias("v"))
+    g = x.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.count_if("v").alias("v"))
+    return g.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"), F.sum("k").alias("letters"), F.sum("v").alias("validation"))
+
+
+@query("t11_size_factors", "WITH c AS (SELECT l_suppkey % 4 AS s, l_partkey * 4 + l_linenumber % 4 AS g, sum(l_quantity) AS y FROM lineitem GROUP BY ALL), f AS (SELECT g, avg(ln(y)) AS m FROM c WHERE y > 0 GROUP BY g HAVING count(*) = (SELECT count(DISTINCT s) FROM c)) SELECT s, round(exp(quantile_cont(ln(y) - m, 0.5)), 6) + 0.0 AS factor FROM c JOIN f USING (g) WHERE y > 0 GROUP BY s")
+def _(spark, d):
+    c = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("s"), (F.col("l_partkey") * 4 + F.col("l_linenumber") % 4).alias("g")).agg(F.sum("l_quantity").alias("y"))
+    return statistics.size_factors(c, "s", "g", "y").select("s", _r("factor", 6))
