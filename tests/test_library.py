@@ -444,3 +444,25 @@ def test_rows_and_columns_are_looked_up(spark):
     assert relational.require_columns(df, "k") is df
     with pytest.raises(ValueError, match="missing"):
         relational.require_columns(df, "k", "z")
+
+
+def test_greedy_matches_are_the_same_in_parts(spark):
+    rng = np.random.default_rng(21)
+    t = spark.createDataFrame([(int(k), i, float(v)) for i, (k, v) in enumerate(zip(rng.integers(0, 2, 60), rng.uniform(0, 900, 60)))], "k long, target_id long, x double")
+    p = spark.createDataFrame([(int(k), i, float(v)) for i, (k, v) in enumerate(zip(rng.integers(0, 2, 90), rng.uniform(0, 900, 90)))], "k long, control_id long, x double")
+    free, want = {(k, i): x for k, i, x in p.collect()}, []
+    for k, i, x in sorted(t.collect(), key=lambda r: r[1]):
+        near = min(((abs(x - v), c) for (q, c), v in free.items() if q == k), default=None)
+        if near and near[0] <= 6:
+            want.append((k, i, near[1], near[0]))
+            del free[k, near[1]]
+    assert len(want) > 20 and [r[:3] for r in got(assignment.greedy_pairs(t, p, ["k"], "x", caliper=6.0), "target_id")] == [w[:3] for w in want]
+
+
+def test_assignment_by_components_has_the_largest_total(spark):
+    rng = np.random.default_rng(22)
+    m = np.where(rng.random((7, 6)) < 0.35, rng.random((7, 6)), 0)
+    df = spark.createDataFrame([("g", i, j, float(m[i, j])) for i in range(7) for j in range(6) if m[i, j]], "g string, a long, b long, s double")
+    out = got(assignment.optimal_pairs(df, ["g"], "a", "b", "s"))
+    best = max(sum(m[i, j] for i, j in zip(rows, range(6))) for rows in itertools.permutations(range(7), 6))
+    assert sum(r[3] for r in out) == pytest.approx(best) and len({r[1] for r in out}) == len({r[2] for r in out}) == len(out)

@@ -1,7 +1,8 @@
-"""Matching that has to look at a group's rows one after another, group by group.
+"""Matching that has to look at rows one after another.
 
-Groups are strata (a family, a pair of species, an exact match of covariates), so their
-size is that of a stratum; each is one Arrow-backed call.
+Rows are first split into parts that cannot touch each other: stretches of a stratum
+without a gap as wide as the caliper, or connected components of the pairs that score.
+Each part is one Arrow-backed call.
 """
 
 from __future__ import annotations
@@ -13,12 +14,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.checkpoints import checkpoint
+from weft.operators.graph import components
+from weft.operators.ordered import met_on, running_max_before, running_sums
 
-def greedy_pairs(targets: DataFrame, pool: DataFrame, strata: Sequence[str], value: str) -> DataFrame:
+def greedy_pairs(targets: DataFrame, pool: DataFrame, strata: Sequence[str], value: str, caliper: float | None = None) -> DataFrame:
     """(strata, target_id, control_id, distance): each target in order of id takes the nearest control left in its stratum, ties by id.
 
-    `targets` has target_id and `pool` control_id. A control serves once.
+    `targets` has target_id and `pool` control_id. A control serves once. With a caliper,
+    only controls within it count, and a stratum is cut wherever its sorted values leave a
+    gap wider than that, which changes no match and keeps parts small. Without one, a
+    stratum is one call: it should be no larger than a task's memory holds (a million
+    controls take 24 MB, and each target looks at all of them).
     """
+    strata = list(strata)
+    if caliper is not None:
+        points = targets.select(*strata, value).union(pool.select(*strata, value)).distinct()
+        gaps = running_max_before(points, strata, [value], value, "_before")
+        parts = checkpoint(running_sums(gaps, strata, [value], {"_part": F.when(F.col(value) - F.col("_before") > caliper, 1).otherwise(0)}).drop("_before"))
+        targets, pool = met_on(targets, parts, [*strata, value]), met_on(pool, parts, [*strata, value])
+        return _greedy(targets, pool, [*strata, "_part"], value, caliper).drop("_part")
+    return _greedy(targets, pool, strata, value, float("inf"))
+
+
+def _greedy(targets: DataFrame, pool: DataFrame, strata: list[str], value: str, caliper: float) -> DataFrame:
     kinds = dict(targets.dtypes)
 
     def one(key: tuple, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -29,6 +48,8 @@ def greedy_pairs(targets: DataFrame, pool: DataFrame, strata: Sequence[str], val
             if free.any():
                 d = np.where(free, np.abs(x - v), np.inf)
                 i = int(d.argmin())
+                if d[i] > caliper:
+                    continue
                 free[i] = False
                 out.append((*key, target, ids[i], float(d[i])))
         return pd.DataFrame(out, columns=[*strata, "target_id", "control_id", "distance"])
@@ -66,15 +87,25 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
 
 
 def optimal_pairs(scores: DataFrame, group: Sequence[str], left: str, right: str, score: str) -> DataFrame:
-    """(group, left, right, score): the one-to-one assignment with the largest total in each group; absent pairs score zero and are not returned."""
+    """(group, left, right, score): the one-to-one assignment with the largest total in each group; pairs that are absent or score zero or less are not returned.
+
+    A group is solved by connected components of its scoring pairs, which is the same: no
+    pair joins two of them.
+    """
+    group = list(group)
     kinds = dict(scores.dtypes)
+    node = lambda side, c: F.xxhash64(F.lit(side), *group, c)
+    scores = checkpoint(scores.where(F.col(score) > 0).withColumn("_u", node("left", left)))
+    of = components(scores.select(F.col("_u").alias("u"), node("right", right).alias("v")))
+    scores = scores.join(of.withColumnRenamed("node", "_u"), "_u").withColumnRenamed("component", "_part")
 
     def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        key = key[:-1]
         m = g.pivot_table(index=left, columns=right, values=score, aggfunc="max", fill_value=0.0)
         pairs = [(*key, m.index[i], m.columns[j], float(m.iat[i, j])) for i, j in best_assignment(m.to_numpy(float)) if m.iat[i, j] > 0]
         return pd.DataFrame(pairs, columns=[*group, left, right, score])
 
-    return scores.groupBy(*group).applyInPandas(one, ", ".join([f"`{c}` {kinds[c]}" for c in (*group, left, right)] + [f"`{score}` double"]))
+    return scores.groupBy(*group, "_part").applyInPandas(one, ", ".join([f"`{c}` {kinds[c]}" for c in (*group, left, right)] + [f"`{score}` double"]))
 
 
 def lcs_share():
