@@ -48,7 +48,7 @@ LISTED = 131_072
 PLACES = (-2, -1, 1, 2)
 #: Input symbols: 0 the edge of a text, then the vocabulary, then the last bytes of other words.
 SYMBOLS = 1 + VOCABULARY + 256
-HIDDEN, RATE, WINDOWS, WARM, WARM_BYTES = 16, 0.06, 16_384, 1500, 20_000
+HIDDEN, RATE, WINDOWS, WARM, WARM_BYTES = 16, 0.06, 8192, 1500, 20_000
 _HELD = 200_000
 
 
