@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 #: Names that operators use for columns of their own.
-CLASHING = ["n", "h", "key", "name", "at", "block", "kept", "score", "fp", "rep", "component", "u", "v", "i", "owner", "spans", "places", "open", "ids", "anchor", "asked", "word", "all", "_s"]
+CLASHING = ["n", "h", "key", "name", "at", "block", "kept", "score", "fp", "rep", "component", "u", "v", "i", "owner", "spans", "places", "open", "ids", "anchor", "asked", "word", "all", "_s", "_d", "_n", "_h", "_r", "_row", "_node", "row", "node", "hits", "code", "hub", "uses", "base"]
 
 
 def corpus():

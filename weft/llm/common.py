@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text handed to a Python worker at a time; keeps a batch at a few MB.
@@ -28,3 +28,12 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > TEXT_ROWS_PER_BATCH:
         spark.conf.set(name, str(TEXT_ROWS_PER_BATCH))
+
+
+def rows_by(docs: DataFrame, keys: dict[str, Column], listed: DataFrame, how: str = "left_semi", once: bool = True) -> DataFrame:
+    """The rows of docs whose `keys` are listed (left_anti: are not), all columns kept; of rows with equal keys one, if `once`.
+
+    A row travels as one struct, so no name of its columns can clash with those of the keys.
+    """
+    rows = docs.select(F.struct("*").alias("_row"), *[c.alias(k) for k, c in keys.items()]).join(listed, list(keys), how)
+    return (rows.dropDuplicates(list(keys)) if once else rows).select("_row.*")

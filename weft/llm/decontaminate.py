@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.checkpoints import checkpoint
-from weft.llm.common import table
+from weft.llm.common import rows_by, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what separates words, with A-Z counted as word characters since they are lower-cased.
@@ -130,8 +130,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no window of an item occurs, all columns kept. Rows without doc_id go."""
     hit = occurrences(docs, items).where(F.size("hits") > 0).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"))
-    clean = docs.where("doc_id IS NOT NULL").join(hit, (F.col("doc_id") == F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_r")), "left_anti")
-    return clean.select(*docs.columns)
+    return rows_by(docs.where("doc_id IS NOT NULL"), {"_d": F.col("doc_id"), "_r": F.xxhash64(F.coalesce("text", F.lit("")))}, hit, "left_anti", once=False)
 
 
 OP10_SQL = rf"""

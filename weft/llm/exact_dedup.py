@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.checkpoints import checkpoint
-from weft.llm.common import table, texts
+from weft.llm.common import rows_by, table, texts
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 4096
@@ -82,8 +82,7 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns kept; of rows that share a doc_id and a text one stays. Rows without doc_id go."""
     stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_d"), F.col("n").alias("_n"), F.col("h").alias("_h")).distinct()
     t = normalised(F.col("text"))
-    rows = docs.where("doc_id IS NOT NULL").withColumns({"_d": F.col("doc_id"), "_n": F.octet_length(t), "_h": F.xxhash64(t)})
-    return rows.join(stay, ["_d", "_n", "_h"], "left_semi").dropDuplicates(["_d", "_n", "_h"]).select(*docs.columns)
+    return rows_by(docs.where("doc_id IS NOT NULL"), {"_d": F.col("doc_id"), "_n": F.octet_length(t), "_h": F.xxhash64(t)}, stay)
 
 
 OP7_SQL = r"""
