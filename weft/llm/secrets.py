@@ -176,8 +176,8 @@ WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, translate(coalesce(text
 base AS (SELECT doc_id, owner, kind, CAST(a AS BIGINT) AS a, CAST(a + length(whole) AS BIGINT) AS z, rtrim(value, '.') AS value, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND length(rtrim(value, '.')) >= {LEAST} AS live FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)),
 held AS (SELECT value, count(DISTINCT owner) AS owners, min(owner) AS owner, bool_or(live) AS live FROM base GROUP BY value),
 cut AS (SELECT doc_id, owner, a, string_split_regex(value, c) AS w FROM s3, unnest(['!', {", ".join(f"'{c}'" for c in CUTS)}]) x(c)),
-part AS (SELECT doc_id, owner, a + list_sum(list_transform(w[1:i - 1], lambda p: length(p) + 1)) AS a, rtrim(w[i], '.') AS value FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM cut)),
-bare AS (SELECT DISTINCT doc_id, owner, 3 AS kind, CAST(a AS BIGINT) AS a, CAST(a + length(value) AS BIGINT) AS z, value FROM (SELECT doc_id, owner, coalesce(a, 0) AS a, value FROM part) WHERE length(value) >= {LEAST} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
+part AS (SELECT doc_id, owner, a + coalesce(list_sum(list_transform(w[1:i - 1], lambda p: length(p) + 1)), 0) AS a, rtrim(w[i], '.') AS value FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM cut)),
+bare AS (SELECT DISTINCT doc_id, owner, 3 AS kind, CAST(a AS BIGINT) AS a, CAST(a + length(value) AS BIGINT) AS z, value FROM (SELECT doc_id, owner, a, value FROM part) WHERE length(value) >= {LEAST} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
 added AS (SELECT b.doc_id, b.kind, b.a, b.z FROM bare b JOIN held h ON h.value = b.value AND h.owners = 1 AND h.live AND h.owner = b.owner WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = b.doc_id AND x.a < b.z AND b.a < x.z)),
 named AS (SELECT doc_id, kind, a, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || z AS s FROM (SELECT doc_id, kind, a, z FROM base UNION ALL SELECT * FROM added)),
 j AS (SELECT doc_id, string_agg(s, ',' ORDER BY a, kind) AS spans, string_agg(s, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex FROM named GROUP BY doc_id),
