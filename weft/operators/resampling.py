@@ -166,7 +166,7 @@ def permutation_jackknife(df: DataFrame, block: str, strata: Sequence[str], iden
     observed = rest.groupBy("left_out").agg(gap(label).alias("observed"))
     drawn = permuted_labels(rest, ["left_out", *strata], ident, label, replicates, seed)
     null = met_on(drawn, rest.select("left_out", *strata, ident, value), ["left_out", *strata, ident]).groupBy("left_out", "replicate").agg(gap("permuted").alias("_t"))
-    return null.join(observed, "left_out").groupBy("left_out").agg(F.max("observed").alias("observed"), empirical_p(F.col("_t"), F.col("observed")).alias("p"))
+    return null.join(observed, "left_out").groupBy("left_out").agg(F.max("observed").alias("observed"), empirical_p(F.round("_t", 9), F.round("observed", 9)).alias("p"))
 
 
 def leave_one_out_enrichment(df: DataFrame, block: str, term: str, marked: str) -> DataFrame:

@@ -87,14 +87,14 @@ def _(spark, d):
     "r8_stratified_permutation",
     _B + f""", a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM s), b AS (SELECT source, doc_id, p, rep, row_number() OVER (PARTITION BY source, rep ORDER BY sha256('r8|' || rep || '|' || doc_id), doc_id) AS i FROM s, range(1, {PERMUTATIONS + 1}) t(rep)),
 m AS (SELECT rep, avg(b.p) FILTER (WHERE a.y = 1) - avg(b.p) FILTER (WHERE a.y = 0) AS t FROM b JOIN a USING (source, i) GROUP BY rep), o AS (SELECT avg(p) FILTER (WHERE y = 1) - avg(p) FILTER (WHERE y = 0) AS t FROM s)
-SELECT count(*) AS replicates, round(avg(m.t), 8) + 0.0 AS null_mean, round(max(o.t), 8) + 0.0 AS observed, round((1 + count(*) FILTER (WHERE m.t >= o.t)) / (1 + count(*)), 8) + 0.0 AS p FROM m, o""",
+SELECT count(*) AS replicates, round(avg(m.t), 8) + 0.0 AS null_mean, round(max(o.t), 8) + 0.0 AS observed, round((1 + count(*) FILTER (WHERE round(m.t, 9) >= round(o.t, 9))) / (1 + count(*)), 8) + 0.0 AS p FROM m, o""",
 )
 def _(spark, d):
     s = scored(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     gap = lambda y: F.avg(F.when(F.col(y) == 1, F.col("p"))) - F.avg(F.when(F.col(y) == 0, F.col("p")))
     null = resampling.permuted_labels(s, ["source"], "doc_id", "y", PERMUTATIONS, "r8").join(s.select("doc_id", "p"), "doc_id").groupBy("replicate").agg(gap("permuted").alias("t"))
     both = null.join(F.broadcast(s.agg(gap("y").alias("o"))))
-    return both.agg(F.count(F.lit(1)).alias("replicates"), F.round(F.avg("t"), 8).alias("null_mean"), F.round(F.max("o"), 8).alias("observed"), F.round(resampling.empirical_p(F.col("t"), F.col("o")), 8).alias("p"))
+    return both.agg(F.count(F.lit(1)).alias("replicates"), F.round(F.avg("t"), 8).alias("null_mean"), F.round(F.max("o"), 8).alias("observed"), F.round(resampling.empirical_p(F.round("t", 9), F.round("o", 9)), 8).alias("p"))
 
 
 _DRAWN = "WITH v AS (SELECT event_type AS arm, event_id, value - 50 AS x FROM events)"

@@ -127,7 +127,7 @@ def _(spark, d):
     f"""WITH s AS (SELECT s_suppkey AS id, s_nationkey % 5 AS block, s_acctbal AS x, (s_suppkey % 3 = 0)::INT AS y FROM supplier), l AS (SELECT DISTINCT block AS left_out FROM s), t AS (SELECT left_out, id, x, y FROM l JOIN s ON block <> left_out),
 a AS (SELECT left_out, y, row_number() OVER (PARTITION BY left_out ORDER BY id) AS i FROM t), b AS (SELECT left_out, x, rep, row_number() OVER (PARTITION BY left_out, rep ORDER BY sha256('r15|' || rep || '|' || id), id) AS i FROM t, range(1, 1001) u(rep)),
 n AS (SELECT left_out, rep, avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0) AS t FROM b JOIN a USING (left_out, i) GROUP BY ALL), o AS (SELECT left_out, avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0) AS observed FROM t GROUP BY 1)
-SELECT left_out, round(max(observed), 6) + 0.0 AS observed, round((1 + count(*) FILTER (WHERE t >= observed)) / (1 + count(t)), 8) + 0.0 AS p FROM n JOIN o USING (left_out) GROUP BY 1""",
+SELECT left_out, round(max(observed), 6) + 0.0 AS observed, round((1 + count(*) FILTER (WHERE round(t, 9) >= round(observed, 9))) / (1 + count(t)), 8) + 0.0 AS p FROM n JOIN o USING (left_out) GROUP BY 1""",
 )
 def _(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("block"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") % 3 == 0).cast("int").alias("y"))
