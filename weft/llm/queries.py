@@ -1,7 +1,7 @@
 """The corpus queries and, where SQL can say them, their DuckDB twins."""
 
 import corpus_pipeline
-from weft.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, quality, secrets, simhash, suffix_dedup
+from weft.llm import backtracking_bpe, bpe, decontaminate, divergence, exact_dedup, language, line_dedup, lm_score, periodic, quality, secrets, simhash, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_backtracking_bpe": backtracking_bpe.op12_backtracking_bpe,
+    "op13_source_divergence": divergence.op13_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_secret_scan": secrets.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
