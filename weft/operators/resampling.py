@@ -1,19 +1,23 @@
 """Bootstraps, permutations and jackknives whose draws come from hashes, so any engine can repeat them.
 
-Resampling never copies rows: a draw is a weight on a block, and statistics are
-weighted or built from block sums, so work grows with replicates times blocks.
+Statistics over all replicates are the kernels of weft.operators.replicates, which keep
+rows where they are. `draws`, `weighted`, `permuted_labels` and `chosen_labels` give the
+same draws as rows, one for each replicate: for statistics that have no kernel (Spearman
+correlations), and for strata too large for a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import prefix32
 from weft.checkpoints import checkpoint
 from weft.operators.ordered import met_on, row_numbers
+from weft.operators.replicates import drawn_weights, large_strata, permuted, replicate_sums, weighted_medians
 
 
 def draws(blocks: DataFrame, block: str, replicates: int, seed: str, strata: Sequence[str] = ()) -> DataFrame:
@@ -39,25 +43,20 @@ def weighted(df: DataFrame, drawn: DataFrame, on: Sequence[str]) -> DataFrame:
 def mean_difference_bootstrap(df: DataFrame, block: str, label: str, value: str, replicates: int, seed: str) -> DataFrame:
     """(replicate, difference) of the two classes' means over resampled blocks; draws with one class are left out."""
     y, x = F.col(label), F.col(value)
-    sums = df.groupBy(block).agg(F.count_if(y == 1).alias("n1"), F.sum(F.when(y == 1, x)).alias("s1"), F.count_if(y == 0).alias("n0"), F.sum(F.when(y == 0, x)).alias("s0")).na.fill(0.0)
-    w = sums.join(draws(sums, block, replicates, seed), block)
-    total = lambda c: F.sum(F.col("weight") * F.col(c))
-    g = w.groupBy("replicate").agg(*[total(c).alias(c) for c in ("n1", "s1", "n0", "s0")])
+    g = replicate_sums(df, [(drawn_weights(df, block, replicates, seed), [block])], replicates, {"n1": (y == 1).cast("int"), "s1": F.when(y == 1, x), "n0": (y == 0).cast("int"), "s0": F.when(y == 0, x)})
     return g.where("n1 > 0 AND n0 > 0").select("replicate", (F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")).alias("difference"))
 
 
 def mean_bootstrap(df: DataFrame, cell: str, value: str, replicates: int, seed: str) -> DataFrame:
     """(replicate, mean) over resampled cells, one value a cell."""
-    w = df.select(cell, value).join(draws(df, cell, replicates, seed), cell)
-    return w.groupBy("replicate").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("mean"))
+    g = replicate_sums(df, [(drawn_weights(df, cell, replicates, seed), [cell])], replicates, {"s": F.col(value), "n": F.lit(1)})
+    return g.select("replicate", F.try_divide("s", "n").alias("mean"))
 
 
 def hierarchical_median(df: DataFrame, group: str, ident: str, value: str, replicates: int, seed: str) -> DataFrame:
     """(replicate, median): groups are drawn, then rows within each drawn group, as often as it was drawn."""
-    groups = draws(df, group, replicates, f"{seed}:groups")
-    rows = draws(df, ident, replicates, f"{seed}:rows", [group])
-    w = df.select(group, ident, value).join(rows.withColumnRenamed("weight", "_w"), [group, ident]).join(groups, [group, "replicate"])
-    return w.groupBy("replicate").agg(F.percentile(value, F.lit(0.5), F.col("_w") * F.col("weight")).alias("median"))
+    rows = drawn_weights(df, ident, replicates, f"{seed}:rows", [group])
+    return weighted_medians(df, [(rows, [group, ident]), (drawn_weights(df, group, replicates, f"{seed}:groups"), [group])], value, replicates)
 
 
 def permuted_labels(df: DataFrame, strata: Sequence[str], ident: str, label: str, replicates: int, seed: str) -> DataFrame:
@@ -154,19 +153,110 @@ def assigned_controls(pools: DataFrame, replicates: int, seed: str) -> DataFrame
         state = state.drop("_lost")
 
 
+def _totals(values: np.ndarray, labels: np.ndarray) -> dict[str, float]:
+    """Counts and sums of values by label 1 and 0; rows without a value or label count for neither."""
+    one, zero = labels == 1, labels == 0
+    ok = ~np.isnan(values)
+    return {"n1": (one & ok).sum(), "s1": values[one & ok].sum(), "n0": (zero & ok).sum(), "s0": values[zero & ok].sum()}
+
+
+_TOTALS = "n1 long, s1 double, n0 long, s0 double"
+
+
+def _row_totals(df: DataFrame, label: str, value: str, by: Sequence[str]) -> DataFrame:
+    y, x = F.col(label), F.col(value).cast("double")
+    one, zero = (y == 1) & x.isNotNull(), (y == 0) & x.isNotNull()
+    zeros = lambda c: F.coalesce(c, F.lit(0.0))
+    return df.groupBy(*by).agg(F.count_if(one).alias("n1"), zeros(F.sum(F.when(one, x))).alias("s1"), F.count_if(zero).alias("n0"), zeros(F.sum(F.when(zero, x))).alias("s0"))
+
+
+def permutation_totals(df: DataFrame, strata: Sequence[str], ident: str, label: str, value: str, replicates: int, seed: str) -> DataFrame:
+    """(replicate, n1, s1, n0, s0): counts and sums of `value` by permuted label, labels being permuted within strata."""
+    each = permuted(df, strata, ident, [label, value], replicates, seed, lambda a, order: {k: np.array([v]) for k, v in _totals(a[value][order], a[label]).items()}, _TOTALS)
+    large = large_strata(df, strata)
+    if large is not None:
+        drawn = permuted_labels(large, strata, ident, label, replicates, seed)
+        met = met_on(drawn, large.select(*strata, ident, value), [*strata, ident])
+        each = each.unionByName(_row_totals(met, "permuted", value, ["replicate"]).withColumn("replicate", F.col("replicate").cast("long")))
+    return each.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("n1", "s1", "n0", "s0")])
+
+
+def mean_gap() -> Column:
+    """Difference of the two classes' means from totals; null if a class is empty."""
+    return F.try_divide("s1", "n1") - F.try_divide("s0", "n0")
+
+
+def permuted_term_counts(df: DataFrame, strata: Sequence[str], ident: str, term: str, label: str, replicates: int, seed: str) -> DataFrame:
+    """(replicate, term, k, drawn): rows of each term, and how many of them carry label 1 after permuting labels within strata. `term` is a number."""
+
+    def count(a, order):
+        names, at = np.unique(a[term][order], return_inverse=True)
+        return {"_term": names, "k": np.bincount(at, weights=a[label], minlength=len(names)), "drawn": np.bincount(at, minlength=len(names))}
+
+    each = permuted(df, strata, ident, [term, label], replicates, seed, count, "_term double, k double, drawn long").select("replicate", F.col("_term").cast(df.schema[term].dataType).alias(term), F.col("k").cast("long").alias("k"), "drawn")
+    large = large_strata(df, strata)
+    if large is not None:
+        drawn = permuted_labels(large, strata, ident, label, replicates, seed)
+        met = met_on(drawn, large.select(*strata, ident, term), [*strata, ident])
+        each = each.unionByName(met.groupBy(F.col("replicate").cast("long").alias("replicate"), term).agg(F.sum("permuted").cast("long").alias("k"), F.count(F.lit(1)).alias("drawn")))
+    return each.groupBy("replicate", term).agg(F.sum("k").alias("k"), F.sum("drawn").alias("drawn"))
+
+
+def chosen_sums(df: DataFrame, strata: Sequence[str], ident: str, label: str, value: str, replicates: int, seed: str) -> DataFrame:
+    """(replicate, chosen, total): in each replicate as many rows of a stratum are chosen as carry the label, those with the smallest hash; their count and sum of `value`."""
+
+    def first(a, order):
+        held = a[value][order[: int(a[label].sum())]]
+        return {"chosen": np.array([len(held)]), "total": np.array([np.nansum(held)])}
+
+    each = permuted(df, strata, ident, list(dict.fromkeys([label, value])), replicates, seed, first, "chosen long, total double")
+    large = large_strata(df, strata)
+    if large is not None:
+        met = met_on(chosen_labels(large, strata, ident, label, replicates, seed), large.select(*strata, F.col(ident).alias("_same"), F.col(value).cast("double").alias("_v")).withColumnRenamed("_same", ident), [*strata, ident])
+        each = each.unionByName(met.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.count(F.lit(1)).alias("chosen"), F.sum("_v").alias("total")))
+    return each.groupBy("replicate").agg(F.sum("chosen").alias("chosen"), F.sum("total").alias("total"))
+
+
 def permutation_jackknife(df: DataFrame, block: str, strata: Sequence[str], ident: str, label: str, value: str, replicates: int, seed: str) -> DataFrame:
     """(left_out, observed, p): with each block left out in turn, labels are permuted within strata and the difference of the two classes' means is compared.
 
     The place of a row by hash is the same in every subset up to what is left out, so one
-    order of all rows serves, and a subset takes its own places from it.
+    order of a stratum serves all blocks, and a subset takes its own places from it.
     """
     blocks = df.select(F.col(block).alias("left_out")).distinct()
-    rest = df.select(block, *strata, ident, label, value).join(F.broadcast(blocks), F.col(block) != F.col("left_out"))
-    gap = lambda y: F.avg(F.when(F.col(y) == 1, F.col(value))) - F.avg(F.when(F.col(y) == 0, F.col(value)))
-    observed = rest.groupBy("left_out").agg(gap(label).alias("observed"))
-    drawn = permuted_labels(rest, ["left_out", *strata], ident, label, replicates, seed)
-    null = met_on(drawn, rest.select("left_out", *strata, ident, value), ["left_out", *strata, ident]).groupBy("left_out", "replicate").agg(gap("permuted").alias("_t"))
-    return null.join(observed, "left_out").groupBy("left_out").agg(F.max("observed").alias("observed"), empirical_p(F.round("_t", 9), F.round("observed", 9)).alias("p"))
+    numbered = row_numbers(blocks, [], ["left_out"], "_b")
+    rows = met_on(df.select(*dict.fromkeys([block, *strata, ident, label, value])), numbered.withColumnRenamed("left_out", block), [block])
+    by_block = _row_totals(rows, label, value, ["_b"])
+    whole = by_block.agg(*[F.sum(c).alias(f"_{c}") for c in ("n1", "s1", "n0", "s0")])
+    rest = by_block.join(F.broadcast(whole)).select("_b", *[(F.col(f"_{c}") - F.col(c)).alias(c) for c in ("n1", "s1", "n0", "s0")])
+    observed = rest.select("_b", mean_gap().alias("observed"))
+
+    def each_block(a, order):
+        own, out = a["_b"], {"_left": [], "n1": [], "s1": [], "n0": [], "s0": []}
+        ordered, labels, values = own[order], a[label], a[value][order]
+        for b in np.unique(own):
+            out["_left"].append(int(b))
+            for k, v in _totals(values[ordered != b], labels[own != b]).items():
+                out[k].append(v)
+        return out
+
+    null = permuted(rows, strata, ident, ["_b", label, value], replicates, seed, each_block, f"_left long, {_TOTALS}")
+    # in strata without a row of a block nothing is left out: their totals count for that block as they are
+    if strata:
+        held = rows.select(*strata, "_b").distinct()
+        every = rows.select(*strata).distinct().crossJoin(F.broadcast(numbered.select("_b")))
+        absent = met_on(every, held, [*strata, "_b"], "left_anti")
+        same = permuted(met_on(rows.drop("_b"), absent, list(strata)), [*strata, "_b"], ident, ["_b", label, value], replicates, seed, lambda a, order: {"_left": np.array([int(a["_b"][0])]), **{k: np.array([v]) for k, v in _totals(a[value][order], a[label]).items()}}, f"_left long, {_TOTALS}")
+        null = null.unionByName(same)
+    large = large_strata(rows, strata)
+    if large is not None:
+        names = numbered.select("_b").withColumnRenamed("_b", "_left")
+        others = large.join(F.broadcast(names), F.col("_b") != F.col("_left"))
+        drawn = permuted_labels(others, ["_left", *strata], ident, label, replicates, seed)
+        null = null.unionByName(_row_totals(met_on(drawn, others.select("_left", *strata, ident, value), ["_left", *strata, ident]), "permuted", value, ["_left", "replicate"]).withColumns({"replicate": F.col("replicate").cast("long"), "_left": F.col("_left").cast("long")}))
+    t = null.groupBy(F.col("_left").alias("_b"), "replicate").agg(*[F.sum(c).alias(c) for c in ("n1", "s1", "n0", "s0")]).select("_b", "replicate", mean_gap().alias("_t"))
+    p = t.join(observed, "_b").groupBy("_b").agg(F.max("observed").alias("observed"), empirical_p(F.round("_t", 9), F.round("observed", 9)).alias("p"))
+    return p.join(numbered, "_b").select("left_out", "observed", "p")
 
 
 def leave_one_out_enrichment(df: DataFrame, block: str, term: str, marked: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import bucket
-from weft.operators import metrics, ordered, resampling, statistics
+from weft.operators import ordered, replicates, resampling, statistics
 from weft.plans.metrics import _S, scored
 from weft.plans.registry import query, table
 
@@ -41,8 +41,7 @@ c AS (SELECT *, sum(tp) OVER o AS ctp, sum(n) OVER o AS cn, sum(tp) OVER (PARTIT
 )
 def _(spark, d):
     s = scored(spark, d).withColumn("block", F.floor(F.col("doc_id") / 10))
-    w = resampling.weighted(s, resampling.draws(s, "block", DRAWS, "r1"), ["block"])
-    return metrics.average_precision(w, ["replicate"], "p", "y", F.col("weight")).select(F.col("replicate").cast("long").alias("replicate"), _r("auprc"))
+    return replicates.average_precision_bootstrap(s, replicates.drawn_weights(s, "block", DRAWS, "r1"), ["block"], "p", "y", DRAWS).select("replicate", _r("auprc"))
 
 
 @query(
@@ -51,9 +50,10 @@ def _(spark, d):
 )
 def _(spark, d):
     s = scored(spark, d)
-    w = resampling.weighted(s, resampling.draws(s, "doc_id", DRAWS, "r2", ["y"]), ["y", "doc_id"])
-    k, y, p = F.col("weight"), F.col("y"), F.col("p")
-    return w.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.sum(k).alias("n"), F.round(F.sum(k * y * p) / F.sum(k * y) - F.sum(k * (1 - y) * p) / F.sum(k * (1 - y)), 8).alias("gap"))
+    y, p = F.col("y"), F.col("p")
+    drawn = replicates.drawn_weights(s, "doc_id", DRAWS, "r2", ["y"])
+    g = replicates.replicate_sums(s, [(drawn, ["y", "doc_id"])], DRAWS, {"n": F.lit(1), "n1": y, "s1": y * p, "n0": 1 - y, "s0": (1 - y) * p})
+    return g.select("replicate", F.col("n").cast("long").alias("n"), F.round(resampling.mean_gap(), 8).alias("gap"))
 
 
 @query(
@@ -92,7 +92,7 @@ SELECT count(*) AS replicates, round(avg(m.t), 8) + 0.0 AS null_mean, round(max(
 def _(spark, d):
     s = scored(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     gap = lambda y: F.avg(F.when(F.col(y) == 1, F.col("p"))) - F.avg(F.when(F.col(y) == 0, F.col("p")))
-    null = resampling.permuted_labels(s, ["source"], "doc_id", "y", PERMUTATIONS, "r8").join(s.select("doc_id", "p"), "doc_id").groupBy("replicate").agg(gap("permuted").alias("t"))
+    null = resampling.permutation_totals(s, ["source"], "doc_id", "y", "p", PERMUTATIONS, "r8").select(resampling.mean_gap().alias("t"))
     both = null.join(F.broadcast(s.agg(gap("y").alias("o"))))
     return both.agg(F.count(F.lit(1)).alias("replicates"), F.round(F.avg("t"), 8).alias("null_mean"), F.round(F.max("o"), 8).alias("observed"), F.round(resampling.empirical_p(F.round("t", 9), F.round("o", 9)), 8).alias("p"))
 

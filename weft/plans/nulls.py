@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import sequence as seq
-from weft.operators import graph, ordered, resampling, statistics, vectors
+from weft.operators import graph, ordered, replicates, resampling, statistics, vectors
 from weft.plans.inference import _B, DRAWS, PERMUTATIONS, SHUFFLES, _draws
 from weft.plans.metrics import scored
 from weft.plans.registry import query, table
@@ -29,8 +29,9 @@ def _(spark, d):
 @query("r7_category_bootstrap", _B + ", " + _draws("doc_id", "s", "r7", DRAWS, ["lang"]) + " SELECT rep AS replicate, round(sum(weight * y) / sum(weight), 8) + 0.0 AS proportion FROM s JOIN w USING (lang, doc_id) GROUP BY rep")
 def _(spark, d):
     s = scored(spark, d)
-    w = resampling.weighted(s, resampling.draws(s, "doc_id", DRAWS, "r7", ["lang"]), ["lang", "doc_id"])
-    return w.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.round(F.sum(F.col("weight") * F.col("y")) / F.sum("weight"), 8).alias("proportion"))
+    drawn = replicates.drawn_weights(s, "doc_id", DRAWS, "r7", ["lang"])
+    g = replicates.replicate_sums(s, [(drawn, ["lang", "doc_id"])], DRAWS, {"k": F.col("y"), "n": F.lit(1)})
+    return g.select("replicate", F.round(F.col("k") / F.col("n"), 8).alias("proportion"))
 
 
 @query(
@@ -42,8 +43,8 @@ n AS (SELECT rep, b.term, sum(a.y) AS k, count(*) AS drawn FROM b JOIN a USING (
 def _(spark, d):
     k = F.col("s_nationkey")
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(k / 5).alias("g"), k.alias("term"), (F.col("s_acctbal") > 5000).cast("int").alias("y"))
-    null = resampling.permuted_labels(s, ["g"], "id", "y", PERMUTATIONS, "r9").join(s.select("id", "term"), "id").groupBy("replicate", "term").agg(F.sum("permuted").alias("k"), F.count(F.lit(1)).alias("drawn"))
-    return null.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.round(F.max(F.col("k") / F.col("drawn")), 8).alias("top"), F.max("k").alias("most"))
+    null = resampling.permuted_term_counts(s, ["g"], "id", "term", "y", PERMUTATIONS, "r9")
+    return null.groupBy("replicate").agg(F.round(F.max(F.col("k") / F.col("drawn")), 8).alias("top"), F.max("k").alias("most"))
 
 
 @query("r10_label_shuffle", _B + f", a AS (SELECT y, row_number() OVER (ORDER BY doc_id) AS i FROM s), b AS (SELECT p, rep, row_number() OVER (PARTITION BY rep ORDER BY sha256('r10|' || rep || '|' || doc_id), doc_id) AS i FROM s, range(1, {SHUFFLES + 1}) t(rep)) SELECT rep AS replicate, round(corr(a.y, b.p), 8) + 0.0 AS r FROM b JOIN a USING (i) GROUP BY rep")
@@ -58,7 +59,8 @@ def _(spark, d):
 )
 def _(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("g"), (F.col("s_acctbal") > 5000).cast("int").alias("y"))
-    return resampling.chosen_labels(s, ["g"], "id", "y", PERMUTATIONS, "r12").groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.count(F.lit(1)).alias("chosen"), F.sum("id").alias("ids"))
+    c = resampling.chosen_sums(s, ["g"], "id", "y", "id", PERMUTATIONS, "r12")
+    return c.where("chosen > 0").select("replicate", "chosen", F.col("total").cast("long").alias("ids"))
 
 
 @query(
