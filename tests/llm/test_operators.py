@@ -1,5 +1,6 @@
 """Every corpus operator on the fixture corpus, against its plain version or held-out accuracy."""
 
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -42,6 +43,19 @@ def test_suffix_dedup(docs, cap):
     assert rows(out, "doc_id") == brute.op1(DOCS)
 
 
+@pytest.mark.parametrize("cap", [1, 2000])
+def test_suffix_dedup_of_different_texts_under_one_id(spark, cap):
+    """Rows of one doc_id are documents of their own, ordered by their texts' hash; equal rows count once as a source."""
+    rng = random.Random(9)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    some = [(1, b), (1, a + b), (2, "x"), (2, b + c), (2, b[:150]), (3, None), (3, c + a), (3, c + a), (3, a[:120]), (4, a + "y" + c + b)]
+    ordered = sorted(some, key=lambda d: (d[0], brute.sha(d[1] or "")))
+    distinct = list(dict.fromkeys(ordered))
+    want = dict(zip(distinct, brute.op1([(k, t) for k, (_, t) in enumerate(distinct)]), strict=True))
+    got = suffix_dedup.strip_repeats(spark.createDataFrame(some, "doc_id long, text string").repartition(3), group_cap=cap)
+    assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())) == sorted((i, *want[i, t][1:]) for i, t in some)
+
+
 def test_column_construction_orders_contexts():
     import numpy as np
 

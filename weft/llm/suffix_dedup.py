@@ -32,8 +32,9 @@ equal ones in a batch are settled. That is exact too, and spreads over all tasks
 
 Edge cases: null and empty texts have no bytes; texts under 100 bytes lose nothing;
 rows without doc_id are left out; a doc_id that occurs twice with one text counts once
-as a source and each row gets the same result; an empty table gives an empty result;
-other columns are ignored.
+as a source and each row gets the same result; rows that share a doc_id with different
+texts are documents of their own, in the order of their texts' SHA-256; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import small_batches, table, texts
 from weft.llm.packing import pack, unpack
+from weft.operators.ordered import row_numbers
 
 LENGTH, GRAM, GROUP_CAP = 100, 24, 2000
 #: Bytes handled at once when anchors are found: their places have to fit 16 bits.
@@ -401,7 +403,7 @@ def _strip(text: str, spans: list[bytes] | None) -> tuple[int, int, int, bytes]:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, group_cap: int = GROUP_CAP) -> DataFrame:
-    """(doc_id, spans array<binary>) for the documents that repeat something; _strip reads the spans."""
+    """(doc_id, spans array<binary>) for the documents that repeat something; _strip reads the spans. A doc_id has to name one text."""
     source = texts(docs).repartition("doc_id")
     order = ["anchor", "content", "doc_id", "place"]
     met = anchors(docs, length).repartition("anchor").sortWithinPartitions(*order).mapInArrow(lambda batches: _meet(batches, group_cap), _MET_SQL)
@@ -413,6 +415,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_cap: int = GROUP_CAP) -
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, group_cap: int = GROUP_CAP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row; kept is the remaining bytes, concatenated."""
+    rows = texts(docs)
+    own = rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    if not own.where("a <> b").limit(1).count():
+        return _stripped(rows, length, group_cap)
+    # different texts share a doc_id: each gets a number of its own, in the same order
+    row = F.sha2("text", 256).alias("row")
+    numbers = row_numbers(rows.select("doc_id", row).distinct(), [], ["doc_id", "row"], "number")
+    numbered = rows.select("doc_id", row, "text").join(numbers, ["doc_id", "row"]).select(F.col("number").alias("doc_id"), "text")
+    back = numbers.select("number", F.col("doc_id").alias("named"))
+    out = _stripped(numbered, length, group_cap).withColumnRenamed("doc_id", "number").join(back, "number")
+    return out.select(F.col("named").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def _stripped(docs: DataFrame, length: int, group_cap: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,15 +447,16 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents WHERE doc_id IS NOT NULL),
-p AS (SELECT doc_id, unnest(range(1, octet_length(b) - 98)) AS s, b FROM b),
-k AS MATERIALIZED (SELECT doc_id, s, md5_number(b[s:s + 99]) AS k FROM p),
-f AS (SELECT k, min((doc_id, s)) AS first FROM k GROUP BY k HAVING count(*) > 1),
-r AS (SELECT doc_id, s, (doc_id, s) <> first AS again FROM k JOIN f USING (k)),
-i AS (SELECT doc_id, s, s + 100 AS e, max(s + 100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r WHERE again),
-g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM i),
-u AS (SELECT doc_id, run, min(s) AS s, max(e) AS e FROM g GROUP BY doc_id, run),
-t AS (SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM u GROUP BY doc_id),
-x AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed, coalesce(list_prepend(1, es), [1]) AS froms, coalesce(list_append(ss, octet_length(b) + 1), [octet_length(b) + 1]) AS tos FROM b LEFT JOIN t USING (doc_id))
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS row, encode(coalesce(text, '')) AS b FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT DISTINCT doc_id, row, b FROM d),
+p AS (SELECT doc_id, row, unnest(range(1, octet_length(b) - 98)) AS s, b FROM b),
+k AS MATERIALIZED (SELECT doc_id, row, s, md5_number(b[s:s + 99]) AS k FROM p),
+f AS (SELECT k, min((doc_id, row, s)) AS first FROM k GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, row, s, (doc_id, row, s) <> first AS again FROM k JOIN f USING (k)),
+i AS (SELECT doc_id, row, s, s + 100 AS e, max(s + 100) OVER (PARTITION BY doc_id, row ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r WHERE again),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, row ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM i),
+u AS (SELECT doc_id, row, run, min(s) AS s, max(e) AS e FROM g GROUP BY doc_id, row, run),
+t AS (SELECT doc_id, row, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM u GROUP BY doc_id, row),
+x AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed, coalesce(list_prepend(1, es), [1]) AS froms, coalesce(list_append(ss, octet_length(b) + 1), [octet_length(b) + 1]) AS tos FROM d LEFT JOIN t USING (doc_id, row))
 SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(froms) + 1), lambda k: substr(h, 2 * froms[k] - 1, 2 * (tos[k] - froms[k]))), ''))) AS kept_sha256 FROM x
 """
