@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -145,6 +146,18 @@ def test_secret_scan_adds_bare_places_of_an_owners_value(spark):
     assert out == [(1, "assign:0:26", 0, 1), (2, "owned:5:23", 0, 0), (3, "", 0, 0), (4, "assign:0:22", 1, 0), (5, "assign:0:22", 1, 0)]
 
 
+def test_secret_scan_of_long_lists_stays_linear(spark):
+    """Millions of characters of digests, of one value repeated, and of one run of many parts in one text each."""
+    rng = random.Random(2)
+    digests = [f"{rng.getrandbits(128):032x}" for _ in range(60_000)]
+    many, same, run = "\n".join(digests), "token=abcdefgh12345678 " * 80_000, "/".join(f"k{rng.getrandbits(64):016x}" for _ in range(100_000))
+    d = spark.createDataFrame([(1, many, "a"), (2, same, "b"), (3, f"secret: {digests[0]}X1 and {run}", "a"), (4, digests[0] + "X1", "a")], "doc_id long, text string, source string")
+    start = time.time()
+    out = {r.doc_id: (len(r.base), len(r.spans)) for r in secrets.secret_spans(d).collect()}
+    assert out == {1: (60_000, 60_000), 2: (80_000, 80_000), 3: (2, 2), 4: (1, 1)}
+    assert time.time() - start < 120
+
+
 @pytest.mark.parametrize("block", [3, 500_000])
 def test_decontaminate(spark, docs, block):
     c = decontaminate.contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), block_shingles=block)

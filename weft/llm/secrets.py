@@ -14,6 +14,9 @@ compared. Base spans are never taken away.
 Positions come from marking matches with two control characters and adding up the
 lengths between the marks, in stretches, so that the work is linear in a text's matches;
 the same characters in the text are first replaced by another that no pattern matches.
+A bare run is cut into parts as a row of its own, and whether an owned place overlaps a
+base span is seen in one order of both by place, so a list of a hundred thousand digests
+costs what its length says.
 
 Counting is two grouped sums (value and owner and repository, then value), each
 combined before its shuffle, so one value in a third of all documents is one row for
@@ -30,7 +33,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.checkpoints import checkpoint
@@ -53,9 +56,14 @@ LEAST, STRETCH = 16, 256
 SPAN = "struct<start:int,end:int,kind:int,value:string>"
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start,end,kind,value>> of the pattern's matches whose `group` has `least` characters."""
+def _pieces(text: Column, pattern: str, group: int) -> Column:
+    """The text split where a match of the pattern begins, the match and its group closed by marks; one piece if it has none."""
     marked = F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}${group}{CLOSE}" if group else f"{OPEN}$0{CLOSE}$0{CLOSE}")
+    return F.split(marked, OPEN, -1)
+
+
+def _spans(pieces: Column, kind: int, least: int) -> Column:
+    """array<struct<start,end,kind,value>> of the matches whose group has `least` characters. `pieces` has to be a column, as it is read once a stretch."""
     none = F.array().cast(f"array<{SPAN}>")
     start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
@@ -67,11 +75,15 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
         span = F.struct(acc.at.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value")).cast(SPAN)
         return F.struct((end + F.length(rest)).alias("at"), F.when(has & (F.length(value) >= least), F.concat(acc.found, F.array(span))).otherwise(acc.found).alias("found"))
 
-    pieces = F.split(marked, OPEN, -1)
     stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / STRETCH).cast("int")), lambda k: F.aggregate(F.slice(pieces, k * STRETCH + 1, F.lit(STRETCH)), start, step))
+    return F.when(F.size(pieces) > 1, stretches)
+
+
+def _moved(stretches: Column) -> Column:
+    """The spans of all stretches, each moved by the length of those before it."""
     places = F.aggregate(stretches, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, x: F.struct((acc.at + x.at).alias("at"), F.concat(acc.all, F.array(acc.at)).alias("all")), lambda acc: acc.all)
     moved = F.zip_with(stretches, places, lambda x, at: F.transform(x.found, lambda s: F.struct((s.start + at).alias("start"), (s.end + at).alias("end"), s.kind.alias("kind"), s.value.alias("value"))))
-    return F.when(F.contains(marked, F.lit(OPEN)), F.flatten(moved)).otherwise(none)
+    return F.coalesce(F.flatten(moved), F.array().cast(f"array<{SPAN}>"))
 
 
 def _may_hold(text: Column, name: str) -> Column:
@@ -91,31 +103,32 @@ def _credential_like(value: Column) -> Column:
     return (F.length(value) >= LEAST) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
 
 
-def _candidates(runs: Column) -> Column:
-    """Of bare runs, the runs and their parts that look like credentials, without dots at their ends."""
-    kind = F.lit(len(PATTERNS))
-
-    def part(start: Column, value: Column) -> Column:
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), kind.alias("kind"), value.alias("value")).cast(SPAN)
-
-    def cut(run: Column, at: str) -> Column:
-        words = F.split(run.value, at, -1)  # every cut is one character wide
-        first = F.struct(run.start.alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-        step = lambda acc, w: F.struct((acc.at + F.length(w) + 1).alias("at"), F.when(F.length(w) >= LEAST, F.concat(acc.found, F.array(part(acc.at, _stem(w))))).otherwise(acc.found).alias("found"))
-        return F.when(run.value.rlike(at), F.aggregate(words, first, step, lambda acc: acc.found)).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-    every = F.flatten(F.transform(runs, lambda r: F.concat(F.array(part(r.start, _stem(r.value))), *[cut(r, c) for c in CUTS])))
-    return F.array_distinct(F.filter(every, lambda s: _credential_like(s.value)))
+def candidates(found: DataFrame) -> DataFrame:
+    """(row, owner, start, end, value), without repeats: of the bare runs of every row the runs and their parts that look like credentials, without dots at their ends."""
+    runs = found.select("row", "owner", F.explode("runs").alias("r")).select("row", "owner", F.col("r.start").alias("at"), F.col("r.value").alias("value"))
+    ways = F.array(F.array("value"), *[F.when(F.col("value").rlike(c), F.split("value", c, -1)) for c in CUTS])  # every cut is one character wide
+    split = runs.select("row", "owner", "at", F.explode(ways).alias("words")).where("words IS NOT NULL")
+    # starts of the words, by stretches
+    lengths = split.withColumn("n", F.transform("words", lambda w: F.length(w) + 1))
+    each = F.transform(F.sequence(F.lit(0), F.floor((F.size("n") - 1) / STRETCH).cast("int")), lambda k: F.struct(F.slice("words", k * STRETCH + 1, F.lit(STRETCH)).alias("words"), F.aggregate(F.slice("n", k * STRETCH + 1, F.lit(STRETCH)), F.lit(0), lambda a, x: a + x).alias("n")))
+    stretches = lengths.select("row", "owner", "at", each.alias("s"))
+    before = F.aggregate("s", F.struct(F.col("at").alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, x: F.struct((acc.at + x.n).alias("at"), F.concat(acc.all, F.array(acc.at)).alias("all")), lambda acc: acc.all)
+    one = stretches.select("row", "owner", F.explode(F.arrays_zip(F.col("s.words").alias("words"), before.alias("at"))).alias("s")).select("row", "owner", "s.words", "s.at")
+    first = F.struct(F.col("at").alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("found"))
+    step = lambda acc, w: F.struct((acc.at + F.length(w) + 1).alias("at"), F.when(F.length(w) >= LEAST, F.concat(acc.found, F.array(F.struct(acc.at.alias("start"), _stem(w).alias("value"))))).otherwise(acc.found).alias("found"))
+    parts = one.select("row", "owner", F.explode(F.aggregate("words", first, step, lambda acc: acc.found)).alias("p")).select("row", "owner", "p.start", "p.value")
+    return parts.where(_credential_like(F.col("value"))).select("row", "owner", "start", (F.col("start") + F.length("value")).alias("end"), "value").distinct()
 
 
 def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """(doc_id, owner, spans, bare): base spans of every row, and its bare credential-like words with their places."""
+    """(doc_id, owner, spans, runs): base spans of every row, and its bare runs with their places."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), OPEN + CLOSE, PLAIN + PLAIN)
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), text.alias("t"))
-    none = F.array().cast(f"array<{SPAN}>")
-    base = F.concat(*[F.when(_may_hold(F.col("t"), name), _spans(F.col("t"), k, STARTS.get(name, "") + p, g, n)).otherwise(none) for k, (name, p, g, n) in enumerate(PATTERNS)])
-    found = rows.select("doc_id", "owner", base.alias("spans"), _spans(F.col("t"), len(PATTERNS), STARTS["bare"] + BARE, 0, LEAST).alias("runs"))
-    return found.select("doc_id", "owner", "spans", _candidates(F.col("runs")).alias("bare"))
+    looked = [(k, f"p{k}", F.when(_may_hold(F.col("t"), name), _pieces(F.col("t"), STARTS.get(name, "") + p, g)), n) for k, (name, p, g, n) in enumerate(PATTERNS)]
+    looked.append((len(PATTERNS), f"p{len(PATTERNS)}", _pieces(F.col("t"), STARTS["bare"] + BARE, 0), LEAST))
+    pieces = rows.select("doc_id", "owner", *[c.alias(name) for _, name, c, _ in looked])
+    stretches = pieces.select("doc_id", "owner", *[_spans(F.col(name), k, n).alias(f"s{k}") for k, name, _, n in looked])
+    return stretches.select("doc_id", "owner", F.concat(*[_moved(F.col(f"s{k}")) for k in range(len(PATTERNS))]).alias("spans"), _moved(F.col(f"s{len(PATTERNS)}")).alias("runs"))
 
 
 def value_hash(value: Column) -> Column:
@@ -133,20 +146,38 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("uses").alias("uses"), F.min("owner").alias("owner"), F.first("live").alias("live"))
 
 
+def _outside(places: DataFrame, base: DataFrame) -> DataFrame:
+    """Of (row, start, end, ...) those that overlap no (row, start, end) of base, by one order of both in each row."""
+    both = places.withColumn("base", F.lit(False)).unionByName(base.withColumn("base", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy("row").orderBy("start", F.desc("base"))
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(Window.partitionBy("row").orderBy(F.desc("start"), "base").rowsBetween(Window.unboundedPreceding, -1))
+    seen = both.withColumns({"before": before, "after": after})
+    return seen.where(~F.col("base") & (F.col("before").isNull() | (F.col("before") <= F.col("start"))) & (F.col("after").isNull() | (F.col("after") >= F.col("end")))).select(*places.columns)
+
+
 def secret_spans(docs: DataFrame, owner: str = "source") -> DataFrame:
     """One row for each row of docs: doc_id, spans (base and added, sorted), and how many base spans are held by one or several owners."""
     found = checkpoint(scan(docs, owner).withColumn("row", F.monotonically_increasing_id()))
     held = checkpoint(ownership(found))
-    base = found.select("row", F.explode("spans").alias("s")).withColumn("value_hash", value_hash(F.col("s.value")))
-    counts = base.join(held, "value_hash").groupBy("row").agg(F.count_if(F.col("owners") > 1).alias("n_copied"), F.count_if((F.col("owners") == 1) & F.col("live")).alias("n_live"))
-    outside = F.filter("bare", lambda b: ~F.exists("spans", lambda s: (s.start < b.end) & (b.start < s.end)))
-    bare = found.select("row", "owner", F.explode(outside).alias("s")).withColumn("value_hash", value_hash(F.col("s.value")))
+    spans = found.select("row", F.explode("spans").alias("s"))
+    counts = spans.withColumn("value_hash", value_hash(F.col("s.value"))).join(held, "value_hash").groupBy("row").agg(F.count_if(F.col("owners") > 1).alias("n_copied"), F.count_if((F.col("owners") == 1) & F.col("live")).alias("n_live"))
     owned = held.where("owners = 1 AND live").select("value_hash", "owner")
-    added = bare.join(owned, ["value_hash", "owner"]).groupBy("row").agg(F.collect_list("s").alias("added"))
+    bare = candidates(found).withColumn("value_hash", value_hash(F.col("value"))).join(owned, ["value_hash", "owner"]).select("row", "start", "end", "value")
+    placed = spans.select("row", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    # rows without a candidate have nothing to compare
+    placed = placed.join(bare.select("row").distinct(), "row", "left_semi")
+    span = F.struct("start", "end", F.lit(len(PATTERNS)).alias("kind"), "value").cast(SPAN)
+    added = _outside(bare, placed).groupBy("row").agg(F.collect_list(span).alias("added"))
     out = found.join(counts, "row", "left").join(added, "row", "left")
-    every = F.array_sort(F.concat("spans", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))), lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(a.kind - b.kind))
+    every = F.concat("spans", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", F.array_sort("spans", lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(a.kind - b.kind)).alias("base"), every.alias("spans"), F.coalesce("n_copied", zero).alias("n_copied"), F.coalesce("n_live", zero).alias("n_live"))
+    return out.select("doc_id", _by_place(F.col("spans")).alias("base"), _by_place(every).alias("spans"), F.coalesce("n_copied", zero).alias("n_copied"), F.coalesce("n_live", zero).alias("n_live"))
+
+
+def _by_place(spans: Column) -> Column:
+    """Spans by start, then kind."""
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"), s.value.alias("value"))))
 
 
 def _joined(spans: str) -> Column:
