@@ -42,7 +42,7 @@ from weft.checkpoints import checkpoint
 from weft.llm.common import small_batches, table
 
 LEAST_DOCS, TOP, SCALE, ADDED = 30, 50, 1_000_000_000, 5
-BLOCK, VECTORS_EACH, TEXT_CHARS = 128, 16_384, 16_000_000
+BLOCK, VECTORS_EACH, TEXT_CHARS = 128, 1024, 16_000_000
 #: Fixed value: what a term is.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
