@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import sequence as seq
-from weft.operators import graph, ordered, replicates, resampling, statistics, vectors
+from weft.operators import graph, ordered, replicates, resampling, shuffles, statistics, vectors
 from weft.plans.inference import _B, DRAWS, PERMUTATIONS, SHUFFLES, _draws
 from weft.plans.metrics import scored
 from weft.plans.registry import query, table
@@ -53,6 +53,20 @@ def _(spark, d):
     return resampling.permuted_labels(s, [], "doc_id", "y", SHUFFLES, "r10").join(s.select("doc_id", "p"), "doc_id").groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.round(F.corr("permuted", "p"), 8).alias("r"))
 
 
+def words_of_labelled(spark, d):
+    """Labelled documents with a predictor, and how often they hold each short word."""
+    rows = table(spark, d, "documents").select("doc_id", (F.ln(F.col("n_chars") + 1)).alias("size"), "text").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    words = rows.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("feature")).where("length(feature) BETWEEN 2 AND 4").groupBy("doc_id", "feature").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return rows.drop("text"), words
+
+
+@query("r10_refitted_null")
+def _(spark, d):
+    rows, words = words_of_labelled(spark, d)
+    z = shuffles.shuffled_scores(rows, words, "doc_id", "quality", ["size"], SHUFFLES, "r10")
+    return shuffles.null_extremes(z, SHUFFLES, 3.0).select("replicate", F.round("max_abs_z", 6).alias("max_abs_z"), "n_beyond")
+
+
 @query(
     "r12_fixed_count_labels",
     f"WITH s AS (SELECT s_suppkey AS id, s_nationkey AS g, (s_acctbal > 5000)::INT AS y FROM supplier), k AS (SELECT g, sum(y) AS k FROM s GROUP BY g), c AS (SELECT g, id, rep, row_number() OVER (PARTITION BY g, rep ORDER BY sha256('r12|' || rep || '|' || id), id) AS i FROM s, range(1, {PERMUTATIONS + 1}) t(rep)) SELECT rep AS replicate, count(*) AS chosen, sum(id)::BIGINT AS ids FROM c JOIN k USING (g) WHERE i <= k GROUP BY rep",
