@@ -136,3 +136,23 @@ def synteny_score(windows: DataFrame, pairs: DataFrame, ident: str, window: str)
     jaccard: Column = F.coalesce(F.try_divide(F.size(F.array_intersect("_wa", "_wb")), F.size(F.array_union("_wa", "_wb"))), F.lit(0.0))
     scored = met.withColumn("jaccard", jaccard).withColumn("lcs", F.greatest(lcs("_wa", "_wb"), lcs("_wa", F.reverse("_wb"))))
     return scored.withColumn("score", (F.col("jaccard") + F.col("lcs")) / 2).drop("_wa", "_wb")
+
+
+def family_synteny(genes: DataFrame, family: Sequence[str]) -> DataFrame:
+    """(family, n_left, n_right, jaccard, lcs): the neighbourhoods of a family's genes on two sides, matched one to one for the largest total Jaccard similarity and divided by the larger side.
+
+    `genes` is (id, family, side left or right, window: the neighbours' names in order).
+    Only genes that share a neighbour meet, through it; all others have similarity zero and
+    add nothing, as genes that stay unmatched do. `lcs` is the mean of the matched pairs'
+    share of common order, the better of both strands.
+    """
+    family = list(family)
+    sized = genes.groupBy(*family).agg(F.count_if(F.col("side") == "left").alias("n_left"), F.count_if(F.col("side") == "right").alias("n_right")).where("n_left > 0 AND n_right > 0")
+    item = genes.join(sized.select(*family), family).select(*family, "side", "id", F.explode(F.array_distinct("window")).alias("_item"))
+    side = lambda which, name: item.where(F.col("side") == which).select(*family, "_item", F.col("id").alias(name))
+    pairs = side("left", "a").join(side("right", "b"), [*family, "_item"]).select(*family, "a", "b").distinct()
+    scored = checkpoint(synteny_score(genes.select("id", "window"), pairs, "id", "window").select(*family, "a", "b", "jaccard", "lcs"))
+    chosen = optimal_pairs(scored.drop("lcs"), family, "a", "b", "jaccard").drop("jaccard").join(scored, [*family, "a", "b"])
+    total = chosen.groupBy(*family).agg(F.sum("jaccard").alias("_j"), F.sum("lcs").alias("_l"))
+    over = F.greatest("n_left", "n_right")
+    return sized.join(total, family, "left").select(*family, "n_left", "n_right", (F.coalesce("_j", F.lit(0.0)) / over).alias("jaccard"), (F.coalesce("_l", F.lit(0.0)) / over).alias("lcs"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.checkpoints import checkpoint
 from weft.functions import sequence as seq
 from weft.operators import graph, ordered, replicates, resampling, shuffles, statistics, vectors
 from weft.plans.inference import _B, DRAWS, PERMUTATIONS, SHUFFLES, _draws
 from weft.plans.metrics import scored
 from weft.plans.registry import query, table
 from weft.plans.sequence import _D, dna
+from weft.plans.structure import _CKA
 
 
 @query(
@@ -168,9 +170,18 @@ def _(spark, d):
     return statistics.oriented_difference(_categories(spark, d), ["g"], "c", "x").select("g", F.round("statistic", 6).alias("statistic"))
 
 
-@query("v5_nearest_arm", "WITH c AS (SELECT label % 4 AS arm, avg(vec_id) AS cka, FROM embeddings GROUP BY 1), x AS (SELECT a.label % 4 AS arm, 1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), m AS (SELECT arm, quantile_cont(d, 0.5) AS m FROM x GROUP BY 1) SELECT (SELECT arg_min(arm, (-cka, arm)) FROM c)::BIGINT AS by_cka, (SELECT arg_min(arm, (m, arm)) FROM m)::BIGINT AS by_cosine, (SELECT arg_min(arm, (-cka, arm)) FROM c) = (SELECT arg_min(arm, (m, arm)) FROM m) AS concordant")
+@query(
+    "v5_nearest_arm",
+    """WITH e AS (SELECT vec_id, label % 4 AS arm, embedding, row_number() OVER (PARTITION BY label % 4 ORDER BY vec_id) AS k FROM embeddings), p AS (SELECT a.vec_id, a.arm AS label, a.embedding AS x, b.embedding AS y FROM e a JOIN e b ON a.k = b.k AND b.arm = 3 WHERE a.arm < 3)"""
+    + _CKA.replace("SELECT label::BIGINT AS label, round(sum(ab * ab) / sqrt(sum(aa * aa) * sum(bb * bb)), 6) + 0.0 AS cka FROM m GROUP BY label", ", c2 AS (SELECT label AS arm, sum(ab * ab) / sqrt(sum(aa * aa) * sum(bb * bb)) AS cka FROM m GROUP BY label)")
+    + """, x AS (SELECT label AS arm, 1 - list_dot_product(x::DOUBLE[], y::DOUBLE[]) / sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[]) * list_dot_product(y::DOUBLE[], y::DOUBLE[])) AS d FROM p), z AS (SELECT arm, quantile_cont(d, 0.5) AS m FROM x GROUP BY 1)
+SELECT (SELECT arg_min(arm, (-cka, arm)) FROM c2)::BIGINT AS by_cka, (SELECT arg_min(arm, (m, arm)) FROM z)::BIGINT AS by_cosine, (SELECT arg_min(arm, (-cka, arm)) FROM c2) = (SELECT arg_min(arm, (m, arm)) FROM z) AS concordant, (SELECT round(max(cka), 6) + 0.0 FROM c2) AS cka""",
+)
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 4).cast("long").alias("arm"), "embedding")
-    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y"))
-    distances = e.join(b, "vec_id").select("arm", vectors.cosine_distance(F.col("embedding"), F.col("y")).alias("distance"))
-    return vectors.nearest_arm(e.groupBy("arm").agg(F.avg("vec_id").alias("cka")), distances, "arm")
+    """Arms 0 to 2 against arm 3, their vectors paired in order."""
+    e = ordered.row_numbers(table(spark, d, "embeddings").select("vec_id", (F.col("label") % 4).cast("long").alias("arm"), "embedding"), ["arm"], ["vec_id"], "k")
+    other = e.where("arm = 3").select("k", F.col("embedding").alias("y"))
+    pairs = e.where("arm < 3").join(other, "k").select("arm", F.col("embedding").alias("x"), "y")
+    distances = pairs.select("arm", vectors.cosine_distance(F.col("x"), F.col("y")).alias("distance"))
+    cka = checkpoint(vectors.linear_cka(pairs, "x", "y", ["arm"]))
+    return vectors.nearest_arm(cka, distances, "arm").crossJoin(cka.agg(F.round(F.max("cka"), 6).alias("cka")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import hashing
-from weft.operators import assignment, graph, integrity, relational, vectors
+from weft.operators import assignment, graph, integrity, relational, trees, vectors
 from weft.plans.registry import query, table
 
 
@@ -112,20 +112,57 @@ def _(spark, d):
     return graph.spanning_edges(graph.shared_jaccard(_members(spark, d), "id", "item"), "jaccard", 0.95).select("a", "b", _r("jaccard"))
 
 
-@query("g6_robinson_foulds", "WITH b AS (SELECT DISTINCT o_orderpriority AS tree, o_custkey % 12 AS split FROM orders WHERE o_totalprice > 350000), n AS (SELECT tree, count(*) AS n FROM b GROUP BY 1), k AS (SELECT x.tree AS a, y.tree AS b, count(*) AS k FROM b x JOIN b y USING (split) WHERE x.tree < y.tree GROUP BY ALL) SELECT x.tree AS a, y.tree AS b, round((x.n + y.n - 2 * coalesce(k, 0)) / (2 * 9), 8) + 0.0 AS distance FROM n x JOIN n y ON x.tree < y.tree LEFT JOIN k ON k.a = x.tree AND k.b = y.tree")
+#: Trees of 60 customers, three for each block: customers by a product modulo 12, those by what is left modulo 4; a seventh of the customers is missing.
+_TREES = """WITH l AS (SELECT c_custkey // 60 * 3 + k AS tree, c_custkey // 60 AS blk, c_custkey AS c, c_custkey * (k + 3) % 12 AS g, c_custkey * (k + 3) % 12 % 4 AS h FROM customer, range(0, 3) t(k) WHERE c_custkey % 7 <> k)"""
+
+
+def _trees(spark, d):
+    from weft.sources import readers
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).where("c % 7 <> k")
+    leaf = c.select((F.floor(F.col("c") / 60) * 3 + F.col("k")).alias("tree"), "c", (F.col("c") * (F.col("k") + 3) % 12).alias("g"))
+    joined = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x.t), ",")
+    inner = leaf.groupBy("tree", "g").agg(F.concat(F.lit("("), joined("c", F.concat(F.lit("c"), F.col("c").cast("string"), F.lit(":1.5"))), F.lit(")g"), F.col("g").cast("string"), F.lit(":1")).alias("t")).withColumn("h", F.col("g") % 4)
+    outer = inner.groupBy("tree", "h").agg(F.concat(F.lit("("), joined("g", F.col("t")), F.lit(")h"), F.col("h").cast("string"), F.lit(":0.5")).alias("t"))
+    whole = outer.groupBy("tree").agg(F.concat(F.lit("("), joined("h", F.col("t")), F.lit(")root;")).alias("newick"))
+    return readers.newick_edges(whole, "tree", "newick")
+
+
+@query(
+    "g5_layout",
+    _TREES + """, y AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY h, g, c) - 1 AS y FROM l), i AS (SELECT tree, h, g, avg(y) AS y FROM y GROUP BY ALL), o AS (SELECT tree, h, avg(y) AS y FROM i GROUP BY ALL)
+SELECT tree, 'c' || c AS label, 3.0::DOUBLE AS x, round(y, 6) + 0.0 AS y FROM y UNION ALL SELECT tree, 'g' || g, 1.5, round(y, 6) FROM i UNION ALL SELECT tree, 'h' || h, 0.5, round(y, 6) FROM o UNION ALL SELECT tree, 'root', 0.0, round(avg(y), 6) FROM o GROUP BY tree""",
+)
+def _(spark, d):
+    e = _trees(spark, d)
+    return trees.layout(e, "tree").join(e.select("tree", "node", "label"), ["tree", "node"]).select("tree", "label", _r("x", 6), _r("y", 6))
+
+
+@query(
+    "g6_robinson_foulds",
+    _TREES + """, p AS (SELECT DISTINCT x.tree AS a, y.tree AS b FROM l x JOIN l y ON x.blk = y.blk AND x.tree < y.tree), n AS (SELECT a, b, x.c FROM p JOIN l x ON x.tree = a JOIN l y ON y.tree = b AND y.c = x.c),
+w AS (SELECT a, b, count(*) AS common, min('c' || c) AS first, list(c) AS every FROM n GROUP BY ALL), s AS (SELECT a, b, unnest([a, b]) AS tree FROM p),
+v AS (SELECT s.*, l.c, unnest(['g' || g, 'h' || h]) AS clade FROM s JOIN l USING (tree) JOIN n ON n.a = s.a AND n.b = s.b AND n.c = l.c),
+q AS (SELECT a, b, tree, clade, list(c) AS side FROM v GROUP BY ALL), k AS (SELECT DISTINCT a, b, tree, list_sort(CASE WHEN list_contains(list_transform(side, lambda x: 'c' || x), first) THEN list_filter(every, lambda x: NOT list_contains(side, x)) ELSE side END) AS split FROM q JOIN w USING (a, b) WHERE len(side) BETWEEN 2 AND common - 2),
+r AS (SELECT a, b, count(*) AS differing FROM (SELECT a, b, split FROM k GROUP BY ALL HAVING count(*) = 1) GROUP BY ALL)
+SELECT p.a, p.b, coalesce(common, 0) AS common, CASE WHEN common >= 4 THEN coalesce(differing, 0) END AS differing, CASE WHEN common >= 4 THEN round(coalesce(differing, 0) / (2 * (common - 3)), 8) + 0.0 END AS distance FROM p LEFT JOIN w USING (a, b) LEFT JOIN r USING (a, b)""",
+)
 def _(spark, d):
-    b = table(spark, d, "orders").where("o_totalprice > 350000").select(F.col("o_orderpriority").alias("tree"), (F.col("o_custkey") % 12).alias("split"))
-    return graph.robinson_foulds(b, "tree", "split", 12).select("a", "b", _r("distance"))
+    e = _trees(spark, d)
+    own = e.select("tree").distinct().withColumn("blk", F.floor(F.col("tree") / 3))
+    pairs = own.select(F.col("tree").alias("a"), "blk").join(own.select(F.col("tree").alias("b"), "blk"), "blk").where("a < b")  # three trees a block
+    return trees.split_distances(e, pairs, "tree").select("a", "b", "common", "differing", _r("distance"))
 
 
 @query("g8_synteny")
 def _(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
-    w = graph.neighbour_window(p, ["p_brand"], "p_partkey", 5).select("p_partkey", "window")
-    types = w.select("p_partkey", F.posexplode("window").alias("i", "k")).join(p.select(F.col("p_partkey").alias("k"), "p_type"), "k").groupBy("p_partkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p_type"))), lambda s: s.p_type).alias("window"))
-    pairs = p.select("p_brand", F.col("p_partkey").alias("a")).join(p.select("p_brand", (F.col("p_partkey") + 1).alias("b"), F.col("p_partkey").alias("a")).drop("p_brand"), "a")
-    scored = assignment.synteny_score(types.withColumnRenamed("p_partkey", "id"), pairs, "id", "window")
-    return assignment.optimal_pairs(scored, ["p_brand"], "a", "b", "score").select("p_brand", "a", "b", _r("score"))
+    """Families are types and sizes of parts, the two genomes brands 1 to 10 against the others, neighbours in the order of a brand."""
+    name = F.concat_ws("|", "p_type", F.col("p_size").cast("string"))
+    p = table(spark, d, "part").select("p_partkey", "p_brand", name.alias("family"), F.when(F.regexp_extract("p_brand", "[0-9]+", 0).cast("int") <= 10, "left").otherwise("right").alias("side"))
+    w = graph.neighbour_window(p.select("p_brand", "p_partkey"), ["p_brand"], "p_partkey", 5).select("p_partkey", F.posexplode("window").alias("i", "k")).where("k <> p_partkey")
+    named = w.join(p.select(F.col("p_partkey").alias("k"), F.col("family").alias("item")), "k").groupBy("p_partkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "item"))), lambda s: s.item).alias("window"))
+    genes = p.join(named, "p_partkey", "left").select(F.col("p_partkey").alias("id"), "family", "side", F.coalesce("window", F.array().cast("array<string>")).alias("window"))
+    return assignment.family_synteny(genes, ["family"]).select("family", "n_left", "n_right", _r("jaccard"))
 
 
 @query("j17_greedy_match")
