@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import bucket
-from weft.operators import ordered, replicates, resampling, statistics
+from weft.operators import expression, ordered, replicates, resampling, statistics
 from weft.plans.metrics import _S, scored
 from weft.plans.registry import query, table
 
@@ -253,3 +253,11 @@ def _(spark, d):
     beta = statistics.logistic_null(rows, "quality", ["size"])
     words = rows.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("feature")).where("length(feature) BETWEEN 2 AND 4").groupBy("doc_id", "feature").agg(F.count(F.lit(1)).cast("double").alias("value"))
     return statistics.score_tests(rows, words, "doc_id", "quality", ["size"], beta).select("feature", _r("score", 6), _r("z", 6))
+
+
+@query("t11_negative_binomial")
+def _(spark, d):
+    """Parts as genes, suppliers modulo 8 as samples, odd ones the second condition; counts are quantities sold."""
+    c = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 8).alias("s"), (F.col("l_partkey") % 500).alias("g")).agg(F.sum("l_quantity").cast("long").alias("n"))
+    samples = c.select("s").distinct().withColumn("c", F.col("s") % 2)
+    return expression.wald_tests(c, samples, "s", "g", "n", "c").select("g", _r("base_mean", 6), _r("dispersion", 6), _r("log2_fold", 6), _r("se", 6), _r("p", 6))
