@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from weft.checkpoints import checkpoint
 
 
+#: Rows of a group up to which Spark limits groups before it shuffles them.
+LIMITED = 1000
+
+
 def met_on(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join on equal keys in which nulls equal each other; the left keys stay."""
     if not on:  # the right side is one row of totals
@@ -62,8 +66,11 @@ def average_ranks(df: DataFrame, group: list[str], value: str, name: str = "rank
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column | str], n: int, name: str = "place") -> DataFrame:
-    """The first n rows of each group."""
-    return row_numbers(df, group, order, name).where(F.col(name) <= n)
+    """The first n rows of each group. Up to LIMITED rows, every partition keeps its own first n of a group before the shuffle; more are numbered by ranges."""
+    if n > LIMITED:
+        return row_numbers(df, group, order, name).where(F.col(name) <= n)
+    ordering = [F.col(o) if isinstance(o, str) else o for o in order]
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*ordering)).cast("long")).where(F.col(name) <= n)
 
 
 def best_row(df: DataFrame, group: list[str], best: Column, *others: str) -> DataFrame:

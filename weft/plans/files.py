@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weft.checkpoints import shared_folder
 from weft.operators import graph, integrity
 from weft.plans.registry import query, table
-from weft.sources import readers, writers
+from weft.sources import readers, slices, writers
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -88,6 +88,16 @@ def _(spark, d):
     return readers.fasta(spark, path).join(wanted, "record_id", "left_semi").select("record_id", readers.clean_residues(F.col("sequence")).alias("sequence"))
 
 
+@query("s12_slices", "SELECT doc_id, s AS start, s + 40 AS end, substr(text, s + 1, 40) AS sequence FROM (SELECT doc_id, coalesce(text, '') AS text, unnest([0, doc_id % 50, length(coalesce(text, '')) // 2, length(coalesce(text, '')) - 20]) AS s FROM documents) WHERE s >= 0")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = _path(spark, "store")
+    slices.write_store(docs, path, "doc_id", "text", parts=16)
+    n = F.length("text")
+    asked = docs.select("doc_id", F.explode(F.array(F.lit(0).cast("long"), F.col("doc_id") % 50, F.floor(n / 2), (n - 20).cast("long"))).alias("start")).where("start >= 0").withColumn("end", F.col("start") + 40)
+    return slices.fetch(spark, path, asked, "doc_id")
+
+
 @query("s13_s14_features", "SELECT n_name AS seqid, 'g' || s_suppkey AS id, s_suppkey::BIGINT AS start1, (s_suppkey + 90)::BIGINT AS end1, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 'last of ' || s_name AS note FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def _(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
