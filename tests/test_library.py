@@ -1,5 +1,6 @@
 """Planted answers, invariants and format readers."""
 
+import hashlib
 import itertools
 import math
 import sys
@@ -466,3 +467,16 @@ def test_assignment_by_components_has_the_largest_total(spark):
     out = got(assignment.optimal_pairs(df, ["g"], "a", "b", "s"))
     best = max(sum(m[i, j] for i, j in zip(rows, range(6))) for rows in itertools.permutations(range(7), 6))
     assert sum(r[3] for r in out) == pytest.approx(best) and len({r[1] for r in out}) == len({r[2] for r in out}) == len(out)
+
+
+def test_sites_of_a_long_text_are_found_and_exchanged_in_one_pass(spark):
+    import time
+
+    text = "CACGTTA" * 700_000 + "CACACACA"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "s string")
+    start = time.time()
+    n = F.size(seq.nonoverlapping_starts(F.col("s"), "CACG"))
+    rows = df.select(n.alias("n"), F.sha2(seq.mutated(F.col("s"), seq.nonoverlapping_starts(F.col("s"), "CACG"), "CACG"), 256).alias("h"), F.size(seq.overlapping_starts(F.col("s"), "CACA")).alias("o")).collect()
+    assert [r.n for r in rows][::2] == [700_000, 0] and rows[0].o == 3 and rows[1].h is None
+    assert rows[0].h == hashlib.sha256(text.replace("CACG", "CCAG").encode()).hexdigest()
+    assert time.time() - start < 90

@@ -1,4 +1,4 @@
-"""Sequence expressions. Occurrences are found by splitting on the motif, in one pass over the text."""
+"""Sequence expressions. Places and exchanges are made in Arrow batches, linear in the text however many sites it has."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,28 +29,25 @@ def overlapping_count(s: Column, motif: str) -> Column:
     return F.regexp_count(s, F.lit(f"(?={re.escape(motif)})")).cast("long")
 
 
-def _starts(s: Column, parts: Column, gap: int, motif: str | None) -> Column:
-    """Places (from 1) where a part begins, the first part aside; with a motif, the first part counts if s begins with it."""
-    walk = F.aggregate(
-        parts,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"), F.lit(True).alias("first")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p) + gap).cast("int").alias("at"),
-            F.when(a["first"] & (F.lit(motif is None) | ~F.startswith(s, F.lit(motif or ""))), a["found"]).otherwise(F.concat(a["found"], F.array(a["at"] - gap))).alias("found"),
-            F.lit(False).alias("first"),
-        ),
-    )
-    return walk["found"]
+def _found(s: Column, pattern: str) -> Column:
+    """Places (from 1) where matches begin, in one scan of the text."""
+
+    @F.pandas_udf("array<int>")
+    def found(texts: pd.Series) -> pd.Series:
+        scan = re.compile(pattern).finditer
+        return pd.Series([None if t is None else [m.start() + 1 for m in scan(t)] for t in texts], dtype=object)
+
+    return found(s)
 
 
 def overlapping_starts(s: Column, motif: str) -> Column:
     """All places (from 1) of the motif, overlaps included."""
-    return _starts(s, F.split(s, f"(?={re.escape(motif)})", -1), 0, motif)
+    return _found(s, f"(?={re.escape(motif)})")
 
 
 def nonoverlapping_starts(s: Column, motif: str) -> Column:
     """Places (from 1) of the motif from left to right, each after the end of the one before."""
-    return _starts(s, F.split(s, re.escape(motif), -1), len(motif), None)
+    return _found(s, re.escape(motif))
 
 
 def strand_counts(s: Column, motifs: list[str]) -> dict[str, Column]:
@@ -75,8 +73,21 @@ def swapped_middle(s: Column, start: Column, motif: str) -> Column:
 
 
 def mutated(s: Column, starts: Column, motif: str) -> Column:
-    """The exchange made at every start."""
-    return F.aggregate(starts, s, lambda x, p: swapped_middle(x, p, motif))
+    """The exchange made at every start, in order; one copy of the text however many there are."""
+    half = len(motif) // 2
+    swapped = list(motif[: half - 1] + motif[half] + motif[half - 1] + motif[half + 1 :])
+
+    @F.pandas_udf("string")
+    def exchanged(texts: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for text, at in zip(texts, places):
+            letters = None if text is None or at is None else list(text)
+            for p in at if letters else ():
+                letters[p - 1 : p - 1 + len(swapped)] = swapped
+            out.append(None if letters is None else "".join(letters))
+        return pd.Series(out, dtype=object)
+
+    return exchanged(s, starts)
 
 
 def chunks(s: Column, size: int, n: int) -> Column:
