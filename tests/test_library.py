@@ -460,6 +460,34 @@ def test_greedy_matches_are_the_same_in_parts(spark):
     assert len(want) > 20 and [r[:3] for r in got(assignment.greedy_pairs(t, p, ["k"], "x", caliper=6.0), "target_id")] == [w[:3] for w in want]
 
 
+def test_greedy_matches_without_a_caliper_by_parts(spark):
+    rng = np.random.default_rng(23)
+    # a has many controls, b as many as targets, c fewer, with ties of values; d has none, and the null stratum one
+    sizes = [("a", 60, 400), ("b", 60, 60), ("c", 60, 20), ("d", 5, 0), (None, 1, 1)]
+    t = [(k, 100 * j + i, float(x)) for j, (k, n, _) in enumerate(sizes) for i, x in enumerate(rng.integers(0, 300, n))]
+    p = [(k, 1000 * j + i, float(x)) for j, (k, _, n) in enumerate(sizes) for i, x in enumerate(rng.permutation(rng.integers(0, 300, n)))]
+    free, want = {(k, c): x for k, c, x in p}, []
+    for k, i, x in t:
+        near = min(((abs(x - v), c) for (q, c), v in free.items() if q == k), default=None)
+        if near:
+            want.append((i, near[1], near[0]))
+            del free[k, near[1]]
+    dull = [("a", 9000, None), ("a", 9001, float("nan")), ("a", 9002, float("inf"))]
+    tf, pf = spark.createDataFrame(t + dull, "k string, target_id long, x double"), spark.createDataFrame(p + dull, "k string, control_id long, x double")
+    assert got(assignment.greedy_pairs(tf, pf, ["k"], "x").drop("k"), "target_id") == sorted(want)
+    parts = assignment._apart(spark.createDataFrame(t, tf.schema), spark.createDataFrame(p, pf.schema), ["k"], "x").where("k = 'a'")
+    assert parts.select("_part").distinct().count() > 5
+    assert assignment.greedy_pairs(tf.limit(0), pf, ["k"], "x").count() == 0
+
+
+def test_greedy_matching_looks_up_two_controls_a_target():
+    import time
+
+    start, n = time.time(), 200_000
+    places = assignment.nearest_free(np.full(n, 0.5), np.arange(n, dtype=float), list(range(n)))
+    assert places == list(range(n)) and time.time() - start < 20
+
+
 def test_assignment_by_components_has_the_largest_total(spark):
     rng = np.random.default_rng(22)
     m = np.where(rng.random((7, 6)) < 0.35, rng.random((7, 6)), 0)

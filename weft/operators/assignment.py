@@ -21,41 +21,93 @@ from weft.operators.ordered import met_on, running_max_before, running_sums
 def greedy_pairs(targets: DataFrame, pool: DataFrame, strata: Sequence[str], value: str, caliper: float | None = None) -> DataFrame:
     """(strata, target_id, control_id, distance): each target in order of id takes the nearest control left in its stratum, ties by id.
 
-    `targets` has target_id and `pool` control_id. A control serves once. With a caliper,
-    only controls within it count, and a stratum is cut wherever its sorted values leave a
-    gap wider than that, which changes no match and keeps parts small. Without one, a
-    stratum is one call: it should be no larger than a task's memory holds (a million
-    controls take 24 MB, and each target looks at all of them).
+    `targets` has target_id and `pool` control_id. A control serves once; a row whose value
+    is null or not finite matches nothing. A stratum is cut into parts that cannot touch
+    each other, which changes no match: with a caliper, where the sorted values leave a gap
+    wider than that; without one, at controls that no target can reach (`_apart`). Only
+    controls that may be taken go to Python. A part is one call, in which a target costs
+    two look-ups; a part is large only where targets outnumber the values of the controls
+    around them.
     """
     strata = list(strata)
-    if caliper is not None:
+    finite = F.abs(F.col(value).cast("double")) < float("inf")
+    targets, pool = targets.where(finite), pool.where(finite)
+    if caliper is None:
+        parts = _apart(targets, pool, strata, value)
+    else:
         points = targets.select(*strata, value).union(pool.select(*strata, value)).distinct()
         gaps = running_max_before(points, strata, [value], value, "_before")
         parts = checkpoint(running_sums(gaps, strata, [value], {"_part": F.when(F.col(value) - F.col("_before") > caliper, 1).otherwise(0)}).drop("_before"))
-        targets, pool = met_on(targets, parts, [*strata, value]), met_on(pool, parts, [*strata, value])
-        return _greedy(targets, pool, [*strata, "_part"], value, caliper).drop("_part")
-    return _greedy(targets, pool, strata, value, float("inf"))
+    targets, pool = met_on(targets, parts, [*strata, value]), met_on(pool, parts, [*strata, value])
+    return _greedy(targets, pool, [*strata, "_part"], value, float("inf") if caliper is None else caliper).drop("_part")
+
+
+def _apart(targets: DataFrame, pool: DataFrame, strata: list[str], value: str) -> DataFrame:
+    """(strata, value, _part) of the values that greedy matching may touch.
+
+    A control that stays free is never passed over, so a stretch of neighbouring control
+    values that all lose a control has at least as many targets between its free
+    neighbours as it has values. With f the running count of targets less that of control
+    values, a value is in such a stretch only if f reaches, from there on, its least value
+    before there (or zero). All others stay free and part the stratum.
+    """
+    asked = targets.select(*strata, value, F.lit(1).alias("_asks"), F.lit(0).alias("_has"))
+    points = asked.union(pool.select(*strata, value, F.lit(0), F.lit(1))).groupBy(*strata, value).agg(F.sum("_asks").alias("_asks"), F.max("_has").alias("_has"))
+    f = running_sums(points, strata, [value], {"_f": F.col("_asks") - F.col("_has")})
+    low = running_max_before(f.withColumn("_down", -F.col("_f")), strata, [value], "_down", "_before")
+    high = running_max_before(low, strata, [F.desc(value)], "_f", "_after")
+    reached = F.greatest("_f", "_after") >= F.least(F.lit(0), -F.col("_before"))  # nulls at the ends are skipped
+    marked = high.select(*strata, value, ((F.col("_has") == 0) | reached).alias("_open"))
+    parts = running_sums(marked, strata, [value], {"_part": F.when(F.col("_open"), 0).otherwise(1)})
+    return checkpoint(parts.where("_open").drop("_open"))
+
+
+def nearest_free(asked: np.ndarray, x: np.ndarray, ids: Sequence, caliper: float = float("inf")) -> list[int]:
+    """For each value of `asked` in turn the place in `x` of the nearest entry still free, ties by id, or -1.
+
+    `x` is sorted, equal values by id. Values without a free entry are skipped by links to
+    the next one on either side, which are shortened as they are followed.
+    """
+    values, head = np.unique(x, return_index=True)
+    n, last, head = len(values), [*head[1:].tolist(), len(x)], head.tolist()
+    down, up = list(range(n + 1)), list(range(n + 2))  # values count from 1; 0 and n + 1 lie beyond
+
+    def follow(links: list[int], i: int) -> int:
+        while links[i] != i:
+            links[i] = links[links[i]]
+            i = links[i]
+        return i
+
+    out, points = [], values.tolist()
+    for v, at in zip(asked.tolist(), np.searchsorted(values, asked, side="right").tolist(), strict=True):
+        left, right = follow(down, at), follow(up, at + 1)
+        to_left = v - points[left - 1] if left else float("inf")
+        to_right = points[right - 1] - v if right <= n else float("inf")
+        if min(to_left, to_right) > caliper or (left == 0 and right > n):
+            out.append(-1)
+            continue
+        first = to_left < to_right or (to_left == to_right and ids[head[left - 1]] < ids[head[right - 1]])
+        k = left if first else right
+        out.append(head[k - 1])
+        head[k - 1] += 1
+        if head[k - 1] == last[k - 1]:
+            down[k], up[k] = k - 1, k + 1
+    return out
 
 
 def _greedy(targets: DataFrame, pool: DataFrame, strata: list[str], value: str, caliper: float) -> DataFrame:
     kinds = dict(targets.dtypes)
 
     def one(key: tuple, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("control_id")
-        ids, x, free = p["control_id"].to_numpy(), p[value].to_numpy(float), np.ones(len(p), bool)
-        out = []
-        for target, v in t.sort_values("target_id")[["target_id", value]].itertuples(index=False):
-            if free.any():
-                d = np.where(free, np.abs(x - v), np.inf)
-                i = int(d.argmin())
-                if d[i] > caliper:
-                    continue
-                free[i] = False
-                out.append((*key, target, ids[i], float(d[i])))
+        t, p = t.assign(x=t["_value"].astype(float)).sort_values(["target_id", "x"]), p.assign(x=p["_value"].astype(float)).sort_values(["x", "control_id"])
+        ids, x = p["control_id"].tolist(), p["x"].to_numpy()
+        places = nearest_free(t["x"].to_numpy(), x, ids, caliper)
+        out = [(*key, target, ids[i], abs(x[i] - v)) for target, v, i in zip(t["target_id"].tolist(), t["x"].tolist(), places, strict=True) if i >= 0]
         return pd.DataFrame(out, columns=[*strata, "target_id", "control_id", "distance"])
 
     schema = ", ".join([f"`{s}` {kinds[s]}" for s in strata] + [f"target_id {kinds['target_id']}", f"control_id {dict(pool.dtypes)['control_id']}", "distance double"])
-    return targets.select(*strata, "target_id", value).groupBy(*strata).cogroup(pool.select(*strata, "control_id", value).groupBy(*strata)).applyInPandas(one, schema)
+    narrow = lambda df, ident: df.select(*[F.col(c).alias(c) for c in [*strata, ident]], F.col(value).alias("_value")).groupBy(*strata)
+    return narrow(targets, "target_id").cogroup(narrow(pool, "control_id")).applyInPandas(one, schema)
 
 
 def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
