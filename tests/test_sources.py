@@ -1,13 +1,15 @@
-"""Slices of stored sequences and sheets of workbooks."""
+"""Slices of stored sequences, matrix files and sheets of workbooks."""
 
 import random
 import re
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from weft.sources import sheets, slices
+from weft.sources import matrices, sheets, slices
 
 X = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
@@ -69,3 +71,38 @@ def test_sheets_that_lack_what_is_asked(spark, tmp_path, name, columns, header):
     workbook(tmp_path / "one.xlsx", ROWS)
     with pytest.raises(Exception, match="not once in the header|no sheet|is empty"):
         sheets.sheet(spark, f"{tmp_path}/one.xlsx", name, columns, header).collect()
+
+
+def test_matrix_files_are_read_by_rows(spark, tmp_path):
+    m = np.arange(600, dtype="<f4").reshape(200, 3)
+    path = str(tmp_path / "m.npy")
+    np.save(path, m)
+    whole = {r.row: r.vector for r in matrices.read_matrix(spark, path).collect()}
+    assert len(whole) == 200 and all(whole[i] == m[i].tolist() for i in range(200))
+    asked = spark.createDataFrame([(5,), (6,), (199,), (5,), (200,), (-1,), (None,)], "row long")
+    assert sorted(map(tuple, matrices.read_matrix(spark, "file:" + path, asked).collect())) == [(i, m[i].tolist()) for i in (5, 6, 199)]
+    for shape in ((0, 3), (2, 0)):
+        np.save(path, np.zeros(shape, "<i8"))
+        assert [r.vector for r in matrices.read_matrix(spark, path).collect()] == [[]] * shape[0]
+    for bad in (np.zeros(3), np.asfortranarray(np.zeros((2, 3))), np.zeros((2, 2), "<U3")):
+        np.save(path, bad)
+        with pytest.raises(ValueError, match="not a matrix"):
+            matrices.read_matrix(spark, path)
+
+
+def test_matrix_files_are_written_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(matrices, "FILE_ROWS", 40)
+    df = spark.range(300).select(F.col("id").alias("k"), F.array(F.col("id") * 2.0, F.lit(1.0)).alias("v"))
+    path = str(tmp_path / "saved")
+    matrices.write_matrix(df, path, "k", "v")
+    ids = {(r.file, r.row): r.k for r in spark.read.parquet(f"{path}/ids").collect()}
+    assert {k: v.tolist() for f in {f for f, _ in ids} for i, v in enumerate(np.load(f"{path}/data/{f}")) for k in [ids[f, i]]} == {k: [2.0 * k, 1.0] for k in range(300)}
+    files = {r.file: r.rows for r in spark.read.json(f"{path}/manifest").collect()}
+    assert sum(files.values()) == 300 and max(files.values()) <= 40
+    assert sorted((r.k, r.vector) for r in matrices.read_saved(spark, path, "k").collect()) == [(k, [2.0 * k, 1.0]) for k in range(300)]
+    some = spark.createDataFrame([(7,), (299,), (7,), (900,)], "k long")
+    assert sorted((r.k, r.vector) for r in matrices.read_saved(spark, path, "k", some).collect()) == [(7, [14.0, 1.0]), (299, [598.0, 1.0])]
+    with pytest.raises(Exception, match="differ in width"):
+        matrices.write_matrix(df.withColumn("v", F.when(F.col("k") == 5, F.array(F.lit(0.5))).otherwise(F.col("v"))), str(tmp_path / "bad"), "k", "v")
+    matrices.write_matrix(df.limit(0), str(tmp_path / "none"), "k", "v")
+    assert matrices.read_saved(spark, str(tmp_path / "none"), "k").count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weft.checkpoints import shared_folder
 from weft.operators import graph, integrity
 from weft.plans.registry import query, table
-from weft.sources import readers, slices, writers
+from weft.sources import matrices, readers, slices, writers
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -224,6 +224,14 @@ def _(spark, d):
     return rows.select("vec_id", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").cast("long").alias("width"))
 
 
+@query("s22_matrix_rows", "SELECT vec_id, embedding[1]::DOUBLE AS first, embedding[len(embedding)]::DOUBLE AS last, len(embedding)::BIGINT AS width FROM embeddings WHERE vec_id % 3 = 0")
+def _(spark, d):
+    path, e = _path(spark, "npy"), table(spark, d, "embeddings")
+    matrices.write_matrix(e, path, "vec_id", "embedding")
+    rows = matrices.read_saved(spark, path, "vec_id", e.where("vec_id % 3 = 0"))
+    return rows.select("vec_id", F.col("vector")[0].cast("double").alias("first"), F.element_at("vector", -1).cast("double").alias("last"), F.size("vector").cast("long").alias("width"))
+
+
 @query("k7_gate_file", "SELECT 'priced' AS name, bool_and(p_retailprice > 0) AS passed FROM part UNION ALL SELECT 'small', bool_and(p_size < 10) FROM part")
 def _(spark, d):
     path = _path(spark, "gate")
