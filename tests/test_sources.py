@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weft.checkpoints import checkpoint, scratch, shared_folder
 from weft.sources import matrices, sheets, slices
 
 X = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -106,3 +107,19 @@ def test_matrix_files_are_written_in_parts(spark, tmp_path, monkeypatch):
         matrices.write_matrix(df.withColumn("v", F.when(F.col("k") == 5, F.array(F.lit(0.5))).otherwise(F.col("v"))), str(tmp_path / "bad"), "k", "v")
     matrices.write_matrix(df.limit(0), str(tmp_path / "none"), "k", "v")
     assert matrices.read_saved(spark, str(tmp_path / "none"), "k").count() == 0
+
+
+def test_scratch_is_deleted(spark):
+    with scratch(spark) as folder:
+        assert shared_folder(spark) == folder
+        kept = checkpoint(spark.range(10))
+        spark.range(3).write.parquet(f"{folder}/table")
+        assert kept.count() == 10 and len(list(Path(folder).iterdir())) >= 2
+        with scratch(spark) as inner:
+            assert inner.startswith(folder) and checkpoint(spark.range(4)).count() == 4
+        assert not Path(inner).exists() and kept.count() == 10
+    assert not Path(folder).exists() and shared_folder(spark) != folder
+    with pytest.raises(RuntimeError), scratch(spark) as broken:
+        checkpoint(spark.range(1))
+        raise RuntimeError
+    assert not Path(broken).exists() and checkpoint(spark.range(5)).count() == 5
