@@ -132,10 +132,11 @@ def _(spark, d):
 @query("g7_patristic", "WITH l AS (SELECT s_suppkey AS node, 1000 + s_nationkey AS up, 1.0 + s_suppkey % 5 AS w FROM supplier), r AS (SELECT 1000 + n_nationkey AS node, 2000 + n_regionkey AS up, 2.0 + n_nationkey % 3 AS w FROM nation), q AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_nationkey = b.s_nationkey AS same, na.n_regionkey = nb.n_regionkey AS near FROM supplier a JOIN nation na ON a.s_nationkey = na.n_nationkey JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 JOIN nation nb ON b.s_nationkey = nb.n_nationkey) SELECT q.a, q.b, CASE WHEN same THEN x.w + y.w ELSE x.w + y.w + u.w + v.w END AS distance FROM q JOIN l x ON x.node = a JOIN l y ON y.node = b JOIN r u ON u.node = x.up JOIN r v ON v.node = y.up WHERE same OR near")
 def _(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
-    leaf = s.select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") + 1000).cast("long").alias("up"), (1.0 + F.col("s_suppkey") % 5).alias("w"))
-    mid = n.select((F.col("n_nationkey") + 1000).cast("long").alias("up"), (F.col("n_regionkey") + 2000).cast("long").alias("top"), (2.0 + F.col("n_nationkey") % 3).alias("v"))
+    level = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("key"))  # noqa: E731  # keys of suppliers may be those of nations
+    leaf = s.select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("up"), (1.0 + F.col("s_suppkey") % 5).alias("w"))
+    mid = n.select(F.col("n_nationkey").alias("up"), F.col("n_regionkey").alias("top"), (2.0 + F.col("n_nationkey") % 3).alias("v"))
     two = leaf.join(mid, "up")
-    lengths = leaf.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"), F.lit(0.0).alias("length")).union(two.select("node", "up", F.lit(1), "w")).union(two.select("node", "top", F.lit(2), F.col("w") + F.col("v")))
+    lengths = leaf.select("node", level("supplier", "node").alias("ancestor"), F.lit(0).alias("depth"), F.lit(0.0).alias("length")).union(two.select("node", level("nation", "up"), F.lit(1), "w")).union(two.select("node", level("region", "top"), F.lit(2), F.col("w") + F.col("v")))
     pairs = s.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
     return graph.patristic(lengths, pairs).select("a", "b", "distance")
 
