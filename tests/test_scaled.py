@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import __spark_entry__  # noqa: E402
 from compare import rows  # noqa: E402
 
-from weft.operators import replicates, resampling  # noqa: E402
+from weft.operators import graph, replicates, resampling  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -43,3 +43,38 @@ def test_many_vectors_are_not_broadcast(spark, monkeypatch, sent):
     want = {r.replicate: r.s for r in resampling.weighted(df, resampling.draws(df, "id", 30, "n", ["g"]), ["g", "id"]).groupBy("replicate").agg(F.sum(F.col("weight") * F.col("x")).alias("s")).collect()}
     got = {r.replicate: r.s for r in replicates.replicate_sums(df, [(drawn, ["g", "id"])], 30, {"s": F.col("x")}).collect()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_common_items_are_counted_in_blocks(spark, monkeypatch, group):
+    """Several blocks and several strips of items give the pairs of the join, and none is cut."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([("xy"[i % 2], f"s{i:02d}", int(j)) for i in range(40) for j in rng.choice(30, 1 + i % 12, replace=False)], "g string, id string, item long")
+    want = {tuple(r)[:-1]: r.jaccard for r in graph.shared_jaccard(df, "id", "item", group).collect()}
+    monkeypatch.setattr(graph, "SIDE", 7)
+    monkeypatch.setattr(graph, "ITEMS", 4)
+    called = []
+    monkeypatch.setattr(graph, "_jaccard_of_blocks", lambda *a, f=graph._jaccard_of_blocks: called.append(1) or f(*a))
+    got = {tuple(r)[:-1]: r.jaccard for r in graph.shared_jaccard(df, "id", "item", group).collect()}
+    assert called and len(got) > 100 and got == want
+
+
+@pytest.mark.parametrize("at_once", [16, 1 << 20])
+def test_spanning_edges_with_ties_on_a_long_path(spark, monkeypatch, at_once):
+    """Labels used to walk one node a round along the edges that components chose."""
+    monkeypatch.setattr(graph, "EDGES", at_once)
+    edges = [(i, i + 1, float(100 - i)) for i in range(70)] + [(i, i + 9, 5.0) for i in range(0, 60, 2)] + [(200, 201, 1.0)]
+    part = {n: n for e in edges for n in e[:2]}
+
+    def find(n):
+        return n if part[n] == n else find(part[n])
+
+    want = {e for e in edges if e[2] >= 99}
+    for a, b, w in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if find(a) != find(b):
+            part[find(a)] = find(b)
+            want.add((a, b, w))
+    rounds = []
+    monkeypatch.setattr(graph, "checkpoint", lambda df, f=graph.checkpoint: rounds.append(1) or f(df))
+    assert {tuple(r) for r in graph.spanning_edges(spark.createDataFrame(edges, "a long, b long, w double").repartition(3), "w", 99.0).collect()} == want
+    assert len(rounds) < 40
