@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import __spark_entry__  # noqa: E402
 from compare import rows  # noqa: E402
 
-from weft.operators import graph, replicates, resampling  # noqa: E402
+from weft.operators import assignment, graph, replicates, resampling  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -78,3 +78,25 @@ def test_spanning_edges_with_ties_on_a_long_path(spark, monkeypatch, at_once):
     monkeypatch.setattr(graph, "checkpoint", lambda df, f=graph.checkpoint: rounds.append(1) or f(df))
     assert {tuple(r) for r in graph.spanning_edges(spark.createDataFrame(edges, "a long, b long, w double").repartition(3), "w", 99.0).collect()} == want
     assert len(rounds) < 40
+
+
+def test_equal_windows_are_matched_by_their_number(spark, monkeypatch):
+    """The total is that of an assignment of single genes, while pairs of windows are scored once."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        gain = rng.integers(0, 5, (rng.integers(1, 6), rng.integers(1, 6))) / 7
+        supply, demand = rng.integers(1, 5, gain.shape[0]), rng.integers(1, 5, gain.shape[1])
+        single = gain.repeat(supply, 0).repeat(demand, 1)
+        got = assignment.best_transport(gain, supply, demand)
+        assert sum(n * gain[i, j] for i, j, n in got) == pytest.approx(sum(single[i, j] for i, j in assignment.best_assignment(single)))
+        assert all(sum(n for i, _, n in got if i == k) <= supply[k] for k in range(len(supply))) and all(sum(n for _, j, n in got if j == k) <= demand[k] for k in range(len(demand)))
+    windows = [["p", "q", "r"], ["q", "r", "s"], ["p", "s", "t"], ["t"], []]
+    genes = [(i, "f", "left" if i % 3 else "right", windows[i * i % 5 if i % 2 else i % 5]) for i in range(60)]
+    jaccard = lambda x, y: len({*x} & {*y}) / max(1, len({*x} | {*y}))
+    own = [[w for _, _, s, w in genes if s == side] for side in ("left", "right")]
+    gain = np.array([[jaccard(x, y) for y in own[1]] for x in own[0]])
+    scored = []
+    monkeypatch.setattr(assignment, "optimal_pairs", lambda s, *a, f=assignment.optimal_pairs: scored.append(s.count()) or f(s, *a))
+    r = assignment.family_synteny(spark.createDataFrame(genes, "id long, family string, side string, window array<string>"), ["family"]).first()
+    assert r.jaccard == pytest.approx(sum(gain[i, j] for i, j in assignment.best_assignment(gain)) / 40)
+    assert scored[0] <= 16

@@ -138,11 +138,52 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((c, r) for r, c in pairs) if turned else sorted(pairs)
 
 
-def optimal_pairs(scores: DataFrame, group: Sequence[str], left: str, right: str, score: str) -> DataFrame:
+def best_transport(gain: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, column, n) with the largest total of n times gain, where a row serves `supply` and a column `demand` times; best augmenting paths, each as often as it has room."""
+    if supply.max() == 1 and demand.max() == 1:
+        return [(i, j, 1) for i, j in best_assignment(gain)]
+    flow, supply, demand = np.zeros(gain.shape, np.int64), supply.astype(np.int64), demand.astype(np.int64)
+    every, tiny = np.arange(gain.shape[1]), 1e-12
+    while True:
+        row, row_from = np.where(supply > 0, 0.0, -np.inf), np.full(gain.shape[0], -1)
+        col, col_from = np.full(gain.shape[1], -np.inf), np.full(gain.shape[1], -1)
+        while True:
+            over = row[:, None] + gain
+            at = over.argmax(0)
+            better = over[at, every] > col + tiny
+            if not better.any():
+                break
+            col[better], col_from[better] = over[at, every][better], at[better]
+            back = np.where(flow > 0, col[None, :] - gain, -np.inf)
+            at = back.argmax(1)
+            value = back[np.arange(len(at)), at]
+            better = value > row + tiny
+            row[better], row_from[better] = value[better], at[better]
+        open_ = np.where(demand > 0, col, -np.inf)
+        j = int(open_.argmax())
+        if open_[j] <= tiny:
+            return [(int(i), int(j), int(flow[i, j])) for i, j in zip(*np.nonzero(flow))]
+        path, end = [], j
+        while True:
+            i = int(col_from[j])
+            path.append((i, j, 1))
+            if row_from[i] < 0:
+                break
+            j = int(row_from[i])
+            path.append((i, j, -1))
+        n = min(int(supply[i]), int(demand[end]), *(int(flow[i, j]) for i, j, sign in path if sign < 0))
+        for k, j, sign in path:
+            flow[k, j] += sign * n
+        supply[i] -= n
+        demand[end] -= n
+
+
+def optimal_pairs(scores: DataFrame, group: Sequence[str], left: str, right: str, score: str, times: tuple[str, str] | None = None) -> DataFrame:
     """(group, left, right, score): the one-to-one assignment with the largest total in each group; pairs that are absent or score zero or less are not returned.
 
     A group is solved by connected components of its scoring pairs, which is the same: no
-    pair joins two of them.
+    pair joins two of them. `times` names two columns of how many equal ones the left and
+    the right stand for; then a column `n` tells how often a pair is taken.
     """
     group = list(group)
     kinds = dict(scores.dtypes)
@@ -150,14 +191,22 @@ def optimal_pairs(scores: DataFrame, group: Sequence[str], left: str, right: str
     scores = checkpoint(scores.where(F.col(score) > 0).withColumn("_u", node("left", left)))
     of = components(scores.select(F.col("_u").alias("u"), node("right", right).alias("v")))
     scores = scores.join(of.withColumnRenamed("node", "_u"), "_u").withColumnRenamed("component", "_part")
+    columns = [*group, left, right, score, *(["n"] if times else [])]
 
     def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         key = key[:-1]
         m = g.pivot_table(index=left, columns=right, values=score, aggfunc="max", fill_value=0.0)
-        pairs = [(*key, m.index[i], m.columns[j], float(m.iat[i, j])) for i, j in best_assignment(m.to_numpy(float)) if m.iat[i, j] > 0]
-        return pd.DataFrame(pairs, columns=[*group, left, right, score])
+        gain = m.to_numpy(float)
+        if times:
+            room = [g.groupby(side)[name].max().loc[labels].to_numpy() for side, name, labels in ((left, times[0], m.index), (right, times[1], m.columns))]
+            pairs = [(*key, m.index[i], m.columns[j], float(gain[i, j]), n) for i, j, n in best_transport(gain, *room) if gain[i, j] > 0]
+        else:
+            pairs = [(*key, m.index[i], m.columns[j], float(gain[i, j])) for i, j in best_assignment(gain) if gain[i, j] > 0]
+        return pd.DataFrame(pairs, columns=columns)
 
-    return scores.groupBy(*group, "_part").applyInPandas(one, ", ".join([f"`{c}` {kinds[c]}" for c in (*group, left, right)] + [f"`{score}` double"]))
+    # a few components are much work: the number of partitions is given, so that Spark does not merge them by size
+    dealt = scores.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "_part")
+    return dealt.groupBy(*group, "_part").applyInPandas(one, ", ".join([f"`{c}` {kinds[c]}" for c in (*group, left, right)] + [f"`{score}` double"] + (["n long"] if times else [])))
 
 
 def lcs_share():
@@ -195,16 +244,21 @@ def family_synteny(genes: DataFrame, family: Sequence[str]) -> DataFrame:
 
     `genes` is (id, family, side left or right, window: the neighbours' names in order).
     Only genes that share a neighbour meet, through it; all others have similarity zero and
-    add nothing, as genes that stay unmatched do. `lcs` is the mean of the matched pairs'
-    share of common order, the better of both strands.
+    add nothing, as genes that stay unmatched do. Genes of a side with the same window are
+    matched as one with their number. `lcs` is the mean of the matched pairs' share of
+    common order, the better of both strands.
     """
     family = list(family)
     sized = genes.groupBy(*family).agg(F.count_if(F.col("side") == "left").alias("n_left"), F.count_if(F.col("side") == "right").alias("n_right")).where("n_left > 0 AND n_right > 0")
-    item = genes.join(sized.select(*family), family).select(*family, "side", "id", F.explode(F.array_distinct("window")).alias("_item"))
+    kept = genes.join(sized.select(*family), family).groupBy(*family, "side", "window").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    kept = checkpoint(kept)
+    item = kept.select(*family, "side", "id", F.explode(F.array_distinct("window")).alias("_item"))
     side = lambda which, name: item.where(F.col("side") == which).select(*family, "_item", F.col("id").alias(name))
-    pairs = side("left", "a").join(side("right", "b"), [*family, "_item"]).select(*family, "a", "b").distinct()
-    scored = checkpoint(synteny_score(genes.select("id", "window"), pairs, "id", "window").select(*family, "a", "b", "jaccard", "lcs"))
-    chosen = optimal_pairs(scored.drop("lcs"), family, "a", "b", "jaccard").drop("jaccard").join(scored, [*family, "a", "b"])
-    total = chosen.groupBy(*family).agg(F.sum("jaccard").alias("_j"), F.sum("lcs").alias("_l"))
+    shared = side("left", "a").join(side("right", "b"), [*family, "_item"]).groupBy(*family, "a", "b").agg(F.count(F.lit(1)).alias("_k"))
+    size = lambda name, n: kept.select(F.col("id").alias(name), F.size(F.array_distinct("window")).alias(f"_size_{name}"), F.col("n").alias(n))
+    scored = shared.join(size("a", "_na"), "a").join(size("b", "_nb"), "b").withColumn("jaccard", F.col("_k") / (F.col("_size_a") + F.col("_size_b") - F.col("_k")))
+    taken = optimal_pairs(scored.select(*family, "a", "b", "jaccard", "_na", "_nb"), family, "a", "b", "jaccard", ("_na", "_nb"))
+    chosen = synteny_score(kept.select("id", "window"), taken.drop("jaccard"), "id", "window")
+    total = chosen.groupBy(*family).agg(F.sum(F.col("n") * F.col("jaccard")).alias("_j"), F.sum(F.col("n") * F.col("lcs")).alias("_l"))
     over = F.greatest("n_left", "n_right")
     return sized.join(total, family, "left").select(*family, "n_left", "n_right", (F.coalesce("_j", F.lit(0.0)) / over).alias("jaccard"), (F.coalesce("_l", F.lit(0.0)) / over).alias("lcs"))
