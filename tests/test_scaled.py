@@ -1,5 +1,6 @@
 """Tables whose keys, sizes or estimates differ from the smallest ones."""
 
+import hashlib
 import sys
 from pathlib import Path
 
@@ -100,3 +101,23 @@ def test_equal_windows_are_matched_by_their_number(spark, monkeypatch):
     r = assignment.family_synteny(spark.createDataFrame(genes, "id long, family string, side string, window array<string>"), ["family"]).first()
     assert r.jaccard == pytest.approx(sum(gain[i, j] for i, j in assignment.best_assignment(gain)) / 40)
     assert scored[0] <= 16
+
+
+@pytest.mark.parametrize("listed", [1, 3, 16])
+def test_assigned_controls_beyond_what_was_listed(spark, monkeypatch, listed):
+    """Only the first controls of a list leave the task; targets that use them up get more."""
+    monkeypatch.setattr(resampling, "LISTED", listed)
+    kept = []
+    monkeypatch.setattr(resampling, "_least_hashed", lambda t, s, f=resampling._least_hashed: kept.append(f(t, s)) or kept[-1])
+    pools = {t: [c for c in range(100, 112) if t < 9 or c < 105] for t in range(14)}
+    got = resampling.assigned_controls(spark.createDataFrame([(t, c) for t in pools for c in pools[t]], "target_id long, control_id long"), 6, "s").collect()
+    want = set()
+    for r in range(1, 7):
+        used = set()
+        for t in sorted(pools):
+            own = sorted(pools[t], key=lambda c: hashlib.sha256(f"s|{r}|{t}|{c}".encode()).digest())
+            pick = next((c for c in own if c not in used), own[0])
+            used.add(pick)
+            want.add((r, t, pick))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert kept[0].selectExpr("max(size(_list))").first()[0] == min(listed, 12)
