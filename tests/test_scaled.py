@@ -121,3 +121,15 @@ def test_assigned_controls_beyond_what_was_listed(spark, monkeypatch, listed):
             want.add((r, t, pick))
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert kept[0].selectExpr("max(size(_list))").first()[0] == min(listed, 12)
+
+
+def test_resampled_spearman_meets_no_replicate_with_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(int(i), float(rng.integers(0, 9)), int(rng.integers(0, 4)), float(rng.random())) for i in rng.integers(0, 6, 80)], "k long, a double, b long, c double")
+    name = lambda r: (r.r_a_b, r.r_a_c, r.r_b_c)
+    monkeypatch.setattr(resampling, "FEW", 0)
+    want = {r.replicate: name(r) for r in resampling.spearman_block_bootstrap(df, "k", ["a", "b", "c"], 25, "s").collect()}
+    monkeypatch.setattr(resampling, "FEW", 64)
+    monkeypatch.setattr(resampling, "draws", None)
+    got = {r.replicate: name(r) for r in resampling.spearman_block_bootstrap(df, "k", ["a", "b", "c"], 25, "s").collect()}
+    assert len(got) == 25 and all(got[r] == pytest.approx(want[r]) for r in want)
