@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import __spark_entry__  # noqa: E402
 from compare import rows  # noqa: E402
 
-from weft.operators import assignment, graph, replicates, resampling  # noqa: E402
+from weft.operators import assignment, graph, relational, replicates, resampling  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -133,3 +133,13 @@ def test_resampled_spearman_meets_no_replicate_with_rows(spark, monkeypatch):
     monkeypatch.setattr(resampling, "draws", None)
     got = {r.replicate: name(r) for r in resampling.spearman_block_bootstrap(df, "k", ["a", "b", "c"], 25, "s").collect()}
     assert len(got) == 25 and all(got[r] == pytest.approx(want[r]) for r in want)
+
+
+def test_staged_match_limits_targets_before_the_shuffle(spark):
+    t = spark.createDataFrame([(i, 1, float(i)) for i in range(6)], "target_id long, k long, x double")
+    p = spark.createDataFrame([(100 + i, 1, i / 10) for i in range(60)], "control_id long, k long, y double")
+    met = relational.staged_match(t, p, ["k"], "x", "y", [1.0, 9.0], 3, 4, F.col("control_id").cast("string"))
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 2
+    got = {(r.target_id, r.place): r.control_id for r in met.collect()}
+    nearest = lambda i: sorted(range(60), key=lambda c: (abs(c / 10 - i), str(100 + c)))[:4]
+    assert got == {(i, n + 1): 100 + c for i in range(6) for n, c in enumerate(nearest(i))}

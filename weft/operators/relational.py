@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.checkpoints import checkpoint
-from weft.operators.ordered import row_numbers
+from weft.operators.ordered import top_per_group
 
 
 class CardinalityError(ValueError):
@@ -119,14 +119,15 @@ def staged_match(targets: DataFrame, pool: DataFrame, block: Sequence[str], x: s
     `targets` has target_id and x, `pool` control_id and y, both the columns `block`; `tie`
     may read all. A target that one caliper serves does not enter the next, so wide calipers
     are looked into for the others only. Returns target_id, control_id, stage (1 the
-    tightest), pool_size, place.
+    tightest), pool_size, place. Of the pairs within a caliper, which grow with the product
+    of both sides, a task hands on the nearest `most` of a target only.
     """
     found = []
     for k, limit in enumerate(stages, 1):
         met = near_values(targets, pool, block, x, y, limit).where(F.col("target_id") != F.col("control_id"))
         served = checkpoint(met.groupBy("target_id").agg(F.count(F.lit(1)).alias("pool_size")).where(F.col("pool_size") >= least))
         near = met.join(served, "target_id").select("target_id", "control_id", F.lit(k).alias("stage"), "pool_size", "_d", tie.alias("_tie"))
-        found.append(row_numbers(near, ["target_id"], ["_d", "_tie", "control_id"], "place").where(F.col("place") <= most))
+        found.append(top_per_group(near, ["target_id"], ["_d", "_tie", "control_id"], most, "place"))
         targets = targets.join(served, "target_id", "left_anti")
     return functools.reduce(DataFrame.unionByName, found).drop("_d", "_tie")
 
