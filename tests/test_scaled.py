@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import __spark_entry__  # noqa: E402
 from compare import rows  # noqa: E402
 
-from weft.operators import assignment, graph, relational, replicates, resampling  # noqa: E402
+from weft.operators import assignment, graph, relational, replicates, resampling, shuffles  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -143,3 +143,27 @@ def test_staged_match_limits_targets_before_the_shuffle(spark):
     got = {(r.target_id, r.place): r.control_id for r in met.collect()}
     nearest = lambda i: sorted(range(60), key=lambda c: (abs(c / 10 - i), str(100 + c)))[:4]
     assert got == {(i, n + 1): 100 + c for i in range(6) for n, c in enumerate(nearest(i))}
+
+
+@pytest.mark.parametrize("dag", [False, True])
+def test_closure_by_partitions_of_bounded_size(spark, monkeypatch, dag):
+    """Depths, and distances of repeated pairs, of a deep hierarchy whose rows take many partitions; also where nodes have two parents."""
+    monkeypatch.setattr(graph, "AT_ONCE", 40)
+    parents = {n: {n - 1} if n < 12 else {n // 3} for n in range(1, 70)}
+    if dag:
+        for n in range(20, 70, 3):
+            parents[n].add(n - 7)
+    up = {0: {0: 0}}
+    for n in sorted(parents):
+        up[n] = {n: 0}
+        for p in parents[n]:
+            for a, d in up[p].items():
+                up[n][a] = min(up[n].get(a, 99), d + 1)
+    edges = spark.createDataFrame([(n, p) for n, ps in parents.items() for p in ps], "node long, parent long")
+    closure = graph.ancestors(edges)
+    assert sorted(map(tuple, closure.collect())) == sorted((n, a, d) for n in up for a, d in up[n].items() if a != n)
+    pairs = [(a, b) for a in range(0, 70, 5) for b in range(0, 75, 4)] * 2
+    nodes = spark.createDataFrame([(n,) for n in up], "node long")
+    want = {(a, b): min((up[a][x] + up[b][x], x) for x in up[a].keys() & up[b].keys()) for a, b in pairs if a in up and b in up}
+    got = graph.path_distance(spark.createDataFrame(pairs, "a long, b long"), graph.with_self(closure, nodes)).collect()
+    assert {(r.a, r.b): (r.distance, r.ancestor) for r in got} == want and len(got) == len(want)
