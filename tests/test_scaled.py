@@ -167,3 +167,15 @@ def test_closure_by_partitions_of_bounded_size(spark, monkeypatch, dag):
     want = {(a, b): min((up[a][x] + up[b][x], x) for x in up[a].keys() & up[b].keys()) for a, b in pairs if a in up and b in up}
     got = graph.path_distance(spark.createDataFrame(pairs, "a long, b long"), graph.with_self(closure, nodes)).collect()
     assert {(r.a, r.b): (r.distance, r.ancestor) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("packed", [5, 100])
+def test_shuffled_labels_are_bits(spark, monkeypatch, packed):
+    monkeypatch.setattr(shuffles, "PACKED", packed)
+    df = spark.createDataFrame([(i, i % 3 // 2) for i in range(20)], "id long, y int")
+    for replicates_ in (3, 8, 21):
+        got = {r.id: r.labels for r in shuffles.shuffled_labels(df, "id", "y", replicates_, "z").collect()}
+        assert {len(x) for x in got.values()} == {-(-replicates_ // 8)}
+        for r in range(1, replicates_ + 1):
+            order = sorted(range(20), key=lambda i: hashlib.sha256(f"z|{r}|{i}".encode()).hexdigest())
+            assert [got[x][(r - 1) // 8] >> (7 - (r - 1) % 8) & 1 for x in order] == [i % 3 // 2 for i in range(20)]

@@ -1,6 +1,6 @@
 """Score tests of many features against shuffled labels, the null model fitted anew for each shuffle.
 
-A row carries its label in every shuffle as one packed vector. All null models are fitted
+A row carries its label in every shuffle as one vector of bits. All null models are fitted
 together: a step is one pass in which each task adds up the weighted Gram matrices of its
 rows for all shuffles, and the coefficients (shuffles times predictors) are all that is
 gathered. Features then meet their rows once, and every feature is scored against all
@@ -22,11 +22,12 @@ from weft.operators.ordered import row_numbers
 from weft.operators.replicates import BUCKET, HASHES, PACKED, _spread
 from weft.operators.resampling import permuted_labels
 
-SALTS, AT_ONCE, MANY_STEPS = 8, 1024, 100
+#: RANGES: ranges of shuffles that the rows are at most sent to.
+SALTS, AT_ONCE, MANY_STEPS, RANGES = 8, 1024, 100, 24
 
 
 def shuffled_labels(df: DataFrame, ident: str, label: str, replicates: int, seed: str) -> DataFrame:
-    """(ident, labels): the labels 0 or 1 of every row after each shuffle, a byte each.
+    """(ident, labels): the labels 0 or 1 of every row after each shuffle, a bit each, first the highest.
 
     The label of the row whose place by id is this row's place by hash, as in
     `permuted_labels`. Shuffles are tasks up to PACKED rows; beyond, they are sorted as rows.
@@ -35,10 +36,13 @@ def shuffled_labels(df: DataFrame, ident: str, label: str, replicates: int, seed
     if rows.limit(PACKED + 1).count() > PACKED:
         each = permuted_labels(rows, [], "_id", "_y", replicates, seed)
         packed = each.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", "permuted"))), lambda x: x.permuted).alias("l"))
-        return packed.select(F.col("_id").alias(ident), F.unhex(F.array_join(F.transform("l", lambda y: F.lpad(y.cast("string"), 2, "0")), "")).alias("labels"))
+        full = F.concat("l", F.array_repeat(F.lit(0), -replicates % 4))
+        digit = lambda k: F.hex(F.aggregate(F.slice(full, k, 4), F.lit(0), lambda bits, y: bits * 2 + y))
+        digits = F.transform(F.sequence(F.lit(1), F.lit(replicates), F.lit(4)), digit)
+        return packed.select(F.col("_id").alias(ident), F.unhex(F.concat(F.array_join(digits, ""), F.lit("0" * (-(-replicates // 4) % 2)))).alias("labels"))
     numbered = checkpoint(row_numbers(rows, [], ["_id"], "_i").withColumn("_i", F.col("_i") - 1))
     whole = numbered.agg(F.sort_array(F.collect_list(F.struct("_i", F.col("_id").cast("string").alias("name"), F.col("_y").alias("y")))).alias("rows"), F.count(F.lit(1)).alias("n")).where("n > 0")
-    step = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(HASHES) / F.col("n")))
+    step = F.greatest(F.lit(-(-replicates // RANGES)).cast("long"), F.floor(F.lit(HASHES) / F.col("n")))
     tasks = whole.select("rows", step.alias("step"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"), step)).alias("first"))
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,14 +65,15 @@ def shuffled_labels(df: DataFrame, ident: str, label: str, replicates: int, seed
         first = [*t.column("first").to_pylist(), replicates + 1]
         parts = [np.frombuffer(p, np.uint8).reshape(-1, b - a) for p, a, b in zip(t.column("part").to_pylist(), first, first[1:])]
         whole = np.hstack(parts)
-        return pa.table([pa.array(np.arange(len(whole)) + key[0].as_py() * BUCKET, pa.int64()), pa.array([r.tobytes() for r in whole], pa.binary())], names=["_i", "labels"])
+        return pa.table([pa.array(np.arange(len(whole)) + key[0].as_py() * BUCKET, pa.int64()), pa.array([r.tobytes() for r in np.packbits(whole, axis=1)], pa.binary())], names=["_i", "labels"])
 
     vectors = _spread(tasks).mapInArrow(shuffle, "bucket long, first long, part binary").groupBy("bucket").applyInArrow(joined, "_i long, labels binary")
     return vectors.join(numbered, "_i").select(F.col("_id").alias(ident), "labels")
 
 
-def _labels(b) -> np.ndarray:
-    return np.frombuffer(b"".join(b.column("labels").to_pylist()), np.uint8).reshape(b.num_rows, -1).astype(np.float64)
+def _labels(b, replicates: int) -> np.ndarray:
+    packed = np.frombuffer(b"".join(b.column("labels").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+    return np.unpackbits(packed, axis=1, count=replicates).astype(np.float64)
 
 
 def _predictors(b, k: int) -> np.ndarray:
@@ -97,7 +102,7 @@ def shuffled_nulls(rows: DataFrame, predictors: int, replicates: int, ridge: flo
             for b in batches:
                 for a in range(0, b.num_rows, AT_ONCE):
                     part = b.slice(a, AT_ONCE)
-                    x, y = _predictors(part, k), _labels(part)
+                    x, y = _predictors(part, k), _labels(part, replicates)
                     eta, mu, w = _model(x, current)
                     z = w * eta + y - mu
                     for i in range(k):
@@ -154,7 +159,7 @@ def shuffled_scores(rows: DataFrame, features: DataFrame, ident: str, label: str
                     part = b.slice(a, min(AT_ONCE, last - a))
                     xs, v = _predictors(part, k), part.column("value").to_numpy(zero_copy_only=False)
                     _, mu, w = _model(xs, beta)
-                    total[0] += v @ (_labels(part) - mu)
+                    total[0] += v @ (_labels(part, replicates) - mu)
                     total[1] += (v * v) @ w
                     total[2:] += (xs * v[:, None]).T @ w
         if name is not None:
