@@ -169,6 +169,21 @@ def test_closure_by_partitions_of_bounded_size(spark, monkeypatch, dag):
     assert {(r.a, r.b): (r.distance, r.ancestor) for r in got} == want and len(got) == len(want)
 
 
+def test_a_stratum_is_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """However many rows it has, so that what is sent grows with the rows."""
+    sent = []
+    spread = replicates._spread
+    monkeypatch.setattr(replicates, "_spread", lambda tasks: sent.append(tasks.count()) or spread(tasks))
+    monkeypatch.setattr(replicates, "HASHES", 50)
+    monkeypatch.setattr(replicates, "AT_ONCE", 7)
+    df = spark.createDataFrame([(i, "g", i % 3 // 2, float(i)) for i in range(40)], "id long, g string, y int, p double")
+    got = {r.replicate: r.s1 for r in resampling.permutation_totals(df, ["g"], "id", "y", "p", 500, "b").collect()}
+    assert sent[0] <= replicates.RANGES and len(got) == 500
+    for r in (1, 97, 500):
+        order = sorted(range(40), key=lambda i: hashlib.sha256(f"b|{r}|{i}".encode()).hexdigest())
+        assert got[r] == sum(float(x) for i, x in enumerate(order) if i % 3 // 2 == 1)
+
+
 @pytest.mark.parametrize("packed", [5, 100])
 def test_shuffled_labels_are_bits(spark, monkeypatch, packed):
     monkeypatch.setattr(shuffles, "PACKED", packed)
