@@ -167,3 +167,19 @@ def test_nothing(docs):
     assert divergence.audit(none).count() == 0
     unnamed = docs.sparkSession.createDataFrame([(None, "a a a")], "doc_id long, text string")
     assert periodic.periodic_runs(unnamed).count() == 0 and bpe.encode(unnamed, PATH).count() == 0
+
+
+def test_round_trip_decodes_within_the_block(spark, monkeypatch):
+    """Slices and several blocks give what encoding and decoding apart give, without a second Python worker for the ids."""
+    from weft.llm import bpe
+
+    monkeypatch.setattr(bpe, "SLICE", 3)
+    monkeypatch.setattr(bpe, "ROW_WORDS", 20)
+    texts = ["", None, "a b  c\n", "naïve 北京 \U0001f600", *[f"row {i} of {'many ' * (i % 7)}words" for i in range(40)]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = bpe.round_trip(docs, block_bytes=150)
+    ranks, pattern = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
+    apart = bpe.digests(bpe.encode(docs, ranks, pattern), ranks)
+    stages = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert stages(got) < stages(apart)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.collect())) and got.count() == len(texts)
