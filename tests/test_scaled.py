@@ -2,11 +2,13 @@
 
 import hashlib
 import sys
+import tracemalloc
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import __spark_entry__  # noqa: E402
 from compare import rows  # noqa: E402
 
+from weft.functions import sequence  # noqa: E402
 from weft.operators import assignment, graph, relational, replicates, resampling, shuffles  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -194,3 +197,14 @@ def test_shuffled_labels_are_bits(spark, monkeypatch, packed):
         for r in range(1, replicates_ + 1):
             order = sorted(range(20), key=lambda i: hashlib.sha256(f"z|{r}|{i}".encode()).hexdigest())
             assert [got[x][(r - 1) // 8] >> (7 - (r - 1) % 8) & 1 for x in order] == [i % 3 // 2 for i in range(20)]
+
+
+def test_places_of_a_batch_need_no_python_texts():
+    """A batch of texts is not held a second time as Python strings; nulls and texts without a place stay what they are."""
+    texts = pa.array([None, "", "CACACG", *["ACGT" * 5000 + "CACGCACG"] * 400])
+    tracemalloc.start()
+    got = sequence._places(texts, "(?=CACG)")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1_000_000 < texts.nbytes
+    assert got.type == pa.list_(pa.int32()) and got.to_pylist() == [None, [], [3], *[[20001, 20005]] * 400]

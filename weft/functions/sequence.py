@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +31,23 @@ def overlapping_count(s: Column, motif: str) -> Column:
     return F.regexp_count(s, F.lit(f"(?={re.escape(motif)})")).cast("long")
 
 
+def _places(texts: pa.Array, pattern: str) -> pa.Array:
+    """A list of places for each text. Texts become Python strings one at a time, places are four bytes each."""
+    scan, places, ends = re.compile(pattern).finditer, array("i"), array("i", [0])
+    for t in texts:
+        if t.is_valid:
+            places.extend(m.start() + 1 for m in scan(t.as_py()))
+        ends.append(len(places))
+    lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(places, np.int32) if places else np.zeros(0, np.int32)))
+    return pc.if_else(texts.is_valid(), lists, pa.scalar(None, lists.type)) if texts.null_count else lists
+
+
 def _found(s: Column, pattern: str) -> Column:
     """Places (from 1) where matches begin, in one scan of the text."""
 
-    @F.pandas_udf("array<int>")
-    def found(texts: pd.Series) -> pd.Series:
-        scan = re.compile(pattern).finditer
-        return pd.Series([None if t is None else [m.start() + 1 for m in scan(t)] for t in texts], dtype=object)
+    @F.arrow_udf("array<int>")
+    def found(texts: pa.Array) -> pa.Array:
+        return _places(texts, pattern)
 
     return found(s)
 
