@@ -2,16 +2,17 @@
 
 Rows are first split into parts that cannot touch each other: stretches of a stratum
 without a gap as wide as the caliper, or connected components of the pairs that score.
-Each part is one Arrow-backed call.
+Each part is solved by itself within one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.checkpoints import checkpoint
@@ -25,8 +26,8 @@ def greedy_pairs(targets: DataFrame, pool: DataFrame, strata: Sequence[str], val
     is null or not finite matches nothing. A stratum is cut into parts that cannot touch
     each other, which changes no match: with a caliper, where the sorted values leave a gap
     wider than that; without one, at controls that no target can reach (`_apart`). Only
-    controls that may be taken go to Python. A part is one call, in which a target costs
-    two look-ups; a part is large only where targets outnumber the values of the controls
+    controls that may be taken go to Python, where a target costs two look-ups; a part is
+    held whole, and is large only where targets outnumber the values of the controls
     around them.
     """
     strata = list(strata)
@@ -96,18 +97,49 @@ def nearest_free(asked: np.ndarray, x: np.ndarray, ids: Sequence, caliper: float
 
 
 def _greedy(targets: DataFrame, pool: DataFrame, strata: list[str], value: str, caliper: float) -> DataFrame:
-    kinds = dict(targets.dtypes)
-
-    def one(key: tuple, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        t, p = t.assign(x=t["_value"].astype(float)).sort_values(["target_id", "x"]), p.assign(x=p["_value"].astype(float)).sort_values(["x", "control_id"])
-        ids, x = p["control_id"].tolist(), p["x"].to_numpy()
-        places = nearest_free(t["x"].to_numpy(), x, ids, caliper)
-        out = [(*key, target, ids[i], abs(x[i] - v)) for target, v, i in zip(t["target_id"].tolist(), t["x"].tolist(), places, strict=True) if i >= 0]
-        return pd.DataFrame(out, columns=[*strata, "target_id", "control_id", "distance"])
-
-    schema = ", ".join([f"`{s}` {kinds[s]}" for s in strata] + [f"target_id {kinds['target_id']}", f"control_id {dict(pool.dtypes)['control_id']}", "distance double"])
-    narrow = lambda df, ident: df.select(*[F.col(c).alias(c) for c in [*strata, ident]], F.col(value).alias("_value")).groupBy(*strata)
-    return narrow(targets, "target_id").cogroup(narrow(pool, "control_id")).applyInPandas(one, schema)
+    """Parts pass a task one after another as sorted rows, so that many small ones cost no call each; none but the one at hand is held."""
+    kinds, control = dict(targets.dtypes), dict(pool.dtypes)["control_id"]
+    x = F.col(value).cast("double").alias("_x")
+    rows = targets.select(*strata, "target_id", F.lit(None).cast(control).alias("control_id"), x, F.lit(True).alias("_asks"))
+    rows = rows.union(pool.select(*strata, F.lit(None).cast(kinds["target_id"]), "control_id", x, F.lit(False)))
+    # little data may be much work: the number of partitions is given, so that Spark does not merge them by size
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *strata)
+    # controls by value and id, then targets by id and value
+    order = ["_asks", F.col("target_id").asc_nulls_last(), "_x", F.col("control_id").asc_nulls_last()]
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
+
+    def matched(t: pa.Table) -> pa.RecordBatch:
+        """The matches of whole parts."""
+        x, asks, ids = t["_x"].to_numpy(), t["_asks"].to_numpy(), t["control_id"].to_pylist()
+        if t["control_id"].null_count:
+            ids = [(i is None, i) for i in ids]
+        begins = np.flatnonzero(t["_at"].to_numpy() == 1)
+        out, taken = [], []
+        for i, k, j in zip(begins.tolist(), (begins + np.add.reduceat(~asks, begins, dtype=np.int64)).tolist(), [*begins[1:].tolist(), t.num_rows], strict=True):
+            if i < k < j:
+                for at, place in enumerate(nearest_free(x[k:j], x[i:k], ids[i:k], caliper), k):
+                    if place >= 0:
+                        out.append(at)
+                        taken.append(i + place)
+        asked, given = t.take(pa.array(out, pa.int64())), t["control_id"].take(pa.array(taken, pa.int64()))
+        found = pa.table([*[asked[c] for c in (*strata, "target_id")], given, np.abs(x[taken] - x[out]) if out else pa.array([], pa.float64())], names=[*strata, "target_id", "control_id", "distance"])
+        return found.combine_chunks()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            begins = np.flatnonzero(b.column("_at").to_numpy() == 1)
+            if len(begins) and (begins[-1] or held):
+                whole = pa.Table.from_batches([*held, b.slice(0, begins[-1])])
+                held = []
+                yield from matched(whole).to_batches()
+                b = b.slice(begins[-1])
+            held.append(b)
+        if held:
+            yield from matched(pa.Table.from_batches(held)).to_batches()
+
+    schema = ", ".join([f"`{s}` {kinds[s]}" for s in strata] + [f"target_id {kinds['target_id']}", f"control_id {control}", "distance double"])
+    return rows.mapInArrow(each, schema)
 
 
 def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
