@@ -532,3 +532,19 @@ def test_greedy_matching_of_text_ids_and_odd_strata(spark):
     want = [("a", "x", 1.0), ("b", "y", 1.0), ("c", "z", 1.0), ("d", None, 1.0), ("e", None, 5.0)]
     for caliper in (None, 100.0):
         assert got(assignment.greedy_pairs(t, p, ["k"], "x", caliper).drop("k"), "target_id") == want
+
+
+def test_factors_take_equal_pairs_of_counts_once(spark):
+    rng = np.random.default_rng(17)
+    counts = rng.poisson(4 * rng.uniform(0.5, 2, (1, 4)) * rng.lognormal(0, 0.2, (3000, 4)))
+    df = spark.createDataFrame([(k, i, int(counts[i, k])) for i in range(3000) for k in range(4)], "s long, g long, y long")
+    ranked, plain = [], statistics.average_ranks
+    statistics.average_ranks = lambda rows, *rest: ranked.append(rows.count()) or plain(rows, *rest)
+    try:
+        factors = [f for _, f in got(statistics.tmm_factors(df, "s", "g", "y"), "s")]
+    finally:
+        statistics.average_ranks = plain
+    assert factors == pytest.approx(plain_tmm(counts).tolist())
+    assert max(ranked) < 2000  # of over 8,000 genes of samples
+    weighted = spark.createDataFrame([(1.0, 2), (2.0, 3), (None, 1)], "x double, c long")
+    assert [r[2] for r in got(ordered.average_ranks(weighted, [], "x", times="c"), F.col("x").asc_nulls_last())] == [1.5, 4.0, None]

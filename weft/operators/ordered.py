@@ -57,9 +57,9 @@ def equal_count_bins(df: DataFrame, order: list[Column | str], bins: int, name:
     return met_on(numbered, n, group).select(*df.columns, F.floor((F.col("_rank") - 1) * bins / F.col("_n")).cast("long").alias(name))
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Rank with ties given their mean rank; a null value has a null rank, rows of a null group rank among each other."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+def average_ranks(df: DataFrame, group: list[str], value: str, name: str = "rank", times: str | None = None) -> DataFrame:
+    """Rank with ties given their mean rank; a null value has a null rank, rows of a null group rank among each other. `times` names a column of how many equal rows a row stands for."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_n"))
     ends = running_sums(counts, group, [value], {"_end": "_n"})
     ranks = ends.select(*group, value, (F.col("_end") - (F.col("_n") - 1) / 2.0).alias(name))
     return met_on(df, ranks, [*group, value], "left")

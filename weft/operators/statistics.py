@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.ordered import average_ranks, met_on, row_numbers, running_sums
+from weft.checkpoints import checkpoint
+from weft.operators.ordered import average_ranks, met_on, running_sums
 
 
 def _log_choose(n, k):
@@ -232,29 +233,33 @@ def tmm_factors(df: DataFrame, sample: str, gene: str, count: str, trim_m: float
     samples'. Genes enter where both counts are positive and the variance is. Fails if a
     library is empty or a sample has fewer than `least` such genes, before or after trimming.
     """
-    df = df.groupBy(F.col(sample).alias("s"), F.col(gene).alias("g")).agg(F.sum(F.col(count).cast("double")).alias("y"))
-    size = df.groupBy("s").agg(F.sum("y").alias("n"))
-    genes = df.agg(F.count_distinct("g").alias("genes"))
+    cells = checkpoint(df.groupBy(F.col(sample).alias("s"), F.col(gene).alias("g")).agg(F.sum(F.col(count).cast("double")).alias("y")))
+    # equal counts of a sample have equal shares, and equal pairs of counts equal M and A: each is taken once, with its number
+    counts = checkpoint(cells.groupBy("s", "y").agg(F.count(F.lit(1)).alias("c")))
+    size = checkpoint(counts.groupBy("s").agg(F.sum(F.col("y") * F.col("c")).alias("n"), F.sum(F.when(F.col("y") > 0, F.col("c"))).alias("held")))
+    genes = cells.agg(F.count_distinct("g").alias("genes"))
     _fail_if(size.where("n <= 0"), "an empty library: sample")
-    shares = met_on(df.where("y > 0"), size, ["s"]).withColumn("p", F.col("y") / F.col("n"))
     # the quartile's two neighbours by rank: zeros come first, then the positive shares in order
-    placed = row_numbers(shares.select("s", "g", "p"), ["s"], ["p", "g"], "k")
-    found = met_on(placed, placed.groupBy("s").agg(F.count(F.lit(1)).alias("c")), ["s"]).crossJoin(F.broadcast(genes)).withColumn("at", F.col("genes") - F.col("c") + F.col("k") - 1)
+    placed = met_on(running_sums(counts.where("y > 0"), ["s"], ["y"], {"k": "c"}), size, ["s"]).crossJoin(F.broadcast(genes)).withColumn("p", F.col("y") / F.col("n")).withColumn("at", F.col("genes") - F.col("held") + F.col("k") - 1)
     h = (F.col("genes") - 1) * 0.75
-    side = lambda low: F.coalesce(F.max(F.when(F.col("at") == low, F.col("p"))), F.lit(0.0))
-    upper = found.groupBy("s").agg((side(F.floor(h)) + (F.max(h) - F.floor(F.max(h))) * (side(F.floor(h) + 1) - side(F.floor(h)))).alias("u"))
-    ref = upper.join(F.broadcast(upper.agg(F.avg("u").alias("mean")))).orderBy(F.abs(F.col("u") - F.col("mean")), "s").limit(1).select("s")
-    base = shares.join(F.broadcast(ref), "s").select("g", F.col("y").alias("yr"), F.col("n").alias("nr"), F.col("p").alias("pr"))
-    ma = shares.join(F.broadcast(ref), "s", "left_anti").join(base, "g").select("s", "g", F.log2(F.col("p") / F.col("pr")).alias("m"), ((F.log2("p") + F.log2("pr")) / 2).alias("a"), ((F.col("n") - F.col("y")) / F.col("n") / F.col("y") + (F.col("nr") - F.col("yr")) / F.col("nr") / F.col("yr")).alias("v")).where("v > 0")
-    k = ma.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
-    ranked = met_on(average_ranks(average_ranks(ma, ["s"], "m", "rm"), ["s"], "a", "ra"), k, ["s"])
+    side = lambda low: F.coalesce(F.max(F.when(F.col("at").between(low, low + F.col("c") - 1), F.col("p"))), F.lit(0.0))
+    upper = placed.groupBy("s").agg((side(F.floor(h)) + (F.max(h) - F.floor(F.max(h))) * (side(F.floor(h) + 1) - side(F.floor(h)))).alias("u"))
+    ref = checkpoint(upper.join(F.broadcast(upper.agg(F.avg("u").alias("mean")))).orderBy(F.abs(F.col("u") - F.col("mean")), "s").limit(1).select("s"))
+    positive = cells.where("y > 0")
+    base = positive.join(F.broadcast(ref), "s").select("g", F.col("y").alias("yr"))
+    pairs = positive.join(F.broadcast(ref), "s", "left_anti").join(base, "g").groupBy("s", "y", "yr").agg(F.count(F.lit(1)).alias("c"))
+    of_ref = size.join(F.broadcast(ref), "s").select(F.col("n").alias("nr"))
+    shares = met_on(pairs, size.select("s", "n"), ["s"]).crossJoin(F.broadcast(of_ref)).withColumns({"p": F.col("y") / F.col("n"), "pr": F.col("yr") / F.col("nr")})
+    ma = checkpoint(shares.select("s", "c", F.log2(F.col("p") / F.col("pr")).alias("m"), ((F.log2("p") + F.log2("pr")) / 2).alias("a"), ((F.col("n") - F.col("y")) / F.col("n") / F.col("y") + (F.col("nr") - F.col("yr")) / F.col("nr") / F.col("yr")).alias("v")).where("v > 0"))
+    k = ma.groupBy("s").agg(F.sum("c").alias("k"))
+    ranked = met_on(average_ranks(average_ranks(ma, ["s"], "m", "rm", "c"), ["s"], "a", "ra", "c"), k, ["s"])
 
     def within(r: str, trim: float) -> Column:
         low = F.floor(F.col("k") * trim) + 1
         return F.col(r).between(low, F.col("k") + 1 - low)
 
-    kept = ranked.where(within("rm", trim_m) & within("ra", trim_a)).groupBy("s").agg((F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v"))).alias("f"), F.count(F.lit(1)).alias("kept"))
-    others = size.select("s").join(F.broadcast(ref), "s", "left_anti").join(k, "s", "left").join(kept, "s", "left")
+    kept = ranked.where(within("rm", trim_m) & within("ra", trim_a)).groupBy("s").agg((F.sum(F.col("c") * F.col("m") / F.col("v")) / F.sum(F.col("c") / F.col("v"))).alias("f"), F.sum("c").alias("kept"))
+    others = checkpoint(size.select("s").join(F.broadcast(ref), "s", "left_anti").join(k, "s", "left").join(kept, "s", "left"))
     _fail_if(others.where(F.least(F.coalesce("k", F.lit(0)), F.coalesce("kept", F.lit(0))) < least), f"fewer than {least} genes: sample")
     raw = others.select("s", "f").union(ref.select("s", F.lit(0.0)))
     return raw.join(F.broadcast(raw.agg(F.avg("f").alias("mean")))).select(F.col("s").alias(sample), F.pow(F.lit(2.0), F.col("f") - F.col("mean")).alias("factor"))
