@@ -114,3 +114,23 @@ def test_the_stage_drops_an_edited_copy(spark):
 
     docs = [(i, t) for i, t in corpus()[0] if i in (200, 211, 307)]
     assert [r[0] for r in rows(corpus_pipeline.near_dedup_stage(spark, frame(spark, docs), "").select("doc_id"), "doc_id")] == [200, 307]
+
+
+def test_pairs_are_held_to_chains_of_segments(spark):
+    rng = random.Random(5)
+    docs, linked, others = {}, set(), set()
+    for i in range(0, 240, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([5, 6, 9, 30, 31, 33, 60, 200, 700]))]
+        near = list(base)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4, 12, 60])):
+            at = rng.randrange(len(near) + 1)
+            near[at : at + rng.randrange(2)] = ["x%d" % rng.randrange(10**6)] * rng.randrange(2)
+        docs[i], docs[i + 1] = " ".join(base), " ".join(near)
+        a, b = (set(near_dedup._set(docs[j]).tolist()) for j in (i, i + 1))
+        (linked if 9 * len(a & b) >= 4 * (len(a) + len(b)) else others).add((i, i + 1))
+    d = frame(spark, list(docs.items()))
+    node = {r["text"]: r["node"] for r in near_dedup._texts(d).collect()}
+    of = {(node[docs[u]], node[docs[v]]): (u, v) for u, v in linked | others}
+    found = {of[tuple(r)] for r in near_dedup.chained(d, spark.createDataFrame(list(of), "u long, hub long")).collect()}
+    assert linked <= found and len(linked) > 30
+    assert len(others - found) > len(others) / 2 > 10

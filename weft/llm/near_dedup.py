@@ -13,7 +13,12 @@ segment's word is the SimHash of its shingles. Linked sets differ in at most
 k = (n + m) / 9 <= n / 4 shingles, and a shingle lies in one segment, so at most k words of
 a document are missing from the other: among its first k + 1 words, in any order common to
 all documents, one is shared (the pigeonhole on segments, with a budget of zero for the
-first link of a chain). Words of many shingles come first in that order. As only equal
+first link of a chain). The longer links follow before any set travels: two linked sets
+differ in d <= (n + m) / 9 shingles, so on a ring of M segments some start has, for every
+length l, at most floor(l d / M) differences in its first l segments (the pigeonring
+principle; a differing word stands for one difference at least). Pairs that met are held
+to that for chains of 1, 2, 4, ... segments and the whole ring, on a byte of each word,
+and only then is the exact similarity taken. Words of many shingles come first in that order. As only equal
 contents have equal words, a passage that many documents share rarely makes a key, while
 copies meet on many. Documents whose shingles fall into too few segments meet on n // 5 + 1
 plain shingles as well. Segments are sized by classes of document sizes; a document that
@@ -37,7 +42,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,15 +95,24 @@ def _simhash(flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.nda
     return out
 
 
-def _words(flat: np.ndarray, sizes: np.ndarray, size_class: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first k + 1 words of each set (its place, the word), and which sets have fewer words than that."""
+def _segments(size_class: np.ndarray) -> np.ndarray:
+    return np.maximum(1, _FIRST[size_class + 1] * 35 // 100)
+
+
+def _ring(flat: np.ndarray, sizes: np.ndarray, size_class: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the set, segment, word, shingles) of the segments that hold shingles, by set and segment."""
     of = np.repeat(np.arange(len(sizes)), sizes)
-    ring = np.maximum(1, _FIRST[size_class + 1] * 35 // 100).astype(np.uint64)[of]
+    ring = _segments(size_class).astype(np.uint64)[of]
     segment = ((flat >> np.uint64(32)) * ring) >> np.uint64(32)  # rises with the hash, and hashes are sorted
     begins = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (segment[1:] != segment[:-1]))))
     counts = np.diff(np.append(begins, len(flat)))
     of = of[begins]
-    word = _mixed(_simhash(flat, begins, counts), segment[begins], size_class[of])
+    return of, segment[begins], _mixed(_simhash(flat, begins, counts), segment[begins], size_class[of]), counts
+
+
+def _words(flat: np.ndarray, sizes: np.ndarray, size_class: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k + 1 words of each set (its place, the word), and which sets have fewer words than that."""
+    of, _, word, counts = _ring(flat, sizes, size_class)
     order = np.lexsort((word, -np.minimum(counts, 4), of))
     of, word = of[order], word[order]
     found = np.bincount(of, minlength=len(sizes))
@@ -144,8 +158,8 @@ def keys(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(each, "key long, node long")
 
 
-def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(node, hashes) of the documents that a filter of fixed size (half a megabyte) lets pass: all of `asked`, few others. A repeated row has its set again."""
+def _of_asked(docs: DataFrame, asked: DataFrame, columns: Callable[[list[np.ndarray]], list[pa.Array]], names: list[str], schema: str) -> DataFrame:
+    """node and `columns` of the sets of the documents that a filter of fixed size (half a megabyte) lets pass: all of `asked`, few others. A repeated row comes again."""
     at = F.pmod("node", F.lit(_PLACES)) + 1
     maps = asked.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
     places = np.zeros((_PLACES // 32768, 4096), np.uint8)
@@ -156,14 +170,75 @@ def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
         wanted = np.unpackbits(places.ravel(), bitorder="little").astype(bool)
         for b in batches:
             b = b.filter(pa.array(wanted[b.column("node").to_numpy() % _PLACES]))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([_set(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["node", "hashes"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("node"), *columns([_set(t) for t in b.column("text").to_pylist()])], names=["node", *names])
+
+    return _texts(docs).mapInArrow(each, f"node long, {schema}")
+
+
+def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, hashes) of all of `asked` and few others."""
+    return _of_asked(docs, asked, lambda sets: [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["hashes"], "hashes array<long>")
+
+
+def _ring_bytes(sets: list[np.ndarray]) -> list[pa.Array]:
+    """A set's size, and its ring in its own size class and in the next one (null if no linked set is there): a byte of each segment's word, 0 for an empty segment."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    own = np.searchsorted(_FIRST, sizes, "right") - 1
+    out = [pa.array(sizes)]
+    for step, takes in ((0, np.ones(len(sets), bool)), (1, sizes * 5 // 4 >= _FIRST[own + 1])):
+        at = np.flatnonzero(takes)
+        rings: list[bytes | None] = [None] * len(sets)
+        if len(at):
+            lengths = _segments(own[at] + step)
+            ends = np.cumsum(lengths)
+            of, segment, word, _ = _ring(np.concatenate([sets[i] for i in at]), sizes[at], own[at] + step)
+            flat = np.zeros(ends[-1], np.uint8)
+            flat[(ends - lengths)[of] + segment.astype(np.int64)] = word % np.uint64(255) + np.uint64(1)
+            for i, begin, end in zip(at.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+                rings[i] = flat[begin:end].tobytes()
+        out.append(pa.array(rings, pa.binary()))
+    return out
+
+
+def _viable(differ: np.ndarray, budget: int) -> bool:
+    """Whether from some start on the ring chains of 1, 2, 4, ... segments, at last all, keep within their share of `budget` differences."""
+    m = len(differ)
+    sums = np.concatenate(([0], np.cumsum(np.concatenate((differ, differ)))))
+    starts, length = np.arange(m), 1
+    while True:
+        starts = starts[sums[starts + length] - sums[starts] <= length * budget // m]
+        if not len(starts) or length == m:
+            return len(starts) > 0
+        length = min(2 * length, m)
+
+
+def chained(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, hub) whose rings hold a viable chain; every linked pair is among them."""
+    names = ["n", "own", "next"]
+    rings = _of_asked(docs, pairs.select(F.explode(F.array("u", "hub")).alias("node")).distinct(), _ring_bytes, names, "n long, own binary, next binary")
+    # renamed after each join, so that both ask for one exchange
+    one = pairs.join(rings, F.col("hub") == F.col("node")).select("u", "hub", *[F.col(c).alias(f"hub_{c}") for c in names])
+    both = one.join(rings, F.col("u") == F.col("node")).select(*one.columns, *[F.col(c).alias(f"u_{c}") for c in names])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column("u_n").to_numpy(), b.column("hub_n").to_numpy()
+            step = np.searchsorted(_FIRST, m, "right") - np.searchsorted(_FIRST, n, "right")
+            keep = (np.minimum(n, m) * 5 >= np.maximum(n, m) * 4) & (np.abs(step) <= 1)
+            u, hub = ([b.column(f"{side}_{c}") for c in ("own", "next")] for side in ("u", "hub"))
+            for i in np.flatnonzero(keep).tolist():
+                x, y = u[int(step[i] > 0)][i].as_buffer(), hub[int(step[i] < 0)][i].as_buffer()
+                keep[i] = _viable(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8), int(n[i] + m[i]) // 9)
+            yield b.select(["u", "hub"]).filter(pa.array(keep))
 
-    return _texts(docs).mapInArrow(each, "node long, hashes array<long>")
+    return both.mapInArrow(each, "u long, hub long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose sets are similar enough; of a crowd's pairs v is the hub."""
     pairs = checkpoint(pairs.select("u", F.col("v").alias("hub")).where("u <> hub").distinct())
+    pairs = checkpoint(chained(docs, pairs))
     # the sets' exchange is made once, as both ends ask for the same; a repeated row only repeats a pair.
     # Hubs come first: their pairs are two numbers then, and go apart with the hub's set.
     sets = _sets(docs, pairs.select(F.explode(F.array("u", "hub")).alias("node")).distinct())
