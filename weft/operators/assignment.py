@@ -7,6 +7,7 @@ Each part is solved by itself within one task.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,6 +20,10 @@ from weft.checkpoints import checkpoint
 from weft.operators.graph import components
 from weft.operators.ordered import met_on, running_max_before, running_sums
 
+#: Meetings of a family's genes on an item up to which they are joined as rows; the genes of larger families travel and meet in tasks.
+JOINED = 1 << 12
+
+
 def greedy_pairs(targets: DataFrame, pool: DataFrame, strata: Sequence[str], value: str, caliper: float | None = None) -> DataFrame:
     """(strata, target_id, control_id, distance): each target in order of id takes the nearest control left in its stratum, ties by id.
 
@@ -172,8 +177,10 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
 
 def best_transport(gain: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, column, n) with the largest total of n times gain, where a row serves `supply` and a column `demand` times; best augmenting paths, each as often as it has room."""
-    if supply.max() == 1 and demand.max() == 1:
-        return [(i, j, 1) for i, j in best_assignment(gain)]
+    if supply.sum() <= 2 * len(supply) and demand.sum() <= 2 * len(demand):  # few repeats: single ones are matched, which takes no search over the whole matrix
+        rows, cols = np.repeat(np.arange(len(supply)), supply), np.repeat(np.arange(len(demand)), demand)
+        taken = Counter((int(rows[i]), int(cols[j])) for i, j in best_assignment(gain if len(rows) == len(supply) and len(cols) == len(demand) else gain[np.ix_(rows, cols)]))
+        return [(i, j, n) for (i, j), n in taken.items()]
     flow, supply, demand = np.zeros(gain.shape, np.int64), supply.astype(np.int64), demand.astype(np.int64)
     every, tiny = np.arange(gain.shape[1]), 1e-12
     while True:
@@ -271,25 +278,95 @@ def synteny_score(windows: DataFrame, pairs: DataFrame, ident: str, window: str)
     return scored.withColumn("score", (F.col("jaccard") + F.col("lcs")) / 2).drop("_wa", "_wb")
 
 
+def _parts(gene: np.ndarray, item: np.ndarray, genes: int, items: int) -> np.ndarray:
+    """For each gene the smallest gene that it is connected to by items."""
+    part = np.arange(genes)
+    while True:
+        low, to = np.full(items, genes), part.copy()
+        np.minimum.at(low, item, part[gene])
+        np.minimum.at(to, part[gene], low[item])
+        while (to[to] != to).any():
+            to = to[to]
+        if (to == part).all():
+            return part
+        part = to
+
+
+def _pairs_of_windows(genes: DataFrame, family: list[str]) -> DataFrame:
+    """optimal_pairs by Jaccard similarity of (family, side, id, window, n) without a row for each pair: a component's windows travel as numbers of items, and its task counts what they share by a product of matrices."""
+    kinds = dict(genes.dtypes)
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in family)
+
+    def cut(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        left, windows = t.column("side").to_numpy(zero_copy_only=False) == "left", t.column("window").combine_chunks()
+        code = windows.flatten().dictionary_encode().indices.fill_null(-1).to_numpy()
+        code, items = code + 1, int(code.max(initial=-1)) + 2
+        gene, item = np.divmod(np.unique(np.repeat(np.arange(len(left)), np.diff(windows.offsets.to_numpy())) * items + code), items)
+        size = np.bincount(gene, minlength=len(left))
+        both = np.isin(np.arange(items), item[left[gene]]) & np.isin(np.arange(items), item[~left[gene]])
+        both[0] = False  # nulls, which a window has as an item and no two genes meet on
+        gene, item = gene[both[item]], item[both[item]]
+        part = _parts(gene, item, len(left), items)
+        held = np.unique(gene)
+        order = held[np.lexsort((held, part[held]))]
+        starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        place = np.empty(len(left), np.int64)
+        place[order] = np.arange(len(order))
+        by = np.argsort(place[gene], kind="stable")
+        has = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(place[gene], minlength=len(order)))]), pa.int32()), pa.array(item[by], pa.int32()))
+        picked = pa.array(order)
+        rows = pa.StructArray.from_arrays([pa.array(left[order]), t.column("id").combine_chunks().take(picked), t.column("n").combine_chunks().take(picked), pa.array(size[order], pa.int32()), has], names=["left", "id", "n", "size", "has"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), rows)
+        return pa.table([*[pa.repeat(k, len(lists)) for k in key], lists], names=[*family, "_genes"])
+
+    parts = genes.groupBy(*family).applyInArrow(cut, f"{named}, _genes array<struct<left: boolean, id: {kinds['id']}, n: long, size: int, has: array<int>>>")
+    dealt = parts.repartition(int(genes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                g = batch.column("_genes").slice(r, 1).flatten()
+                left, ids, n, size, has = (g.field(c) for c in ("left", "id", "n", "size", "has"))
+                left, n, size = (x.to_numpy(zero_copy_only=False) for x in (left, n, size))
+                code = np.unique(has.flatten().to_numpy(), return_inverse=True)[1]
+                member = np.zeros((len(left), code.max() + 1), np.float32)
+                member[np.repeat(np.arange(len(left)), np.diff(has.offsets.to_numpy())), code] = 1
+                a, b = np.flatnonzero(left), np.flatnonzero(~left)
+                gain = (member[a] @ member[b].T).astype(float)
+                gain /= size[a][:, None] + size[b] - gain
+                i, j, taken = (np.array(x, np.int64) for x in zip(*[(i, j, k) for i, j, k in best_transport(gain, n[a], n[b]) if gain[i, j] > 0]))
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(c)[r], len(i)) for c in family], ids.take(pa.array(a[i])), ids.take(pa.array(b[j])), pa.array(gain[i, j]), pa.array(taken)], names=[*family, "a", "b", "jaccard", "n"])
+
+    return dealt.mapInArrow(solve, f"{named}, a {kinds['id']}, b {kinds['id']}, jaccard double, n long")
+
+
 def family_synteny(genes: DataFrame, family: Sequence[str]) -> DataFrame:
     """(family, n_left, n_right, jaccard, lcs): the neighbourhoods of a family's genes on two sides, matched one to one for the largest total Jaccard similarity and divided by the larger side.
 
     `genes` is (id, family, side left or right, window: the neighbours' names in order).
     Only genes that share a neighbour meet, through it; all others have similarity zero and
     add nothing, as genes that stay unmatched do. Genes of a side with the same window are
-    matched as one with their number. `lcs` is the mean of the matched pairs' share of
-    common order, the better of both strands.
+    matched as one with their number. A family whose genes meet more than JOINED times has
+    its genes sent to tasks by connected component, and no pair of them is written.
+    `lcs` is the mean of the matched pairs' share of common order, the better of both
+    strands.
     """
     family = list(family)
     sized = genes.groupBy(*family).agg(F.count_if(F.col("side") == "left").alias("n_left"), F.count_if(F.col("side") == "right").alias("n_right")).where("n_left > 0 AND n_right > 0")
     kept = genes.join(sized.select(*family), family).groupBy(*family, "side", "window").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     kept = checkpoint(kept)
     item = kept.select(*family, "side", "id", F.explode(F.array_distinct("window")).alias("_item"))
+    on = lambda which: F.count_if(F.col("side") == which)
+    meets = item.groupBy(*family, "_item").agg((on("left") * on("right")).alias("_m")).groupBy(*family).agg(F.sum("_m").alias("_m"))
+    large = checkpoint(meets.where(F.col("_m") > JOINED).select(*family))
+    item = item.join(large, family, "left_anti")
     side = lambda which, name: item.where(F.col("side") == which).select(*family, "_item", F.col("id").alias(name))
     shared = side("left", "a").join(side("right", "b"), [*family, "_item"]).groupBy(*family, "a", "b").agg(F.count(F.lit(1)).alias("_k"))
     size = lambda name, n: kept.select(F.col("id").alias(name), F.size(F.array_distinct("window")).alias(f"_size_{name}"), F.col("n").alias(n))
     scored = shared.join(size("a", "_na"), "a").join(size("b", "_nb"), "b").withColumn("jaccard", F.col("_k") / (F.col("_size_a") + F.col("_size_b") - F.col("_k")))
     taken = optimal_pairs(scored.select(*family, "a", "b", "jaccard", "_na", "_nb"), family, "a", "b", "jaccard", ("_na", "_nb"))
+    taken = taken.unionByName(_pairs_of_windows(kept.join(large, family, "left_semi"), family))
     chosen = synteny_score(kept.select("id", "window"), taken.drop("jaccard"), "id", "window")
     total = chosen.groupBy(*family).agg(F.sum(F.col("n") * F.col("jaccard")).alias("_j"), F.sum(F.col("n") * F.col("lcs")).alias("_l"))
     over = F.greatest("n_left", "n_right")
