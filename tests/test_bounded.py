@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from weft.operators import assignment
+from weft.operators import assignment, resampling
 
 
 @pytest.mark.parametrize("alphabet", [8, 40])
@@ -23,3 +23,20 @@ def test_genes_of_large_families_meet_in_tasks(spark, monkeypatch, alphabet):
     got = columns(assignment.family_synteny(df, ["family"]))
     assert joined == [0] and {"f0", "f1"} <= set(got) == set(want)
     assert all(got[f][:2] == want[f][:2] and got[f][2] == pytest.approx(want[f][2]) and (f is None or want[f][2] > 0) for f in want)
+
+
+@pytest.mark.parametrize("whole, twice", [(1 << 28, False), (30, False), (0, False), (1 << 28, True)])
+def test_pools_of_strata_are_not_written_as_pairs(spark, monkeypatch, whole, twice):
+    """The assignment is that of all pairs, with strata that run out of controls, without any, and with null keys."""
+    targets = [(i % 4, "ab"[i % 2], i) for i in range(37)] + [(9, "a", 100), (None, "a", 101)] + ([(1, "a", 0)] if twice else [])
+    controls = [(i % 4, "ab"[i % 2], 500 + i) for i in range(29)] + [(8, "a", 600), (None, "a", 601)]
+    t = spark.createDataFrame(targets, "k int, m string, target_id long")
+    c = spark.createDataFrame(controls, "k int, m string, control_id long")
+    rows = lambda df: sorted(map(tuple, df.select("replicate", "target_id", "control_id").collect()))
+    want = rows(resampling.assigned_controls(t.join(c, ["k", "m"]).select("target_id", "control_id"), 7, "w"))
+    pairs = []
+    monkeypatch.setattr(resampling, "assigned_controls", lambda p, *a, f=resampling.assigned_controls: pairs.append(p.count()) or f(p, *a))
+    monkeypatch.setattr(resampling, "WHOLE", whole)
+    monkeypatch.setattr(resampling, "HASHES", 40)
+    assert rows(resampling.assigned_controls_within(t, c, ["k", "m"], 7, "w")) == want and len(want) > 200
+    assert bool(pairs) == (twice or whole < 1 << 28)
