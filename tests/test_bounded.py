@@ -1,9 +1,12 @@
 """Steps whose pairs grow with the product of two sides hand on what grows with the sides."""
 
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from weft.operators import assignment, resampling
+from weft.operators import assignment, relational, resampling
 
 
 @pytest.mark.parametrize("alphabet", [8, 40])
@@ -40,3 +43,26 @@ def test_pools_of_strata_are_not_written_as_pairs(spark, monkeypatch, whole, twi
     monkeypatch.setattr(resampling, "HASHES", 40)
     assert rows(resampling.assigned_controls_within(t, c, ["k", "m"], 7, "w")) == want and len(want) > 200
     assert bool(pairs) == (twice or whole < 1 << 28)
+
+
+@pytest.mark.parametrize("side", [6, 1 << 15])
+def test_pairs_within_a_caliper_are_counted_not_made(spark, monkeypatch, side):
+    """With ties at the last place, targets that are controls too, equal values by the dozen, nulls, and bins in several parts."""
+    monkeypatch.setattr(relational, "SIDE", side)
+    rng = np.random.default_rng(side)
+    t = [(i, i % 2, float(rng.integers(0, 60)) / 4) for i in range(40)] + [(90, 0, None), (91, 0, float("nan")), (92, 1, 500.0)]
+    p = [(i, i % 2, float(rng.integers(0, 60)) / 4) for i in range(20, 160)] + [(i, 0, 7.25) for i in range(200, 240)] + [(300, 0, None), (301, 0, float("inf")), (30, 0, 1.0), (30, 0, 1.25)]
+    tie = F.sha2(F.concat_ws("|", F.col("target_id").cast("string"), F.col("control_id").cast("string"), F.col("y").cast("string")), 256)
+    made = []
+    monkeypatch.setattr(relational, "_nearest_within", lambda *a, f=relational._nearest_within: made.append(f(*a)) or made[-1])
+    got = relational.staged_match(spark.createDataFrame(t, "target_id long, k int, x double"), spark.createDataFrame(p, "control_id long, k int, y double"), ["k"], "x", "y", [0.3, 1, 4], 6, 5, tie)
+    want = []
+    for i, k, x in t:
+        for stage, limit in enumerate((0.3, 1, 4), 1):
+            near = [(abs(x - y), hashlib.sha256(f"{i}|{c}|{y}".encode()).hexdigest(), c) for c, b, y in p if x is not None and y is not None and b == k and c != i and abs(x - y) <= limit]
+            if len(near) >= 6:
+                want += [(i, c, stage, len(near), n) for n, (_, _, c) in enumerate(sorted(near)[:5], 1)]
+                break
+    assert sorted(map(tuple, got.select("target_id", "control_id", "stage", "pool_size", "place").collect())) == sorted(want) and {w[2] for w in want} == {1, 2, 3}
+    n, pairs = zip(*(m.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first() for m in made))
+    assert side < 10 or sum(n) < sum(pairs)
