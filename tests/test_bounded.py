@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import assignment, relational, resampling
+from weft.operators import assignment, relational, replicates, resampling
 
 
 @pytest.mark.parametrize("alphabet", [8, 40])
@@ -66,3 +66,31 @@ def test_pairs_within_a_caliper_are_counted_not_made(spark, monkeypatch, side):
     assert sorted(map(tuple, got.select("target_id", "control_id", "stage", "pool_size", "place").collect())) == sorted(want) and {w[2] for w in want} == {1, 2, 3}
     n, pairs = zip(*(m.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first() for m in made))
     assert side < 10 or sum(n) < sum(pairs)
+
+
+@pytest.mark.parametrize("widths", [(0.0, 60.0, float("inf")), (6.0, 60.0, float("inf"))])
+def test_medians_need_no_vector_for_each_row(spark, monkeypatch, widths):
+    """Also where a band misses the middle rows, with nulls, a group of nulls, and equal values."""
+    monkeypatch.setattr(replicates, "WIDTHS", widths)
+    rng = np.random.default_rng(3)
+    rows = [("abc"[i % 3], i, None if i % 11 == 0 else float(rng.integers(0, 400)) + (i % 3) * 300) for i in range(900)] + [("d", i, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    medians = lambda: {r.replicate: r.median for r in resampling.hierarchical_median(df, "g", "id", "v", 40, "m").collect()}
+    monkeypatch.setattr(replicates, "DRAWN", 0)
+    want = medians()
+    monkeypatch.setattr(replicates, "DRAWN", 1 << 21)
+    monkeypatch.setattr(resampling, "drawn_weights", None)
+    assert medians() == want and len(want) == 39  # one draws the group of nulls only
+
+
+@pytest.mark.parametrize("drawn", [0, 30, 1 << 21])
+def test_sums_of_draws_need_no_vector_for_each_row(spark, monkeypatch, drawn):
+    """Strata of any size, null ones, and several rows of a block."""
+    monkeypatch.setattr(replicates, "DRAWN", drawn)
+    df = spark.createDataFrame([(None if i % 7 == 0 else "ab"[i % 3 // 2], i // 2, float(i % 13)) for i in range(120)], "g string, id long, x double")
+    sums = {"n": F.lit(1), "s": F.col("x")}
+    for own in ([], ["g"]):
+        vectors = replicates.replicate_sums(df, [(replicates.drawn_weights(df, "id", 30, "n", own), [*own, "id"])], 30, sums)
+        want = {r.replicate: (r.n, r.s) for r in vectors.collect()}
+        got = {r.replicate: (r.n, r.s) for r in replicates.drawn_sums(df, "id", 30, "n", sums, own).collect()}
+        assert got == pytest.approx(want) and len(got) == 30
