@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import assignment, relational, replicates, resampling
+from weft.operators import assignment, graph, relational, replicates, resampling
 
 
 @pytest.mark.parametrize("alphabet", [8, 40])
@@ -94,3 +94,27 @@ def test_sums_of_draws_need_no_vector_for_each_row(spark, monkeypatch, drawn):
         want = {r.replicate: (r.n, r.s) for r in vectors.collect()}
         got = {r.replicate: (r.n, r.s) for r in replicates.drawn_sums(df, "id", 30, "n", sums, own).collect()}
         assert got == want and len(got) == 30  # whole numbers, so sums are exact
+
+
+def test_a_forest_of_blocks_makes_no_pairs(spark, monkeypatch):
+    """Forests of blocks with outliers, ties and parts that share nothing; and the query's step makes no pair but those it returns."""
+    rng = np.random.default_rng(6)
+    for k in range(60):
+        n, m = (int(x) for x in rng.integers(1, 40, 2))
+        w = rng.integers(0 if k % 2 else 1, 4 + k, (n, m)) / 60
+        w[rng.random((n, m)) < k % 3 * 0.4] = 0
+        same = k % 4 == 0
+        w = np.triu(rng.integers(0, 4 + k, (n, n)) / 60, 1) if same else w
+        i, j = np.nonzero(w)
+        want = graph.forest_of(i, j if same else j + n, w[i, j]) if len(i) else []
+        got = graph._forest_of_pairs(w + w.T if same else w, same)
+        assert {*zip(*(x.tolist() for x in got))} == {(int(i[x]), int(j[x])) for x in want}
+    monkeypatch.setattr(graph, "SIDE", 9)
+    rows = [(s, int(x)) for s in range(50) for x in np.flatnonzero(rng.random(12) < (0.15 if s % 17 == 0 else 0.8))] + [(60, 77), (61, 77)]
+    df = spark.createDataFrame(rows, "id long, item int")
+    want = {tuple(r) for r in graph.spanning_edges(graph.shared_jaccard(df, "id", "item"), "jaccard", 0.9).collect()}
+    monkeypatch.setattr(graph, "_jaccard_of_blocks", None)
+    made = []
+    monkeypatch.setattr(graph, "spanning_edges", lambda e, *a, f=graph.spanning_edges: made.append(e.count()) or f(e, *a))
+    assert {tuple(r) for r in graph.jaccard_spanning_edges(df, "id", "item", 0.9).collect()} == want and len(want) > 49
+    assert made[0] < 900

@@ -87,19 +87,30 @@ def shared_jaccard(members: DataFrame, ident: str, item: str, group: Sequence[st
     """
     own = list(group)
     m = checkpoint(members.select(*own, ident, item).distinct())
+    if _common(m, ident, item, own):
+        return _jaccard_of_blocks(m, ident, item, own)
+    return _jaccard_of_items(m, ident, item, own)
+
+
+def _common(m: DataFrame, ident: str, item: str, own: list[str]) -> bool:
+    """Whether a join on items would have a row for every sixteenth pair of sets or more, and there are many pairs."""
     held = m.groupBy(*own, item).agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0.0
     sets = m.groupBy(*own, ident).agg(F.count(F.lit(1)).alias("n"))
     every = sets.groupBy(*own).agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0.0
-    if held * 16 >= every and every > SIDE:
-        return _jaccard_of_blocks(m, ident, item, own)
+    return held * 16 >= every and every > SIDE
+
+
+def _jaccard_of_items(m: DataFrame, ident: str, item: str, own: list[str]) -> DataFrame:
+    """shared_jaccard of distinct members by a join on items."""
+    sets = m.groupBy(*own, ident).agg(F.count(F.lit(1)).alias("n"))
     a, b = m.withColumnRenamed(ident, "a"), m.withColumnRenamed(ident, "b")
     both = a.join(b, [*own, item]).where("a < b").groupBy(*own, "a", "b").agg(F.count(F.lit(1)).alias("k"))
     met = both.join(sets.withColumnRenamed(ident, "a").withColumnRenamed("n", "na"), [*own, "a"]).join(sets.withColumnRenamed(ident, "b").withColumnRenamed("n", "nb"), [*own, "b"])
     return met.select(*own, "a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
 
 
-def _jaccard_of_blocks(m: DataFrame, ident: str, item: str, own: list[str]) -> DataFrame:
-    """shared_jaccard of distinct members by pairs of blocks of SIDE sets, in the order of their ids."""
+def _pairs_of_blocks(m: DataFrame, ident: str, item: str, own: list[str]) -> DataFrame:
+    """(group, _same, _sets, _others): all pairs of blocks of SIDE sets, in the order of their ids."""
     m = m.dropna(subset=[*own, ident, item])
     places = row_numbers(m.select(*own, ident).distinct(), own, [ident], "_k")
     codes = row_numbers(m.select(*own, item).distinct(), own, [item], "_code")
@@ -109,7 +120,11 @@ def _jaccard_of_blocks(m: DataFrame, ident: str, item: str, own: list[str]) -> D
     left = met_on(blocks, last, own).withColumn("_j", F.explode(F.sequence("_i", "_last")))
     right = blocks.withColumnRenamed("_i", "_j").withColumnRenamed("_sets", "_others")
     pairs = left.join(right.hint("merge"), [*own, "_j"]).select(*own, (F.col("_i") == F.col("_j")).alias("_same"), "_sets", "_others")
-    pairs = pairs.repartition(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # small rows that stand for much work
+    return pairs.repartition(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # small rows that stand for much work
+
+
+def _met_blocks(batch: pa.RecordBatch, r: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and sizes of the sets of two blocks, and how many items each pair of them shares."""
 
     def unpacked(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Ids, the set of each member and its code."""
@@ -118,21 +133,29 @@ def _jaccard_of_blocks(m: DataFrame, ident: str, item: str, own: list[str]) -> D
         sizes = np.diff(has.offsets.to_numpy())
         return rows.field("id"), np.repeat(np.arange(len(rows)), sizes), has.flatten().to_numpy()
 
+    (ids, at, code), (other, bt, other_code) = (unpacked(batch.column(c).slice(r, 1)) for c in ("_sets", "_others"))
+    na, nb = np.bincount(at, minlength=len(ids)), np.bincount(bt, minlength=len(other))
+    common = np.intersect1d(code, other_code)
+    shared = np.zeros((len(ids), len(other)), np.float32)
+    for first in range(0, len(common), ITEMS):
+        some = common[first : first + ITEMS]
+        x, y = np.zeros((len(ids), len(some)), np.float32), np.zeros((len(other), len(some)), np.float32)
+        for matrix, owner, own_code in ((x, at, code), (y, bt, other_code)):
+            place = np.minimum(np.searchsorted(some, own_code), len(some) - 1)
+            hit = some[place] == own_code
+            matrix[owner[hit], place[hit]] = 1
+        shared += x @ y.T
+    return ids, other, na, nb, shared
+
+
+def _jaccard_of_blocks(m: DataFrame, ident: str, item: str, own: list[str]) -> DataFrame:
+    """shared_jaccard of distinct members by pairs of blocks; a pair is made where it is handed on."""
+    pairs = _pairs_of_blocks(m, ident, item, own)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                (ids, at, code), (other, bt, other_code) = (unpacked(batch.column(c).slice(r, 1)) for c in ("_sets", "_others"))
-                na, nb = np.bincount(at, minlength=len(ids)), np.bincount(bt, minlength=len(other))
-                common = np.intersect1d(code, other_code)
-                shared = np.zeros((len(ids), len(other)), np.float32)
-                for first in range(0, len(common), ITEMS):
-                    some = common[first : first + ITEMS]
-                    x, y = np.zeros((len(ids), len(some)), np.float32), np.zeros((len(other), len(some)), np.float32)
-                    for matrix, owner, own_code in ((x, at, code), (y, bt, other_code)):
-                        place = np.minimum(np.searchsorted(some, own_code), len(some) - 1)
-                        hit = some[place] == own_code
-                        matrix[owner[hit], place[hit]] = 1
-                    shared += x @ y.T
+                ids, other, na, nb, shared = _met_blocks(batch, r)
                 if batch.column("_same")[r].as_py():
                     shared = np.triu(shared, 1)
                 for top in range(0, len(ids), 128):
@@ -173,11 +196,80 @@ def forest_of(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
         part = to[part]
 
 
+def _forest_of_pairs(w: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the maximum spanning forest of all pairs that weigh over 0, ties by row and column; with `same`, rows are columns and only those above the diagonal count.
+
+    The best edge of every node is in it, and so is the forest of all edges from a
+    threshold on. Of the other edges only those between the parts that these make can be.
+    """
+    n, m = w.shape
+    if same:
+        to = w.argmax(1)
+        held = np.flatnonzero(w[np.arange(n), to] > 0)
+        best = np.stack([np.minimum(held, to[held]), np.maximum(held, to[held])])
+        w, nodes = np.triu(w, 1), len(held)
+    else:
+        to, back = w.argmax(1), w.argmax(0)
+        rows, cols = np.flatnonzero(w[np.arange(n), to] > 0), np.flatnonzero(w[back, np.arange(m)] > 0)
+        best, nodes = np.concatenate([np.stack([rows, to[rows]]), np.stack([back[cols], cols])], axis=1), len(rows) + len(cols)
+    some = np.sort(w[:: 1 + n // 128, :: 1 + m // 128], axis=None)
+    least = some[-max(1, len(some) // 256)]
+    i, j = np.nonzero(w >= least if least > 0 else w > 0)
+    for last in (False, True):
+        i, j = np.divmod(np.unique(np.concatenate([i * m + j, best[0] * m + best[1]])), m)
+        kept = forest_of(i, j if same else j + n, w[i, j]) if len(i) else np.zeros(0, np.int64)
+        i, j = i[kept], j[kept]
+        if last or len(kept) == nodes - 1 or least <= 0:
+            return i, j
+        part = _labels(i, j if same else j + n, n if same else n + m)
+        across = np.nonzero((part[:n, None] != part[-m:]) & (w > 0))
+        best, i, j = np.stack([i, j]), *across
+
+
+def _labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest that edges connect it to."""
+    part = np.arange(n)
+    while True:
+        low, to = np.minimum(part[u], part[v]), part.copy()
+        np.minimum.at(to, part[u], low)
+        np.minimum.at(to, part[v], low)
+        while (to[to] != to).any():
+            to = to[to]
+        if (to == part).all():
+            return part
+        part = to
+
+
+def jaccard_spanning_edges(members: DataFrame, ident: str, item: str, extra: float) -> DataFrame:
+    """spanning_edges of shared_jaccard. Where items are common, a task that counts what two blocks of sets share hands on their forest and the edges of at least `extra`, and no other pair is made."""
+    m = checkpoint(members.select(ident, item).distinct())
+    if not _common(m, ident, item, []):
+        return spanning_edges(_jaccard_of_items(m, ident, item, []), "jaccard", extra)
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, other, na, nb, shared = _met_blocks(batch, r)
+                same = batch.column("_same")[r].as_py()
+                w = shared.astype(np.float64)
+                w /= na[:, None] + nb - w
+                if same:
+                    np.fill_diagonal(w, 0)
+                i, j = _forest_of_pairs(w, same)
+                near = np.nonzero(np.triu(w >= extra, 1) if same else w >= extra) if extra > 0 else np.nonzero(np.triu(w, 1) if same else w)
+                for i, j in ((i, j), near):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), other.take(pa.array(j)), pa.array(w[i, j])], names=["a", "b", "jaccard"])
+
+    kind = m.schema[ident].dataType.simpleString()
+    return spanning_edges(_pairs_of_blocks(m, ident, item, []).mapInArrow(forests, f"a {kind}, b {kind}, jaccard double"), "jaccard", extra)
+
+
 def spanning_edges(edges: DataFrame, weight: str, extra: float) -> DataFrame:
     """(a, b, weight): a maximum spanning forest, and the edges of at least `extra`; edges without a weight are none.
 
     Every partition first keeps the forest of its own edges (no other edge of it can be in
-    the whole forest) and those of at least `extra`, so edges are read once and not stored.
+    the whole forest) and those of at least `extra`, so edges are read once and not stored;
+    then eight partitions' forests at a time become one.
     Then Boruvka's rounds: each component takes its best edge (ties by a, b), components
     that chose each other merge, and edges within a component go; rounds grow with the
     logarithm of the nodes. Only counts reach the driver.
@@ -201,7 +293,9 @@ def spanning_edges(edges: DataFrame, weight: str, extra: float) -> DataFrame:
         if waiting:
             yield from reduced().to_batches()
 
-    e = checkpoint(given.mapInArrow(own_forest, given.schema).distinct())
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fewer = given.mapInArrow(own_forest, given.schema).repartition(-(-parts // 8))  # forests of many partitions overlap: those of eight become one
+    e = checkpoint(fewer.mapInArrow(own_forest, given.schema).distinct())
     across = e.select("a", "b", "w", F.col("a").alias("pa"), F.col("b").alias("pb"))
     chosen = e.where("false")
     while True:

@@ -109,7 +109,7 @@ def _(spark, d):
 
 @query("g3_spanning_edges")
 def _(spark, d):
-    return graph.spanning_edges(graph.shared_jaccard(_members(spark, d), "id", "item"), "jaccard", 0.95).select("a", "b", _r("jaccard"))
+    return graph.jaccard_spanning_edges(_members(spark, d), "id", "item", 0.95).select("a", "b", _r("jaccard"))
 
 
 #: Trees of 60 customers, three for each block: customers by a product modulo 12, those by what is left modulo 4; a seventh of the customers is missing.
