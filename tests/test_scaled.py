@@ -172,6 +172,25 @@ def test_closure_by_partitions_of_bounded_size(spark, monkeypatch, dag):
     assert {(r.a, r.b): (r.distance, r.ancestor) for r in got} == want and len(got) == len(want)
 
 
+def test_strata_are_sent_as_often_as_partitions_need(spark, monkeypatch):
+    """Many strata, a null one among them, go to one task each, and none of them meets a table of sizes; a lone one fills the partitions."""
+    rows = [(None if i % 30 == 7 else f"g{i % 30}", i // 2, float(i % 13)) for i in range(600)]
+    df, sums = spark.createDataFrame(rows, "g string, id long, x double"), {"n": F.lit(1), "s": F.col("x")}
+    want = {}
+    for own in (["g"], []):
+        vectors = replicates.replicate_sums(df, [(replicates.drawn_weights(df, "id", 200, "n", own), [*own, "id"])], 200, sums)
+        want[len(own)] = {r.replicate: (r.n, r.s) for r in vectors.collect()}
+    sent, spread = [], replicates._spread
+    monkeypatch.setattr(replicates, "_spread", lambda tasks: sent.append(tasks.count()) or spread(tasks))
+    monkeypatch.setattr(replicates, "HASHES", 50)
+    monkeypatch.setattr(replicates, "met_on", None)
+    for own in (["g"], []):
+        assert {r.replicate: (r.n, r.s) for r in replicates.drawn_sums(df, "id", 200, "n", sums, own).collect()} == want[len(own)]
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sent[0] == 30 and partitions <= sent[1] <= replicates.SHARES * partitions + 1
+    assert not replicates.drawn_sums(df.limit(0), "id", 200, "n", sums, ["g"]).collect()
+
+
 def test_a_stratum_is_sent_a_bounded_number_of_times(spark, monkeypatch):
     """However many rows it has, so that what is sent grows with the rows."""
     sent = []
