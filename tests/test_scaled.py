@@ -172,6 +172,29 @@ def test_closure_by_partitions_of_bounded_size(spark, monkeypatch, dag):
     assert {(r.a, r.b): (r.distance, r.ancestor) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("second", [None, 5])
+def test_only_parents_are_sent_as_rests_of_paths(spark, monkeypatch, second):
+    """Of a bushy hierarchy with nulls and repeated edges, also where a node has two parents; most nodes are nobody's parent."""
+    sent, kind = [], type(spark.range(1))
+    dealt = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: dealt(self, *(sent.append(self.count()) or a if "_top" in self.columns else a)))
+    parents = {n: {n // 3} for n in range(1, 200)}
+    if second:
+        parents[100].add(second)
+    up = {0: {}}
+    for n in sorted(parents):
+        up[n] = {}
+        for p in parents[n]:
+            for a, d in {p: 0, **up[p]}.items():
+                up[n][a] = min(up[n].get(a, 99), d + 1)
+    edges = [(f"n{n}", f"n{p}") for n, ps in parents.items() for p in ps]
+    df = spark.createDataFrame([*edges, *edges[:50], ("n0", None), (None, "n7"), (None, None)], "node string, parent string")
+    got = [tuple(r) for r in graph.ancestors(df).collect()]
+    null = [(None, a, d) for a, d in {"n7": 1, **{f"n{a}": d + 1 for a, d in up[7].items()}}.items()]
+    assert sorted(got, key=str) == sorted([(f"n{n}", f"n{a}", d) for n in up for a, d in up[n].items()] + null, key=str)
+    assert sent[0] == len({p for ps in parents.values() for p in ps} - {0}) and max(sent) < len(got) / 2
+
+
 def test_strata_are_sent_as_often_as_partitions_need(spark, monkeypatch):
     """Many strata, a null one among them, go to one task each, and none of them meets a table of sizes; a lone one fills the partitions."""
     rows = [(None if i % 30 == 7 else f"g{i % 30}", i // 2, float(i % 13)) for i in range(600)]
