@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import __spark_entry__  # noqa: E402
 from test_brute import DATA  # noqa: E402
 
-from weft.operators import assignment, trees
+from weft.operators import assignment, graph, trees
 from weft.sources import readers
 
 TEXTS = {
@@ -148,3 +148,24 @@ def test_synteny_query(spark):
     got = __spark_entry__.queries()["g8_synteny"](spark, DATA).collect()
     assert {r.family: (r.n_left, r.n_right) for r in got} == {f: v[:2] for f, v in want.items()} and want
     assert {r.family: r.jaccard for r in got} == pytest.approx({f: v[2] for f, v in want.items()}, abs=1e-7)
+
+
+def test_rooting_and_order_read_the_texts_once(spark):
+    """Also where an id is null, comes twice, or has no outgroup."""
+    rooted, twice = "((s:2.5,b:0.5)0.9:0.25,(c:1,e:4)0.7:2);", "(c:1,(d:1,f:2)x:3);"
+    df = spark.createDataFrame([("t1", rooted), ("t2", "(a:1,b:2);"), (None, rooted), ("t3", twice), ("t3", twice)], "id string, newick string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    e = readers.newick_edges(df, "id", "newick")
+    r = graph.rooted(e.mapInPandas(counted, e.schema), "id", "c")
+    places = {tuple(x) for x in graph.tip_order(r, "id").collect()}
+    assert places == {("t1", "c", 1), ("t1", "e", 2), ("t1", "s", 3), ("t1", "b", 4), ("t3", "d", 1), ("t3", "f", 2), ("t3", "c", 3), (None, "", 1)}
+    t1 = {(x.node, x.parent, x.label, x.branch_length) for x in r.where("id = 't1'").collect()}
+    assert t1 == {(-1, None, "", None), (0, 4, "0.7", 2.0), (1, 0, "0.9", 0.25), (2, 1, "s", 2.5), (3, 1, "b", 0.5), (4, -1, "", 0.5), (5, -1, "c", 0.5), (6, 4, "e", 4.0)}
+    assert [tuple(x) for x in r.where("id IS NULL").collect()] == [(None, -1, None, "", None)]
+    assert r.where("id = 't3'").count() == 28 and read.value == e.count()

@@ -40,24 +40,28 @@ def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     """
     edges = edges.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
     inner = edges.select(F.col("ancestor").alias("node"), F.lit(True).alias("_inner")).distinct()
-    found, reach = checkpoint(edges.join(inner, "node", "left").select("node", "ancestor", "depth", F.col("_inner").isNotNull().alias("_inner"))), 1
+    fresh = checkpoint(edges.join(inner, "node", "left").select("node", "ancestor", "depth", F.col("_inner").isNotNull().alias("_inner")))
+    found, n, reach = fresh, 0, 1
     tree = not found.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
     while True:
-        if found.where("node = ancestor").limit(1).count():
+        # only rows of the last round can close a cycle, or be of this depth
+        more, ends, deepest, closed = fresh.agg(F.count(F.lit(1)), F.count_if(F.col("depth") == reach), F.max("depth"), F.count_if(F.col("node") == F.col("ancestor"))).first()
+        if closed:
             raise ValueError("the hierarchy has a cycle")
-        n, ends = found.agg(F.count(F.lit(1)), F.count_if(F.col("depth") == reach)).first()
         if not ends:
             return found.drop("_inner")
-        if found.agg(F.max("depth")).first()[0] > max_depth:
+        if deepest > max_depth:
             raise ValueError(f"the hierarchy is deeper than {max_depth}")
+        n = n + more if tree else more
         parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // AT_ONCE))
-        last = found.where(F.col("depth") == reach).repartition(parts, "ancestor")
+        last = fresh.where(F.col("depth") == reach).repartition(parts, "ancestor")
         up = found.where("_inner").select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_top"), F.col("depth").alias("_more")).repartition(parts, "ancestor")
         longer = last.join(up, "ancestor").select("node", F.col("_top").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"), "_inner")
         if tree:
-            found = found.union(checkpoint(longer))
+            fresh = checkpoint(longer)
+            found = found.union(fresh)
         else:
-            found = checkpoint(found.union(longer).repartition(2 * parts, "node", "ancestor").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"), F.max("_inner").alias("_inner")))
+            found = fresh = checkpoint(found.union(longer).repartition(2 * parts, "node", "ancestor").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"), F.max("_inner").alias("_inner")))
         reach *= 2
 
 
@@ -337,10 +341,10 @@ def rooted(edges: DataFrame, tree: str, outgroup: str) -> DataFrame:
     old root turn round, and labels of inner nodes (supports) stay with their branch. An old
     root that is left with one branch below it stays as a node. Trees without the outgroup are left out.
     """
-    keyed = edges.select(F.to_json(F.struct(tree, "node")).alias("node"), F.when(F.col("parent").isNotNull(), F.to_json(F.struct(tree, F.col("parent").alias("node")))).alias("parent"))
-    up = ancestors(keyed).withColumnRenamed("node", "_leaf")
-    leaf = edges.where(F.col("label") == outgroup).select(tree, "node", F.to_json(F.struct(tree, "node")).alias("_leaf"))
-    path = leaf.join(up, "_leaf").select(tree, F.get_json_object("ancestor", "$.node").cast("long").alias("node"), "depth").union(leaf.select(tree, "node", F.lit(0)))
+    edges = checkpoint(edges)  # else texts are parsed again for each use
+    up = ancestors(_keyed(edges, tree)).withColumnRenamed("node", "_leaf")
+    leaf = edges.where(F.col("label") == outgroup).select(tree, "node", F.struct(tree, "node").alias("_leaf"))
+    path = leaf.join(up, "_leaf").select(tree, F.col("ancestor.node").alias("node"), "depth").union(leaf.select(tree, "node", F.lit(0)))
     on = edges.join(leaf.select(tree), tree, "left_semi").join(path, [tree, "node"], "left")
     below = path.select(tree, (F.col("depth") + 1).alias("depth"), F.col("node").alias("_below")).join(edges.select(tree, F.col("node").alias("_below"), F.col("label").alias("_label"), F.col("branch_length").alias("_length")), [tree, "_below"])
     met = on.join(below, [tree, "depth"], "left")
@@ -352,17 +356,22 @@ def rooted(edges: DataFrame, tree: str, outgroup: str) -> DataFrame:
         F.when(d.isNull() | (d == 0), F.col("label")).when(d == 1, F.lit("")).otherwise(F.col("_label")).alias("label"),
         F.when(d.isNull(), F.col("branch_length")).when(d == 0, half).when(d == 1, F.col("_length") / 2).otherwise(F.col("_length")).alias("branch_length"),
     )
-    return turned.union(leaf.select(tree, F.lit(-1).cast("long"), F.lit(None).cast("long"), F.lit(""), F.lit(None).cast("double")))
+    return checkpoint(turned.union(leaf.select(tree, F.lit(-1).cast("long"), F.lit(None).cast("long"), F.lit(""), F.lit(None).cast("double"))))
+
+
+def _keyed(edges: DataFrame, tree: str) -> DataFrame:
+    """(node, parent) over all trees, a node named by its tree and its number."""
+    name = lambda c: F.struct(tree, F.col(c).alias("node"))
+    return edges.select(name("node").alias("node"), F.when(F.col("parent").isNotNull(), name("parent")).alias("parent"))
 
 
 def tip_order(edges: DataFrame, tree: str) -> DataFrame:
     """(tree, label, place) of leaves from first to last with branches of few leaves first (ladder order), ties by node."""
-    key = lambda c: F.to_json(F.struct(tree, F.col(c).alias("node")))
-    up = ancestors(edges.select(key("node").alias("node"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent")))
-    leaf = edges.join(edges.select(tree, F.col("parent").alias("node")).distinct(), [tree, "node"], "left_anti").select(tree, "label", key("node").alias("_leaf"))
+    up = ancestors(_keyed(edges, tree))
+    leaf = edges.join(edges.select(tree, F.col("parent").alias("node")).distinct(), [tree, "node"], "left_anti").select(tree, "label", F.struct(tree, "node").alias("_leaf"))
     whole = leaf.join(up.withColumnRenamed("node", "_leaf"), "_leaf").select(tree, "label", "_leaf", "ancestor", "depth").union(leaf.select(tree, "label", "_leaf", F.col("_leaf"), F.lit(0)))
     size = whole.groupBy("ancestor").agg(F.count(F.lit(1)).alias("n"))
-    step = F.struct((-F.col("depth")).alias("d"), F.struct("n", F.get_json_object("ancestor", "$.node").cast("long").alias("node")).alias("s"))
+    step = F.struct((-F.col("depth")).alias("d"), F.struct("n", F.col("ancestor.node").alias("node")).alias("s"))
     keyed = whole.join(size, "ancestor").groupBy(tree, "label", "_leaf").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x.s).alias("_way"))
     return row_numbers(keyed, [tree], ["_way", "_leaf"], "place").select(tree, "label", "place")
 
